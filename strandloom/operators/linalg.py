@@ -1,0 +1,111 @@
+"""Dense linear algebra on the driver, over cells x cells matrices: clustering, mixtures and their choice."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def laplacian(a: np.ndarray) -> np.ndarray:
+    """I - D^-1/2 A D^-1/2; rows of degree 0 have only their diagonal."""
+    d = a.sum(1)
+    scale = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0)
+    return np.eye(len(a)) - scale[:, None] * a * scale[None]
+
+
+def weighted_kmeans(points: np.ndarray, k: int, tries: int = 10, iterations: int = 100, weight: float = 1.2) -> tuple[np.ndarray, float]:
+    """Labels and inertia. The second coordinate weighs `weight`; centroids start at the first k points.
+
+    Every try would start alike, so one run decides. Ties go to the lower cluster; an empty one's centroid is zero.
+    """
+    if not len(points):
+        return np.zeros(0, int), 0.0
+    x = points.astype(float).copy()
+    if x.shape[1] > 1:
+        x[:, 1] *= weight
+    k = min(k, len(x))
+    centre, labels = x[:k].copy(), np.full(len(x), -1)
+    for _ in range(iterations):
+        distance = ((x[:, None] - centre[None]) ** 2).sum(2)
+        new = distance.argmin(1)
+        if (new == labels).all():
+            break
+        labels = new
+        centre = np.stack([x[labels == c].mean(0) if (labels == c).any() else np.zeros(x.shape[1]) for c in range(k)])
+    return labels, float(((x - centre[labels]) ** 2).sum())
+
+
+def gaussian_mixture(x: np.ndarray, k: int, seed: int = 0, means_rounds: int = 10, rounds: int = 5, floor: float = 1e-10) -> float | None:
+    """Log-likelihood of a full-covariance mixture: k-means from random points, then expectation maximization."""
+    n, d = x.shape
+    if n < k:
+        return None
+    mean = x[np.random.default_rng(seed).choice(n, k, replace=False)]
+    for _ in range(means_rounds):
+        own = ((x[:, None] - mean[None]) ** 2).sum(2).argmin(1)
+        mean = np.stack([x[own == c].mean(0) if (own == c).any() else mean[c] for c in range(k)])
+    weight = np.maximum(np.bincount(own, minlength=k), 1) / n
+    shape = lambda v: v + floor * np.eye(d)
+    spread = np.stack([shape(np.cov(x[own == c].T, bias=True).reshape(d, d)) if (own == c).sum() > 1 else shape(np.cov(x.T, bias=True).reshape(d, d)) for c in range(k)])
+    total = -np.inf
+    for step in range(rounds + 1):
+        logp = np.empty((n, k))
+        for c in range(k):
+            sign, logdet = np.linalg.slogdet(spread[c])
+            if sign <= 0:
+                return None
+            off = x - mean[c]
+            logp[:, c] = np.log(weight[c]) - 0.5 * (logdet + d * np.log(2 * np.pi) + np.einsum("ij,ij->i", off @ np.linalg.inv(spread[c]), off))
+        top = logp.max(1, keepdims=True)
+        row = top[:, 0] + np.log(np.exp(logp - top).sum(1))
+        total = float(row.sum())
+        if step == rounds:
+            break
+        r = np.exp(logp - row[:, None])
+        size = np.maximum(r.sum(0), 1e-12)
+        weight, mean = size / n, (r.T @ x) / size[:, None]
+        spread = np.stack([shape(((x - mean[c]).T * r[:, c]) @ (x - mean[c]) / size[c]) for c in range(k)])
+    return total if np.isfinite(total) else None
+
+
+def parameters(k: int, d: int) -> int:
+    return k * d * (d + 1) // 2 + k * d + k - 1
+
+
+def information(log_likelihood: float, k: int, n: int, d: int, how: str = "BIC") -> float:
+    p = parameters(k, d)
+    return 2 * p - 2 * log_likelihood if how == "AIC" else p * np.log(n) - 2 * log_likelihood
+
+
+def choose_clusters(vectors: np.ndarray, most: int = 4) -> int:
+    """2, and one more while the drop of the inertia stays above 0.75 of the drop before."""
+    inertia = [weighted_kmeans(vectors[:, :3], k)[1] for k in range(1, most + 2)]
+    gaps = [a - b for a, b in zip(inertia, inertia[1:])]
+    k = 2
+    while k < most and gaps[k - 1] > 0.75 * gaps[k - 2]:
+        k += 1
+    return k
+
+
+def spectral_clusters(similarity: np.ndarray, kind: str = "SPECTRAL6", termination: str = "BIC", seed: int = 0) -> tuple[np.ndarray, int, dict]:
+    """Labels, number of clusters (1: leave it whole) and what led to them."""
+    n = len(similarity)
+    if n < 2:
+        return np.zeros(n, int), 1, {}
+    values, vectors = np.linalg.eigh(laplacian(similarity))
+    used = vectors[:, 1 : min(6, n)]
+    fits = [gaussian_mixture(used, k, seed) for k in (1, 2, 3, 4)]
+    scores = [None if f is None else information(f, k, n, used.shape[1], termination) for k, f in enumerate(fits, 1)]
+    info = {"eigenvalues": values, "scores": scores, "log_likelihoods": fits}
+    rest = [s for s in scores[1:] if s is not None]
+    if scores[0] is None or not rest or scores[0] <= min(rest):
+        return np.zeros(n, int), 1, info
+    k = choose_clusters(vectors)
+    if kind == "FIEDLER":
+        limit = np.finfo(float).tiny if values[0] == 0 else 0.0
+        return (vectors[:, 1] >= limit).astype(int), 2, info
+    if kind not in ("SPECTRAL2", "SPECTRAL6"):
+        raise ValueError(f"no such clustering: {kind}")
+    rows = vectors[:, : min(3 if kind == "SPECTRAL2" else 7, n)]
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    labels, _ = weighted_kmeans(rows / np.where(size > 0, size, 1), k)
+    return labels, k, info | {"vectors": rows}
