@@ -75,7 +75,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def windows_hashed(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n consecutive word hashes."""
     out = np.zeros(max(0, len(h) - n + 1), np.uint64)
-    for i in range(n):
+    for i in range(n if len(out) else 0):
         out = mixed(out + h[i : len(h) - n + 1 + i] + np.uint64(0x9E3779B97F4A7C15))
     return out
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import byte_texts, mixed, plain_words, slices
 
@@ -236,6 +237,7 @@ def leaks(
     and repeated items give repeated rows.
     """
     id_type, item_type = (t.schema[c].dataType.simpleString() for t, c in ((docs, id_col), (benchmark, item_col)))
+    item_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
     names = (id_col, item_col if item_col != id_col else f"{item_col}_item", "edit_distance", "item_words", "end_word")
     out = None
     for matcher in passes(benchmark, item_col, item_text_col, rate, recall):
@@ -248,7 +250,7 @@ def leaks(
                     found = sent.value.search([plain_words(t) for t in byte_texts(part.column(1))])
                     if found:
                         text, item, distance, end = zip(*found)
-                        columns = [pa.array([items[i][0] for i in item]), pa.array(distance, pa.int32()), pa.array([len(items[i][1]) for i in item], pa.int32()), pa.array(end, pa.int32())]
+                        columns = [pa.array([items[i][0] for i in item], item_arrow), pa.array(distance, pa.int32()), pa.array([len(items[i][1]) for i in item], pa.int32()), pa.array(end, pa.int32())]
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text, pa.int32())), *columns], list("abcde"))
 
         one = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"a {id_type}, b {item_type}, c int, d int, e int")

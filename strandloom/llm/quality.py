@@ -83,6 +83,8 @@ def repeated_words(hashes: np.ndarray, lengths: np.ndarray, size: int = REPEAT)
         return np.zeros(len(lengths), np.int64)
     owner = text[: len(windows)]
     whole = np.flatnonzero(owner == text[size - 1 :])
+    if not len(whole):
+        return np.zeros(len(lengths), np.int64)
     keys = mixed(windows[whole] + owner[whole].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(keys)
     same = np.concatenate([[False], keys[order][1:] == keys[order][:-1], [False]])
