@@ -366,11 +366,27 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat its id and text one stays. Rows with a null id stay if their class has no other id.
     """
     names = docs.columns
-    first = materialize(jaccard_classes(docs, id_col, text_col, words, threshold, recall).where("is_first").select(id_col), "kept")
-    keep = first.select(F.col(id_col).alias("_keep")).distinct()
-    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    judged = materialize(jaccard_classes(docs, id_col, text_col, words, threshold, recall).select(F.col(id_col).alias("_drop"), "is_first"), "judged")
+    first = judged.where("is_first").select(F.col("_drop").alias("_keep"))
+    drop = judged.where("NOT is_first").select("_drop").distinct()
+    drop = materialize(drop.join(first, F.col("_drop").eqNullSafe(F.col("_keep")), "left_anti"), "dropped")
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(drop.select(key(F.col("_drop")).alias("_node"))))
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("_key", key(F.col(f"c{names.index(id_col)}")))
+
+    def chosen(wanted: bool):
+        """Rows that the filter says may have to go, or the others: no text of those is shuffled."""
+
+        def run(batches):
+            for batch in batches:
+                keys = batch.column(batch.num_columns - 1).to_pylist()
+                at = [xxhash.xxh64_intdigest(k, 42) % FILTER_BITS for k in keys]
+                yield batch.filter(pa.array([bool(sent.value[h >> 3] >> (h & 7) & 1) == wanted for h in at], pa.bool_()))
+
+        return inner.mapInArrow(run, inner.schema)
+
     at = f"c{names.index(id_col)}"
-    kept = inner.join(keep, F.col(at).eqNullSafe(F.col("_keep"))).drop("_keep")
-    if first.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
+    kept = chosen(True).join(drop, F.col(at).eqNullSafe(F.col("_drop")), "left_anti").unionAll(chosen(False)).drop("_key")
+    if first.where(F.col("_keep").isNotNull()).groupBy("_keep").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates([at, f"c{names.index(text_col)}"])
     return kept.toDF(*names)
