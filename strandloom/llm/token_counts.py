@@ -71,7 +71,7 @@ def read_vocabulary(path: str) -> dict:
 class Counter(dict):
     """word -> number of tokens, remembered up to a fixed number of words."""
 
-    LIMIT = 1_000_000
+    LIMIT = 600_000
     LONGEST = 64
 
     def __init__(self, vocabulary: dict):
