@@ -25,7 +25,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the store has each payload once; its length comes to the revisits by a join
     sizes = records.where("record_type = 'response'").groupBy("sha256").agg(F.max("payload_bytes").alias("bytes"), F.min(F.col("verified").cast("int")).alias("ok"))
     full = records.join(sizes, "sha256")
-    return full.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    size = F.when(F.col("ok") == 1, F.col("bytes")).otherwise(F.raise_error(F.lit("a payload's digest does not hold")))
+    return full.select(F.col("id").alias("page_id"), size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
