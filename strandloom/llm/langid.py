@@ -240,3 +240,17 @@ def identify(
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema if f.name != "_text") + ", _lang string, _score double"
     done = inner.mapInArrow(predict, ddl)
     return done.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)), F.col("_held").alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+def in_known_language(
+    docs: DataFrame, least_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, sample_docs: int = SAMPLE_DOCS
+) -> DataFrame:
+    """The documents whose text isn't 'und' to identify() and whose score is least_score or more, all columns as they were.
+
+    Columns of docs may have the names of identify()'s results. If there's nothing to learn from, no document stays.
+    """
+    names = docs.columns
+    own = [f"c{i}" for i in range(len(names))]
+    at = {n: c for n, c in zip(names, own)}
+    named = identify(docs.toDF(*own), at[id_col], at[text_col], at[lang_col], folds, held, sample_docs, keep=True)
+    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*own).toDF(*names)

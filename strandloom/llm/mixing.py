@@ -79,20 +79,22 @@ def mix(
     """
     names = docs.columns
     rates = source_rates(docs, source_col, weights, target_rows)
+    own = [f"c{i}" for i in range(len(names))]  # docs may have columns of any name
+    id_at, source_at = own[names.index(id_col)], own[names.index(source_col)]
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    key = F.coalesce(F.col(id_at).cast("string"), F.lit("null"))
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("_draws")),
         F.lit(0),
         lambda n, i: n + F.size(F.filter(F.col("_cdf"), lambda p: p <= uniform(seed, i, key))),
     )
-    out = docs.join(rates, docs[source_col].cast("string").eqNullSafe(rates["_source"])).withColumn("_n", drawn)
-    out = out.where("_n > 0").select(*names, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
+    out = docs.toDF(*own).join(rates, F.col(source_at).cast("string").eqNullSafe(F.col("_source"))).withColumn("_n", drawn)
+    out = out.where("_n > 0").select(*own, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
     order = F.md5(F.concat_ws("|", F.lit(f"order {seed}"), key, F.col("_copy").cast("string")))
     out = out.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order")
     keep = [F.col("_copy").alias(copy_col)] if copy_col and copy_col not in names else []
-    return out.select(*names, *keep)
+    return out.select(*(F.col(c).alias(n) for c, n in zip(own, names)), *keep)
 
 
 def oracle(seed: int = 42, table: str = "documents", columns: str = "doc_id, text, lang, source, n_chars") -> str:

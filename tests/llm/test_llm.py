@@ -73,6 +73,20 @@ def test_odd_inputs_of_stages(spark, odd, none, labels):
     assert mixing.mix(none).count() == 0 and mixing.mix(odd).columns == [*odd.columns, "copy"]
 
 
+def test_clashing_columns(spark, odd):
+    extra = ["lang_pred", "held_out", "_n", "_draws", "_cdf", "_source", "_copy", "_order", "copy", "c0", "_key", "_drop"]
+    docs = odd.withColumns({n: F.lit(f"own {n}") for n in extra})
+    items = spark.createDataFrame([(1, words(50, 1))], "item_id int, text string")
+    stages = (lambda d: langid.in_known_language(d, 0.0), neardup.deduplicate, lambda d: decontaminate.decontaminate(d, items), secrets.redact_documents, mixing.mix)
+    for stage in stages:
+        out = stage(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in extra)
+    same = lambda d: sorted(str(r["doc_id"]) for r in d.collect())
+    assert same(mixing.mix(docs)) == same(mixing.mix(odd))
+
+
 # ---- WARC ----
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/ b\r\n", "x\r\n\r\ny"), (2, None, None), (3, "u", ""), (4, "u", "x\r\n\r\ny"), (9, "u", "x\r\n\r\ny"), (None, "u", "ü"), (7, "u", "z" * 100_000), (7, "u", "z" * 100_000)]
