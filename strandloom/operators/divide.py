@@ -35,17 +35,29 @@ class Settings:
             raise ValueError("proportion must be 0 to 4")
 
 
+def normalized(m: np.ndarray, how: str) -> np.ndarray:
+    """As similarity.normalize(), of a dense matrix."""
+    if how == "EXPONENTIATE":
+        with np.errstate(over="ignore"):
+            out = 1 / (1 + np.exp(m))
+    else:
+        top = m.max()
+        out = abs(top) - m if how == "ADD_MIN" else m / top if top else np.zeros_like(m)
+    np.fill_diagonal(out, 0)
+    return out
+
+
 def matrix_of(obs: DataFrame, cells: list[int], s: Settings) -> np.ndarray:
-    """The normalised similarity of the cells; what reaches the driver is one row for each pair of cells."""
+    """The normalised similarity of the cells; what reaches the driver is one row for each two cells that overlap."""
     if len(cells) > s.max_cells:
         raise ValueError(f"{len(cells)} cells; a dense matrix takes {s.max_cells} at most")
-    frame = obs.sparkSession.createDataFrame([(c,) for c in cells], "cell_id int")
     scores = similarity.pair_scores(similarity.read_pairs(similarity.drop_mate_conflicts(obs)), s.mutation, s.homozygous, s.theta)
-    rows = similarity.normalize(similarity.dense(scores, frame), s.normalization).toPandas()
-    index = {c: i for i, c in enumerate(cells)}
+    rows = scores.select("cell_i", "cell_j", "m").toArrow()
+    order = np.array(cells)  # sorted
+    i, j = (np.searchsorted(order, np.asarray(rows[c])) for c in ("cell_i", "cell_j"))
     out = np.zeros((len(cells), len(cells)))
-    out[rows["i"].map(index), rows["j"].map(index)] = rows["value"]
-    return out
+    out[i, j] = out[j, i] = np.asarray(rows["m"])
+    return normalized(out, s.normalization)
 
 
 def divide(obs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import with_checkpoints
 from .significance import LOCUS
 
 
@@ -47,6 +48,7 @@ def refine(obs: DataFrame, p: DataFrame, theta: float = 1e-3, accumulate: bool =
 
     Every round is checkpointed in the shared folder, so that plans don't grow.
     """
+    with_checkpoints(obs.sparkSession)
     for _ in range(most):
         p = step(obs, p if accumulate else p.select("cell_id", "p"), theta).checkpoint()
         if p.where(F.abs(F.col("p") - F.col("before")) >= 0.01).isEmpty():

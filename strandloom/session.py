@@ -1,4 +1,4 @@
-"""Session settings shared by the bench, the tests and the command line."""
+"""Session settings shared by the bench, the tests and the command line, and the folder of checkpoints."""
 
 from __future__ import annotations
 
@@ -20,3 +20,11 @@ def build_session(cores: int | str = "*", memory: str = "8g", partitions: int =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def with_checkpoints(spark: SparkSession) -> SparkSession:
+    """spark with a checkpoint folder: spark.checkpoint.dir, or one of our own where that is unset (local sessions)."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(shared or "/tmp/checkpoints/strandloom")
+    return spark

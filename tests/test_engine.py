@@ -101,6 +101,17 @@ def test_divide_finds_planted_clones(spark):
     assert evaluation.adjusted_rand_index(truth, "cluster_id", "truth").first()[0] >= 0.9
 
 
+@pytest.mark.parametrize("how", ["ADD_MIN", "EXPONENTIATE", "SCALE_MAX_1"])
+def test_driver_matrix_is_the_distributed_one(spark, how):
+    rows = [(0, p, r, r % 7 * 3, (p * r) % 3 % 2) for p in range(12) for r in range(p, p + 9)]
+    obs = spark.createDataFrame(rows, OBS)
+    cells = sorted(r[0] for r in obs.select("cell_id").distinct().collect())
+    got = divide.matrix_of(obs, cells, divide.Settings(normalization=how))
+    frame = spark.createDataFrame([(c,) for c in cells], "cell_id int")
+    for r in similarity.similarity(obs, frame, how).collect():
+        assert got[cells.index(r["i"]), cells.index(r["j"])] == pytest.approx(r["value"])
+
+
 def test_one_clone_is_not_divided():
     noise = np.random.default_rng(0).random((40, 40)) * 0.01 + 1
     a = (noise + noise.T) / 2
