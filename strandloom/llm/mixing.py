@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rates above this are drawn as a sum of equal smaller Poisson draws, as exp(-rate) would underflow.
 LARGEST_RATE = 256.0
-#: Sources are broadcast up to this many; beyond, they are joined by a shuffle.
-BROADCAST_SOURCES = 10_000
+#: Sources are broadcast up to this many; beyond, they are joined by a shuffle, each source's rows under SALTS keys.
+BROADCAST_SOURCES, SALTS = 10_000, 64
 
 
 def uniform(seed: int, part: Column, key: Column) -> Column:
@@ -81,15 +81,19 @@ def mix(
     rates = source_rates(docs, source_col, weights, target_rows)
     own = [f"c{i}" for i in range(len(names))]  # docs may have columns of any name
     id_at, source_at = own[names.index(id_col)], own[names.index(source_col)]
+    key = F.coalesce(F.col(id_at).cast("string"), F.lit("null"))
+    same = F.col(source_at).cast("string").eqNullSafe(F.col("_source"))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    key = F.coalesce(F.col(id_at).cast("string"), F.lit("null"))
+    else:  # one source may hold any share of the rows
+        rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same &= F.pmod(F.xxhash64(F.lit(seed), key), F.lit(SALTS)) == F.col("_salt")
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("_draws")),
         F.lit(0),
         lambda n, i: n + F.size(F.filter(F.col("_cdf"), lambda p: p <= uniform(seed, i, key))),
     )
-    out = docs.toDF(*own).join(rates, F.col(source_at).cast("string").eqNullSafe(F.col("_source"))).withColumn("_n", drawn)
+    out = docs.toDF(*own).join(rates, same).withColumn("_n", drawn)
     out = out.where("_n > 0").select(*own, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
     order = F.md5(F.concat_ws("|", F.lit(f"order {seed}"), key, F.col("_copy").cast("string")))
     out = out.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order")
