@@ -200,10 +200,10 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     rate = F.lit(0)
     for lang, n in counts.items():
         rate = F.when(F.col(lang_col) == lang, int(min(1.0, most_docs / n) * 2**30)).otherwise(rate)
-    drawn = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(2**30))
+    drawn = F.pmod(F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)), F.lit(2**30))  # many rows may share a null id
     room = F.greatest(F.lit(1), F.length(text_col) - SAMPLE_CHARS)
     at = (1 + F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), room)).cast("int")
-    rows = known.where(drawn < rate).select(F.col(text_col).substr(at, F.lit(SAMPLE_CHARS)).alias("t"), F.col(lang_col).alias("l")).collect()
+    rows = known.where(drawn < rate).select(F.col(text_col).substr(at, F.lit(SAMPLE_CHARS)).alias("t"), F.col(lang_col).alias("l")).distinct().collect()
     rows = sorted((r["l"], r["t"]) for r in rows)
     return langs, [t.encode() for _, t in rows], [langs.index(lang) for lang, _ in rows]
 
