@@ -30,9 +30,12 @@ WORDS = ("password", "passwd", "secret", "token", "api")
 
 #: Runs that may be base64; access keys and hex strings lie within such runs as well.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Within such a run: what may be base64 in a path or behind a dash.
+PART = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
 FOLDED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n)+[A-Za-z0-9+/_-]{2,}={0,2}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
 #: Decompressed data of one layer is read this far; what goes beyond is counted in n_oversize.
 LARGEST_LAYER = 64_000_000
 
@@ -82,8 +85,7 @@ def readable(data: bytes) -> str | None:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    odd = sum(1 for c in text[:4096] if ord(c) < 32 and c not in "\t\n\r\f\v")
-    return text if text and odd * 20 <= min(len(text), 4096) else None
+    return text if text and len(CONTROL.findall(text)) * 20 <= len(text) else None
 
 
 def _span(layer: Layer, a: int, b: int) -> tuple[int, int]:
@@ -162,27 +164,37 @@ def _escapes(layer: Layer, pattern: re.Pattern) -> tuple[list[Layer], int]:
 
 def _base64(layer: Layer) -> tuple[list[Layer], int]:
     text, out, over = layer[0], [], 0
-    for m in [*RUN.finditer(text), *(FOLDED.finditer(text) if "\n" in text else ())]:
-        body = [i for i in range(m.start(), m.end()) if text[i] not in "=\r\n"]
+
+    def decode(lo: int, hi: int) -> bool:
+        nonlocal over
+        body = [i for i in range(lo, hi) if text[i] not in "=\r\n"]
         if len(body) % 4 == 1:
-            continue
+            return False
         digits = "".join(text[i] for i in body).replace("-", "+").replace("_", "/")
         try:
             data = base64.b64decode(digits + "=" * (-len(digits) % 4))
         except (binascii.Error, ValueError):
-            continue
-        got, n = _packed(layer, data, m.start(), m.end())
+            return False
+        got, n = _packed(layer, data, lo, hi)
         over += n
-        if got:
-            out += got
-        elif (inner := readable(data)) is not None:
-            starts, ends = [], []
-            for _, a, b in _decoded(data):  # byte j is in digits 8j // 6 to (8j + 7) // 6
-                lo, hi = body[8 * a // 6], body[(8 * b - 1) // 6] + 1
-                lo, hi = _span(layer, lo, hi)
-                starts.append(lo)
-                ends.append(hi)
-            out.append((inner, starts, ends))
+        out.extend(got)
+        if got or (inner := readable(data)) is None:
+            return bool(got)
+        starts, ends = [], []
+        for _, a, b in _decoded(data):  # byte j is in digits 8j // 6 to (8j + 7) // 6
+            first, last = _span(layer, body[8 * a // 6], body[(8 * b - 1) // 6] + 1)
+            starts.append(first)
+            ends.append(last)
+        out.append((inner, starts, ends))
+        return True
+
+    for run in RUN.finditer(text):
+        if not decode(*run.span()):
+            for part in PART.finditer(text, *run.span()):
+                if part.span() != run.span():
+                    decode(*part.span())
+    for run in FOLDED.finditer(text) if "\n" in text else ():
+        decode(*run.span())
     return out, over
 
 

@@ -208,6 +208,9 @@ def test_nested_layers():
     assert (8, 1, 8 + 3 * len(key)) in secrets.scan(text)[1]
     mapped = "k " + base64.b64encode(b"xyz" + key.encode() + b"  ").decode()
     assert (6, 1, 6 + math.ceil(len(key) * 8 / 6)) in secrets.scan(mapped)[1]
+    path = f"https://a.b/long-path/cb/{base64.b64encode(b'xyz' + key.encode()).decode().rstrip('=')}/x"
+    assert any(kind == 1 and path[a:b] in path[24:] for a, kind, b in secrets.scan(path)[1])
+    assert secrets.readable(b"a" * 5000 + b"\0" * 5000) is None
     assert secrets.redact("a token=abcdefabcdef12 b", secrets.scan("a token=abcdefabcdef12 b")[1]) == "a [SECRET] b"
 
 
@@ -461,6 +464,19 @@ def test_mixing(spark):
     assert 1700 < many.count() < 2300
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'a' ELSE concat('s', id % 8) END AS source")
+    want = sorted(map(repr, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(repr, mixing.mix(docs).collect())) == want
+
+
+def test_language_sample_is_bounded_for_null_ids(spark):
+    docs = spark.range(3000).selectExpr("CAST(NULL AS bigint) AS doc_id", "concat('some words of row ', id % 1500) AS text", "'en' AS lang")
+    _, texts, _ = langid.labelled_sample(docs, "doc_id", "text", "lang", F.lit(True), 100)
+    assert 10 <= len(texts) <= 200 and len(set(texts)) == len(texts)
+
+
 def test_poisson_cdf(spark):
     for rate in (0.15, 1.0, 30.0, 250.0):
         cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(rate))).first()[0]
