@@ -130,7 +130,10 @@ class Matcher:
         self.pairs, self.pair_first, self.pair_count = np.unique(pair, return_index=True, return_counts=True)
 
     def windows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and sizes of the windows that may match: each begins where a pair of it stands as in an item."""
+        """Starts and sizes of the windows that may match: each begins where a pair of it stands as in an item.
+
+        If the text lacks the item's first words, that is in the gap before the text.
+        """
         both = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
         key = codes[both] * len(self.number) + codes[both + 1]
         spot = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
@@ -168,7 +171,7 @@ class Matcher:
             np.add.at(edge, k + need, -1)
             good = (np.cumsum(edge[:-1]) > 0)[back]
             begin = np.unique((at[lo:hi] - place[lo:hi])[good])
-            starts.append(np.maximum(begin, 0))
+            starts.append(begin)
             sizes.append(np.full(len(begin), own))
         return np.concatenate([np.zeros(0, np.int64), *starts]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
@@ -178,7 +181,7 @@ class Matcher:
             return []
         gap, get = self.reach + 1, self.number.get
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        begin = np.cumsum(lengths + gap) - lengths - gap
+        begin = np.cumsum(lengths + gap) - lengths  # a gap before each text and after the last one
         codes = np.full(int((lengths + gap).sum()) + gap, -1, np.int64)
         for at, words in zip(begin, texts):
             codes[at : at + len(words)] = [get(w, -1) for w in words]
@@ -198,7 +201,8 @@ class Matcher:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         done: tuple[int, int, int] = (-1, -1, -1)
         for item, start in sorted(candidates):
-            text = int(np.searchsorted(begin, start, "right")) - 1
+            # a window's pair lies at most width - 2 words on, the next text's first word farther
+            text = int(np.searchsorted(begin, start + self.width - 2, "right")) - 1
             words = self.items[item][1]
             d = edits(len(words), self.rate)
             lo = max(0, start - int(begin[text]) - d)

@@ -396,6 +396,20 @@ def test_leaks_against_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 20
 
 
+def test_leaks_without_the_first_words():
+    items = [(i, words(w, 2000 + i, 3000).encode()) for i, w in enumerate((7, 8, 10, 14, 20, 30, 44, 60) * 8)]
+    matcher, texts, want = decontaminate.Matcher(items), [], set()
+    for i, x in items:
+        own = x.split()
+        for lost in range(1, decontaminate.edits(len(own)) + 1):
+            # also texts that end with the passage, and empty texts between
+            texts += [own[lost:] + [b"else"] * (lost % 3 * 20), []]
+            want.add((len(texts) - 2, i, lost))
+    got = {(text, item, distance) for text, item, distance, _ in matcher.search(texts)}
+    assert want == got
+    assert all(matcher.search([t]) for t in texts[:60:6])
+
+
 # ---- quality ----
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=40), min_size=1, max_size=4))
