@@ -1,7 +1,8 @@
 """Secret scans through nested encodings.
 
 A text is a first layer. Each layer is scanned for secrets, then unwrapped: percent escapes, Unicode escapes, base64 runs
-and the compressed data in any of them give new layers, until no new one comes up. Every character of a layer knows its
+and the compressed data in any of them give new layers, until no new one comes up; bytes that aren't UTF-8 are layers of
+Latin-1 characters. Every character of a layer knows its
 span in the original text, so that a secret of any layer is reported where it lies there.
 """
 
@@ -14,6 +15,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
@@ -35,6 +37,11 @@ PART = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
 FOLDED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n)+[A-Za-z0-9+/_-]{2,}={0,2}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+#: What a layer of bytes must have so that it can hold secrets or further layers: all patterns above start with one of these.
+ACTIVE = re.compile(rb"[A-Za-z0-9+/_-]{16}|%[0-9a-f]{2}|\\[ux]|&#[x0-9]|password|passwd|secret|token|api", re.I)
+#: Compressed streams behind other bytes (in an archive, or a later member); zlib's two bytes tell too little for that.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+PADDING = re.compile(rb"\x00*")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
 #: Decompressed data of one layer is read this far; what goes beyond is counted in n_oversize.
 LARGEST_LAYER = 64_000_000
@@ -59,24 +66,47 @@ def find(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def inflate(data: bytes) -> tuple[bytes, bool] | None:
-    """Decompressed data and whether it went beyond LARGEST_LAYER; None if it isn't compressed."""
+def _member(data: bytes, at: int, room: int) -> tuple[bytes, int, bool] | None:
+    """(output, place behind it, whether there is more than room) of the compressed stream at a place, None if there is none.
+
+    Of a stream that is damaged farther on the steps before that are kept.
+    """
+    head, step = data[at : at + 6], 1 << 16
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and head[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
+        d = zlib.decompressobj(47)
+    elif head[:3] == b"BZh":
+        d = bz2.BZ2Decompressor()
+    elif head == b"\xfd7zXZ\x00":
+        d = lzma.LZMADecompressor()
+    elif head[:4] == b"\x28\xb5\x2f\xfd":
+        d, step = zstandard.ZstdDecompressor().decompressobj(), 1 << 10  # it takes no limit, few bytes give little
+    else:
+        return None
+    out: list[bytes] = []
+    size, limit = 0, [] if step == 1 << 10 else [room + 1]
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
-            d = zlib.decompressobj(47)
-            return d.decompress(data, LARGEST_LAYER), bool(d.unconsumed_tail)
-        if data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            return d.decompress(data, LARGEST_LAYER), not d.eof and not d.needs_input
-        if data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-            return d.decompress(data, LARGEST_LAYER), not d.eof and not d.needs_input
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(LARGEST_LAYER + 1)
-            return out[:LARGEST_LAYER], len(out) > LARGEST_LAYER
+        while not d.eof and at < len(data) and size <= room:
+            piece = data[at : at + step]
+            out.append(d.decompress(piece, *limit))
+            size += len(out[-1])
+            at += len(piece) - len(d.unused_data) - len(getattr(d, "unconsumed_tail", b""))
     except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        pass
-    return None
+        if not size:
+            return None
+        at = len(data)
+    return b"".join(out)[:room], at, size > room
+
+
+def inflate(data: bytes) -> tuple[bytes, bool] | None:
+    """Decompressed data, of all members, and whether it went beyond LARGEST_LAYER; None if it isn't compressed."""
+    out: list[bytes] = []
+    at, room, over = 0, LARGEST_LAYER, False
+    while not over and (got := _member(data, at, room)) is not None:
+        part, at, over = got
+        out.append(part)
+        room -= len(part)
+        at = PADDING.match(data, at).end()
+    return (b"".join(out), over) if out else None
 
 
 def readable(data: bytes) -> str | None:
@@ -88,20 +118,45 @@ def readable(data: bytes) -> str | None:
     return text if text and len(CONTROL.findall(text)) * 20 <= len(text) else None
 
 
+def legible(data: bytes) -> str | None:
+    """data as the characters of _decoded(): readable text, or any other bytes that may hold something."""
+    if (text := readable(data)) is not None or not ACTIVE.search(data):
+        return text
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
 def _span(layer: Layer, a: int, b: int) -> tuple[int, int]:
     _, starts, ends = layer
     return (a, b) if starts is None else (starts[a], ends[b - 1])
 
 
+def _contents(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """What data decompresses to as a whole, and each stream within it."""
+    if (got := inflate(data)) is not None:
+        yield got
+    for m in MAGIC.finditer(data, 1):
+        if (member := _member(data, m.start(), LARGEST_LAYER)) is not None:
+            yield member[0], member[2]
+
+
 def _packed(layer: Layer, data: bytes, a: int, b: int) -> tuple[list[Layer], int]:
-    """The layer that decompressed data makes, all of it at the span a to b of the layer."""
-    if (got := inflate(data)) is None:
-        return [], 0
-    text = readable(got[0])
-    if text is None:
-        return [], int(got[1])
-    start, end = _span(layer, a, b)
-    return [(text, [start] * len(text), [end] * len(text))], int(got[1])
+    """The layers of what data gives, decompressed until it isn't compressed, all at the span a to b of the layer."""
+    out: list[Layer] = []
+    work, seen, over = [data], set(), 0
+    while work:
+        for got, cut in _contents(work.pop()):
+            if (key := hashlib.sha256(got).digest()) in seen:
+                continue
+            seen.add(key)
+            over += cut
+            work.append(got)
+            if (text := legible(got)) is not None:
+                start, end = _span(layer, a, b)
+                out.append((text, [start] * len(text), [end] * len(text)))
+    return out, over
 
 
 def _decoded(data: bytes) -> list[tuple[str, int, int]]:
@@ -178,7 +233,7 @@ def _base64(layer: Layer) -> tuple[list[Layer], int]:
         got, n = _packed(layer, data, lo, hi)
         over += n
         out.extend(got)
-        if got or (inner := readable(data)) is None:
+        if (inner := legible(data)) is None:
             return bool(got)
         starts, ends = [], []
         for _, a, b in _decoded(data):  # byte j is in digits 8j // 6 to (8j + 7) // 6
@@ -186,7 +241,7 @@ def _base64(layer: Layer) -> tuple[list[Layer], int]:
             starts.append(first)
             ends.append(last)
         out.append((inner, starts, ends))
-        return True
+        return bool(got) or readable(data) is not None
 
     for run in RUN.finditer(text):
         if not decode(*run.span()):
