@@ -17,9 +17,11 @@ WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. A local session may leave it unset, a cluster may not."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/checkpoints/strandloom"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
@@ -35,7 +37,64 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that no result reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables of the text operators in the shared folder, once their results are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/strandloom")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Bits of a key filter at most: 32 MB to broadcast. Beyond some 30 million keys it only lets more rows pass.
+MOST_FILTER_BITS = 1 << 28
+
+
+def key_filter(keys: DataFrame, name: str) -> np.ndarray:
+    """A filter for the values of a string column: one bit by hash, some ten for each key, MOST_FILTER_BITS at most."""
+    size = 1 << 20
+    n = keys.count()
+    while size < MOST_FILTER_BITS and size < 10 * n:
+        size *= 2
+    h = F.pmod(F.xxhash64(F.col(name)), F.lit(size))
+    rows = keys.select(h.alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("k")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
+    for r in rows.collect():  # one for each 4 KB of the filter
+        own = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[r["k"] * 4096 : r["k"] * 4096 + len(own)] = own
+    return out
+
+
+def may_hold(bits: np.ndarray, keys: list[str | None]) -> np.ndarray:
+    """Which keys the filter lets pass: all that it was made of, and few others; null never."""
+    h = np.fromiter((0 if k is None else xxhash.xxh64_intdigest(k, 42) % (len(bits) * 8) for k in keys), np.int64, len(keys))
+    there = np.fromiter((k is not None for k in keys), bool, len(keys))
+    return there & ((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def split_by_filter(df: DataFrame, key: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key the filter lets pass, and the others; neither is shuffled."""
+    sent = df.sparkSession.sparkContext.broadcast(bits)  # MOST_FILTER_BITS at most
+    at = df.columns.index(key)
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(may_hold(sent.value, batch.column(at).to_pylist()) == wanted))
+
+        return df.mapInArrow(run, df.schema)
+
+    return part(True), part(False)
 
 
 def crc_remainder(id_col: str, divisor: int):

@@ -3,11 +3,14 @@
 A passage matches an item of W words if it can be made of it by at most d = RATE * W edits of whole words (case and
 punctuation don't count). Windows of an item's size are embedded by CGK random walks: the walk copies the word it stands on
 and moves on by a random bit of (step, word), so that few edits leave most of the walk alike. Samples of a few places of
-the walks are hash keys; so many are drawn that the target recall is reached at distance d. What shares a key is verified
-by an exact edit distance.
+the walks are hash keys. Items of similar size are a bucket; for each bucket so many samples, of so few places, are drawn
+that the target recall is reached at distance d for its items, as measured on edited copies of them. Where no number of
+samples reaches it, as for very long items whose walks part for good, every window of the lossless filter below is a
+candidate. What shares a key is verified by an exact edit distance.
 
 A window can only match if W - 1 - 2d of the item's pairs of neighbouring words are in a stretch of W + d words. Only
-windows where that many pairs of items of that size are in such a stretch are embedded: this loses nothing.
+windows where that many pairs of items of that size are in such a stretch are embedded: this loses nothing. Items of a
+single word have no pairs; they match where the word stands.
 """
 
 from __future__ import annotations
@@ -23,9 +26,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import byte_texts, mixed, plain_words, slices
 
 RATE, RECALL = 0.15, 0.999
-PLACES, WALKS, MOST_TABLES = 3, 16, 1024
+#: Walks, and what is tried for a bucket of items, cheapest first: places of a sample and number of samples.
+WALKS, PLANS = 16, ((3, 64), (3, 256), (2, 256), (1, 128))
+#: Sizes of a bucket's items differ by this factor at most; so many edited items measure its recall.
+BUCKET, MEASURED = 1.25, 160
 #: Items in one pass over the documents, and their bytes: what is broadcast is bounded, more items take more passes.
 PASS_ITEMS, PASS_BYTES = 20_000, 16_000_000
+#: Words embedded at a time.
+CHUNK_WORDS = 400_000
 
 
 def edits(words: int, rate: float = RATE) -> int:
@@ -64,44 +72,65 @@ def embed(windows: np.ndarray, sizes: np.ndarray, walk: int) -> np.ndarray:
     return out
 
 
-def keys(windows: np.ndarray, sizes: np.ndarray, tables: int) -> np.ndarray:
-    """(windows, tables): the hash of the size and PLACES sampled places of a walk for each table."""
-    rng, rows = np.random.default_rng(1), np.arange(len(windows))
-    walks = [embed(windows, sizes, w) for w in range(WALKS)]
+def sampled(windows: np.ndarray, sizes: np.ndarray, places: int, tables: int, rng_seed: int = 1) -> np.ndarray:
+    """(windows, tables): the hash of the size and the sampled places of a walk for each table."""
+    spots, rows = np.random.default_rng(rng_seed).random((tables, places)), np.arange(len(windows))
     out = np.empty((len(windows), tables), np.uint64)
-    for t in range(tables):
-        h = mixed(sizes.astype(np.uint64) + np.uint64(1000 * (t + 1)))
-        for u in rng.random(PLACES):
-            h = mixed(h * np.uint64(31) + walks[t % WALKS][rows, (u * 2 * sizes).astype(np.int64)].astype(np.uint64))
-        out[:, t] = h
+    for w in range(min(WALKS, tables)):
+        walk = embed(windows, sizes, w)
+        for t in range(w, tables, WALKS):
+            h = mixed(sizes.astype(np.uint64) + np.uint64(1000 * (t + 1)))
+            for u in spots[t]:
+                h = mixed(h * np.uint64(31) + walk[rows, (u * 2 * sizes).astype(np.int64)].astype(np.uint64))
+            out[:, t] = h
     return out
 
 
-def tables_for_recall(items: list[np.ndarray], rate: float, recall: float) -> int:
-    """So many tables that items edited as much as allowed still share a key: measured on edited items."""
-    rng = np.random.default_rng(5)
-    by_size: dict[int, list[np.ndarray]] = {}
-    for item in items:
-        by_size.setdefault(len(item), []).append(item)
-    sizes = sorted(by_size)
-    pairs = []
-    for size in {sizes[i] for i in np.linspace(0, len(sizes) - 1, min(len(sizes), 8)).astype(int)}:
-        some = (by_size[size] * 30)[:30]
-        changed = []
-        for item in some:
-            words = list(item)
-            for _ in range(edits(size, rate)):
-                at, kind = rng.integers(len(words)), rng.integers(3)
-                words[at : at + (kind != 1)] = [] if kind == 0 and len(words) > 1 else [-1]
-            changed.append((words + [-1] * size)[:size])
-        pairs.append((np.stack(some), np.array(changed), np.full(len(some), size)))
-    tables = 64
-    while tables < MOST_TABLES:
-        hit = np.concatenate([(keys(a, n, tables) == keys(b, n, tables)).any(1) for a, b, n in pairs])
-        if hit.mean() >= recall:
-            break
-        tables *= 2
-    return tables
+def padded(items: list[np.ndarray]) -> np.ndarray:
+    out = np.full((len(items), max(map(len, items))), -2, np.int64)
+    for row, item in zip(out, items):
+        row[: len(item)] = item
+    return out
+
+
+def keys(windows: np.ndarray, sizes: np.ndarray, plan: tuple[int, int]) -> np.ndarray:
+    """sampled() in runs of some windows, as a walk takes three numbers a word."""
+    step = max(1, CHUNK_WORDS // windows.shape[1])
+    parts = [sampled(windows[i : i + step], sizes[i : i + step], *plan) for i in range(0, len(windows), step)]
+    return np.concatenate(parts) if parts else np.zeros((0, plan[1]), np.uint64)
+
+
+def edited(item: np.ndarray, times: int, rng: np.random.Generator) -> np.ndarray:
+    """An item after random deletions, insertions and replacements, cut or filled to its size as a window would be."""
+    words = item.tolist()
+    for _ in range(times):
+        at, kind = int(rng.integers(len(words))), int(rng.integers(3))
+        words[at : at + (kind != 1)] = [] if kind == 0 and len(words) > 1 else [-1]
+    return np.array((words + [-1] * len(item))[: len(item)])
+
+
+def chance_of_keys(items: list[np.ndarray], rate: float, plan: tuple[int, int]) -> float:
+    """The mean chance that items edited as much as allowed share a key, over any draw of the samples.
+
+    A sample hits with the share of places that two walks have alike, to the power of its places; samples are
+    independent, so that few edited items tell small chances of a miss.
+    """
+    rng, places, tables = np.random.default_rng(5), *plan
+    longest = sorted(items, key=len)[-MEASURED:]
+    some = [longest[i % len(longest)] for i in range(max(16, min(MEASURED, 2 * CHUNK_WORDS // len(longest[-1]))))]
+    sizes = np.array([len(c) for c in some])
+    other = padded([edited(c, edits(len(c), rate), rng) for c in some])
+    mine, miss = padded(some), np.ones(len(some))
+    for w in range(min(WALKS, tables)):
+        alike = embed(mine, sizes, w) == embed(other, sizes, w)
+        share = np.array([row[: 2 * n].mean() for row, n in zip(alike, sizes)])
+        miss *= (1 - share**places) ** len(range(w, tables, WALKS))
+    return float(1 - miss.mean())
+
+
+def plan_for(items: list[np.ndarray], rate: float, recall: float) -> tuple[int, int] | None:
+    """The cheapest plan that reaches the recall for these items, None if none does."""
+    return next((plan for plan in PLANS if chance_of_keys(items, rate, plan) >= recall), None)
 
 
 class Matcher:
@@ -109,42 +138,67 @@ class Matcher:
 
     def __init__(self, items: list[tuple[object, bytes]], rate: float = RATE, recall: float = RECALL):
         words = [(id_, plain_words(text)) for id_, text in items]
-        self.items = [(id_, w) for id_, w in words if len(w) >= 2]
+        self.items = sorted(((id_, w) for id_, w in words if w), key=lambda x: len(x[1]))
         self.number = {w: i for i, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
-        self.rate, coded = rate, [np.array([self.number[w] for w in ws], np.int64) for _, ws in self.items]
-        if not coded:
+        self.rate = rate
+        if not self.items:
             return
-        sizes = np.array([len(c) for c in coded])
-        self.width, self.tables = int(sizes.max()), tables_for_recall(coded, rate, recall)
-        self.reach = self.width + edits(self.width, rate)
-        flat = keys(np.stack([np.pad(c, (0, self.width - len(c)), constant_values=-2) for c in coded]), sizes, self.tables)
-        order = np.argsort(flat, axis=None, kind="stable")
-        self.keys, self.owner = flat.ravel()[order], order // self.tables
+        coded = [np.array([self.number[w] for w in ws], np.int64) for _, ws in self.items]
+        size = np.array([len(c) for c in coded])
+        self.width = int(size.max())
+        self.gap = self.width + edits(self.width, rate) + 1
+        self.single: dict[int, list[int]] = {}
+        for i in np.flatnonzero(size == 1):
+            self.single.setdefault(int(coded[i][0]), []).append(int(i))
+        # buckets of items, by size: (largest size, plan, sorted keys, their items)
+        self.buckets: list[tuple[int, tuple[int, int] | None, np.ndarray, np.ndarray]] = []
+        lo = int((size < 2).sum())
+        while lo < len(coded):
+            hi = int(np.searchsorted(size, size[lo] * BUCKET, "right"))
+            plan = plan_for(coded[lo:hi], rate, recall)
+            if plan:
+                flat = keys(padded(coded[lo:hi]), size[lo:hi], plan)
+                order = np.argsort(flat, axis=None, kind="stable")
+                self.buckets.append((int(size[hi - 1]), plan, flat.ravel()[order], lo + order // plan[1]))
+            else:
+                self.buckets.append((int(size[hi - 1]), None, np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            lo = hi
         self.repeats: dict[int, int] = {}
         for c in coded:
             twice = len(c) - 1 - len(set(zip(c[:-1].tolist(), c[1:].tolist())))
             self.repeats[len(c)] = max(self.repeats.get(len(c), 0), twice)
         # every pair of neighbouring words, with the sizes of the items it is in and its places there
-        where = sorted({(int(c[i] * len(self.number) + c[i + 1]), len(c), i) for c in coded for i in range(len(c) - 1)})
-        pair, self.pair_size, self.pair_place = (np.array(x) for x in zip(*where))
-        self.pairs, self.pair_first, self.pair_count = np.unique(pair, return_index=True, return_counts=True)
-
-    def windows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and sizes of the windows that may match: each begins where a pair of it stands as in an item.
-
-        If the text lacks the item's first words, that is in the gap before the text.
+        long = [c for c in coded if len(c) > 1]
+        pair = np.concatenate([np.zeros(0, np.int64), *(c[:-1] * len(self.number) + c[1:] for c in long)])
+        sizes = np.concatenate([np.zeros(0, np.int64), *(np.full(len(c) - 1, len(c)) for c in long)])
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(c) - 1) for c in long)])
+        owner = np.repeat(np.flatnonzero(size > 1), size[size > 1] - 1)
+        order = np.lexsort((owner, place, sizes, pair))
+        table = np.stack([pair, sizes, place], 1)[order]
+        fresh = np.concatenate([[True], (table[1:] != table[:-1]).any(1)]) if len(table) else np.zeros(0, bool)
+        self.pair_size, self.pair_place, self.pair_owner = table[fresh, 1], table[fresh, 2], owner[order]
+        self.owner_first = np.append(np.flatnonzero(fresh), len(table))  # the items of each entry
+        self.pairs, self.pair_first, self.pair_count = np.unique(table[fresh, 0], return_index=True, return_counts=True)
+
+    def windows(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, starts, spots, entries) of the windows that may match, sizes in order: each begins where a pair of it stands as in an item.
+
+        The entries are those of the pairs' table that gave a window. If the text lacks the item's first words, a start is
+        in the gap before the text.
         """
         both = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
+        if not len(both) or not len(self.pairs):
+            return
         key = codes[both] * len(self.number) + codes[both + 1]
         spot = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         there = self.pairs[spot] == key
         both, spot = both[there], spot[there]
         n = self.pair_count[spot]
         entry = np.repeat(self.pair_first[spot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at, size, place = np.repeat(both, n), self.pair_size[entry], self.pair_place[entry]
-        order = np.lexsort((at, size))
-        at, size, place = at[order], size[order], place[order]
-        starts, sizes = [], []
+        at = np.repeat(both, n)
+        order = np.lexsort((at, self.pair_size[entry]))
+        at, entry = at[order], entry[order]
+        size, place = self.pair_size[entry], self.pair_place[entry]
         pair_at, pair_of = np.full(len(codes), -1, np.int64), np.full(len(codes), -1, np.int64)
         pair_of[both] = spot
         cuts = [0, *(np.flatnonzero(np.diff(size)) + 1), len(size)]
@@ -161,48 +215,64 @@ class Matcher:
             if not len(k):
                 continue
             # the same pair over and over counts as often as an item has it: at least so many must differ
-            pair_at[spots] = pair_of[at[lo:hi]][np.unique(at[lo:hi], return_index=True)[1]]
-            stretch = np.sort(pair_at[np.minimum(spots[k][:, None] + np.arange(own + d - 1), len(codes) - 1)], 1)
-            differ = (np.diff(stretch, axis=1) != 0).sum(1) + (stretch[:, 0] >= 0)
+            pair_at[spots] = pair_of[spots]
+            good = []
+            for some in np.array_split(k, -(-len(k) * own // CHUNK_WORDS)):
+                stretch = np.sort(pair_at[np.minimum(spots[some][:, None] + np.arange(own + d - 1), len(codes) - 1)], 1)
+                differ = (np.diff(stretch, axis=1) != 0).sum(1) + (stretch[:, 0] >= 0)
+                good.append(some[differ >= need - self.repeats[own]])
             pair_at[spots] = -1
-            k = k[differ >= need - self.repeats[own]]
+            k = np.concatenate(good)
             edge = np.zeros(len(spots) + 1, np.int64)
             np.add.at(edge, k, 1)
             np.add.at(edge, k + need, -1)
-            good = (np.cumsum(edge[:-1]) > 0)[back]
-            begin = np.unique((at[lo:hi] - place[lo:hi])[good])
-            starts.append(begin)
-            sizes.append(np.full(len(begin), own))
-        return np.concatenate([np.zeros(0, np.int64), *starts]), np.concatenate([np.zeros(0, np.int64), *sizes])
+            inside = (np.cumsum(edge[:-1]) > 0)[back]
+            if inside.any():
+                yield own, (at[lo:hi] - place[lo:hi])[inside], at[lo:hi][inside], entry[lo:hi][inside]
 
     def search(self, texts: list[list[bytes]]) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, end word) of the best match of each text and item that match."""
         if not self.items:
             return []
-        gap, get = self.reach + 1, self.number.get
+        get = self.number.get
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        begin = np.cumsum(lengths + gap) - lengths  # a gap before each text and after the last one
-        codes = np.full(int((lengths + gap).sum()) + gap, -1, np.int64)
+        begin = np.cumsum(lengths + self.gap) - lengths  # a gap before each text and after the last one
+        codes = np.full(int((lengths + self.gap).sum()) + self.gap, -1, np.int64)
         for at, words in zip(begin, texts):
             codes[at : at + len(words)] = [get(w, -1) for w in words]
-        starts, sizes = self.windows(codes)
-        candidates = set()
-        for lo in range(0, len(starts), 4096):
-            some, own = starts[lo : lo + 4096], sizes[lo : lo + 4096]
-            windows = codes[np.minimum(some[:, None] + np.arange(self.width), len(codes) - 1)]
-            k = keys(windows, own, self.tables).ravel()
-            a, b = np.searchsorted(self.keys, k, "left"), np.searchsorted(self.keys, k, "right")
-            for i in np.flatnonzero(b > a):
-                start = int(some[i // self.tables])
-                candidates.update((int(item), start) for item in self.owner[a[i] : b[i]])
-        return self.verify(texts, begin, candidates)
-
-    def verify(self, texts, begin: np.ndarray, candidates: set[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        if self.single:
+            for at in np.flatnonzero(np.isin(codes, list(self.single))).tolist():
+                text = int(np.searchsorted(begin, at, "right")) - 1
+                for item in self.single[int(codes[at])]:
+                    found.setdefault((text, item), (0, at - int(begin[text]) + 1))
+        bucket = 0
+        for own, starts, spots, entries in self.windows(codes):
+            while self.buckets[bucket][0] < own:
+                bucket += 1
+            _, plan, hashes, owner = self.buckets[bucket]
+            text_of = np.searchsorted(begin, spots, "right") - 1
+            if plan is None:
+                first, last = self.owner_first[entries], self.owner_first[entries + 1]
+                candidates = {(int(x), int(t), int(s)) for a, b, t, s in zip(first, last, text_of, starts) for x in self.pair_owner[a:b]}
+            else:
+                candidates = set()
+                both = np.unique(np.stack([text_of, starts], 1), axis=0)
+                step = max(1, CHUNK_WORDS // own)
+                for lo in range(0, len(both), step):
+                    text, start = both[lo : lo + step].T
+                    k = keys(codes[np.clip(start[:, None] + np.arange(own), 0, len(codes) - 1)], np.full(len(start), own), plan).ravel()
+                    a, b = np.searchsorted(hashes, k, "left"), np.searchsorted(hashes, k, "right")
+                    for i in np.flatnonzero(b > a):
+                        w = i // plan[1]
+                        candidates.update((int(item), int(text[w]), int(start[w])) for item in owner[a[i] : b[i]])
+            self.verify(texts, begin, candidates, found)
+        return [(text, item, *v) for (text, item), v in sorted(found.items())]
+
+    def verify(self, texts, begin: np.ndarray, candidates: set[tuple[int, int, int]], best: dict[tuple[int, int], tuple[int, int]]) -> None:
+        """Adds the best exact match of the candidates (item, text, start) to best."""
         done: tuple[int, int, int] = (-1, -1, -1)
-        for item, start in sorted(candidates):
-            # a window's pair lies at most width - 2 words on, the next text's first word farther
-            text = int(np.searchsorted(begin, start + self.width - 2, "right")) - 1
+        for item, text, start in sorted(candidates):
             words = self.items[item][1]
             d = edits(len(words), self.rate)
             lo = max(0, start - int(begin[text]) - d)
@@ -214,7 +284,6 @@ class Matcher:
             distance, end = least_distance(words, texts[text][lo:hi])
             if distance <= d and (distance, lo + end) < best.get((text, item), (d + 1, 0)):
                 best[text, item] = (distance, lo + end)
-        return [(text, item, *v) for (text, item), v in sorted(best.items())]
 
 
 def passes(benchmark: DataFrame, item_col: str, text_col: str, rate: float, recall: float) -> Iterator[Matcher]:
@@ -237,8 +306,9 @@ def leaks(
     """A row for each document and item that it has a passage of: id, item, edit_distance, item_words, end_word.
 
     The best match counts, the first of equal ones; end_word is where it ends, in words without punctuation. Null and
-    empty texts match nothing. Items of less than two words aren't searched; a null item id is kept. Repeated documents
-    and repeated items give repeated rows.
+    empty texts and items match nothing, an item of one word matches every text that has the word. A null item id or
+    document id is kept. Repeated documents and repeated items give repeated rows, empty tables none. Texts are searched
+    whole, whatever their length, and so are items.
     """
     id_type, item_type = (t.schema[c].dataType.simpleString() for t, c in ((docs, id_col), (benchmark, item_col)))
     item_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
@@ -265,7 +335,11 @@ def leaks(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, recall: float = RECALL) -> DataFrame:
-    """The documents without passage of any item, all columns as they were; nothing is shuffled."""
+    """The documents without passage of any item, all columns as they were; nothing is shuffled.
+
+    Nulls, empty and long texts, repeats and empty tables are as in leaks(): a null or empty text stays, every one of
+    repeated documents stays or goes, and without items all documents stay. Columns may have any names.
+    """
     at, names = docs.columns.index(text_col), docs.columns
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
     for matcher in passes(benchmark, item_col, item_text_col, rate, recall):

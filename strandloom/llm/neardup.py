@@ -1,35 +1,34 @@
 """Documents of similar word n-grams: a MinHash LSH forest joined with itself, verified exactly.
 
-Copies (equal sets of word 5-grams) are one node. A node has TREES signatures of LEVELS min-hashes; sorted, each is a
-trie, and nodes that share a prefix of a signature are candidates. The prefix starts as long as the target recall allows
-at the threshold and is shortened while the recall that the verified links tell stays below the target. Nodes under a
-prefix are compared in blocks of bounded size with their full sets; pairs live in arrays inside a task and never become
-rows: a task sends for each node its number of links and the links of a spanning forest, which give the groups.
+Copies (equal sets of word 5-grams) are one node. A node has TREES signatures of LEVELS min-hashes; sorted, the signatures
+of a tree are a trie, and nodes below the same prefix are candidates. The first round takes whole signatures as prefixes.
+Its verified links tell how many links of every degree of similarity there must be (a link of similarity s is found with a
+known chance), and so how many are still missing; prefixes are shortened, round by round, until the target recall is
+reached. A round only compares nodes on different branches below a shortened prefix: the others have met before.
+
+Nodes under a prefix are compared in blocks of bounded size with their full sets; pairs live in arrays inside a task and
+never become rows: a task sends for each node its number of links and the links of a spanning forest, which give the groups.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_texts, materialize, mixed, slices, windows_hashed
+from .common import WordHashes, byte_texts, forget, key_filter, materialize, mixed, slices, split_by_filter, windows_hashed
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 TREES, LEVELS = 16, 8
-#: Copies of equal prefix are cut into blocks of at most about so many shingles and nodes.
-BLOCK_SHINGLES, BLOCK_NODES = 1_000_000, 2048
-#: Pairs whose signatures agree in a smaller share of places are no candidates: at THRESHOLD that is 7 deviations off.
-LEAST_AGREEMENT = 0.55
-#: Bits of the filter that spares the second scan most documents; more nodes only make it less selective.
-FILTER_BITS = 1 << 23
+#: Nodes of equal prefix are cut into blocks of at most about so many shingles and nodes.
+BLOCK_SHINGLES, BLOCK_NODES = 1_000_000, 1024
+#: Links are counted by similarity in steps of 0.01; recall is looked at in bands of so many steps.
+STEPS, BAND = 100, 5
 
 _hashes = WordHashes()
 
@@ -67,12 +66,46 @@ def recall_at(similarity: np.ndarray | float, depth: int, trees: int = TREES):
     return 1 - (1 - np.asarray(similarity, float) ** depth) ** trees
 
 
-def start_depth(threshold: float, recall: float) -> int:
-    return max((k for k in range(1, LEVELS + 1) if recall_at(threshold, k) >= recall), default=1)
+def least_agreement(threshold: float) -> float:
+    """Pairs whose signatures agree in a smaller share of places are no candidates: at the threshold, 7 deviations off.
+
+    A link is lost by this with a chance of 1e-11 or less.
+    """
+    return threshold - 7 * float(np.sqrt(threshold * (1 - threshold) / (TREES * LEVELS)))
+
+
+def missing(found: np.ndarray, depth: int, now: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated links, and those of them that depth `depth` would miss, by band of similarity.
+
+    found: links by steps of similarity that depth `now` and longer prefixes gave, each with the chance of recall_at().
+    """
+    steps = np.arange(STEPS + 1)
+    low = np.maximum(steps / STEPS, threshold)
+    total = found / recall_at(low, now)
+    band = np.minimum((low * STEPS + 1e-9).astype(int), STEPS - 1) // BAND
+    return np.bincount(band, total), np.bincount(band, total * (1 - recall_at(low, depth)))
+
+
+def enough(found: np.ndarray, depth: int, now: int, threshold: float, recall: float) -> bool:
+    """Whether prefixes of this depth reach the recall: in every band that has links, and in all bands together.
+
+    Together, every band is given one link that nobody has seen, so that empty bands aren't taken on trust.
+    """
+    if depth <= 1:
+        return True
+    total, lost = missing(found, depth, now, threshold)
+    edges = np.maximum(np.arange(len(total)) * BAND / STEPS, threshold)[int(threshold * STEPS + 1e-9) // BAND :]
+    unseen = float((1 / recall_at(edges, depth) - 1).sum())
+    return bool((lost <= (1 - recall) * total).all()) and lost.sum() + unseen <= (1 - recall) * max(1.0, total.sum())
+
+
+def next_depth(found: np.ndarray, now: int, threshold: float, recall: float) -> int:
+    """The longest prefix that reaches the recall, as far as the links found up to now tell; now if that is it."""
+    return next(d for d in range(now, 0, -1) if enough(found, d, now, threshold, recall))
 
 
 def nodes_of(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """For each document: digest of its set (null if empty), size of it and signature; extra columns stay in front."""
+    """For each document: digest of its set (null if empty), size of it, signature and set; other columns stay in front."""
     names = [c for c in docs.columns if c != text_col]
     docs = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
 
@@ -84,10 +117,11 @@ def nodes_of(docs: DataFrame, text_col: str, words: int) -> DataFrame:
                 sig: list = [None] * len(sets)
                 for i, row in zip(full, signatures([sets[i] for i in full]) if full else ()):
                     sig[i] = row.tobytes()
-                columns = [pa.array([digest(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + columns, [*names, "_node", "_size", "_sig"])
+                own = [s.tobytes() if len(s) else None for s in sets]
+                columns = [pa.array([digest(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.binary()), pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + columns, [*names, "_node", "_size", "_sig", "_set"])
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text"), "_node string, _size int, _sig binary"])
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text"), "_node string, _size int, _sig binary, _set binary"])
     return docs.mapInArrow(run, ddl)
 
 
@@ -116,11 +150,13 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def candidate_pairs(group: np.ndarray, block: np.ndarray, pair: np.ndarray, tree: np.ndarray, sig: np.ndarray, depth: int, below: int) -> tuple[np.ndarray, np.ndarray]:
+def candidate_pairs(
+    group: np.ndarray, block: np.ndarray, pair: np.ndarray, tree: np.ndarray, sig: np.ndarray, depth: int, below: int, agreement: float
+) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) to be verified here, of all groups of a batch at once.
 
     A pair belongs to the first tree in which it shares a prefix of this depth, and to the two blocks it lies in. Pairs
-    that share a longer prefix of `below` levels anywhere have been found at that depth before.
+    that share a longer prefix of `below` levels anywhere, on a common branch, have been found at that depth before.
     """
     at = np.arange(len(group))
     step, left, right = 1, [], []
@@ -132,7 +168,7 @@ def candidate_pairs(group: np.ndarray, block: np.ndarray, pair: np.ndarray, tree
             ok = (pair[some] == 0) | (block[some] != block[j])
             some, j = some[ok], j[ok]
             same = sig[some] == sig[j]
-            ok = same.mean(1) >= LEAST_AGREEMENT
+            ok = same.mean(1) >= agreement
             some, j, same = some[ok], j[ok], same[ok].reshape(-1, TREES, LEVELS)
             first = same[:, :, :depth].all(2).argmax(1) == tree[some]
             if below <= LEVELS:
@@ -174,13 +210,18 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
     return np.maximum(total[i, j], total[j, i]).astype(np.int64)
 
 
-def members(nodes: DataFrame, depth: int) -> DataFrame:
-    """(_group, _pair, _block, _tree, _node, _sig) of nodes under prefixes that others share, in pairs of blocks."""
-    prefix = F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, xxhash64(t, substring(_sig, t * {LEVELS} + 1, {depth})) AS prefix))")
-    keyed = nodes.select("_node", "_size", F.explode(prefix).alias("p")).select("_node", "_size", "p.tree", "p.prefix")
+def members(nodes: DataFrame, depth: int, below: int) -> DataFrame:
+    """(_group, _pair, _block, _tree, _node, _sig) of nodes under prefixes that fork above `below` levels, in pairs of blocks.
+
+    A prefix whose nodes all go on along one branch of that length has nothing new to compare and is left out.
+    """
+    key = lambda n: f"xxhash64(t, substring(_sig, t * {LEVELS} + 1, {n}))"
+    branch = "_node" if below > LEVELS else key(below)
+    prefix = F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, {key(depth)} AS prefix, {branch} AS branch))")
+    keyed = nodes.select("_node", "_size", F.explode(prefix).alias("p")).select("_node", "_size", "p.tree", "p.prefix", "p.branch")
     load = F.greatest(F.sum("_size") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_NODES)
-    shared = keyed.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.ceil(load).cast("int").alias("blocks")).where("n > 1")
-    cut = keyed.select("_node", "tree", "prefix").join(shared, ["tree", "prefix"]).withColumn("b", F.pmod(F.xxhash64("_node"), F.col("blocks")).cast("int"))
+    forks = keyed.groupBy("tree", "prefix").agg(F.min("branch").alias("a"), F.max("branch").alias("b"), F.ceil(load).cast("int").alias("blocks")).where("a <> b")
+    cut = keyed.select("_node", "tree", "prefix").join(forks.select("tree", "prefix", "blocks"), ["tree", "prefix"]).withColumn("b", F.pmod(F.xxhash64("_node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("b", "o"), F.greatest("b", "o")
     group = F.concat_ws(":", F.col("tree"), F.hex("prefix"), low, high)
@@ -188,44 +229,21 @@ def members(nodes: DataFrame, depth: int) -> DataFrame:
     return cut.join(nodes.select("_node", "_sig"), "_node")
 
 
-def bitmap(nodes: DataFrame) -> np.ndarray:
-    """A filter of fixed size for the nodes' digests: FILTER_BITS bits, by hash."""
-    h = F.pmod(F.xxhash64("_node"), F.lit(FILTER_BITS))
-    rows = nodes.select(h.alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("k")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:
-        own = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[r["k"] * 4096 : r["k"] * 4096 + len(own)] = own
-    return out
+def node_sets(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_node, _set) of the wanted nodes; a filter of bounded size spares the shuffle most of the others' sets."""
+    some, _ = split_by_filter(table.select("_node", "_set"), "_node", key_filter(wanted, "_node"))
+    return some.groupBy("_node").agg(F.first("_set").alias("_set"))
 
 
-def node_sets(docs: DataFrame, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(_node, _set) of the wanted nodes: a second scan makes the sets anew, so that texts are never shuffled."""
+def link_round(table: DataFrame, nodes: DataFrame, threshold: float, depth: int, below: int) -> DataFrame:
+    """What the tasks find at one depth, rows of three sorts.
 
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))  # 1 MB, however many nodes there are
-
-    def run(batches):
-        seen: set[str] = set()
-        for batch in batches:
-            for part in slices(batch, 0):
-                sets = [s for s in (shingles(t.split(), words) for t in byte_texts(part.column(0))) if len(s)]
-                names = [digest(s) for s in sets]
-                keep = []
-                for i, name in enumerate(names):
-                    h = xxhash.xxh64_intdigest(name, 42) % FILTER_BITS
-                    if sent.value[h >> 3] >> (h & 7) & 1 and name not in seen:
-                        seen.add(name) if len(seen) < 1_000_000 else None
-                        keep.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in keep], pa.string()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["_node", "_set"])
-
-    made = docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "_node string, _set binary")
-    return made.groupBy("_node").agg(F.first("_set").alias("_set"))
-
-
-def link_round(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, threshold: float, depth: int, below: int) -> DataFrame:
-    """What the tasks find at one depth: (_node, _links, _other, _expected), see neighbours()."""
-    spread = members(nodes, depth)
+    (_node, null, _links): links of a node; (_node, _other): a link of a spanning forest; (_step, _found): how many links
+    of a similarity, in steps, a group of prefixes has.
+    """
+    spread = members(nodes, depth, below)
     names = ["_group", "_pair", "_block", "_tree", "_node", "_sig"]
+    agreement = least_agreement(threshold)
 
     def columns(batch: pa.RecordBatch):
         text = batch.column(0).to_pylist()
@@ -235,7 +253,7 @@ def link_round(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, thr
 
     def narrow(batches):
         for batch in grouped(batches, 5):
-            i, j = candidate_pairs(*columns(batch), depth, below)
+            i, j = candidate_pairs(*columns(batch), depth, below, agreement)
             used = np.unique(np.concatenate([i, j]))
             if len(used):
                 yield batch.take(pa.array(used))
@@ -243,7 +261,7 @@ def link_round(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, thr
     def verify(batches):
         for batch in grouped(batches, 6):
             group, *rest = columns(batch)
-            i, j = candidate_pairs(group, *rest, depth, below)
+            i, j = candidate_pairs(group, *rest, depth, below, agreement)
             sets = [np.frombuffer(s, np.uint64) for s in batch.column(6).to_pylist()]
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             common = np.zeros(len(i), np.int64)
@@ -258,6 +276,8 @@ def link_round(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, thr
             union = size[i] + size[j] - common
             good = common >= threshold * union - 1e-9
             i, j, similar = i[good], j[good], (common / np.maximum(union, 1))[good]
+            if not len(i):
+                continue
             nodes_ = batch.column(4).to_pylist()
             parent = list(range(len(sets)))
 
@@ -267,32 +287,33 @@ def link_round(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, thr
                     a = parent[a]
                 return a
 
-            tie_a, tie_b = [], []
+            ties = []
             for a, b in zip(i.tolist(), j.tolist()):
                 ra, rb = root(a), root(b)
                 if ra != rb:
                     parent[ra] = rb
-                    tie_a.append(nodes_[a])
-                    tie_b.append(nodes_[b])
+                    ties.append((a, b))
             copies = np.asarray(batch.column(7)).astype(np.int64)
-            links = np.bincount(i, copies[j], len(sets)) + np.bincount(j, copies[i], len(sets)) if len(i) else np.zeros(len(sets))
-            expected = np.bincount(i, 1 / recall_at(similar, depth), len(sets)) if len(i) else np.zeros(len(sets))
-            found = np.bincount(i, minlength=len(sets)) if len(i) else np.zeros(len(sets), np.int64)
-            has = np.flatnonzero(links)
-            n = len(has)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes_[k] for k in has] + tie_a, pa.string()), pa.array([None] * n + tie_b, pa.string()), pa.array([int(links[k]) for k in has] + [0] * len(tie_a), pa.int64()), pa.array([float(expected[k]) for k in has] + [0.0] * len(tie_a), pa.float64()), pa.array([int(found[k]) for k in has] + [0] * len(tie_a), pa.int64())],
-                ["_node", "_other", "_links", "_expected", "_found"],
-            )
+            links = np.bincount(i, copies[j], len(sets)) + np.bincount(j, copies[i], len(sets))
+            found = np.bincount((similar * STEPS + 1e-9).astype(int), minlength=STEPS + 1)
+            has, steps = np.flatnonzero(links).tolist(), np.flatnonzero(found).tolist()
+            n, t, k = len(has), len(ties), len(steps)
+            columns_ = [
+                [nodes_[x] for x in has] + [nodes_[a] for a, _ in ties] + [None] * k, [None] * n + [nodes_[b] for _, b in ties] + [None] * k,
+                [int(links[x]) for x in has] + [0] * (t + k), [None] * (n + t) + steps, [0] * (n + t) + [int(found[x]) for x in steps],
+            ]
+            types = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns_, types)], ["_node", "_other", "_links", "_step", "_found"])
 
     schema = "_group string, _pair int, _block int, _tree int, _node string, _sig binary"
-    spread = spread.select(*names).repartition("_group").sortWithinPartitions("_group")
+    spread = spread.select(*names).repartition("_group").sortWithinPartitions("_group", "_sig")
     used = materialize(spread.mapInArrow(narrow, schema), "candidates")
-    wanted = used.select("_node").distinct()
-    sets = node_sets(docs, text_col, words, wanted)
+    sets = node_sets(table, used.select("_node").distinct())
     full = used.join(sets, "_node").join(nodes.select("_node", "_copies"), "_node").select(*names, "_set", "_copies")
-    full = full.repartition("_group").sortWithinPartitions("_group")
-    return materialize(full.mapInArrow(verify, "_node string, _other string, _links bigint, _expected double, _found bigint"), "links")
+    full = full.repartition("_group").sortWithinPartitions("_group", "_sig")
+    done = materialize(full.mapInArrow(verify, "_node string, _other string, _links bigint, _step int, _found bigint"), "links")
+    forget(used)
+    return done
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -309,27 +330,27 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
-        edges = materialize(small.where("a <> b").distinct(), "stars")
+        edges, old = materialize(small.where("a <> b").distinct(), "stars"), edges
+        forget(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("a").alias("_node"), F.col("b").alias("_root"))
+            out = edges.select(F.col("a").alias("_node"), F.col("b").alias("_root"))
+            out.scratch_path = edges.scratch_path
+            return out
         before = now
 
 
-def neighbours(nodes: DataFrame, docs: DataFrame, text_col: str, words: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(_node, _links) and the edges (a, b) of a spanning forest, over all depths that the target recall needs."""
-    depth, below, rounds = start_depth(threshold, recall), LEVELS + 1, []
+def all_rounds(table: DataFrame, nodes: DataFrame, threshold: float, recall: float) -> list[tuple[int, DataFrame]]:
+    """(depth, result of link_round()) for whole signatures first, then for shorter prefixes until the recall is reached."""
+    depth, below, found, rounds = LEVELS, LEVELS + 1, np.zeros(STEPS + 1), []
     while True:
-        rounds.append(link_round(docs, nodes, text_col, words, threshold, depth, below))
-        found, expected = rounds[-1].agg(F.sum("_found"), F.sum("_expected")).first()
-        if depth == 1 or not expected or (found or 0) >= recall * expected:
-            break
-        depth, below = depth - 1, depth
-    all_rounds = rounds[0]
-    for more in rounds[1:]:
-        all_rounds = all_rounds.unionAll(more)
-    links = all_rounds.where("_other is null").groupBy("_node").agg(F.sum("_links").alias("_links"))
-    return links, all_rounds.where("_other is not null").select(F.col("_node").alias("a"), F.col("_other").alias("b"))
+        rounds.append((depth, link_round(table, nodes, threshold, depth, below)))
+        for r in rounds[-1][1].where("_step is not null").groupBy("_step").agg(F.sum("_found")).collect():  # at most STEPS + 1 rows
+            found[r[0]] += r[1]
+        shorter = next_depth(found, depth, threshold, recall)
+        if shorter == depth:
+            return rounds
+        depth, below = shorter, depth
 
 
 def jaccard_classes(
@@ -341,52 +362,66 @@ def jaccard_classes(
     stands between white space, as written. class_id is the smallest id among the documents that links connect, n_links
     the number of other rows linked to this one, n_copies of rows with an equal set (itself among them). is_first is true
     for one row of each class. A text of fewer words than n is one n-gram; null and blank texts have none, are linked to
-    nothing and a class of their own each. Repeated rows are copies of each other. Null ids count as the largest.
+    nothing and a class of their own each. Repeated rows are copies of each other. Null ids count as the largest. A very
+    long text is one set like any other; the order of equal signatures does not matter. No documents give no rows.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     table = materialize(nodes_of(rows, "_t", words), "nodes")
     nodes = table.where("_node is not null").groupBy("_node").agg(F.count(F.lit(1)).alias("_copies"), F.min("_id").alias("_least"), F.first("_size").alias("_size"), F.first("_sig").alias("_sig"))
     nodes = materialize(nodes, "classes")
-    links, forest = neighbours(nodes, rows, "_t", words, threshold, recall)
-    roots = components(forest)
+    rounds = [r for _, r in all_rounds(table, nodes, threshold, recall)]
+    both = rounds[0]
+    for more in rounds[1:]:
+        both = both.unionAll(more)
+    links = both.where("_other IS NULL AND _node IS NOT NULL").groupBy("_node").agg(F.sum("_links").alias("_links"))
+    roots = components(both.where("_other IS NOT NULL").select(F.col("_node").alias("a"), F.col("_other").alias("b")))
     grouped_ = nodes.select("_node", "_copies", "_least").join(links, "_node", "left").join(roots, "_node", "left")
     grouped_ = materialize(grouped_.withColumn("_root", F.coalesce("_root", "_node")), "groups")
-    linked = grouped_.where("_links is not null")
-    least = linked.groupBy("_root").agg(F.min("_least").alias("_class"))
+    least = grouped_.where("_links is not null").groupBy("_root").agg(F.min("_least").alias("_class"))
     known = grouped_.join(least, "_root", "left").select("_node", "_copies", F.coalesce("_class", "_least").alias("_class"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"))
     rest = table.where("_node is null").select("_id", F.col("_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
     out = table.select("_id", "_node").where("_node is not null").join(known, "_node")
     out = out.select("_id", F.col("_class").alias("class_id"), F.col("_links").alias("n_links"), F.col("_copies").alias("n_copies")).unionAll(rest)
-    return out.select(F.col("_id").alias(id_col), "class_id", "n_links", "n_copies", F.col("_id").eqNullSafe(F.col("class_id")).alias("is_first"))
+    out = materialize(out.select(F.col("_id").alias(id_col), "class_id", "n_links", "n_copies", F.col("_id").eqNullSafe(F.col("class_id")).alias("is_first")), "judged")
+    forget(table, nodes, grouped_, roots, *rounds)
+    return out
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One document of each class of jaccard_classes(), that with the smallest id; all columns as they were.
 
-    Of rows that repeat its id and text one stays. Rows with a null id stay if their class has no other id.
+    Of rows that repeat its id and text one stays. Rows with a null id stay if their class has no other id. Where rows
+    share an id but not the text, all of them stay if one of them is the first of its class. Null, blank and very long
+    texts and empty tables are as in jaccard_classes(). Columns may have any names.
     """
     names = docs.columns
-    judged = materialize(jaccard_classes(docs, id_col, text_col, words, threshold, recall).select(F.col(id_col).alias("_drop"), "is_first"), "judged")
+    judged = jaccard_classes(docs, id_col, text_col, words, threshold, recall).select(F.col(id_col).alias("_drop"), "is_first")
     first = judged.where("is_first").select(F.col("_drop").alias("_keep"))
     drop = judged.where("NOT is_first").select("_drop").distinct()
     drop = materialize(drop.join(first, F.col("_drop").eqNullSafe(F.col("_keep")), "left_anti"), "dropped")
     key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(drop.select(key(F.col("_drop")).alias("_node"))))
+    bits = key_filter(drop.select(key(F.col("_drop")).alias("_key")), "_key")
     inner = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("_key", key(F.col(f"c{names.index(id_col)}")))
-
-    def chosen(wanted: bool):
-        """Rows that the filter says may have to go, or the others: no text of those is shuffled."""
-
-        def run(batches):
-            for batch in batches:
-                keys = batch.column(batch.num_columns - 1).to_pylist()
-                at = [xxhash.xxh64_intdigest(k, 42) % FILTER_BITS for k in keys]
-                yield batch.filter(pa.array([bool(sent.value[h >> 3] >> (h & 7) & 1) == wanted for h in at], pa.bool_()))
-
-        return inner.mapInArrow(run, inner.schema)
-
+    maybe, never = split_by_filter(inner, "_key", bits)  # no text of those that surely stay is shuffled
     at = f"c{names.index(id_col)}"
-    kept = chosen(True).join(drop, F.col(at).eqNullSafe(F.col("_drop")), "left_anti").unionAll(chosen(False)).drop("_key")
+    kept = maybe.join(drop, F.col(at).eqNullSafe(F.col("_drop")), "left_anti").unionAll(never).drop("_key")
     if first.where(F.col("_keep").isNotNull()).groupBy("_keep").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates([at, f"c{names.index(text_col)}"])
     return kept.toDF(*names)
+
+
+#: The same in DuckDB's SQL, by comparing all documents that have a word 5-gram in common.
+ORACLE = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+n AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [md5_number(array_to_string(w, ' '))]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: md5_number(array_to_string(w[i:i + 4], ' '))) END) AS s FROM w),
+g AS (SELECT s, count(*) AS copies, min(doc_id) AS least FROM (SELECT doc_id, list_sort(s) AS s FROM n WHERE len(s) > 0) GROUP BY s),
+h AS MATERIALIZED (SELECT row_number() OVER () AS k, * FROM g),
+e AS (SELECT k, len(s) AS size, unnest(s) AS x FROM h),
+l AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.x = b.x AND a.k <> b.k GROUP BY a.k, b.k, a.size, b.size HAVING count(*) >= 0.8 * (a.size + b.size - count(*)) - 1e-9),
+r AS (SELECT k AS a, k AS b FROM h UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS k, min(h.least) AS class_id FROM r JOIN h ON r.b = h.k GROUP BY r.a),
+m AS (SELECT h.k, h.copies - 1 + coalesce(sum(o.copies), 0) AS n_links FROM h LEFT JOIN l ON l.a = h.k LEFT JOIN h o ON o.k = l.b GROUP BY h.k, h.copies)
+SELECT n.doc_id, coalesce(class_id, n.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(copies, 1)::BIGINT AS n_copies, coalesce(class_id, n.doc_id) = n.doc_id AS is_first
+FROM n LEFT JOIN h ON h.s = list_sort(n.s) LEFT JOIN c ON c.k = h.k LEFT JOIN m ON m.k = h.k
+"""
