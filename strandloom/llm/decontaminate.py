@@ -109,28 +109,35 @@ def edited(item: np.ndarray, times: int, rng: np.random.Generator) -> np.ndarray
     return np.array((words + [-1] * len(item))[: len(item)])
 
 
-def chance_of_keys(items: list[np.ndarray], rate: float, plan: tuple[int, int]) -> float:
-    """The mean chance that items edited as much as allowed share a key, over any draw of the samples.
+def walks_alike(items: list[np.ndarray], rate: float) -> np.ndarray:
+    """(walks, items): the share of sampled places that the walks of items and of edited copies have alike.
 
-    A sample hits with the share of places that two walks have alike, to the power of its places; samples are
-    independent, so that few edited items tell small chances of a miss.
+    The longest items are taken, edited as much as allowed.
     """
-    rng, places, tables = np.random.default_rng(5), *plan
+    rng = np.random.default_rng(5)
     longest = sorted(items, key=len)[-MEASURED:]
-    some = [longest[i % len(longest)] for i in range(max(16, min(MEASURED, 2 * CHUNK_WORDS // len(longest[-1]))))]
+    some = [longest[i % len(longest)] for i in range(max(16, min(MEASURED, CHUNK_WORDS // 8 // len(longest[-1]))))]
     sizes = np.array([len(c) for c in some])
-    other = padded([edited(c, edits(len(c), rate), rng) for c in some])
-    mine, miss = padded(some), np.ones(len(some))
-    for w in range(min(WALKS, tables)):
-        alike = embed(mine, sizes, w) == embed(other, sizes, w)
-        share = np.array([row[: 2 * n].mean() for row, n in zip(alike, sizes)])
-        miss *= (1 - share**places) ** len(range(w, tables, WALKS))
-    return float(1 - miss.mean())
+    mine, other = padded(some), padded([edited(c, edits(len(c), rate), rng) for c in some])
+    alike = [embed(mine, sizes, w) == embed(other, sizes, w) for w in range(WALKS)]
+    return np.array([[row[: 2 * n].mean() for row, n in zip(a, sizes)] for a in alike])
+
+
+def chance_of_keys(alike: np.ndarray, plan: tuple[int, int]) -> float:
+    """The mean chance that edited items share a key with their items, over any draw of the samples.
+
+    A sample hits with the share of places alike, to the power of its places; samples are independent, so that few edited
+    items tell small chances of a miss.
+    """
+    places, tables = plan
+    times = np.array([len(range(w, tables, WALKS)) for w in range(WALKS)])
+    return float(1 - ((1 - alike**places) ** times[:, None]).prod(0).mean())
 
 
 def plan_for(items: list[np.ndarray], rate: float, recall: float) -> tuple[int, int] | None:
     """The cheapest plan that reaches the recall for these items, None if none does."""
-    return next((plan for plan in PLANS if chance_of_keys(items, rate, plan) >= recall), None)
+    alike = walks_alike(items, rate)
+    return next((plan for plan in PLANS if chance_of_keys(alike, plan) >= recall), None)
 
 
 class Matcher:

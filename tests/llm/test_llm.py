@@ -496,7 +496,7 @@ def test_leaks_without_the_first_words():
             # also texts that end with the passage, and empty texts between
             texts += [own[lost:] + [b"else"] * (lost % 3 * 20), []]
             want.add((len(texts) - 2, i, lost))
-    got = {(text, item, distance) for text, item, distance, _ in matcher.search(texts)}
+    got = {(text, matcher.items[item][0], distance) for text, item, distance, _ in matcher.search(texts)}
     assert want == got
     assert all(matcher.search([t]) for t in texts[:60:6])
 
@@ -514,24 +514,26 @@ def test_recall_of_each_size(size):
                 at, kind = int(rng.integers(len(own))), int(rng.integers(3))
                 own[at : at + (kind != 1)] = [] if kind == 0 and len(own) > 1 else [b"new%d" % rng.integers(99)]
             texts.append((i, [b"before"] * int(rng.integers(9)) + own + [b"behind"] * 5))
-    got = {(t, item) for t, item, *_ in matcher.search([t for _, t in texts])}
+    got = {(t, matcher.items[item][0]) for t, item, *_ in matcher.search([t for _, t in texts])}
     want = {(t, i) for t, (i, own) in enumerate(texts)}
     assert len(got & want) >= 0.999 * len(want)
 
 
-def test_long_and_single_word_items():
-    items = [(0, b"Uncommon"), (1, words(5000, 3, 9000).encode()), (2, b""), (3, b"two words"), (4, words(150, 4, 900).encode())]
+@pytest.mark.parametrize("plans", [decontaminate.PLANS, ()])
+def test_long_and_single_word_items(monkeypatch, plans):
+    """Also without any plan, where every window of the filter is a candidate."""
+    monkeypatch.setattr(decontaminate, "PLANS", plans)
+    items = [(0, b"Uncommon"), (1, words(2000, 3, 9000).encode()), (2, b""), (3, b"two words"), (4, words(150, 4, 900).encode()), (5, words(150, 4, 900).encode())]
     matcher, r = decontaminate.Matcher(items), random.Random(6)
-    assert matcher.buckets[-1][1] is None  # its walks part for good: every window of the filter is a candidate
+    assert all((b[1] is None) == (not plans) for b in matcher.buckets)
     own = items[1][1].split()
-    for _ in range(decontaminate.edits(5000)):
+    for _ in range(decontaminate.edits(2000)):
         at = r.randrange(len(own))
         own[at : at + r.randrange(2)] = [b"e%d" % r.randrange(99)] * r.randrange(2)
-    texts = [own, [b"an", b"uncommon", b"two", b"words"], [b"two", b"other", b"words"], [], own[:4000]]
+    texts = [own, [b"an", b"uncommon", b"two", b"words"], [b"two", b"other", b"words"], [], own[:1600], [b"x", *items[4][1].split()[20:], b"x"]]
     got = [(t, matcher.items[i][0], d) for t, i, d, _ in matcher.search(texts)]
-    assert [x for x in got if x[1] != 1] == [(1, 0, 0), (1, 3, 0)]
-    text = plain_words(items[1][1])
-    assert [x for x in got if x[1] == 1] == ([(0, 1, levenshtein(text, own))] if levenshtein(text, own) <= 750 else [])
+    assert [x for x in got if x[1] != 1] == [(1, 0, 0), (1, 3, 0), (5, 4, 20), (5, 5, 20)]
+    assert [x for x in got if x[1] == 1] == [(0, 1, levenshtein(items[1][1].split(), own))]
 
 
 # ---- quality ----
