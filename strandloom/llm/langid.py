@@ -1,14 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-Texts are cut into windows of bytes. A forward and a backward GRU read every window, a softmax over both states labels
-every position, and a document's probabilities are the mean over all its positions. Training is backpropagation through
-time with Adam on a bounded sample of labelled documents, on the driver.
+A forward and a backward GRU read the bytes, a softmax over both states labels every position, and a document's
+probabilities are the mean over all its positions. Long texts are read in windows; both directions start CONTEXT bytes
+outside a window (or at the text's edge), so that states at its positions have read as much of the text as in training.
+Training is backpropagation through time with Adam, on the driver, on stretches from all over the texts of a bounded sample
+of labelled documents.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from .common import byte_texts, crc_remainder, slices
 
 HIDDEN = 8
-WINDOW = 128
-#: Labelled documents in the sample, for each language, about, and bytes of each that are used (from a hashed place).
-SAMPLE_DOCS, SAMPLE_CHARS = 600, 512
-#: More languages than this are an error rather than a slow model.
-MOST_LANGUAGES = 400
-LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of a stretch that training reads; what a direction reads before a window's first position; bytes of a window.
+LENGTH = CONTEXT = 64
+WINDOW = 448
+#: Labelled documents in the sample, for each language, about, and stretches of each, from hashed places of the whole text.
+SAMPLE_DOCS, STRETCHES = 600, 16
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def start_model(classes: int, seed: int = 7) -> dict[str, np.ndarray]:
@@ -87,7 +90,7 @@ def gradients(model: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tu
     return loss, grad
 
 
-def train(texts: list[bytes], classes: list[int], n_classes: int, steps: int = 260, batch: int = 160, length: int = 64, seed: int = 7) -> dict[str, np.ndarray]:
+def train(texts: list[bytes], classes: list[int], n_classes: int, steps: int = 260, batch: int = 160, length: int = LENGTH, seed: int = 7) -> dict[str, np.ndarray]:
     """Adam on random windows; every class is drawn as often as any other."""
     model, rng = start_model(n_classes, seed), np.random.default_rng(seed)
     of = [[i for i, c in enumerate(classes) if c == k and texts[i]] for k in range(n_classes)]
@@ -123,14 +126,15 @@ def halved(model: dict) -> dict:
     return out
 
 
-def window_probabilities(fast: dict, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def window_probabilities(fast: dict, x: np.ndarray, lengths: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Sums of the positions' probabilities for windows x (T, B) of the given lengths, (classes, B).
 
-    Windows are sorted by falling length: at any position those that go on are the first ones.
+    Of each window the positions from first to before last count, the others are context. Windows are sorted by falling
+    length: at any position those that go on are the first ones.
     """
     T, B = x.shape
     H, states = HIDDEN, []
-    live = [int((lengths > t).sum()) for t in range(T)]
+    live = np.searchsorted(-lengths, -np.arange(T), "left").tolist()
     G, U, h = fast["Gf"], fast["Uf"], np.zeros((H, B), np.float32)
     for t in range(T):
         n = live[t]
@@ -139,18 +143,25 @@ def window_probabilities(fast: dict, x: np.ndarray, lengths: np.ndarray) -> np.n
     out = np.zeros((len(fast["c"]), B), np.float32)
     G, U, h = fast["Gb"], fast["Ub"], np.zeros((H, 0), np.float32)
     Vf, Vb = np.ascontiguousarray(fast["V"][:, :H]), np.ascontiguousarray(fast["V"][:, H:])
+    lead, tail = int(first.max()), int(last.min())
     for t in range(T - 1, -1, -1):
         n = live[t]
         if h.shape[1] < n:
             h = np.concatenate([h, np.zeros((H, n - h.shape[1]), np.float32)], 1)
         h = _step(G, U, x[t, :n], h)
+        if t < lead or t >= tail:
+            counts = (first[:n] <= t) & (t < last[:n])
+            if not counts.any():
+                continue
+        else:
+            counts = None
         e = Vf @ states[t]
         e += Vb @ h
         e += fast["c"]
         e -= e.max(0)
         np.exp(e, e)
         e /= e.sum(0)
-        out[:, :n] += e
+        out[:, :n] += e if counts is None else e * counts
     return out
 
 
@@ -171,41 +182,46 @@ def _step(G: np.ndarray, U: np.ndarray, x: np.ndarray, h: np.ndarray) -> np.ndar
     return n
 
 
-def document_probabilities(fast: dict, texts: list[bytes], most: int = 4096) -> np.ndarray:
+def document_probabilities(fast: dict, texts: list[bytes], most: int = 1024) -> np.ndarray:
     """(documents, classes): the mean over all bytes of every text; rows of empty texts are 0."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts), np.uint8)
     pieces = -(-sizes // WINDOW)
     owner = np.repeat(np.arange(len(texts)), pieces)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = (np.cumsum(sizes) - sizes)[owner] + nth * WINDOW
-    length = np.minimum(WINDOW, sizes[owner] - nth * WINDOW)
-    order = np.argsort(-length, kind="stable")
-    data = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
+    begin = (np.cumsum(sizes) - sizes)[owner]
+    low, high = nth * WINDOW, np.minimum((nth + 1) * WINDOW, sizes[owner])
+    start, end = np.maximum(low - CONTEXT, 0), np.minimum(high + CONTEXT, sizes[owner])
+    order = np.argsort(start - end, kind="stable")
+    data = np.concatenate([data, np.zeros(WINDOW + 2 * CONTEXT, np.uint8)])
     total = np.zeros((len(texts), len(fast["c"])))
     for i in range(0, len(order), most):
         rows = order[i : i + most]
-        x = data[start[rows] + np.arange(WINDOW)[: length[rows[0]], None]]
-        np.add.at(total, owner[rows], window_probabilities(fast, x, length[rows]).T)
+        length = (end - start)[rows]
+        x = data[(begin + start)[rows] + np.arange(length[0])[:, None]]
+        np.add.at(total, owner[rows], window_probabilities(fast, x, length, (low - start)[rows], (high - start)[rows]).T)
     return total / np.maximum(1, sizes)[:, None]
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_rule, most_docs: int) -> tuple[list[str], list[bytes], list[int]]:
-    """Languages, and about most_docs pieces of text of each, which hashes of the ids pick out of all labelled rows."""
+    """Languages, and stretches of about most_docs texts of each, which hashes of the ids pick out of all labelled rows.
+
+    The stretches of a text begin anywhere in it. How often a language comes up is joined to the rows, as there is no
+    bound on the languages; what the driver gets is one row for each language and the sample.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & train_rule)
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    langs = sorted(counts)
-    rate = F.lit(0)
-    for lang, n in counts.items():
-        rate = F.when(F.col(lang_col) == lang, int(min(1.0, most_docs / n) * 2**30)).otherwise(rate)
-    drawn = F.pmod(F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)), F.lit(2**30))  # many rows may share a null id
-    room = F.greatest(F.lit(1), F.length(text_col) - SAMPLE_CHARS)
-    at = (1 + F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), room)).cast("int")
-    rows = known.where(drawn < rate).select(F.col(text_col).substr(at, F.lit(SAMPLE_CHARS)).alias("t"), F.col(lang_col).alias("l")).distinct().collect()
+    known = known.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)).alias("h"))  # many rows may share a null id
+    counts = known.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    langs = sorted(r[0] for r in counts.select("l").collect())
+    rate = counts.select("l", (F.least(F.lit(1.0), most_docs / F.col("n")) * 2**30).cast("bigint").alias("rate"))
+    drawn = known.join(rate, "l").where(F.pmod("h", F.lit(2**30)) < F.col("rate"))
+    room = F.greatest(F.lit(1), F.length("t") - LENGTH + 1)
+    places = F.transform(F.sequence(F.lit(1), F.lit(STRETCHES)), lambda i: (1 + F.pmod(F.xxhash64(i, "h"), room)).cast("int"))
+    stretches = F.array_distinct(F.transform(places, lambda at: F.col("t").substr(at, F.lit(LENGTH))))
+    rows = drawn.select(F.explode(stretches).alias("t"), "l").distinct().collect()
     rows = sorted((r["l"], r["t"]) for r in rows)
-    return langs, [t.encode() for _, t in rows], [langs.index(lang) for lang, _ in rows]
+    number = {name: i for i, name in enumerate(langs)}
+    return langs, [t.encode() for _, t in rows], [number[name] for name, _ in rows]
 
 
 def identify(
@@ -215,7 +231,9 @@ def identify(
 
     The model learns from documents with a language whose crc32(id as text) modulo folds isn't `held`; a prediction
     sees the text alone. score is the mean probability of lang_pred over all bytes. A text that is null or has no letter
-    gets 'und' and 0, and so do all if there's nothing to learn from. Repeated rows repeat; a null id counts as 'null'.
+    (of any alphabet) gets 'und' and 0, and so do all if there's nothing to learn from. Repeated rows repeat; a null id
+    counts as 'null'. Very long texts are read whole; of equal probabilities the language that sorts first is predicted.
+    No documents give no rows. Columns may have any names.
     """
     out = crc_remainder(id_col, folds) == held
     langs, texts, classes = labelled_sample(docs, id_col, text_col, lang_col, ~out, sample_docs)
@@ -227,7 +245,7 @@ def identify(
             at = batch.schema.get_field_index("_text")
             for part in slices(batch, at):
                 texts = byte_texts(part.column(at))
-                letters = [bool(LETTER.search(t.decode())) for t in texts]
+                letters = [has_letter(t.decode()) for t in texts]
                 p = document_probabilities(model, texts) if names else np.zeros((len(texts), 1))
                 best = p.argmax(1)
                 lang = [names[b] if ok and names else "und" for ok, b in zip(letters, best)]
@@ -247,7 +265,8 @@ def in_known_language(
 ) -> DataFrame:
     """The documents whose text isn't 'und' to identify() and whose score is least_score or more, all columns as they were.
 
-    Columns of docs may have the names of identify()'s results. If there's nothing to learn from, no document stays.
+    Columns of docs may have the names of identify()'s results. If there's nothing to learn from, no document stays. Null
+    and empty texts go, every one of repeated rows stays or goes, long texts are judged whole; no documents give none.
     """
     names = docs.columns
     own = [f"c{i}" for i in range(len(names))]

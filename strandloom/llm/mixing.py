@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Rates above this are drawn as a sum of equal smaller Poisson draws, as exp(-rate) would underflow.
 LARGEST_RATE = 256.0
 #: Sources are broadcast up to this many; beyond, they are joined by a shuffle, each source's rows under SALTS keys.
@@ -36,14 +38,11 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"])
 
 
-def source_rates(
-    docs: DataFrame, source_col: str, weights: dict[str | None, float] | None, target_rows: int | None
-) -> DataFrame:
-    """One row for each source that keeps any mass: _source, _draws, _cdf. Counts cover all rows.
+def source_rates(counts: DataFrame, weights: dict[str | None, float] | None, target_rows: int | None) -> DataFrame:
+    """One row for each source that keeps any mass: _source, _draws, _cdf. counts: (_source, _rows) of all rows.
 
     Without weights all sources weigh the same. Weights need not sum to 1; a source that has none is left out.
     """
-    counts = docs.groupBy(F.col(source_col).cast("string").alias("_source")).agg(F.count(F.lit(1)).alias("_rows"))
     if weights is None:
         weighted = counts.withColumn("_weight", F.lit(1.0))
     else:
@@ -51,14 +50,13 @@ def source_rates(
         for name, w in weights.items():
             pick = F.when(F.col("_source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(pick)
         weighted = counts.withColumn("_weight", pick).where("_weight > 0")
-    totals = weighted.agg(F.sum("_weight").alias("_mass")).crossJoin(counts.agg(F.sum("_rows").alias("_all")))  # 1 row x 1 row
-    goal = F.lit(float(target_rows)) if target_rows is not None else F.col("_all").cast("double")
-    rate = F.col("_weight") / F.col("_mass") * goal / F.col("_rows").cast("double")
+    mass = weighted.agg(F.sum("_weight")).first()[0]  # sums of a table with a row for each source
+    goal = float(target_rows) if target_rows is not None else float(counts.agg(F.sum("_rows")).first()[0] or 0)
+    rate = F.col("_weight") / F.lit(mass or 1.0) * F.lit(goal) / F.col("_rows").cast("double")
     draws = F.greatest(F.lit(1), F.ceil(rate / LARGEST_RATE).cast("int"))
     return (
-        weighted.join(F.broadcast(totals))  # one row
-        .select("_source", rate.alias("_rate"), draws.alias("_draws"))
-        .select("_source", "_rate", "_draws", poisson_cdf(F.col("_rate") / F.col("_draws")).alias("_cdf"))
+        weighted.select("_source", rate.alias("_rate"), draws.alias("_draws"))
+        .select("_source", "_draws", poisson_cdf(F.col("_rate") / F.col("_draws")).alias("_cdf"))
     )
 
 
@@ -75,24 +73,24 @@ def mix(
 
     The result has the columns of docs, then copy_col (0, 1, ... of each document) unless that is None or taken.
     A null source is a source of its own (weights may name it by None). Rows that share an id share the count, a null
-    id counts as the text 'null'. No rows give no rows. target_rows defaults to the number of rows, as an expectation.
+    id counts as the text 'null'. No rows give no rows; null, empty and long texts are columns like any other. target_rows
+    defaults to the number of rows, as an expectation. Rows are counted once, by source; the counts are a small table.
     """
     names = docs.columns
-    rates = source_rates(docs, source_col, weights, target_rows)
+    counts = materialize(docs.groupBy(F.col(source_col).cast("string").alias("_source")).agg(F.count(F.lit(1)).alias("_rows")), "sources")
+    rates = source_rates(counts, weights, target_rows)
     own = [f"c{i}" for i in range(len(names))]  # docs may have columns of any name
     id_at, source_at = own[names.index(id_col)], own[names.index(source_col)]
     key = F.coalesce(F.col(id_at).cast("string"), F.lit("null"))
     same = F.col(source_at).cast("string").eqNullSafe(F.col("_source"))
-    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    if counts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     else:  # one source may hold any share of the rows
         rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         same &= F.pmod(F.xxhash64(F.lit(seed), key), F.lit(SALTS)) == F.col("_salt")
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("_draws")),
-        F.lit(0),
-        lambda n, i: n + F.size(F.filter(F.col("_cdf"), lambda p: p <= uniform(seed, i, key))),
-    )
+    numbers = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda i: uniform(seed, i, key))  # once a draw
+    inverted = F.transform(numbers, lambda u: F.size(F.filter(F.col("_cdf"), lambda p: p <= u)))
+    drawn = F.aggregate(inverted, F.lit(0), lambda n, k: n + k)
     out = docs.toDF(*own).join(rates, same).withColumn("_n", drawn)
     out = out.where("_n > 0").select(*own, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
     order = F.md5(F.concat_ws("|", F.lit(f"order {seed}"), key, F.col("_copy").cast("string")))

@@ -168,8 +168,8 @@ def test_network_gradients():
 
 def test_fast_network_is_the_trained_one():
     model = langid.start_model(3)
-    text = bytes(random.Random(1).choices(b"abcdefgh ", k=300))
-    got = langid.document_probabilities(langid.halved(model), [text, b"", text[:5]])
+    text = bytes(random.Random(1).choices(b"abcdefgh ", k=1300))
+    got = langid.document_probabilities(langid.halved(model), [text[:9], text, b"", text[:5], text[:500]], 3)
     H = langid.HIDDEN
 
     def run(piece, d):
@@ -181,12 +181,27 @@ def test_fast_network_is_the_trained_one():
             out.append(h)
         return np.array(out if d == "f" else out[::-1])
 
-    total = np.zeros(3)
-    for i in range(0, len(text), langid.WINDOW):
-        piece = text[i : i + langid.WINDOW]
-        e = np.exp(np.concatenate([run(piece, "f"), run(piece, "b")], 1) @ model["V"].T + model["c"])
-        total += (e / e.sum(1, keepdims=True)).sum(0)
-    assert got[0] == pytest.approx(total / len(text), abs=1e-4) and got[1].sum() == 0
+    def windowed(text):
+        total = np.zeros(3)
+        for i in range(0, len(text), langid.WINDOW):
+            lo = max(0, i - langid.CONTEXT)
+            piece = text[lo : i + langid.WINDOW + langid.CONTEXT]
+            e = np.exp(np.concatenate([run(piece, "f"), run(piece, "b")], 1) @ model["V"].T + model["c"])
+            total += (e / e.sum(1, keepdims=True))[i - lo : i - lo + langid.WINDOW].sum(0)
+        return total / len(text)
+
+    for row, t in zip(got, [text[:9], text, b"", text[:5], text[:500]]):
+        assert row == pytest.approx(windowed(t) if t else np.zeros(3), abs=1e-4)
+
+
+def test_letters():
+    assert not any(map(langid.has_letter, ["", "½ ②² 12", "٣ !", "\U0001f642"])) and all(map(langid.has_letter, ["½é", "語", "1a"]))
+
+
+def test_many_languages(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 900) AS lang")
+    langs, texts, classes = langid.labelled_sample(docs, "doc_id", "text", "lang", F.lit(True), 2)
+    assert len(langs) == 900 and 900 < len(texts) < 3000 and max(classes) < 900
 
 
 @needs_tables
@@ -614,7 +629,7 @@ def test_mixing_of_many_sources(spark, monkeypatch):
 def test_language_sample_is_bounded_for_null_ids(spark):
     docs = spark.range(3000).selectExpr("CAST(NULL AS bigint) AS doc_id", "concat('some words of row ', id % 1500) AS text", "'en' AS lang")
     _, texts, _ = langid.labelled_sample(docs, "doc_id", "text", "lang", F.lit(True), 100)
-    assert 10 <= len(texts) <= 200 and len(set(texts)) == len(texts)
+    assert 10 <= len(texts) <= 250 and len(set(texts)) == len(texts)
 
 
 def test_poisson_cdf(spark):
