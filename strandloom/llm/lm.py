@@ -2,8 +2,13 @@
 
 Words of the training documents are counted by a shuffle; those with at least 1 / 2^14 of all tokens (so at most 2^14 of
 them) are symbols of their own, all others are one symbol, whose share is dealt to its words by their counts. Baum-Welch
-runs over all training documents: every task adds up its expected counts, a shuffle adds up those of the tasks, and the
-driver gets one row for each symbol. A text's score is the scaled forward recursion over the whole text.
+runs over the whole texts of all training documents, whose symbols are written once: every task adds up its expected counts,
+a shuffle adds up those of the tasks, and the driver gets one row for each symbol. A text's score is the scaled forward
+recursion over the whole text.
+
+Forward and backward recursion go through many texts at once, position by position. So that a long text doesn't go alone,
+it is cut into blocks; a block's effect on any state is a small matrix, the product of its steps, and the matrices of the
+blocks before and behind give each block the exact state at its edges.
 """
 
 from __future__ import annotations
@@ -17,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, crc_remainder, materialize, slices
+from .common import byte_texts, crc_remainder, forget, materialize, slices
 
 STATES, ROUNDS, SEED = 4, 3, 17
 FREQUENT = 1 << 14
-#: Training cuts longer texts into sequences of this many tokens; scoring never does.
-TRAIN_LENGTH = 512
+#: Positions that training goes through at a time; the blocks of a text are linked exactly.
+BLOCK = 256
 END = b""
 
 
@@ -65,41 +70,71 @@ def time_major(lengths: np.ndarray) -> np.ndarray:
     return np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), "right")
 
 
-def expected_counts(model: dict, sequences: list[np.ndarray], first: list[bool]) -> tuple[dict, float]:
-    """Baum-Welch counts of start, move and emit, and the log-likelihood. Later pieces of a text start anywhere."""
-    order = np.argsort([-len(s) for s in sequences], kind="stable")
-    lengths = np.array([len(sequences[i]) for i in order])
-    flat = np.concatenate([sequences[i] for i in order])
-    begin = np.cumsum(lengths) - lengths
-    fresh = np.array([first[i] for i in order])
+def expected_counts(model: dict, sequences: list[np.ndarray], block: int = BLOCK) -> tuple[dict, float]:
+    """Exact Baum-Welch counts of start, move and emit over whole sequences, and the log-likelihood."""
     move, table = model["move"], np.ascontiguousarray(model["emit"].T)
-    even = np.linalg.matrix_power(move, 64)[0]
-    alive = time_major(lengths)
-    offset = np.concatenate([[0], np.cumsum(alive)])
-    seen = np.concatenate([flat[begin[:n] + t] for t, n in enumerate(alive)])
-    alpha, scale = np.empty((len(flat), len(move))), np.empty(len(flat))
-    before = np.where(fresh[:, None], model["start"], even)
-    for t, n in enumerate(alive):
-        a = (before[:n] if t == 0 else before[:n] @ move) * table[seen[offset[t] : offset[t + 1]]]
-        c = a.sum(1)
-        a /= c[:, None]
-        alpha[offset[t] : offset[t + 1]], scale[offset[t] : offset[t + 1]] = a, c
-        before = a
+    sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    flat, states = np.concatenate(sequences), len(move)
+    pieces = -(-sizes // block)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.repeat(np.cumsum(sizes) - sizes, pieces) + nth * block
+    length = np.minimum(block, np.repeat(sizes, pieces) - nth * block)
+    alpha, scale = np.empty((len(flat), states)), np.empty(len(flat))
+
+    def falling(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = rows[np.argsort(-length[rows], kind="stable")]
+        return rows, time_major(length[rows])
+
+    def forward(rows: np.ndarray, before: np.ndarray, fresh: bool) -> None:
+        order = np.argsort(-length[rows], kind="stable")
+        rows, before = rows[order], before[order]
+        for t, n in enumerate(time_major(length[rows])):
+            at = begin[rows[:n]] + t
+            a = (before[:n] if t == 0 and fresh else before[:n] @ move) * table[flat[at]]
+            c = a.sum(1)
+            a /= c[:, None]
+            alpha[at], scale[at] = a, c
+            before = a
+
+    first, later = np.flatnonzero(nth == 0), np.flatnonzero(nth > 0)
+    forward(first, np.tile(model["start"], (len(first), 1)), True)
+    behind = np.ones((len(nth), states))  # what follows a block makes of each state at its end
+    if len(later):
+        effect = np.empty((len(nth), states, states))
+        rows, alive = falling(later)
+        product = np.tile(np.eye(states), (len(rows), 1, 1))
+        for t, n in enumerate(alive):
+            step = (product[:n] @ move) * table[flat[begin[rows[:n]] + t]][:, None, :]
+            product[:n] = step / step.sum((1, 2))[:, None, None]
+        effect[rows] = product
+        before = np.empty((len(nth), states))
+        ends = begin + length - 1
+        before[later[nth[later] == 1]] = alpha[ends[later[nth[later] == 1] - 1]]
+        by_place = [later[nth[later] == k] for k in range(1, int(nth.max()) + 1)]
+        for rows in by_place[1:]:
+            out = np.einsum("ni,nij->nj", before[rows - 1], effect[rows - 1])
+            before[rows] = out / out.sum(1, keepdims=True)
+        forward(later, before[later], False)
+        for rows in by_place[::-1]:
+            out = np.einsum("nij,nj->ni", effect[rows], behind[rows])
+            behind[rows - 1] = out / (out * alpha[ends[rows - 1]]).sum(1, keepdims=True)
     gamma, moved = np.empty_like(alpha), np.zeros_like(move)
-    beta = np.ones((alive[-1], len(move)))
+    rows, alive = falling(np.arange(len(nth)))
+    beta = np.zeros((0, states))
     for t in range(len(alive) - 1, -1, -1):
-        n, lo = alive[t], offset[t]
-        if len(beta) < n:
-            beta = np.concatenate([beta, np.ones((n - len(beta), len(move)))])
-        gamma[lo : lo + n] = alpha[lo : lo + n] * beta
-        if t:
-            ahead = table[seen[lo : lo + n]] * beta / scale[lo : lo + n, None]
-            before = alpha[offset[t - 1] : offset[t - 1] + n]
-            moved += move * (before.T @ ahead)
-            beta = ahead @ move.T
+        n = alive[t]
+        beta = np.concatenate([beta, behind[rows[len(beta) : n]]])
+        at = begin[rows[:n]] + t
+        gamma[at] = alpha[at] * beta
+        if t == 0:
+            linked = nth[rows[:n]] > 0
+            at, beta = at[linked], beta[linked]
+        ahead = table[flat[at]] * beta / scale[at, None]
+        moved += move * (alpha[at - 1].T @ ahead)
+        beta = ahead @ move.T
     k = model["emit"].shape[1]
-    emit = np.stack([np.bincount(seen, gamma[:, s], k) for s in range(len(move))])
-    return {"start": gamma[: len(fresh)][fresh].sum(0), "move": moved, "emit": emit}, float(np.log(scale).sum())
+    emit = np.stack([np.bincount(flat, gamma[:, s], k) for s in range(states)])
+    return {"start": gamma[begin[first]].sum(0), "move": moved, "emit": emit}, float(np.log(scale).sum())
 
 
 def maximized(counts: dict, share: np.ndarray) -> dict[str, np.ndarray]:
@@ -142,42 +177,50 @@ def symbols_of(frequent: list[bytes]) -> Symbols:
     return out
 
 
-def baum_welch_round(docs: DataFrame, frequent: list[bytes], model: dict) -> tuple[dict, float]:
+def training_symbols(docs: DataFrame, frequent: list[bytes]) -> DataFrame:
+    """(ids): the symbols of each training document as 16-bit numbers; FREQUENT is less than so many."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches):
+        code = symbols_of(sent.value)
+        for batch in batches:
+            for part in slices(batch, 0):
+                yield pa.RecordBatch.from_arrays([pa.array([code.encode(tokens(t)).astype(np.uint16).tobytes() for t in byte_texts(part.column(0))], pa.binary())], ["ids"])
+
+    return docs.where("not _held").select("_text").mapInArrow(run, "ids binary")
+
+
+def baum_welch_round(symbols: DataFrame, model: dict) -> tuple[dict, float]:
     """The expected counts of all training documents, and their log-likelihood."""
-    sent = docs.sparkSession.sparkContext.broadcast((frequent, model))
+    sent = symbols.sparkSession.sparkContext.broadcast(model)
     states, k = model["emit"].shape
 
     def run(batches):
-        words, own = sent.value
-        code = symbols_of(words)
+        own = sent.value
         total = {n: np.zeros_like(v) for n, v in own.items()}
-        likelihood, some, first, size = 0.0, [], [], 0
+        likelihood, some, size = 0.0, [], 0
 
         def add() -> None:
-            nonlocal likelihood, some, first, size
+            nonlocal likelihood, some, size
             if some:
-                got, ll = expected_counts(own, some, first)
+                got, ll = expected_counts(own, some)
                 likelihood += ll
                 for n, v in got.items():
                     total[n] += v
-            some, first, size = [], [], 0
+            some, size = [], 0
 
         for batch in batches:
-            for part in slices(batch, 0):
-                for text in byte_texts(part.column(0)):
-                    ids = code.encode(tokens(text))
-                    for at in range(0, len(ids), TRAIN_LENGTH):
-                        some.append(ids[at : at + TRAIN_LENGTH])
-                        first.append(at == 0)
-                    size += len(ids)
-                    if size > 500_000:
-                        add()
+            for ids in batch.column(0):
+                some.append(np.frombuffer(ids.as_py(), np.uint16).astype(np.int32))
+                size += len(some[-1])
+                if size > 500_000:
+                    add()
         add()
         rows = np.concatenate([total["emit"].T, total["move"], total["start"][None], np.full((1, states), likelihood)])
         at = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(rows[at, s]) for s in range(states))], ["row", *(f"s{s}" for s in range(states))])
 
-    got = docs.where("not _held").select("_text").mapInArrow(run, "row bigint, " + ", ".join(f"s{s} double" for s in range(states)))
+    got = symbols.mapInArrow(run, "row bigint, " + ", ".join(f"s{s} double" for s in range(states)))
     rows = np.zeros((k + states + 2, states))
     for r in got.groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).collect():
         rows[r["row"]] = r[1:]
@@ -236,7 +279,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32(id as text) modulo folds isn't `held` are learnt from. A null text is empty: its end is its
-    only token. Repeated rows repeat; a null id counts as 'null'. With nothing to learn from, both scores are 0.
+    only token. Repeated rows repeat, and count as often; a null id counts as 'null'. Very long texts are learnt and scored
+    whole. With nothing to learn from, both scores are 0; no documents give no rows.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), (crc_remainder(id_col, folds) == held).alias("_held"), F.col(text_col).cast("string").alias("_text"))
@@ -251,9 +295,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rare_tokens, rare_words = total - sum(counts), distinct - sum(c > 0 for c in counts)
     share = (np.array([*counts, rare_tokens], float) + 0.5) / (total + 0.5 * (len(counts) + 1))
     model = start_model(share)
-    for _ in range(rounds if total else 0):
-        model = maximized(baum_welch_round(rows, frequent, model)[0], share)
-    if not total:
+    if total:
+        symbols = materialize(training_symbols(rows, frequent), "symbols")
+        for _ in range(rounds):
+            model = maximized(baum_welch_round(symbols, model)[0], share)
+        forget(symbols)
+    else:
         model["emit"] = np.ones((STATES, 2))
     made = materialize(first_scores(rows, frequent, counts, model, id_type), "scores")
     words = made.where("kind = 1").select("token", "uids", "times").join(table, "token", "left")

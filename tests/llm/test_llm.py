@@ -432,19 +432,34 @@ def test_hmm_against_enumeration():
         return out, counts / out
 
     assert lm.log10_forward(model, seqs) == pytest.approx([math.log10(total(s)[0]) for s in seqs])
-    got, ll = lm.expected_counts(model, seqs, [True] * 3)
+    got, ll = lm.expected_counts(model, seqs)
     assert ll == pytest.approx(sum(math.log(total(s)[0]) for s in seqs))
     assert got["move"] == pytest.approx(sum(total(s)[1] for s in seqs)) and got["emit"].sum() == pytest.approx(9)
     share = np.full(4, 1e-9)
     for _ in range(5):
         model = lm.maximized(got, share)
-        got, new = lm.expected_counts(model, seqs, [True] * 3)
+        got, new = lm.expected_counts(model, seqs)
         assert new >= ll - 0.2
         ll = new
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=6), st.integers(1, 9), st.integers(0, 99))
+def test_blocks_of_a_text_are_linked_exactly(sizes, block, seed):
+    rng = np.random.default_rng(seed)
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    model = {"start": norm(rng.random(3)), "move": norm(rng.random((3, 3))), "emit": norm(rng.random((3, 5)))}
+    seqs = [rng.integers(0, 5, n) for n in sizes]
+    (whole, ll), (cut, again) = lm.expected_counts(model, seqs, 1000), lm.expected_counts(model, seqs, block)
+    assert ll == pytest.approx(again) and ll / math.log(10) == pytest.approx(lm.log10_forward(model, seqs).sum())
+    for k, v in whole.items():
+        assert cut[k] == pytest.approx(v, abs=1e-9)
+
+
 @needs_tables
-def test_base_scores(spark):
+def test_base_scores(spark, monkeypatch):
+    models, plain = [], lm.maximized
+    monkeypatch.setattr(lm, "maximized", lambda *a: models.append(plain(*a)) or models[-1])
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     split = {i: t.encode().lower().split() + [b""] for i, t in texts.items()}
@@ -458,6 +473,17 @@ def test_base_scores(spark):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), sum(c[w] > 0 for w in ws), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+    # the query's own model, and the forward recursion over the words as they stand
+    frequent = sorted({w for w, k in c.items() if k >= max(1, n / lm.FREQUENT)} | {b""})
+    number, model = {w: i for i, w in enumerate(frequent)}, models[-1]
+    rare = n - sum(c[w] for w in frequent), v - sum(c[w] > 0 for w in frequent)
+    for r in rows[::7]:
+        a, total = model["start"], 0.0
+        for t, w in enumerate(split[r["doc_id"]]):
+            a = (a if t == 0 else a @ model["move"]) * model["emit"][:, number.get(w, len(frequent))]
+            total += math.log10(a.sum()) + (0 if w in number else math.log10((c[w] + 1) / (rare[0] + rare[1] + 1)))
+            a = a / a.sum()
+        assert r["score"] == pytest.approx(total, rel=1e-9)
 
 
 # ---- decontamination ----
