@@ -43,8 +43,8 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trusted_ids(labels: DataFrame, id_col: str, quality_col: str, most: int) -> np.ndarray:
-    """Ids of about `most` documents labelled good, or of all if there are fewer."""
-    good = labels.where(F.col(quality_col) == 1).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"))
+    """Hashes of the ids of about `most` documents labelled good, or of all if there are fewer."""
+    good = labels.where(F.col(quality_col) == 1).where(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("id")).distinct()
     n = good.count()
     if n > most:
         good = good.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
@@ -60,14 +60,13 @@ def bucket_ratios(docs: DataFrame, trusted: np.ndarray, id_col: str, text_col: s
             for part in slices(batch, 1):
                 hashes, lengths = hashed_words(byte_texts(part.column(1)))
                 buckets, text = ngram_buckets(hashes, lengths)
-                good = np.isin(np.asarray(pa.compute.fill_null(part.column(0).cast(pa.int64()), -1)), trusted)
-                good &= ~np.asarray(pa.compute.is_null(part.column(0)))
+                good = np.isin(np.asarray(part.column(0)), trusted)
                 raw += np.bincount(buckets, minlength=BUCKETS)
                 target += np.bincount(buckets[good[text]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    counts = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(count, "bucket int, raw bigint, target bigint")
+    counts = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("id"), F.col(text_col).cast("string")).mapInArrow(count, "bucket int, raw bigint, target bigint")
     total = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[total["bucket"]], target[total["bucket"]] = total["raw"], total["target"]
@@ -114,8 +113,10 @@ def quality(
 ) -> DataFrame:
     """A row for each document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr.
 
-    A null text has no words and fails as every text of under 20 words; its llr is 0. Repeated rows repeat. Without any
-    trusted document all n-grams of the corpus weigh about alike and only the plain rules decide.
+    A null text has no words and fails as every text of under 20 words; its llr is 0. Repeated rows repeat, and count as
+    often. Very long texts are counted whole; a score that equals the threshold is kept. Ids may be of any type, labels of a
+    null id or without document don't count. Without any trusted document all n-grams of the corpus weigh about alike and
+    only the plain rules decide. No documents give no rows.
     """
     trusted = trusted_ids(labels, id_col, quality_col, trusted_sample)
     ratios = docs.sparkSession.sparkContext.broadcast(bucket_ratios(docs, trusted, id_col, text_col))

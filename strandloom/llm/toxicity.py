@@ -3,8 +3,9 @@
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector is shared by all thresholds theta_0 < theta_1 < ... The features
 are a few hundred words and beginnings of words that set toxic documents apart, as 1 + log(count). The result is the expected grade.
 
-Grades of the labelled documents: 0 where toxic is 0; toxic ones are 1, 2 or 3 by how many of the strongest words they have
-(at most one, two or three, more).
+Grades of the labelled documents: 0 where toxic is 0. Toxic ones are dealt to 1, 2 and 3 by what a model says of them that
+has not seen them: the sample is cut in two halves (copies stay together), a two-grade model of each half, with features of
+its own, rates the toxic documents of the other, and the thirds of that rating are the grades.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, plain_words, slices
 
-#: Labelled documents in the training sample, of either label, about.
+#: Labelled documents in the training sample, of either label, at most (about so many labels are drawn for it).
 SAMPLE_DOCS = 3000
-MOST_FEATURES, LEAST_G2, STRONG_G2 = 400, 24.0, 60.0
+MOST_FEATURES, LEAST_G2 = 400, 24.0
 GRADES = 4
 
 
@@ -42,26 +43,25 @@ def g2(a: np.ndarray, n: np.ndarray, toxic: int, total: int) -> np.ndarray:
     return np.where(a * total >= n * toxic, value, -value)
 
 
-def choose_features(docs: list[list[bytes]], toxic: list[bool]) -> tuple[list[bytes], set[bytes]]:
-    """Words whose presence depends on the label, and the strongest signs of toxicity; copies count once."""
+def choose_features(docs: list[tuple[bytes, dict[bytes, int], bool]]) -> list[bytes]:
+    """Words whose presence depends on the label, of (group, words, toxic); copies, which share a group, count once."""
     seen, n, a = set(), Counter(), Counter()
     groups = [0, 0]
-    for words, t in zip(docs, toxic):
-        key = (copy_group(words), t)
-        if key in seen:
+    for group, words, t in docs:
+        if (group, t) in seen:
             continue
-        seen.add(key)
-        own = {f for w in set(words) for f in signs(w)}
+        seen.add((group, t))
+        own = {f for w in words for f in signs(w)}
         n.update(own)
         groups[t] += 1
         if t:
             a.update(own)
     names = [w for w, k in n.items() if k >= 5]
     if not names or not all(groups):
-        return [], set()
+        return []
     value = g2(np.array([a[w] for w in names], float), np.array([n[w] for w in names], float), groups[1], sum(groups))
     order = sorted(range(len(names)), key=lambda i: (-abs(value[i]), names[i]))[:MOST_FEATURES]
-    return [names[i] for i in order if abs(value[i]) >= LEAST_G2], {names[i] for i in order if value[i] >= STRONG_G2}
+    return [names[i] for i in order if abs(value[i]) >= LEAST_G2]
 
 
 class WordFeatures(dict):
@@ -79,8 +79,12 @@ class WordFeatures(dict):
         self[word] = found = tuple(self.index[f] for f in signs(word) if f in self.index)
         return found
 
-    def of(self, words: list[bytes]) -> dict[int, float]:
-        return {j: 1 + float(np.log(k)) for j, k in Counter(j for found in map(self.__getitem__, words) if found for j in found).items()}
+    def of(self, words: dict[bytes, int]) -> dict[int, float]:
+        total: Counter[int] = Counter()
+        for w, k in words.items():
+            for j in self[w]:
+                total[j] += k
+        return {j: 1 + float(np.log(k)) for j, k in total.items()}
 
 
 def fit(x: np.ndarray, y: np.ndarray, grades: int, steps: int = 600, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -108,50 +112,71 @@ def fit(x: np.ndarray, y: np.ndarray, grades: int, steps: int = 600, ridge: floa
     return w, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
 
 
-def train(texts: list[bytes], toxic: list[bool]) -> dict | None:
+def features(names: list[bytes], docs: list[dict[bytes, int]]) -> np.ndarray:
+    found, x = WordFeatures({w: i for i, w in enumerate(names)}), np.zeros((len(docs), len(names)), np.float32)
+    for row, words in zip(x, docs):
+        for j, v in found.of(words).items():
+            row[j] = v
+    return x
+
+
+def grades(docs: list[tuple[bytes, dict[bytes, int], bool]]) -> np.ndarray:
+    """0 for documents that aren't toxic, 1 to GRADES - 1 for the others, by a model of the other half (1 if it can't tell)."""
+    toxic = np.array([t for _, _, t in docs])
+    half = np.array([sum(group) % 2 for group, _, _ in docs])
+    out = toxic.astype(np.int64)
+    for h in (0, 1):
+        mine, rest = np.flatnonzero(toxic & (half == h)), [d for d, x in zip(docs, half) if x != h]
+        names = choose_features(rest)
+        if not len(mine) or not names:
+            continue
+        w, _ = fit(features(names, [words for _, words, _ in rest]), np.array([int(t) for _, _, t in rest]), 2, 200)
+        rating = features(names, [docs[i][1] for i in mine]) @ w
+        cuts = np.quantile(rating, np.arange(1, GRADES - 1) / (GRADES - 1))
+        out[mine] = 1 + np.searchsorted(cuts, rating, side="left")
+    return out
+
+
+def train(docs: list[tuple[bytes, dict[bytes, int], bool]]) -> dict | None:
     """Features, weights and thresholds; None if the labels don't tell anything."""
-    docs = [plain_words(t) for t in texts]
-    names, strong = choose_features(docs, toxic)
+    names = choose_features(docs)
     if not names:
         return None
-    index = {w: i for i, w in enumerate(names)}
-    found = WordFeatures(index)
-    x = np.zeros((len(docs), len(names)), np.float32)
-    y = np.zeros(len(docs), np.int64)
-    for i, words in enumerate(docs):
-        for j, v in found.of(words).items():
-            x[i, j] = v
-        if toxic[i]:
-            y[i] = 1 + np.searchsorted([2, 4], sum(not strong.isdisjoint(signs(w)) for w in words), side="right")
-    w, theta = fit(x, y, GRADES)
-    return {"index": index, "w": w, "theta": theta}
+    w, theta = fit(features(names, [words for _, words, _ in docs]), grades(docs), GRADES)
+    return {"index": {n: i for i, n in enumerate(names)}, "w": w, "theta": theta}
 
 
 def above(model: dict, docs: list[list[bytes]]) -> np.ndarray:
     """(documents, thresholds): P(grade > k)."""
     found = model.setdefault("found", WordFeatures(model["index"]))
-    s = np.array([sum(model["w"][j] * v for j, v in found.of(words).items()) for words in docs], float)
+    s = np.array([sum(model["w"][j] * v for j, v in found.of(Counter(words)).items()) for words in docs], float)
     return 1 / (1 + np.exp(np.clip(model["theta"][None] - s[:, None], -40, 40)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str, most: int) -> list[tuple[bytes, bool]]:
-    """Texts and labels of about `most` documents of either label; the ids go to the scan, so no text is shuffled."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(toxic_col).isin(0, 1)).select(F.col(id_col).cast("bigint").alias("id"), F.col(toxic_col).cast("int").alias("t"))
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str, most: int) -> list[tuple[bytes, dict[bytes, int], bool]]:
+    """(group, words with counts, toxic) of `most` documents of either label at most; no text is shuffled or collected.
+
+    A hash draws about `most` labelled ids, which are broadcast to the scan. Of the different texts with those ids, as ids
+    may repeat, those of the smallest hashes are taken.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(toxic_col).isin(0, 1)).groupBy(F.col(id_col).cast("string").alias("id")).agg(F.max(F.col(toxic_col).cast("int")).alias("t"))
     counts = {r[0]: r[1] for r in known.groupBy("t").count().collect()}
-    rate = F.when(F.col("t") == 1, int(2**30 * min(1.0, most / max(1, counts.get(1, 0))))).otherwise(int(2**30 * min(1.0, most / max(1, counts.get(0, 0)))))
-    picked: dict[int, bool] = {}
-    for r in known.where(F.pmod(F.xxhash64(F.lit(21), "id"), F.lit(2**30)) < rate).collect():
-        picked[r["id"]] = picked.get(r["id"], False) or bool(r["t"])
-    sent = docs.sparkSession.sparkContext.broadcast(picked)
+    rate = {t: int(2**30 * min(1.0, most / max(1, counts.get(t, 0)))) for t in (0, 1)}
+    picked = known.where(F.pmod(F.xxhash64(F.lit(21), "id"), F.lit(2**30)) < F.when(F.col("t") == 1, rate[1]).otherwise(rate[0]))
+    own = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = own.join(F.broadcast(picked), "id").select("t", "text", F.xxhash64("text").alias("h"))  # about 2 * most ids
 
-    def pick(batches):
+    def count(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            at = [i for i, x in enumerate(ids) if x in sent.value]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), batch.column(1).take(pa.array(at, pa.int32()))], ["id", "text"])
+            for part in slices(batch, 1):
+                words = [plain_words(t) for t in byte_texts(part.column(1))]
+                tally = [Counter(w) for w in words]
+                columns = [part.column(0), part.column(2), pa.array([copy_group(w) for w in words], pa.binary()), pa.array([list(c) for c in tally], pa.list_(pa.binary())), pa.array([list(c.values()) for c in tally], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["t", "h", "g", "words", "n"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pick, "id bigint, text string").collect()
-    return sorted(((r["text"] or "").encode(), picked[r["id"]]) for r in rows)
+    rows = own.mapInArrow(count, "t int, h bigint, g binary, words array<binary>, n array<bigint>").dropDuplicates(["t", "h"])
+    out = [r for t in (0, 1) for r in rows.where(F.col("t") == t).orderBy("h").limit(most).collect()]
+    return [(bytes(r["g"]), dict(zip(map(bytes, r["words"]), r["n"])), bool(r["t"])) for r in sorted(out, key=lambda r: (r["t"], r["h"]))]
 
 
 def score_toxicity(
@@ -159,11 +184,12 @@ def score_toxicity(
 ) -> DataFrame:
     """A row for each document: id, severity (expected grade), grade, p_toxic, toxic (p_toxic of 0.5 or more).
 
-    Null and empty texts have no features and get the base rate; repeated rows repeat. Labels other than 0 and 1, and
-    labels without document, don't count; an id labelled both ways is toxic. If nothing can be learned all is 0.
+    Null and empty texts have no features and get the base rate; repeated rows repeat, and count once in training. Very long
+    texts are read whole. Labels other than 0 and 1, of a null id or without document don't count; an id labelled both ways
+    is toxic. Ids may be of any type. If nothing can be learned all is 0; no documents give no rows.
     """
     rows = training_rows(docs, labels, id_col, text_col, toxic_col, sample_docs)
-    model = docs.sparkSession.sparkContext.broadcast(train([t for t, _ in rows], [t for _, t in rows]))
+    model = docs.sparkSession.sparkContext.broadcast(train(rows))
 
     def score(batches):
         for batch in batches:

@@ -303,14 +303,40 @@ def test_ordinal_regression_recovers_thresholds():
 
 
 @needs_tables
-def test_toxic_documents(spark):
-    docs, labels_ = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+def test_toxic_documents(spark, monkeypatch):
+    sf, models, plain = "/root/testdata/sf0.1", [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda rows: models.append(plain(rows)) or models[-1])
+    docs, labels_ = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     scored = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, labels_.where("doc_id % 2 = 0")).collect()}
     test = [(scored[r["doc_id"]], r["toxic"]) for r in labels_.where("doc_id % 2 = 1").collect()]
     hit = np.mean([s["toxic"] for s, t in test if t])
     false = np.mean([s["toxic"] for s, t in test if not t])
-    assert hit > 0.5 and false < 0.05
-    assert all(abs(s["severity"]) <= 3 and 0 <= s["p_toxic"] <= 1 for s in scored.values())
+    assert hit >= 0.9 and false < 0.02, (hit, false)
+    model = models[-1]
+    for r in docs.where("doc_id % 97 = 0").collect():  # the formula, word by word
+        n = Counter(f for w in plain_words((r["text"] or "").encode()) for f in toxicity.signs(w))
+        x = sum(model["w"][j] * (1 + math.log(n[f])) for f, j in model["index"].items() if n[f])
+        over = [1 / (1 + math.exp(t - x)) for t in model["theta"]]
+        got = scored[r["doc_id"]]
+        assert got["severity"] == pytest.approx(sum(over)) and got["p_toxic"] == pytest.approx(over[0])
+        assert got["grade"] == sum(p >= 0.5 for p in over) and got["toxic"] == (over[0] >= 0.5)
+
+
+def test_toxic_grades_come_from_the_other_half():
+    r = random.Random(2)
+    docs = [(bytes([i % 251, i // 251]), {b"bad%d" % (i % 5): 1 + i % 4, b"plain": 1, b"w%d" % r.randrange(9): 2} if i % 3 == 0 else {b"plain": 2, b"w%d" % r.randrange(9): 1}, i % 3 == 0) for i in range(1200)]
+    got = toxicity.grades(docs)
+    assert set(got.tolist()) == {0, 1, 2, 3} and all((g > 0) == t for g, (_, _, t) in zip(got, docs))
+    assert toxicity.grades(docs[:1]).tolist() == [1] and toxicity.train([]) is None
+
+
+def test_toxic_sample_is_bounded(spark):
+    docs = spark.range(2000).selectExpr("'same' AS doc_id", "concat('some text ', id % 900) AS text")
+    labels_ = spark.createDataFrame([("same", 0), ("same", 1), (None, 1), ("x", 7)], "doc_id string, toxic int")
+    rows = toxicity.training_rows(docs, labels_, "doc_id", "text", "toxic", 50)
+    assert len(rows) == 50 and all(t for _, _, t in rows) and all(sum(w.values()) == 3 for _, w, _ in rows)
+    scored = toxicity.score_toxicity(docs, labels_.limit(0)).where("severity = 0 and not toxic")
+    assert scored.count() == 2000
 
 
 # ---- near duplicates ----
@@ -605,6 +631,35 @@ def test_quality_base_columns(spark):
     assert rate[1] > 0.9 and rate[0] < 0.3
 
 
+def test_quality_ratio_against_plain_counts(spark):
+    """kept and llr of every document, by dictionaries of n-grams (their hashes apart); ids are texts."""
+    r = random.Random(3)
+    texts = {f"d{i}": (words(60, i, 40) if i % 3 else " ".join(f"junk{r.randrange(30)}" for _ in range(60))) for i in range(90)} | {"e": "", "n": None, "s": "one two"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    labels_ = spark.createDataFrame([(f"d{i}", int(i % 3 > 0)) for i in range(60)] + [(None, 1), ("x", 1)], "doc_id string, quality int")
+    bucket, known = lambda g: known.setdefault(g, ngram(g)), {}
+
+    def ngram(g):
+        hashes, lengths = quality.hashed_words([" ".join(g).encode()])
+        return int(quality.ngram_buckets(hashes, lengths)[0][-1])
+
+    grams = {i: [bucket((w,)) for w in t.split()] + [bucket(g) for g in zip(t.split(), t.split()[1:])] for i, t in ((i, t or "") for i, t in texts.items())}
+    raw, target = Counter(), Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        if i[0] == "d" and int(i[1:]) < 60 and int(i[1:]) % 3:
+            target.update(g)
+    share = lambda c, b: math.log((c[b] + quality.SMOOTHING) / (sum(c.values()) + quality.SMOOTHING * quality.BUCKETS))
+    ratio = {i: sum(share(target, b) - share(raw, b) for b in g) / max(1, len(g)) for i, g in grams.items()}
+    limit = float(np.median([v for i, v in ratio.items() if i[0] == "d"])) + 1e-6
+    rows = quality.quality(docs, labels_, threshold=limit).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        want = ratio[row["doc_id"]]
+        assert row["llr"] == pytest.approx(want, abs=1e-9) and row["kept"] == (not row["base_failed"] and want >= limit)
+    assert {row["kept"] for row in rows} == {True, False}
+
+
 # ---- tokens ----
 def unigram():
     from tokenizers import Tokenizer, models
