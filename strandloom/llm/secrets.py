@@ -1,9 +1,10 @@
 """Secret scans through nested encodings.
 
 A text is a first layer. Each layer is scanned for secrets, then unwrapped: percent escapes, Unicode escapes, base64 runs
-and the compressed data in any of them give new layers, until no new one comes up; bytes that aren't UTF-8 are layers of
-Latin-1 characters. Every character of a layer knows its
-span in the original text, so that a secret of any layer is reported where it lies there.
+and the compressed data in any of them give new layers, until no new one comes up. Bytes are decompressed until nothing in
+them is compressed any more; those that aren't UTF-8 are layers of Latin-1 characters, those that look like UTF-16 are read
+as such as well. A layer knows how its characters lie in the layer above, so that a secret of any layer is reported where it
+lies in the text. What a compressed stream gives is one place in the text, so a long one is looked through in chunks.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -34,7 +37,7 @@ WORDS = ("password", "passwd", "secret", "token", "api")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Within such a run: what may be base64 in a path or behind a dash.
 PART = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
-FOLDED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n)+[A-Za-z0-9+/_-]{2,}={0,2}")
+FOLDED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}\r?\n)+[A-Za-z0-9+/_-]{2,}={0,2}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 #: What a layer of bytes must have so that it can hold secrets or further layers: all patterns above start with one of these.
@@ -43,10 +46,47 @@ ACTIVE = re.compile(rb"[A-Za-z0-9+/_-]{16}|%[0-9a-f]{2}|\\[ux]|&#[x0-9]|password
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 PADDING = re.compile(rb"\x00*")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
-#: Decompressed data of one layer is read this far; what goes beyond is counted in n_oversize.
-LARGEST_LAYER = 64_000_000
+#: Decompressed data come in chunks of so many bytes, or more where a run of characters or a stream within goes on; each
+#: begins with the end of the one before.
+CHUNK, OVERLAP = 32_000_000, 1_000_000
+#: What may go on in the next chunk: all but blanks and control characters.
+UNBROKEN = bytes([10, 13, *range(33, 127)])
 
-Layer = tuple[str, list[int] | None, list[int] | None]
+
+class Layer:
+    """A text; above, the layer that it was unwrapped from, and up(a, b), where characters a to b lie there."""
+
+    __slots__ = ("text", "above", "up")
+
+    def __init__(self, text: str, above: Layer | None = None, up: Callable[[int, int], tuple[int, int]] | None = None):
+        self.text, self.above, self.up = text, above, up
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """The span in the first text of characters a to b of this one."""
+        layer = self
+        while layer.above is not None:
+            a, b = layer.up(a, b)
+            layer = layer.above
+        return a, b
+
+
+class Pieces:
+    """Runs of characters that each stand for `step` characters of the layer above, from `start` on."""
+
+    def __init__(self):
+        self.at, self.start, self.step, self.size = array("q"), array("q"), array("q"), 0
+
+    def add(self, n: int, start: int, step: int) -> None:
+        if n:
+            if not (self.at and self.step[-1] == step and self.start[-1] + (self.size - self.at[-1]) * step == start):
+                self.at.append(self.size)
+                self.start.append(start)
+                self.step.append(step)
+            self.size += n
+
+    def up(self, a: int, b: int) -> tuple[int, int]:
+        i, j = bisect_right(self.at, a) - 1, bisect_right(self.at, b - 1) - 1
+        return self.start[i] + (a - self.at[i]) * self.step[i], self.start[j] + (b - self.at[j]) * self.step[j]
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
@@ -66,47 +106,81 @@ def find(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _member(data: bytes, at: int, room: int) -> tuple[bytes, int, bool] | None:
-    """(output, place behind it, whether there is more than room) of the compressed stream at a place, None if there is none.
+def _decompressor(head: bytes):
+    """A decompressor for a stream with these first bytes, and how many bytes it takes at a time; None if it is none."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and head[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
+        return zlib.decompressobj(47), 1 << 16
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor(), 1 << 16
+    if head == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(), 1 << 16
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj(), 1 << 10  # it takes no limit, few bytes give little
+    return None
+
 
-    Of a stream that is damaged farther on the steps before that are kept.
+def _stream(data: bytes, at: int) -> Iterator[tuple[bytes, int, bool]]:
+    """(output, place behind what was read, whether the stream has ended) of the compressed stream at a place, in steps.
+
+    A stream that is damaged farther on ends there.
     """
-    head, step = data[at : at + 6], 1 << 16
-    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and head[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
-        d = zlib.decompressobj(47)
-    elif head[:3] == b"BZh":
-        d = bz2.BZ2Decompressor()
-    elif head == b"\xfd7zXZ\x00":
-        d = lzma.LZMADecompressor()
-    elif head[:4] == b"\x28\xb5\x2f\xfd":
-        d, step = zstandard.ZstdDecompressor().decompressobj(), 1 << 10  # it takes no limit, few bytes give little
-    else:
-        return None
-    out: list[bytes] = []
-    size, limit = 0, [] if step == 1 << 10 else [room + 1]
+    made = _decompressor(data[at : at + 6])
+    if made is None:
+        return
+    d, step = made
+    limit = [] if step == 1 << 10 else [1 << 20]
     try:
-        while not d.eof and at < len(data) and size <= room:
-            piece = data[at : at + step]
-            out.append(d.decompress(piece, *limit))
-            size += len(out[-1])
+        while not d.eof:
+            piece = data[at : at + step] if getattr(d, "needs_input", True) else b""
+            out = d.decompress(piece, *limit)
+            if not piece and not out:
+                return
             at += len(piece) - len(d.unused_data) - len(getattr(d, "unconsumed_tail", b""))
+            yield out, at, d.eof
     except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        if not size:
-            return None
-        at = len(data)
-    return b"".join(out)[:room], at, size > room
-
-
-def inflate(data: bytes) -> tuple[bytes, bool] | None:
-    """Decompressed data, of all members, and whether it went beyond LARGEST_LAYER; None if it isn't compressed."""
-    out: list[bytes] = []
-    at, room, over = 0, LARGEST_LAYER, False
-    while not over and (got := _member(data, at, room)) is not None:
-        part, at, over = got
-        out.append(part)
-        room -= len(part)
-        at = PADDING.match(data, at).end()
-    return (b"".join(out), over) if out else None
+        return
+
+
+def _members(data: bytes, at: int) -> Iterator[bytes]:
+    """The output of the compressed streams that follow each other from a place on."""
+    end, ended = at, True
+    while ended:
+        ended = False
+        for out, end, ended in _stream(data, end):
+            if out:
+                yield out
+        end = PADDING.match(data, end).end()
+
+
+def _goes_on(data: bytes) -> bool:
+    """Whether the end of data lies within a run of characters or a compressed stream that begins before the overlap."""
+    edge = len(data) - OVERLAP
+    if len(data.rstrip(UNBROKEN)) < edge:
+        return True
+    for m in MAGIC.finditer(data, 0, edge):
+        end, ended = 0, True
+        for _, end, ended in _stream(data, m.start()):
+            pass
+        if not ended and end >= len(data):
+            return True
+    return False
+
+
+def inflate(data: bytes, at: int = 0) -> Iterator[bytes]:
+    """What the compressed streams from a place on give, in chunks that begin with the end of the one before."""
+    held, limit = bytearray(), CHUNK
+    for out in _members(data, at):
+        held += out
+        if len(held) >= limit:
+            chunk = bytes(held)
+            if _goes_on(chunk):
+                limit += CHUNK
+            else:
+                yield chunk
+                del held[: len(held) - OVERLAP]
+                limit = len(held) + CHUNK
+    if held:
+        yield bytes(held)
 
 
 def readable(data: bytes) -> str | None:
@@ -118,130 +192,133 @@ def readable(data: bytes) -> str | None:
     return text if text and len(CONTROL.findall(text)) * 20 <= len(text) else None
 
 
-def legible(data: bytes) -> str | None:
-    """data as the characters of _decoded(): readable text, or any other bytes that may hold something."""
-    if (text := readable(data)) is not None or not ACTIVE.search(data):
-        return text
-    try:
-        return data.decode()
-    except UnicodeDecodeError:
-        return data.decode("latin-1")
-
-
-def _span(layer: Layer, a: int, b: int) -> tuple[int, int]:
-    _, starts, ends = layer
-    return (a, b) if starts is None else (starts[a], ends[b - 1])
+def readings(data: bytes) -> Iterator[tuple[str, Callable[[int], int] | None]]:
+    """data as texts that may hold something, and from a place in the text to the byte (None: the same).
 
-
-def _contents(data: bytes) -> Iterator[tuple[bytes, bool]]:
-    """What data decompresses to as a whole, and each stream within it."""
-    if (got := inflate(data)) is not None:
-        yield got
-    for m in MAGIC.finditer(data, 1):
-        if (member := _member(data, m.start(), LARGEST_LAYER)) is not None:
-            yield member[0], member[2]
+    UTF-8, or characters of one byte each where it isn't that, and UTF-16 where every other byte is mostly 0.
+    """
+    for first, code in ((1, "utf-16-le"), (0, "utf-16-be")):
+        half = data[first::2]
+        if len(half) >= 8 and half.count(0) * 2 > len(half):
+            wide = data[: len(data) // 2 * 2].decode(code, "replace")
+            yield wide, lambda i: len(wide[:i].encode(code))  # noqa: B023
+            break
+    text = readable(data)
+    if text is None and ACTIVE.search(data):
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            yield data.decode("latin-1"), None
+    if text is not None:
+        yield text, None if text.isascii() else lambda i: len(text[:i].encode())
 
 
-def _packed(layer: Layer, data: bytes, a: int, b: int) -> tuple[list[Layer], int]:
-    """The layers of what data gives, decompressed until it isn't compressed, all at the span a to b of the layer."""
+def _packed(layer: Layer, data: bytes, a: int, b: int) -> list[Layer]:
+    """The layers of what data gives, decompressed until nothing in it is compressed, all at the span a to b of the layer."""
     out: list[Layer] = []
-    work, seen, over = [data], set(), 0
+    work, seen = [data], set()
     while work:
-        for got, cut in _contents(work.pop()):
-            if (key := hashlib.sha256(got).digest()) in seen:
-                continue
-            seen.add(key)
-            over += cut
-            work.append(got)
-            if (text := legible(got)) is not None:
-                start, end = _span(layer, a, b)
-                out.append((text, [start] * len(text), [end] * len(text)))
-    return out, over
-
-
-def _decoded(data: bytes) -> list[tuple[str, int, int]]:
-    """(character, first byte, last byte + 1); bytes that aren't UTF-8 stand for themselves."""
-    try:
-        text, at, out = data.decode(), 0, []
-    except UnicodeDecodeError:
-        return [(chr(x), i, i + 1) for i, x in enumerate(data)]
-    for c in text:
-        n = len(c.encode())
-        out.append((c, at, at + n))
-        at += n
+        data = work.pop()
+        for at in (0, *(m.start() for m in MAGIC.finditer(data, 1))):
+            for got in inflate(data, at):
+                if (key := hashlib.sha256(got).digest()) not in seen:
+                    seen.add(key)
+                    work.append(got)
+                    out += [Layer(text, layer, lambda *_: (a, b)) for text, _ in readings(got)]
     return out
 
 
-def _escapes(layer: Layer, pattern: re.Pattern) -> tuple[list[Layer], int]:
-    """The whole layer with all escapes of one sort replaced, and layers from compressed bytes among them."""
-    text = layer[0]
-    chars: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    extra: list[Layer] = []
-    over = at = 0
+def _escapes(layer: Layer, pattern: re.Pattern) -> list[Layer]:
+    """The whole layer with all escapes of one sort replaced, and layers from compressed or wide bytes among them."""
+    text, parts, pieces, extra, at = layer.text, [], Pieces(), [], 0
+    high: tuple[int, int, int] | None = None  # the first half of a surrogate pair, with its place
 
-    def put(c: str, a: int, b: int) -> None:
-        chars.append(c)
-        a, b = _span(layer, a, b)
-        starts.append(a)
-        ends.append(b)
+    def put(c: str, start: int, step: int) -> None:
+        parts.append(c)
+        pieces.add(len(c), start, step)
 
-    def plain(a: int, b: int) -> None:
-        chars.extend(text[a:b])
-        starts.extend(range(a, b) if layer[1] is None else layer[1][a:b])
-        ends.extend(range(a + 1, b + 1) if layer[2] is None else layer[2][a:b])
+    def lone() -> None:
+        nonlocal high
+        if high is not None:
+            put("\ufffd", high[1], high[2] - high[1])
+            high = None
 
     for m in pattern.finditer(text):
-        plain(at, m.start())
+        if m.start() > at or high is None or m[0][:1] != "\\":
+            lone()
+        put(text[at : m.start()], at, 1)
         at, s = m.end(), m[0]
         if s[0] == "%" or s[:2] == "\\x":
+            lone()
             step = 3 if s[0] == "%" else 4
-            data = bytes(int(s[i + step - 2 : i + step], 16) for i in range(0, len(s), step))
+            data = bytes.fromhex(s.replace("%" if step == 3 else "\\x", ""))
             if len(data) >= 10:
-                got, n = _packed(layer, data, m.start(), m.end())
-                extra, over = extra + got, over + n
-            for c, a, b in _decoded(data):
-                put(c, m.start() + a * step, m.start() + b * step)
+                extra += _packed(layer, data, m.start(), m.end())
+                extra += _wide(layer, data, lambda i, j, a=m.start(), step=step: (a + i * step, a + j * step))
+            try:
+                here = data.decode()
+            except UnicodeDecodeError:
+                here = data.decode("latin-1")
+                put(here, m.start(), step)
+                continue
+            if here.isascii():
+                put(here, m.start(), step)
+                continue
+            spot = m.start()
+            for c in here:
+                n = len(c.encode()) * step
+                put(c, spot, n)
+                spot += n
+            continue
+        code = int(s[3:-1], 16) if s[:3] in ("&#x", "&#X", "\\u{") else int(s[2:-1]) if s[0] == "&" else int(s[2:], 16)
+        if 0xDC00 <= code < 0xE000 and high is not None:
+            put(chr(0x10000 + ((high[0] - 0xD800) << 10) + code - 0xDC00), high[1], m.end() - high[1])
+            high = None
+            continue
+        lone()
+        if 0xD800 <= code < 0xDC00:
+            high = (code, m.start(), m.end())
         else:
-            code = int(s[3:-1], 16) if s[:3] in ("&#x", "&#X", "\\u{") else int(s[2:-1]) if s[0] == "&" else int(s[2:], 16)
-            if 0xDC00 <= code < 0xE000 and chars and 0xD800 <= ord(chars[-1]) < 0xDC00:
-                chars[-1] = chr(0x10000 + ((ord(chars[-1]) - 0xD800) << 10) + code - 0xDC00)
-                ends[-1] = _span(layer, m.start(), m.end())[1]
-            else:
-                put(chr(code) if code < 0x110000 else "�", m.start(), m.end())
+            put(chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "\ufffd", m.start(), m.end() - m.start())
     if not at:
-        return [], 0
-    plain(at, len(text))
-    whole = "".join(c if not 0xD800 <= ord(c) < 0xE000 else "�" for c in chars)
-    return [(whole, starts, ends), *extra], over
+        return []
+    lone()
+    put(text[at:], at, 1)
+    return [Layer("".join(parts), layer, pieces.up), *extra]
+
+
+def _wide(layer: Layer, data: bytes, place: Callable[[int, int], tuple[int, int]]) -> list[Layer]:
+    """The UTF-16 reading of bytes, if they have one; place(i, j) is where bytes i to j lie in the layer."""
+    return [Layer(t, layer, lambda a, b, to=to: place(to(a), to(b))) for t, to in readings(data) if to is not None and len(t) * 2 <= len(data) + 1 and "\0" not in t[:8]]
 
 
-def _base64(layer: Layer) -> tuple[list[Layer], int]:
-    text, out, over = layer[0], [], 0
+def _base64(layer: Layer) -> list[Layer]:
+    text, out = layer.text, []
 
-    def decode(lo: int, hi: int) -> bool:
-        nonlocal over
-        body = [i for i in range(lo, hi) if text[i] not in "=\r\n"]
-        if len(body) % 4 == 1:
+    def decode(lo: int, hi: int, folded: bool = False) -> bool:
+        digits = text[lo:hi].translate(_DIGITS)
+        if len(digits) % 4 == 1:
             return False
-        digits = "".join(text[i] for i in body).replace("-", "+").replace("_", "/")
         try:
             data = base64.b64decode(digits + "=" * (-len(digits) % 4))
         except (binascii.Error, ValueError):
             return False
-        got, n = _packed(layer, data, lo, hi)
-        over += n
+        body: list[int] = []
+
+        def place(i: int, j: int) -> tuple[int, int]:
+            """Byte i is in digits 8i // 6 to (8i + 7) // 6."""
+            i, j = 8 * i // 6, (8 * j - 1) // 6
+            if folded:
+                if not body:
+                    body.extend(k for k in range(lo, hi) if text[k] not in "=\r\n")
+                return body[i], body[j] + 1
+            return lo + i, lo + j + 1
+
+        got = _packed(layer, data, lo, hi)
         out.extend(got)
-        if (inner := legible(data)) is None:
-            return bool(got)
-        starts, ends = [], []
-        for _, a, b in _decoded(data):  # byte j is in digits 8j // 6 to (8j + 7) // 6
-            first, last = _span(layer, body[8 * a // 6], body[(8 * b - 1) // 6] + 1)
-            starts.append(first)
-            ends.append(last)
-        out.append((inner, starts, ends))
-        return bool(got) or readable(data) is not None
+        found = list(readings(data))
+        out.extend(Layer(t, layer, (lambda a, b, to=to: place(to(a), to(b))) if to else place) for t, to in found)
+        return bool(got) or readable(data) is not None or any(to for _, to in found)
 
     for run in RUN.finditer(text):
         if not decode(*run.span()):
@@ -249,42 +326,45 @@ def _base64(layer: Layer) -> tuple[list[Layer], int]:
                 if part.span() != run.span():
                     decode(*part.span())
     for run in FOLDED.finditer(text) if "\n" in text else ():
-        decode(*run.span())
-    return out, over
+        decode(*run.span(), True)
+    return out
+
+
+#: The URL-safe digits as the others, without padding and line ends.
+_DIGITS = str.maketrans("-_", "+/", "=\r\n")
 
 
-def unwrap(layer: Layer) -> tuple[list[Layer], int]:
-    """The layers one step below, and how many of them were cut at LARGEST_LAYER."""
-    text = layer[0]
-    out, over = _base64(layer)
+def unwrap(layer: Layer) -> list[Layer]:
+    """The layers one step below."""
+    text, out = layer.text, _base64(layer)
     for pattern, there in ((PERCENT, "%" in text), (ESCAPE, "\\" in text or "&#" in text)):
         if there:
-            got, n = _escapes(layer, pattern)
-            out, over = out + got, over + n
-    return out, over
+            out += _escapes(layer, pattern)
+    return out
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """Base spans, all spans (start, kind, end), number of layers and of layers that were cut.
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
+    """Base spans, all spans (start, kind, end), and the number of layers.
 
     A layer that comes up again at the same place (as a self-reproducing archive would) is not followed again.
     """
     base = find(text)
-    spans, seen, over = set(base), set(), 0
-    work: list[Layer] = [(text, None, None)]
+    spans, seen = set(base), set()
+    work = [Layer(text)]
     while work:
         layer = work.pop()
-        body, starts, ends = layer
-        key = (hashlib.sha256(body.encode("utf-8", "replace")).digest(), starts[0], ends[-1]) if starts else None
+        if layer.above is not None and not layer.text:
+            continue
+        key = (hashlib.sha256(layer.text.encode("utf-8", "replace")).digest(), *layer.span(0, len(layer.text))) if layer.above is not None else None
         if key in seen:
             continue
         seen.add(key)
-        if starts is not None:
-            spans.update((starts[a], kind, ends[b - 1]) for a, kind, b in find(body))
-        got, n = unwrap(layer)
-        work += got
-        over += n
-    return base, sorted(spans), len(seen), over
+        if layer.above is not None:
+            for a, kind, b in find(layer.text):
+                start, end = layer.span(a, b)
+                spans.add((start, kind, end))
+        work += unwrap(layer)
+    return base, sorted(spans), len(seen)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -302,14 +382,15 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redacted: bool = False) -> DataFrame:
-    """A row for each document: id, n_assign, n_access, n_hex, base_sha256, spans, n_spans, n_layers, n_oversize.
+    """A row for each document: id, n_assign, n_access, n_hex, base_sha256, spans, n_spans, n_layers.
 
     The counts and base_sha256 are of secrets in the plain text; spans also has those of deeper layers. A null text is
-    empty and has no spans; repeated rows give repeated results. With redacted, a column of that name has the text
-    without its secrets (null for null).
+    empty and has no spans; repeated rows give repeated results, no documents none. Very long texts and layers are scanned
+    whole. Of spans that begin alike the kinds stand in order. With redacted, a column of that name has the text without
+    its secrets (null for null).
     """
     id_type = docs.schema[id_col].dataType
-    names = [("n_assign", "bigint"), ("n_access", "bigint"), ("n_hex", "bigint"), ("base_sha256", "string"), ("spans", "string"), ("n_spans", "bigint"), ("n_layers", "bigint"), ("n_oversize", "bigint")]
+    names = [("n_assign", "bigint"), ("n_access", "bigint"), ("n_hex", "bigint"), ("base_sha256", "string"), ("spans", "string"), ("n_spans", "bigint"), ("n_layers", "bigint")]
     more = [("redacted", "string")] if redacted else []
     kinds = {"bigint": pa.int64(), "string": pa.string()}
 
@@ -321,9 +402,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out = arrow_rows(schema)
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = text.as_py()
-                base, spans, layers, over = scan(raw or "")
+                base, spans, layers = scan(raw or "")
                 of = [sum(1 for s in base if s[1] == k) for k in range(3)]
-                row = (id_, *of, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans), layers, over)
+                row = (id_, *of, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans), layers)
                 yield from out.add(*row, *([raw and redact(raw, spans)] if redacted else []))
         if schema is not None:
             yield from out.flush()
@@ -335,7 +416,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """The documents with the secrets of all layers replaced in text_col, other columns as they were.
 
-    length_col, if docs have it, becomes the length of a text that changed. A null text stays null.
+    length_col, if docs have it, becomes the length of a text that changed. A null text stays null, an empty one empty; very
+    long texts are scanned whole; repeated rows stay repeated, no documents give none. Overlapping secrets are replaced by
+    one mark. Columns may have any names.
     """
     names = docs.columns
     at, length = names.index(text_col), names.index(length_col) if length_col in names else None
