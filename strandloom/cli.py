@@ -1,4 +1,4 @@
-"""Command line: `python -m strandloom.cli pileup ...` and `... cluster ...`."""
+"""Command line: `python -m strandloom.cli pileup ...`, `... cluster ...` and `... convert ...`."""
 
 from __future__ import annotations
 
@@ -14,35 +14,49 @@ from .session import build_session
 from .sources import alignments, genome, lists, pileup, vcf
 
 
+def chromosomes(text: str) -> list[str]:
+    names = [x.strip().upper() for x in text.split(",") if x.strip()]
+    if wrong := [x for x in names if x not in CHROMOSOMES]:
+        raise argparse.ArgumentTypeError(f"no such chromosome: {', '.join(wrong)}")
+    return names
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
     p = sub.add_parser("pileup", help="alignments to pileups")
     c = sub.add_parser("cluster", help="pileups to clusters and variants")
-    for x in (p, c):
+    t = sub.add_parser("convert", help="text pileups to binary ones")
+    for x in (p, c, t):
         x.add_argument("-i", required=True, help="input files or folder")
         x.add_argument("-o", required=True, help="output folder")
-        x.add_argument("--chromosomes", default=",".join(CHROMOSOMES[:23]))
         x.add_argument("--num_threads", default="*")
+    for x in (p, c):
+        x.add_argument("--chromosomes", type=chromosomes, default=CHROMOSOMES[:23])
         x.add_argument("--max_coverage", type=int, default=100)
     for name, value in (("min_base_quality", 30), ("min_map_quality", 30), ("min_map_score", 0), ("min_different", 3)):
         p.add_argument(f"--{name}", type=int, default=value)
     p.add_argument("--format", choices=("bin", "txt", "parquet"), default="bin")
     for name, value in (("seq_error_rate", 0.01), ("mutation_rate", 0.01), ("homozygous_filtered_rate", 0.5), ("heterozygous_prob", 1e-3)):
         c.add_argument(f"--{name}", type=float, default=value)
-    for name, value in (("merge_count", 1), ("tumor_purity", 5), ("min_cluster_size", 100), ("max_cell_count", 10_000)):
+    for name, value in (("merge_count", 1), ("min_cluster_size", 100), ("max_cell_count", 10_000)):
         c.add_argument(f"--{name}", type=int, default=value)
-    for name, value in (("merge_file", ""), ("clustering_type", "SPECTRAL6"), ("reference_genome", ""), ("map_file", ""), ("termination", "BIC"), ("normalization", "ADD_MIN"), ("pos_file", ""), ("clustering", "")):
-        c.add_argument(f"--{name}", default=value)
-    c.add_argument("--expectation_maximization", action="store_true")
+    c.add_argument("--tumor_purity", type=int, choices=range(1, 6), default=5)
+    for name, allowed in (("clustering_type", ("SPECTRAL6", "SPECTRAL2", "FIEDLER")), ("termination", ("BIC", "AIC")), ("normalization", ("ADD_MIN", "EXPONENTIATE", "SCALE_MAX_1"))):
+        c.add_argument(f"--{name}", choices=allowed, default=allowed[0])
+    for name in ("merge_file", "reference_genome", "map_file", "pos_file", "clustering"):
+        c.add_argument(f"--{name}", default="")
+    for name in ("expectation_maximization", "arma_kmeans", "compute_read_stats", "all_matrices"):
+        c.add_argument(f"--{name}", action="store_true")
     return top
 
 
 def run_pileup(spark, a) -> None:
-    files = sorted(os.path.join(d, f) for d, _, names in os.walk(a.i) for f in names if f.endswith((".bam", ".sam"))) if os.path.isdir(a.i) else a.i.split(",")
-    wanted = [CHROMOSOMES.index(x) for x in a.chromosomes.split(",")]
-    obs = alignments.build_pileup(alignments.read_alignments(spark, files), a.min_different, a.max_coverage, a.min_base_quality, a.min_map_quality, a.min_map_score)
-    obs = obs.where(F.col("chromosome_id").isin(wanted))
+    files = sorted(os.path.join(d, f) for d, _, names in os.walk(a.i) for f in names if f.endswith((".bam", ".sam"))) if os.path.isdir(a.i) else sorted(a.i.split(","))
+    if not files:
+        raise SystemExit(f"no alignments in {a.i}")
+    os.makedirs(a.o, exist_ok=True)
+    obs = alignments.build_pileup(alignments.read_alignments(spark, files, a.chromosomes), a.min_different, a.max_coverage, a.min_base_quality, a.min_map_quality, a.min_map_score)
     if a.format == "parquet":
         obs.write.partitionBy("chromosome_id").parquet(os.path.join(a.o, "pileup.parquet"))
     elif a.format == "txt":
@@ -53,22 +67,29 @@ def run_pileup(spark, a) -> None:
         f.writelines(f"{alignments.cell_name(p)}\t{i}\n" for i, p in enumerate(files))
 
 
+def run_convert(spark, a) -> None:
+    pileup.convert_text(spark, pileup.discover(a.i), a.o)
+
+
 def run_cluster(spark, a) -> None:
     os.makedirs(a.o, exist_ok=True)
     groups = lists.cell_grouping(spark, a.merge_count, a.merge_file or None, a.max_cell_count)
     listed = lists.read_positions(spark, a.pos_file) if a.pos_file else None
-    wanted = [CHROMOSOMES.index(x) for x in a.chromosomes.split(",")]
-    obs = pileup.read_pileup(spark, a.i, a.max_coverage, listed, groups).where(F.col("chromosome_id").isin(wanted)).persist()
+    obs = pileup.read_pileup(spark, a.i, a.max_coverage, listed, groups, chromosomes=a.chromosomes).persist()
+    if a.compute_read_stats:
+        print(pileup.statistics(obs).first().asDict())
     if a.clustering:
-        labels = lists.read_clustering(spark, a.clustering)
+        labels = lists.group_labels(lists.read_clustering(spark, a.clustering), groups)
     else:
-        settings = Settings(a.seq_error_rate, a.mutation_rate, a.homozygous_filtered_rate, a.tumor_purity - 1, a.normalization, a.clustering_type, a.termination, a.min_cluster_size, a.expectation_maximization, max_cells=a.max_cell_count)
-        labels = divide(obs, settings)
+        settings = Settings(
+            a.seq_error_rate, a.mutation_rate, a.homozygous_filtered_rate, a.tumor_purity - 1, a.normalization, a.clustering_type, a.termination, a.min_cluster_size, a.expectation_maximization,
+            max_cells=a.max_cell_count, plain_kmeans=a.arma_kmeans,
+        )
+        labels = divide(obs, settings, lambda level: lists.write_level(level, a.o, a.all_matrices))
         lists.write_clustering(lists.spread_groups(labels, groups), os.path.join(a.o, "clustering"))
     if a.reference_genome:
         reference = genome.reference_genotypes(spark, a.reference_genome, obs, a.map_file or None)
         own, common, calls = variants.variant_table(obs, labels, reference, a.seq_error_rate, a.heterozygous_prob)
-        own = own.persist()
         for cluster in sorted(r[0] for r in labels.select("cluster_id").distinct().collect()):
             vcf.write_file(own.where(F.col("cluster_id") == cluster), os.path.join(a.o, f"cluster_{cluster}.vcf"), a.reference_genome, cluster)
         vcf.write_file(common, os.path.join(a.o, "common.vcf"), a.reference_genome, None)
@@ -78,7 +99,7 @@ def run_cluster(spark, a) -> None:
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = build_session(a.num_threads)
-    (run_pileup if a.command == "pileup" else run_cluster)(spark, a)
+    {"pileup": run_pileup, "cluster": run_cluster, "convert": run_convert}[a.command](spark, a)
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,8 @@ class Settings:
     #: A dense matrix of so many cells is what the driver takes: 800 MB of doubles.
     max_cells: int = 10_000
     seed: int = 0
+    #: Plain k-means with spread starts in the place of the weighted one.
+    plain_kmeans: bool = False
 
     def __post_init__(self) -> None:
         for name, allowed in (("normalization", ("ADD_MIN", "EXPONENTIATE", "SCALE_MAX_1")), ("kind", ("FIEDLER", "SPECTRAL2", "SPECTRAL6")), ("termination", ("AIC", "BIC"))):
@@ -60,36 +63,55 @@ def matrix_of(obs: DataFrame, cells: list[int], s: Settings) -> np.ndarray:
     return normalized(out, s.normalization)
 
 
-def divide(obs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(cell_id, cluster_id): 0 for cells of no cluster. One level of the tree at a time, from the root.
+@dataclass(frozen=True)
+class Level:
+    """One node of the tree: marker is '' for the root, then a letter for each step down ('A' for the first cluster)."""
+
+    marker: str
+    cells: list[int]
+    loci: DataFrame  # significant ones
+    labels: list[int]  # of the cells, from 0
+    clusters: int
+    info: dict  # of linalg.spectral_clusters()
+    refined: list[float] | None  # probabilities of the second cluster after expectation maximization
+
+
+def divide(obs: DataFrame, settings: Settings = Settings(), watch: Callable[[Level], None] | None = None) -> DataFrame:
+    """(cell_id, cluster_id): 0 for cells of no cluster. Depth first, so that a cluster's parts are numbered before the next.
 
-    obs should be persisted; every node of the tree starts from it with a small list of its cells.
+    The share of tumour cells holds for the root; below it clusters are taken to be of equal size. obs should be persisted;
+    every node of the tree starts from it with a small list of its cells. watch is called for each node that was looked at.
     """
     spark = obs.sparkSession
     all_cells = sorted(r[0] for r in obs.select("cell_id").distinct().limit(settings.max_cells + 1).collect())
-    labels, next_id, work = dict.fromkeys(all_cells, 0), 1, [all_cells]
+    if len(all_cells) > settings.max_cells:
+        raise ValueError(f"more than {settings.max_cells} cells; a dense matrix takes no more")
+    labels, next_id, work = dict.fromkeys(all_cells, 0), 1, [("", all_cells)]
     while work:
-        cells = work.pop(0)
+        marker, cells = work.pop()
         frame = spark.createDataFrame([(c,) for c in cells], "cell_id int")
         own = obs.join(F.broadcast(frame), "cell_id", "left_semi")  # at most max_cells ids
-        loci = significance.significant_loci(own, settings.theta, settings.proportion).persist()
+        loci = significance.significant_loci(own, settings.theta, settings.proportion if not marker else 4).persist()
         coverage = loci.agg(F.avg("coverage")).first()[0] or 0.0
         if coverage >= settings.least_coverage:
             kept = significance.keep_loci(own, loci)
-            found, k, _ = linalg.spectral_clusters(matrix_of(kept, cells, settings), settings.kind, settings.termination, settings.seed)
+            found, k, info = linalg.spectral_clusters(matrix_of(kept, cells, settings), settings.kind, settings.termination, settings.seed, settings.plain_kmeans)
+            refined = None
             if k > 1:
                 if settings.expectation_maximization and k == 2:
                     start = spark.createDataFrame([(c, float(x)) for c, x in zip(cells, found)], "cell_id int, p double")
                     soft = {r["cell_id"]: r["p"] for r in em.refine(kept, start, settings.theta).collect()}
-                    rounded = [round(soft[c]) if abs(soft[c] - round(soft[c])) <= 0.05 else -1 for c in cells]
+                    refined = [soft[c] for c in cells]
+                    rounded = [round(p) if abs(p - round(p)) <= 0.05 else -1 for p in refined]
                 else:
                     rounded = list(found)
                 for c, x in zip(cells, rounded):
                     labels[c] = next_id + int(x) if x >= 0 else 0
                 next_id += k
-                for x in range(k):
-                    child = [c for c, y in zip(cells, rounded) if y == x]
-                    if len(child) >= settings.min_cluster_size and len(cells) - len(child) >= settings.min_cluster_size:
-                        work.append(child)
+                parts = [(marker + chr(ord("A") + x), [c for c, y in zip(cells, rounded) if y == x]) for x in range(k)]
+                large = [p for p in parts if len(p[1]) >= settings.min_cluster_size and len(cells) - len(p[1]) >= settings.min_cluster_size]
+                work += large[::-1]
+            if watch:
+                watch(Level(marker, cells, loci, [int(x) for x in found], k, info, refined))
         loci.unpersist()
     return spark.createDataFrame(sorted(labels.items()), "cell_id int, cluster_id int")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import running_sums
+
 
 def adjusted_rand_index(labels: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """One row, ari, of the contingency table's sums over pairs."""
@@ -20,13 +22,13 @@ def adjusted_rand_index(labels: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def best_threshold(scores: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
     """threshold, j: the cut-off `score <= threshold` of the largest Youden index; of equal ones the smallest.
 
-    Cut-offs are summed up by value first, so the ordered window runs over distinct scores.
+    Cut-offs are summed up by value first; running sums over the distinct scores are made range by range.
     """
     cuts = scores.groupBy(F.col(score).alias("t")).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("n"))
-    upto = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     total = cuts.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    j = F.try_divide(F.sum("p").over(upto), F.col("all_p")) - F.try_divide(F.sum("n").over(upto), F.col("all_n"))
-    rated = cuts.join(F.broadcast(total)).select("t", j.alias("j"))
+    upto = running_sums(cuts, ["t"], ["p", "n"])
+    j = F.try_divide(F.col("p"), F.col("all_p")) - F.try_divide(F.col("n"), F.col("all_n"))
+    rated = upto.join(F.broadcast(total)).select("t", j.alias("j"))  # one row
     return rated.agg(F.max_by(F.col("t"), F.struct("j", -F.col("t"))).alias("threshold"), F.max("j").alias("j"))
 
 

@@ -12,26 +12,55 @@ def laplacian(a: np.ndarray) -> np.ndarray:
     return np.eye(len(a)) - scale[:, None] * a * scale[None]
 
 
-def weighted_kmeans(points: np.ndarray, k: int, tries: int = 10, iterations: int = 100, weight: float = 1.2) -> tuple[np.ndarray, float]:
-    """Labels and inertia. The second coordinate weighs `weight`; centroids start at the first k points.
+def weighted_kmeans(points: np.ndarray, k: int, iterations: int = 100, weight: float = 1.2, tries: int = 10, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Labels and inertia, of the try with the least. The second coordinate weighs `weight`.
 
-    Every try would start alike, so one run decides. Ties go to the lower cluster; an empty one's centroid is zero.
+    The first try starts at the first k points, the others at random ones. Ties go to the lower cluster; an empty one's
+    centroid is zero.
     """
     if not len(points):
         return np.zeros(0, int), 0.0
     x = points.astype(float).copy()
     if x.shape[1] > 1:
         x[:, 1] *= weight
-    k = min(k, len(x))
-    centre, labels = x[:k].copy(), np.full(len(x), -1)
-    for _ in range(iterations):
+    k, rng = min(k, len(x)), np.random.default_rng(seed)
+    best, least = np.zeros(len(x), int), np.inf
+    for start in [np.arange(k), *(rng.choice(len(x), k, replace=False) for _ in range(tries - 1))]:
+        centre, labels = x[start].copy(), np.full(len(x), -1)
+        for _ in range(iterations):
+            new = ((x[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+            if (new == labels).all():
+                break
+            labels = new
+            centre = np.stack([x[labels == c].mean(0) if (labels == c).any() else np.zeros(x.shape[1]) for c in range(k)])
+        inertia = float(((x - centre[labels]) ** 2).sum())
+        if inertia < least * (1 - 1e-12):
+            best, least = labels, inertia
+    return best, least
+
+
+def spread_kmeans(points: np.ndarray, k: int, iterations: int = 100, tries: int = 10, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and centroids of plain k-means, of the try with the least inertia.
+
+    The first try starts at a random point and then at the farthest one each time, the others at random points.
+    """
+    x, k, rng = points.astype(float), min(k, len(points)), np.random.default_rng(seed)
+    spread = [int(rng.integers(len(x)))]
+    while len(spread) < k:
+        spread.append(int(((x[:, None] - x[spread][None]) ** 2).sum(2).min(1).argmax()))
+    best = None
+    for start in [spread, *(rng.choice(len(x), k, replace=False) for _ in range(tries - 1))]:
+        centre = x[start]
+        for _ in range(iterations):
+            labels = ((x[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+            new = np.stack([x[labels == c].mean(0) if (labels == c).any() else centre[c] for c in range(k)])
+            if (new == centre).all():
+                break
+            centre = new
         distance = ((x[:, None] - centre[None]) ** 2).sum(2)
-        new = distance.argmin(1)
-        if (new == labels).all():
-            break
-        labels = new
-        centre = np.stack([x[labels == c].mean(0) if (labels == c).any() else np.zeros(x.shape[1]) for c in range(k)])
-    return labels, float(((x - centre[labels]) ** 2).sum())
+        if best is None or distance.min(1).sum() < best[0]:
+            best = (distance.min(1).sum(), distance.argmin(1), centre)
+    return best[1], best[2]
 
 
 def gaussian_mixture(x: np.ndarray, k: int, seed: int = 0, means_rounds: int = 10, rounds: int = 5, floor: float = 1e-10) -> float | None:
@@ -86,8 +115,8 @@ def choose_clusters(vectors: np.ndarray, most: int = 4) -> int:
     return k
 
 
-def spectral_clusters(similarity: np.ndarray, kind: str = "SPECTRAL6", termination: str = "BIC", seed: int = 0) -> tuple[np.ndarray, int, dict]:
-    """Labels, number of clusters (1: leave it whole) and what led to them."""
+def spectral_clusters(similarity: np.ndarray, kind: str = "SPECTRAL6", termination: str = "BIC", seed: int = 0, plain_kmeans: bool = False) -> tuple[np.ndarray, int, dict]:
+    """Labels, number of clusters (1: leave it whole) and what led to them: eigenvalues and -vectors, scores, centroids."""
     n = len(similarity)
     if n < 2:
         return np.zeros(n, int), 1, {}
@@ -95,7 +124,7 @@ def spectral_clusters(similarity: np.ndarray, kind: str = "SPECTRAL6", terminati
     used = vectors[:, 1 : min(6, n)]
     fits = [gaussian_mixture(used, k, seed) for k in (1, 2, 3, 4)]
     scores = [None if f is None else information(f, k, n, used.shape[1], termination) for k, f in enumerate(fits, 1)]
-    info = {"eigenvalues": values, "scores": scores, "log_likelihoods": fits}
+    info = {"eigenvalues": values, "eigenvectors": vectors, "scores": scores, "log_likelihoods": fits}
     rest = [s for s in scores[1:] if s is not None]
     if scores[0] is None or not rest or scores[0] <= min(rest):
         return np.zeros(n, int), 1, info
@@ -107,5 +136,8 @@ def spectral_clusters(similarity: np.ndarray, kind: str = "SPECTRAL6", terminati
         raise ValueError(f"no such clustering: {kind}")
     rows = vectors[:, : min(3 if kind == "SPECTRAL2" else 7, n)]
     size = np.linalg.norm(rows, axis=1, keepdims=True)
-    labels, _ = weighted_kmeans(rows / np.where(size > 0, size, 1), k)
-    return labels, k, info | {"vectors": rows}
+    rows = rows / np.where(size > 0, size, 1)
+    if plain_kmeans:
+        labels, centroids = spread_kmeans(rows, k, seed=seed)
+        return labels, k, info | {"vectors": rows, "centroids": centroids}
+    return weighted_kmeans(rows, k, seed=seed)[0], k, info | {"vectors": rows}

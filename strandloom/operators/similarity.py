@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import with_checkpoints
 from .significance import LOCUS
 
 PAIR = ["chromosome_id", "read_a", "read_b"]
@@ -65,8 +66,11 @@ def pair_scores(pairs: DataFrame, mutation: float = 0.01, homozygous: float = 0.
 def dense(scores: DataFrame, cells: DataFrame) -> DataFrame:
     """Both halves of the matrix; pairs of cells without overlap and the diagonal are 0.
 
-    The result itself has cells x cells rows, of the few thousand cells of an experiment.
+    The result itself has cells x cells rows, of the few thousand cells of an experiment. The scores, half as many, are
+    checkpointed: normalization and degrees read the matrix several times.
     """
+    with_checkpoints(scores.sparkSession)
+    scores = scores.checkpoint()
     i, j = cells.select(F.col("cell_id").alias("i")), cells.select(F.col("cell_id").alias("j"))
     both = scores.select(F.col("cell_i").alias("i"), F.col("cell_j").alias("j"), "m").unionAll(scores.select(F.col("cell_j"), F.col("cell_i"), "m"))
     return i.crossJoin(j).join(both, ["i", "j"], "left").select("i", "j", F.coalesce("m", F.lit(0.0)).alias("m"))

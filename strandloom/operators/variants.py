@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import decode_base, first_allele, genotype, is_homozygous, same_genotype, second_allele
-from .significance import COUNTS, LOCUS
+from ..session import with_checkpoints
+from .significance import COUNTS, LOCUS, base_counts
+
+
+def tagged(obs: DataFrame, labels: DataFrame) -> DataFrame:
+    """obs with cluster_id; cells without label are in cluster 0."""
+    return obs.join(labels, "cell_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0)))
 
 
 def cluster_counts(obs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -16,10 +22,9 @@ def cluster_counts(obs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Cells without label are in cluster 0.
     """
-    tagged = obs.join(labels, "cell_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0)))
     counts = [F.count_if(F.col("base") == i).alias(c) for i, c in enumerate(COUNTS)]
     keys = [F.col(c) for c in LOCUS]
-    return tagged.groupingSets([[*keys, F.col("cluster_id")], keys], *keys, F.col("cluster_id")).agg(*counts, F.count(F.lit(1)).alias("coverage"))
+    return tagged(obs, labels).groupingSets([[*keys, F.col("cluster_id")], keys], *keys, F.col("cluster_id")).agg(*counts, F.count(F.lit(1)).alias("coverage"))
 
 
 def ranked(df: DataFrame) -> DataFrame:
@@ -51,11 +56,17 @@ def likely_genotype(theta: float, prior: float, pooled: Column) -> Column:
     return F.when(cov < 9, few).otherwise(many)
 
 
-def genotypes(counts: DataFrame, theta: float = 0.01, prior: float = 1e-3) -> DataFrame:
-    """A row for each locus: reference genotype left out, pooled call and the clusters' calls in order of id."""
-    pooled = counts.where("cluster_id is null").withColumn("pooled", pooled_call(theta)).select(*LOCUS, "pooled", *(F.col(c).alias(f"all_{c}") for c in COUNTS), F.col("coverage").alias("all_coverage"))
-    own = ranked(counts.where("cluster_id is not null")).join(pooled, LOCUS)
-    return own.withColumn("genotype", likely_genotype(theta, prior, F.col("pooled").isNotNull()))
+def genotypes(obs: DataFrame, labels: DataFrame, theta: float = 0.01, prior: float = 1e-3) -> DataFrame:
+    """A row for each locus and cluster with coverage: counts, pooled counts (all_...), pooled call, the cluster's call.
+
+    Clusters are counted, then gathered by locus, where their sums are the pooled counts: what comes after needs no shuffle.
+    """
+    own = base_counts(tagged(obs, labels), [*LOCUS, "cluster_id"])
+    names = [*COUNTS, "coverage"]
+    loci = own.groupBy(*LOCUS).agg(F.collect_list(F.struct("cluster_id", *names)).alias("_rows"), *(F.sum(c).alias(c) for c in names))
+    loci = loci.withColumn("pooled", pooled_call(theta)).withColumnsRenamed({c: f"all_{c}" for c in names})
+    rows = loci.withColumn("_r", F.explode("_rows")).select(*LOCUS, "pooled", *(f"all_{c}" for c in names), "_r.*")
+    return ranked(rows).withColumn("genotype", likely_genotype(theta, prior, F.col("pooled").isNotNull()))
 
 
 def with_agreement(calls: DataFrame) -> DataFrame:
@@ -63,8 +74,8 @@ def with_agreement(calls: DataFrame) -> DataFrame:
 
     The first call is that of the called cluster with the least id of 1 or more; the fold goes through clusters by id.
     """
-    seq = F.array_sort(F.collect_list(F.struct("cluster_id", "genotype", "coverage")))
-    loci = calls.groupBy(*LOCUS).agg(seq.alias("_seq"))
+    locus = Window.partitionBy(*LOCUS)  # the few clusters of a locus, which lie together already
+    seq = F.array_sort(F.collect_list(F.struct("cluster_id", "genotype", "coverage")).over(locus))
     start = F.struct(F.lit(None).cast("int").alias("first"), F.lit(True).alias("agree"))
 
     def step(acc, x):
@@ -72,7 +83,7 @@ def with_agreement(calls: DataFrame) -> DataFrame:
         differs = first.isNotNull() & (x["coverage"] > 0) & ~same_genotype(x["genotype"], first)
         return F.struct(first.alias("first"), (acc["agree"] & ~differs).alias("agree"))
 
-    return calls.join(loci.select(*LOCUS, F.aggregate("_seq", start, step)["agree"].alias("agree")), LOCUS)
+    return calls.withColumn("_seq", seq).withColumn("agree", F.aggregate("_seq", start, step)["agree"]).drop("_seq")
 
 
 def differing_alleles(reference: Column, call: Column) -> Column:
@@ -99,8 +110,12 @@ def lines(df: DataFrame, call: str, counts: list[str] = COUNTS) -> DataFrame:
 
 
 def variant_table(obs: DataFrame, labels: DataFrame, reference: DataFrame, theta: float = 0.01, prior: float = 1e-3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines of the clusters, common lines, calls with agreement): reference has the loci's genotypes."""
-    calls = with_agreement(genotypes(cluster_counts(obs, labels), theta, prior)).join(reference, LOCUS)
+    """(lines of the clusters, common lines, calls with agreement): reference has the loci's genotypes.
+
+    The calls, a row for each locus and cluster, are checkpointed: all three results are made of them.
+    """
+    with_checkpoints(obs.sparkSession)
+    calls = with_agreement(genotypes(obs, labels, theta, prior)).join(reference, LOCUS).checkpoint()
     common_pool = calls.select(*LOCUS, "reference", "pooled", *(F.col(f"all_{c}").alias(c) for c in COUNTS)).dropDuplicates(LOCUS).where("pooled is not null AND pooled <> reference")
     zero = calls.where("agree AND cluster_id = 0")
     common = lines(common_pool, "pooled").select(*LOCUS, "ref", "alt", "gt", *COUNTS).unionAll(lines(zero, "genotype").select(*LOCUS, "ref", "alt", "gt", *COUNTS))
@@ -110,8 +125,7 @@ def variant_table(obs: DataFrame, labels: DataFrame, reference: DataFrame, theta
 
 def cell_scores(obs: DataFrame, labels: DataFrame, calls: DataFrame) -> DataFrame:
     """The share of a cell's observations that, at loci where clusters disagree, are in no allele of its cluster."""
-    tagged = obs.join(labels, "cell_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0)))
     known = calls.where("NOT agree AND genotype IS NOT NULL AND coverage > 9").select(*LOCUS, "cluster_id", "genotype")
-    joined = tagged.join(known, [*LOCUS, "cluster_id"], "left")
+    joined = tagged(obs, labels).join(known, [*LOCUS, "cluster_id"], "left")
     off = F.col("genotype").isNotNull() & (F.col("base") != first_allele(F.col("genotype"))) & (F.col("base") != second_allele(F.col("genotype")))
     return joined.groupBy("cell_id").agg((F.count_if(off) / F.count(F.lit(1))).alias("score"))

@@ -75,7 +75,7 @@ SCORES_SQL = PAIRS_SQL + f", scores AS (SELECT least(cell_a, cell_b) AS cell_i,
 MATRIX_SQL = SCORES_SQL + """, cells AS (SELECT DISTINCT cell_id FROM obs), matrix AS (SELECT a.cell_id AS i, b.cell_id AS j, coalesce(m, 0) AS m
   FROM cells a CROSS JOIN cells b LEFT JOIN scores ON cell_i = least(a.cell_id, b.cell_id) AND cell_j = greatest(a.cell_id, b.cell_id))"""
 NORMAL_SQL = MATRIX_SQL + ", normal AS (SELECT i, j, CASE WHEN i = j THEN 0 ELSE abs((SELECT max(m) FROM matrix)) - m END AS value FROM matrix)"
-REFERENCE_SQL = "(SELECT DISTINCT chromosome_id, position, (((position % 4) << 3) | (CASE WHEN (position // 4) % 5 = 0 THEN (position + 1) % 4 ELSE position % 4 END))::INTEGER AS reference FROM obs)"
+REFERENCE_SQL = "(SELECT DISTINCT chromosome_id, position, ((g << 3) | (CASE WHEN two THEN (position + 1) % 4 ELSE g END))::INTEGER AS reference FROM (SELECT *, (position // 4) % 5 = 0 AS two, (position % 4 + CASE WHEN (position // 4) % 5 <> 0 AND position % 7 = 0 THEN 2 ELSE 0 END) % 4 AS g FROM obs))"
 CLUSTER_SQL = f""", tagged AS (SELECT *, CASE WHEN cell_id % 10 < 3 THEN 2 ELSE 1 END AS cluster_id FROM obs),
   by_cluster AS (SELECT chromosome_id, position, cluster_id, {COUNT_SQL} FROM tagged GROUP BY GROUPING SETS ((chromosome_id, position, cluster_id), (chromosome_id, position))),
   pools AS (SELECT chromosome_id, position, coverage AS all_coverage, n_a AS all_a, n_c AS all_c, n_g AS all_g, n_t AS all_t, CASE WHEN coverage >= 9 AND coverage - greatest(n_a, n_c, n_g, n_t) <= round(coverage * {_T}::DOUBLE + sqrt(coverage * {_T}::DOUBLE * {1 - _T}::DOUBLE))
@@ -210,6 +210,33 @@ def threshold_bucket(obs):
     return loci.select("*", significance.coverage_bucket(F.col("coverage")).alias("bucket"), significance.threshold(F.col("coverage")).alias("threshold"))
 
 
+@query(workload.SEGMENTS_SQL + """ SELECT p.contig, p.place AS position, host + place - b AS host_position FROM (SELECT DISTINCT chromosome_id::VARCHAR AS contig, position AS place FROM obs) p
+  LEFT JOIN segments g ON p.contig = g.contig AND place >= b AND place < e""")
+def genome_host_places(obs):
+    from ..sources import genome
+
+    contigs, events = workload.indels(obs)
+    loci = obs.select(F.col("chromosome_id").cast("string").alias("contig"), F.col("position").alias("_at")).distinct()
+    places = genome.host_places(loci, genome.segments(contigs, events), 100)
+    return places.select("contig", F.col("_at").alias("position"), F.col("_host").alias("host_position"))
+
+
+@query(workload.SEGMENTS_SQL + " SELECT contig, b AS first_place, e AS end_place, host AS host_place FROM segments WHERE e > b")
+def genome_segments(obs):
+    from ..sources import genome
+
+    return genome.segments(*workload.indels(obs)).toDF("contig", "first_place", "end_place", "host_place")
+
+
+def cigar_observations(spark, sf_dir):
+    from ..sources import alignments
+
+    return alignments.observations(workload.reads(spark, sf_dir)).drop("read_id")
+
+
+_queries["cigar_observations"], _sql["cigar_observations"] = cigar_observations, workload.READS_SQL
+
+
 # ---- significance ----
 @query(LOCI_SQL + f" SELECT chromosome_id, position, round({_ratio}, 6) AS log_ratio FROM checked")
 def locus_log_ratio(obs):
@@ -310,7 +337,7 @@ def pooled_homozygous(obs):
 
 @query(CLUSTER_SQL + " SELECT chromosome_id, position, cluster_id, genotype FROM calls")
 def cluster_genotypes(obs):
-    return variants.genotypes(variants.cluster_counts(obs, workload.clones(obs)), THETA, PRIOR).select(*LOCUS, "cluster_id", "genotype")
+    return variants.genotypes(obs, workload.clones(obs), THETA, PRIOR).select(*LOCUS, "cluster_id", "genotype")
 
 
 def tables(obs: DataFrame):

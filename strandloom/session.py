@@ -23,8 +23,10 @@ def build_session(cores: int | str = "*", memory: str = "8g", partitions: int =
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """spark with a checkpoint folder: spark.checkpoint.dir, or one of our own where that is unset (local sessions)."""
+    """spark with a checkpoint folder: spark.checkpoint.dir. A local session may leave it unset, a cluster may not."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or "/tmp/checkpoints/strandloom")
     return spark

@@ -7,11 +7,12 @@ import struct
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import chromosome_id, encode_base
 from ..operators.significance import keep_loci, pileup_loci
+from ..session import with_checkpoints
 
 READS = "path string, name string, flag int, chromosome string, start bigint, mapq int, cigar string, seq string, qual string, score int"
 # The letters of BAM's CIGAR operations and bases.
@@ -19,7 +20,8 @@ CIGAR_LETTERS, BASE_LETTERS = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 
 
 def read_sam(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value").where(~F.startswith("value", F.lit("@")) & (F.col("value") != ""))
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    lines = spark.read.text(paths).select(decoded.alias("path"), "value").where(~F.startswith("value", F.lit("@")) & (F.col("value") != ""))
     f = F.split("value", "\t")
     score = F.regexp_extract(F.array_join(F.slice(f, 12, 1000), "\t"), r"(?:^|\t)AS:i:(-?\d+)", 1)
     return lines.where(F.size(f) >= 11).select(
@@ -27,38 +29,82 @@ def read_sam(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     )
 
 
-def bam_records(data: bytes):
-    """(name, flag, chromosome, 1-based start, mapping quality, cigar, bases, qualities, alignment score)."""
-    blocks, at = [], 0
-    while at < len(data):  # a series of gzip members
+def inflated(data: bytes):
+    """The decompressed blocks of a BGZF file, by their size fields; other gzip files in pieces."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        size, extra = None, 12 + int.from_bytes(view[at + 10 : at + 12], "little")
+        if view[at + 3] & 4:
+            field = at + 12
+            while field < at + extra:
+                n = int.from_bytes(view[field + 2 : field + 4], "little")
+                if bytes(view[field : field + 2]) == b"BC":
+                    size = int.from_bytes(view[field + 4 : field + 6], "little") + 1
+                field += 4 + n
+        if size is not None:
+            yield zlib.decompress(view[at + extra : at + size - 8], -15)
+            at += size
+            continue
         d = zlib.decompressobj(31)
-        blocks.append(d.decompress(data[at:]))
-        at = len(data) - len(d.unused_data)
-        if not d.unused_data:
-            break
-    raw = b"".join(blocks)
-    if raw[:4] != b"BAM\1":
+        while not d.eof and at < len(view):
+            piece = view[at : at + (1 << 20)]
+            yield d.decompress(piece)
+            at += len(piece) - len(d.unused_data)
+
+
+class _Blocks:
+    """Reads by number of bytes over a series of blocks; holds one block and what a read needs."""
+
+    def __init__(self, blocks):
+        self.blocks, self.held, self.at = blocks, b"", 0
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) - self.at < n:
+            more = next(self.blocks, None)
+            if more is None:
+                raise ValueError("a BAM file ends within a record")
+            self.held, self.at = self.held[self.at :] + more, 0
+        self.at += n
+        return self.held[self.at - n : self.at]
+
+    def ended(self) -> bool:
+        while self.at == len(self.held):
+            more = next(self.blocks, None)
+            if more is None:
+                return True
+            self.held, self.at = more, 0
+        return False
+
+
+def bam_records(data: bytes, wanted: set[str] | None = None):
+    """(name, flag, chromosome, 1-based start, mapping quality, cigar, bases, qualities, alignment score).
+
+    Records on references other than the wanted ones are stepped over. Time and memory are linear in the file.
+    """
+    raw = _Blocks(inflated(data))
+    number = lambda: struct.unpack("<i", raw.take(4))[0]
+    if raw.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", raw, 4)[0]
-    n, at = struct.unpack_from("<i", raw, at)[0], at + 4
+    raw.take(number())
     names = []
-    for _ in range(n):
-        size = struct.unpack_from("<i", raw, at)[0]
-        names.append(raw[at + 4 : at + 3 + size].decode())
-        at += 8 + size
-    while at < len(raw):
-        size, ref, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiiBBHHHi", raw, at)
-        end, p = at + 4 + size, at + 36
-        name = raw[p : p + l_name - 1].decode()
-        p += l_name
-        ops = struct.unpack_from(f"<{n_cigar}I", raw, p)
+    for _ in range(number()):
+        names.append(raw.take(number())[:-1].decode())
+        raw.take(4)
+    while not raw.ended():
+        record = raw.take(number())
+        ref, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", record)
+        chromosome = names[ref] if ref >= 0 else "*"
+        if wanted is not None and chromosome not in wanted:
+            continue
+        p = 32 + l_name
+        name = record[32 : p - 1].decode()
+        ops = struct.unpack_from(f"<{n_cigar}I", record, p)
         p += 4 * n_cigar
-        packed = raw[p : p + (l_seq + 1) // 2]
+        packed = record[p : p + (l_seq + 1) // 2]
         seq = "".join(BASE_LETTERS[b >> 4] + BASE_LETTERS[b & 15] for b in packed)[:l_seq]
         p += (l_seq + 1) // 2
-        qual = "".join(chr(min(q, 93) + 33) for q in raw[p : p + l_seq])
-        yield name, flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, "".join(f"{o >> 4}{CIGAR_LETTERS[o & 15]}" for o in ops) or "*", seq, qual, _score(raw, p + l_seq, end)
-        at = end
+        qual = "".join(chr(min(q, 93) + 33) for q in record[p : p + l_seq])
+        yield name, flag, chromosome, pos + 1, mapq, "".join(f"{o >> 4}{CIGAR_LETTERS[o & 15]}" for o in ops) or "*", seq, qual, _score(record, p + l_seq, len(record))
 
 
 def _score(raw: bytes, at: int, end: int) -> int:
@@ -78,8 +124,11 @@ def _score(raw: bytes, at: int, end: int) -> int:
     return 0
 
 
-def read_bam(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Reads of BAM files, which Spark opens; each file is decoded by one task."""
+def read_bam(spark: SparkSession, paths: list[str] | str, wanted: set[str] | None = None) -> DataFrame:
+    """Reads of BAM files, which Spark opens, on the wanted references only if given.
+
+    A file, of one cell, is decoded by one task; as Spark hands it over as a whole, it may have 2 GB, compressed, at most.
+    """
     schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("flag", pa.int32()), ("chromosome", pa.string()), ("start", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("qual", pa.string()), ("score", pa.int32())])
 
     def run(batches):
@@ -88,7 +137,7 @@ def read_bam(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 path = batch.column(0)[i].as_py()
-                for record in bam_records(batch.column(1)[i].as_py()):
+                for record in bam_records(batch.column(1)[i].as_py(), wanted):
                     rows.append((path, *record))
                     if len(rows) == 10_000:
                         yield pack()
@@ -123,10 +172,25 @@ def explode_cigar(reads: DataFrame) -> DataFrame:
     return rows.select(*(c for c in reads.columns if c not in ("seq", "qual", "cigar")), (F.col("start") + F.col("_s.ref")).alias("position"), F.col("seq").substr(at, F.lit(1)).alias("letter"), (F.ascii(F.col("qual").substr(at, F.lit(1))) - 33).alias("quality"))
 
 
+def plain_path(path: Column) -> Column:
+    """A path as Spark reports it, which may be percent-encoded, without the scheme of local files."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def with_cells(reads: DataFrame, paths: list[str]) -> DataFrame:
-    """cell_id: the place of the read's file in the sorted list of files."""
-    files = reads.sparkSession.createDataFrame([(p.rsplit("/", 1)[-1], i) for i, p in enumerate(sorted(paths))], "file string, cell_id int")
-    return reads.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(F.broadcast(files), "file").drop("file")  # one row a file
+    """cell_id: the place of the read's file in the sorted list of files, by whole path; a read of no such file is an error."""
+    spark = reads.sparkSession
+    conf, path_of = spark._jsparkSession.sessionState().newHadoopConf(), spark._jvm.org.apache.hadoop.fs.Path
+
+    def full(p: str) -> str:
+        path = path_of(p)
+        return path.getFileSystem(conf).makeQualified(path).toString()
+
+    files = spark.createDataFrame([(full(p), i) for i, p in enumerate(sorted(paths))], "_file string, _cell int")
+    files = F.broadcast(files.select(plain_path(F.col("_file")).alias("_file"), "_cell"))  # one row a file
+    joined = reads.withColumn("_file", plain_path(F.col("path"))).join(files, "_file", "left")
+    missing = F.raise_error(F.concat(F.lit("no cell for file "), F.col("path"))).cast("int")
+    return joined.withColumn("cell_id", F.coalesce("_cell", missing)).drop("_file", "_cell")
 
 
 def cell_name(path: str) -> str:
@@ -144,15 +208,21 @@ def observations(reads: DataFrame, min_base_quality: int = 30, min_map_quality:
 
 
 def build_pileup(reads: DataFrame, min_different: int = 3, max_coverage: int = 100, min_base_quality: int = 30, min_map_quality: int = 30, min_alignment_score: int = 0) -> DataFrame:
-    """Observations at informative loci, of reads with cells (see with_cells)."""
-    obs = observations(reads, min_base_quality, min_map_quality, min_alignment_score)
+    """Observations at informative loci, of reads with cells (see with_cells).
+
+    The exploded reads are checkpointed: loci are counted first, and reads joined with them, of one pass over the files.
+    """
+    with_checkpoints(reads.sparkSession)
+    obs = observations(reads, min_base_quality, min_map_quality, min_alignment_score).checkpoint()
     return keep_loci(obs, pileup_loci(obs, min_different, max_coverage))
 
 
-def read_alignments(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_alignments(spark: SparkSession, paths: list[str], chromosomes: list[str] | None = None) -> DataFrame:
+    """Reads of SAM and BAM files with their cells, on the given chromosomes only if named (with or without 'chr')."""
+    wanted = None if chromosomes is None else {p + c for c in chromosomes for p in ("", "chr")}
     bam, sam = [p for p in paths if p.endswith(".bam")], [p for p in paths if not p.endswith(".bam")]
-    frames = ([read_bam(spark, bam)] if bam else []) + ([read_sam(spark, sam)] if sam else [])
+    frames = ([read_bam(spark, bam, wanted)] if bam else []) + ([read_sam(spark, sam)] if sam else [])
     both = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    if wanted is not None:
+        both = both.where(F.col("chromosome").isin(*sorted(wanted)))
     return with_cells(both, paths)
-
-

@@ -24,27 +24,60 @@ def is_diploid(contigs: DataFrame) -> bool:
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
-    """(contig, start_pos, len, tr): 8 columns; SEQ rows are left out, INS is I, anything else D."""
-    names = "block bigint, contig string, start_pos bigint, ref_contig string, ref_pos bigint, direction string, feature string, variant string"
-    rows = spark.read.schema(names).option("sep", "\t").option("comment", "#").csv(path)
-    rows = rows.where(F.col("contig").isNotNull() & (F.col("feature") != "SEQ"))
-    return rows.select("contig", "start_pos", F.col("block").alias("len"), F.when(F.col("feature") == "INS", "I").otherwise("D").alias("tr"))
+    """(contig, nr, start_pos, len, tr), in order of the file: nr is the event's place, start_pos counts from 0.
+
+    Lines have 8 columns, others are an error; comments and SEQ rows are left out, INS is I, anything else D.
+    """
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).withColumn("nr", F.monotonically_increasing_id()).where((F.col("value") != "") & ~F.startswith("value", F.lit("#")))
+    checked = F.when(F.size(f) == 8, f).otherwise(F.raise_error(F.concat(F.lit("8 columns expected: "), F.col("value"))).cast("array<string>"))
+    rows = rows.select("nr", checked.alias("f")).where(F.col("f")[6] != "SEQ")
+    return rows.select(F.col("f")[1].alias("contig"), "nr", (F.col("f")[2].cast("bigint") - 1).alias("start_pos"), F.col("f")[0].cast("bigint").alias("len"), F.when(F.col("f")[6] == "INS", "I").otherwise("D").alias("tr"))
+
+
+def offsets(events: DataFrame) -> DataFrame:
+    """What each event (contig, nr, start_pos, len, tr) makes of the coordinates: _out, _gap, _host, _drop.
+
+    From place _out of the reference on there are _gap unknown bases (of a deletion), then the contig goes on at its own
+    place _host. An event moves the place in the contig up to its start, if it isn't there yet, and an insertion's length
+    farther: a running maximum of starts less the lengths before.
+    """
+    by = Window.partitionBy("contig").orderBy("nr").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumns({"_i": F.when(F.col("tr") == "I", F.col("len")).otherwise(0), "_d": F.when(F.col("tr") == "D", F.col("len")).otherwise(0)})
+    events = events.withColumns({"_in": F.sum("_i").over(by), "_drop": F.sum("_d").over(by)})
+    events = events.withColumn("_copied", F.greatest(F.lit(0), F.max(F.col("start_pos") - F.col("_in") + F.col("_i")).over(by)))
+    return events.select("contig", "nr", (F.col("_copied") + F.col("_drop") - F.col("_d")).alias("_out"), F.col("_d").alias("_gap"), (F.col("_copied") + F.col("_in")).alias("_host"), "_drop")
 
 
-def apply_map(contigs: DataFrame, events: DataFrame) -> DataFrame:
-    """Sequences in reference coordinates: an insertion's bases go, a deletion gets N. Events are in host coordinates."""
-    todo = events.groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("start_pos", "len", "tr"))).alias("_events"))
-    joined = contigs.join(todo, "contig", "left")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+def segments(contigs: DataFrame, events: DataFrame) -> DataFrame:
+    """(contig, _from, _to, _host): places _from to before _to of the reference are those of the contig from _host on.
 
-    def step(acc, e):
-        upto = F.concat(acc["out"], F.col("seq").substr((acc["at"] + 1).cast("int"), F.greatest(F.lit(0), (e["start_pos"] - acc["at"])).cast("int")))
-        at = F.greatest(acc["at"], e["start_pos"])
-        return F.struct((at + F.when(e["tr"] == "I", e["len"]).otherwise(0)).alias("at"), F.concat(upto, F.when(e["tr"] == "D", F.repeat(F.lit("N"), e["len"].cast("int"))).otherwise("")).alias("out"))
+    contigs: (contig, _n) with lengths. Places in no segment are unknown.
+    """
+    start = contigs.select("contig", F.lit(-1).cast("bigint").alias("nr"), *(F.lit(0).cast("bigint").alias(c) for c in ("_out", "_gap", "_host", "_drop")))
+    all_ = start.unionByName(offsets(events)).join(contigs.select("contig", "_n"), "contig")
+    own = Window.partitionBy("contig").orderBy("nr")
+    begin = F.col("_out") + F.col("_gap")
+    upto = F.coalesce(F.lead("_out").over(own), begin + F.greatest(F.lit(0), F.col("_n") - F.col("_host")))
+    return all_.select("contig", begin.alias("_from"), upto.alias("_to"), "_host").where("_to > _from")
+
+
+def mapped_lengths(contigs: DataFrame, events: DataFrame) -> DataFrame:
+    """(contig, _length): lengths of (contig, _n) in reference coordinates."""
+    last = offsets(events).groupBy("contig").agg(F.max_by(F.struct("_out", "_gap", "_host"), "nr").alias("e"))
+    rest = F.greatest(F.lit(0), F.col("_n") - F.coalesce("e._host", F.lit(0)))
+    return contigs.join(last, "contig", "left").select("contig", (F.coalesce(F.col("e._out") + F.col("e._gap"), F.lit(0)) + rest).alias("_length"))
 
-    done = F.aggregate(F.coalesce("_events", F.expr("array()").cast("array<struct<start_pos:bigint,len:bigint,tr:string>>")), start, step)
-    out = joined.withColumn("_d", done)
-    return out.select("nr", "contig", F.concat("_d.out", F.col("seq").substr((F.col("_d.at") + 1).cast("int"), F.length("seq"))).alias("seq"))
+
+def host_places(loci: DataFrame, segments_: DataFrame, size: int = CHUNK) -> DataFrame:
+    """loci (contig, _at) with _host, the place in the contig; null where the reference has a gap.
+
+    An interval join: segments are dealt to the stretches of `size` places that they touch, so that it is an equi-join.
+    """
+    dealt = segments_.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("_from") / size), F.floor((F.col("_to") - 1) / size))))
+    found = loci.withColumn("_chunk", F.floor(F.col("_at") / size)).join(dealt, ["contig", "_chunk"]).where("_at >= _from AND _at < _to")
+    found = found.select("contig", "_at", (F.col("_host") + F.col("_at") - F.col("_from")).alias("_host")).distinct()
+    return loci.join(found, ["contig", "_at"], "left")
 
 
 def chunks(contigs: DataFrame) -> DataFrame:
@@ -58,22 +91,25 @@ def reference_genotypes(spark: SparkSession, path: str, loci: DataFrame, map_pat
     """(chromosome_id, position, reference) of the loci inside the genome.
 
     Contigs are matched by name. A diploid genome has a maternal contig and then the paternal one; a contig alone (Y, or X
-    of a male) counts for both alleles. Paired contigs of different length are an error.
+    of a male) counts for both alleles. Paired contigs of different length are an error. With a map the loci are places of
+    the reference that the contigs come from; they are moved to the contigs, no sequence is rewritten.
     """
     contigs = read_contigs(spark, path)
-    if map_path:
-        contigs = apply_map(contigs, read_map(spark, map_path))
     plain = F.regexp_replace(F.regexp_replace("contig", "^chr", ""), "_(maternal|paternal)$", "")
     named = contigs.withColumn("chromosome_id", chromosome_id(plain)).where("chromosome_id is not null")
-    side = Window.partitionBy("chromosome_id").orderBy("nr")
-    named = named.withColumns({"_side": F.row_number().over(side), "_n": F.length("seq")})
-    sizes = named.groupBy("chromosome_id").agg(F.min("_n").alias("a"), F.max("_n").alias("b"))
+    side = Window.partitionBy("chromosome_id").orderBy("nr")  # two contigs
+    named = named.withColumns({"_side": F.row_number().over(side), "_n": F.length("seq").cast("bigint")})
+    names = named.select("chromosome_id", "contig", "_side", "_n")
+    events = read_map(spark, map_path) if map_path else spark.createDataFrame([], "contig string, nr bigint, start_pos bigint, len bigint, tr string")
+    sizes = names.join(mapped_lengths(names, events), "contig").groupBy("chromosome_id").agg(F.min("_length").alias("a"), F.max("_length").alias("b"))
     if not sizes.where("a <> b").isEmpty():
         raise ValueError("paired contigs of different length")
-    pieces = chunks(named.select("nr", F.concat_ws(":", "chromosome_id", "_side").alias("contig"), "seq"))
-    pieces = pieces.select(F.split("contig", ":")[0].cast("int").alias("chromosome_id"), F.split("contig", ":")[1].cast("int").alias("side"), "chunk", "piece")
-    two = pieces.groupBy("chromosome_id", "chunk").agg(F.max(F.when(F.col("side") == 1, F.col("piece"))).alias("m"), F.max(F.when(F.col("side") == 2, F.col("piece"))).alias("p"))
-    wanted = loci.select("chromosome_id", "position").distinct().withColumn("chunk", F.floor((F.col("position") - 1) / CHUNK))
-    at = (F.pmod(F.col("position") - 1, F.lit(CHUNK)) + 1).cast("int")
-    rows = wanted.join(two, ["chromosome_id", "chunk"]).withColumns({"_m": F.col("m").substr(at, F.lit(1)), "_p": F.coalesce("p", "m").substr(at, F.lit(1))})
-    return rows.where(F.length("_m") > 0).select("chromosome_id", "position", genotype(encode_base(F.col("_m")), encode_base(F.col("_p"))).alias("reference"))
+    wanted = loci.select("chromosome_id", "position").distinct()
+    spots = wanted.join(F.broadcast(names), "chromosome_id").join(F.broadcast(mapped_lengths(names, events)), "contig").where("position >= 1 AND position <= _length")  # 48 contigs at most
+    spots = spots.select("chromosome_id", "position", "contig", "_side", (F.col("position") - 1).alias("_at"))
+    places = host_places(spots, segments(names, events))
+    own = places.where("_host IS NOT NULL").withColumn("chunk", F.floor(F.col("_host") / CHUNK)).join(chunks(named.select("nr", "contig", "seq")).drop("nr"), ["contig", "chunk"])
+    letters = own.select("chromosome_id", "position", "_side", F.col("piece").substr((F.col("_host") % CHUNK + 1).cast("int"), F.lit(1)).alias("_b"))
+    letters = letters.unionAll(places.where("_host IS NULL").select("chromosome_id", "position", "_side", F.lit("N")))
+    two = letters.groupBy("chromosome_id", "position").agg(F.max(F.when(F.col("_side") == 1, F.col("_b"))).alias("_m"), F.max(F.when(F.col("_side") == 2, F.col("_b"))).alias("_p"))
+    return two.select("chromosome_id", "position", genotype(encode_base(F.col("_m")), encode_base(F.coalesce("_p", "_m"))).alias("reference"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +72,34 @@ def write_positions(loci: DataFrame, path: str) -> None:
 def read_truth(spark: SparkSession, path: str, names: str) -> DataFrame:
     """A tab-separated truth table, e.g. names='cell string, clone string'."""
     return spark.read.schema(names).option("sep", "\t").option("comment", "#").csv(path)
+
+
+#: Fixed value: stands in a level's list of labels for cells that aren't in it.
+OUTSIDE = 16383
+
+
+def write_level(level, folder: str, all_matrices: bool = False) -> None:
+    """What a node of the tree of clusters was divided by, in files named after its marker.
+
+    Significant positions (a folder of text), eigenvalues (the first 20), with all_matrices raw eigenvectors, normalised
+    eigenvectors, centroids where there are any, and comma-separated labels by cell before and after refinement.
+    """
+    name = lambda what, ends="": os.path.join(folder, f"{what}{level.marker}{ends}")
+    write_positions(level.loci, name("significant_positions"))
+    write_matrix(level.info["eigenvalues"][:20], name("sim_mat_eigenvalues", ".csv"))
+    if all_matrices:
+        write_matrix(level.info["eigenvectors"], name("sim_mat_eigenvectors", ".csv"))
+    for key, what in (("vectors", "sim_mat_eigenvectors_norm"), ("centroids", "centroids")):
+        if key in level.info:
+            write_matrix(level.info[key], name(what, ".csv"))
+    for what, values in (("spectral_clustering", level.labels), ("expectation_maximization", level.refined)):
+        if values is not None:
+            own = dict(zip(level.cells, values))
+            with open(name(what), "w") as f:
+                f.write(",".join(str(own.get(c, OUTSIDE)) for c in range(max(level.cells) + 1)))
+
+
+def group_labels(labels: DataFrame, groups: DataFrame) -> DataFrame:
+    """Labels of cells as labels of their groups: that of a group's first cell."""
+    first = groups.join(labels, "cell_id").groupBy("group_id").agg(F.min_by("cluster_id", "cell_id").alias("cluster_id"))
+    return first.select(F.col("group_id").alias("cell_id"), "cluster_id")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codecs import chromosome_id, decode_base, encode_base
+from ..functions.codecs import CHROMOSOMES, chromosome_id, decode_base, encode_base
+from ..operators.numbering import dense_numbers
 from ..operators.significance import LOCUS, cap_coverage
 
 OBS = "chromosome_id int, position bigint, read_id bigint, cell_id int, base int"
@@ -93,11 +96,26 @@ def read_binary(spark: SparkSession, paths: list[str] | str, chromosome: int | N
     return files.select(own.cast("int").alias("chromosome_id"), "content").mapInArrow(run, OBS)
 
 
-def read_pileup(spark: SparkSession, path: str, max_coverage: int = 100, positions: DataFrame | None = None, groups: DataFrame | None = None, chromosome_from: str = "file") -> DataFrame:
-    """Observations of a file or folder in either format: capped, at listed positions, of grouped cells."""
+def chromosome_in_name(path: str) -> str | None:
+    m = re.match(r"[^_.]+_([^_.]+)\.", path.rsplit("/", 1)[-1])
+    return m[1].upper() if m and m[1].upper() in CHROMOSOMES else None
+
+
+def read_pileup(
+    spark: SparkSession, path: str, max_coverage: int = 100, positions: DataFrame | None = None, groups: DataFrame | None = None, chromosome_from: str = "file", chromosomes: list[str] | None = None
+) -> DataFrame:
+    """Observations of a file or folder in either format: capped, at listed positions, of grouped cells.
+
+    Files of other chromosomes than those asked for are not opened; it is an error if there is no file of any of those.
+    """
     from ..operators.significance import keep_positions
 
     files = discover(path)
+    if chromosomes is not None and chromosome_from == "file":
+        there = {chromosome_in_name(f) for f in files}
+        if not there & set(chromosomes):
+            raise ValueError(f"no pileup of chromosomes {', '.join(chromosomes)} in {path}")
+        files = [f for f in files if chromosome_in_name(f) in chromosomes]
     if not files:
         return spark.createDataFrame([], OBS)
     obs = read_binary(spark, files) if files[0].endswith(".bin") else read_text(spark, files, chromosome_from).drop("read_name")
@@ -140,28 +158,61 @@ def write_text(obs: DataFrame, path: str) -> None:
     rows.select("chromosome_id", line.alias("value")).write.partitionBy("chromosome_id").text(path)
 
 
+def numbered_reads(obs: DataFrame) -> DataFrame:
+    """obs with reads numbered from 0 within each chromosome: equal ids of one cell are one read."""
+    numbers = dense_numbers(obs, ["chromosome_id", "cell_id", "read_id"], "_number")
+    first = numbers.groupBy("chromosome_id").agg(F.min("_number").alias("_first"))  # 24 rows
+    numbers = numbers.join(F.broadcast(first), "chromosome_id").withColumn("_number", F.col("_number") - F.col("_first")).drop("_first")
+    return obs.join(numbers, ["chromosome_id", "cell_id", "read_id"]).select("chromosome_id", "position", F.col("_number").alias("read_id"), "cell_id", "base")
+
+
 def write_binary(obs: DataFrame, path: str) -> list[str]:
-    """Binary pileups name_<chromosome>.pileup.bin in a local folder; loci stream through the driver one by one."""
+    """Binary pileups chromosome_<name>.pileup.bin, each written by one task, loci in order; returns the files.
+
+    The format is one file a chromosome, so the folder must be mounted by all executors; Parquet is the sink for any other
+    store. Reads are numbered anew, as the format has 32 bits for them; more reads, 65,536 observations at a locus or cell
+    ids from 16,384 are errors.
+    """
     os.makedirs(path, exist_ok=True)
     rows = F.array_sort(F.collect_list(F.struct("cell_id", "read_id", "base"))).alias("o")
-    from ..functions.codecs import CHROMOSOMES
+    loci = numbered_reads(obs).groupBy(*LOCUS).agg(rows).select(F.coalesce("chromosome_id", F.lit(0)).alias("chromosome_id"), "position", F.col("o.read_id").alias("r"), F.col("o.cell_id").alias("c"), F.col("o.base").alias("b"))
 
-    loci = obs.groupBy(*LOCUS).agg(rows).orderBy(*LOCUS)
-    out, files, last = None, [], None
-    for r in loci.toLocalIterator():
-        if r["chromosome_id"] != last:
+    def write(batches):
+        out, now, target, done = None, None, "", []
+
+        def close() -> None:
             if out:
                 out.close()
-            last = r["chromosome_id"]
-            files.append(os.path.join(path, f"chromosome_{CHROMOSOMES[last or 0]}.pileup.bin"))
-            out = open(files[-1], "wb")
-        out.write(encode([(r["position"], [(x["read_id"] & 0xFFFFFFFF, x["cell_id"], x["base"]) for x in r["o"]])]))
-    if out:
-        out.close()
-    return files
+                os.replace(out.name, target)  # a task that is run again leaves no half file
+                done.append(target)
+
+        for batch in batches:
+            for chromosome, position, reads, cells, bases in zip(*(c.to_pylist() for c in batch.columns)):
+                if chromosome != now:
+                    close()
+                    now, target = chromosome, os.path.join(path, f"chromosome_{CHROMOSOMES[chromosome]}.pileup.bin")
+                    out = open(f"{target}.{TaskContext.get().taskAttemptId()}", "wb")
+                if max(cells) >= 1 << 14 or max(reads) >= 1 << 32 or len(cells) >= 1 << 16:
+                    raise ValueError("too many cells, reads or observations for a binary pileup")
+                out.write(encode([(position, list(zip(reads, cells, bases)))]))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["file"])
+
+    dealt = loci.repartition("chromosome_id").sortWithinPartitions(*LOCUS)
+    return sorted(r[0] for r in dealt.mapInArrow(write, "file string").collect())
+
+
+def convert_text(spark: SparkSession, paths: list[str] | str, path: str) -> list[str]:
+    """Text pileups, whose chromosomes their names tell, as binary ones in a folder; cells keep their ids."""
+    return write_binary(read_text(spark, paths, "file").drop("read_name"), path)
 
 
 def read_names(reads: DataFrame, name: str, order: str) -> DataFrame:
-    """(name, read_id): distinct names numbered from 0 in order; a single ordered pass over the distinct names."""
+    """(name, read_id): distinct names numbered from 0 in order; equal places in the order share a number."""
     distinct = reads.select(F.col(name).alias("name"), F.col(order).alias("_o")).distinct()
-    return distinct.select("name", (F.dense_rank().over(Window.orderBy("_o")) - 1).alias("read_id"))
+    return distinct.join(dense_numbers(distinct, ["_o"], "read_id"), "_o").select("name", "read_id")
+
+
+def write_read_names(names: DataFrame, path: str) -> None:
+    """name and number, tab-separated, by number."""
+    names.repartitionByRange("read_id").sortWithinPartitions("read_id").select(F.concat_ws("\t", "name", "read_id").alias("value")).write.text(path)

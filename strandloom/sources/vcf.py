@@ -12,7 +12,7 @@ from ..operators.significance import COUNTS, LOCUS
 
 
 def preamble(reference: str, cluster: int) -> list[str]:
-    head = ["##fileformat=VCFv4.2", f"##fileDate={time.ctime()}", "##source=SVC (Somatic Variant Caller)", f"##reference={reference}", f"##cluster={cluster}"]
+    head = ["##fileformat=VCFv4.2", f"##fileDate={time.ctime()}", "##source=strandloom", f"##reference={reference}", f"##cluster={cluster}"]
     return [*head, f"#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tcluster-{cluster}"]
 
 

@@ -1,6 +1,9 @@
 """Counts, likelihoods, clusters, genotypes and files on small cases with known results."""
 
+import gzip
 import math
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -9,7 +12,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandloom.functions import codecs
-from strandloom.operators import divide, em, evaluation, linalg, significance, similarity, variants
+from strandloom import cli
+from strandloom.operators import divide, em, evaluation, linalg, numbering, significance, similarity, variants
 from strandloom.sources import alignments, genome, lists, pileup, vcf
 
 OBS = "chromosome_id int, position bigint, read_id bigint, cell_id int, base int"
@@ -112,14 +116,123 @@ def test_driver_matrix_is_the_distributed_one(spark, how):
         assert got[cells.index(r["i"]), cells.index(r["j"])] == pytest.approx(r["value"])
 
 
-def test_one_clone_is_not_divided():
-    noise = np.random.default_rng(0).random((40, 40)) * 0.01 + 1
-    a = (noise + noise.T) / 2
-    np.fill_diagonal(a, 0)
-    assert linalg.spectral_clusters(a)[1] in (1, 2)
+def symmetric(a):
+    a = np.tril(a, -1)
+    return a + a.T
+
+
+KINDS = [(kind, how, plain) for kind in ("FIEDLER", "SPECTRAL2", "SPECTRAL6") for how in ("AIC", "BIC") for plain in (False, True)]
+
+
+@pytest.mark.parametrize("kind, how, plain", KINDS)
+def test_clusters_of_matrices(kind, how, plain):
+    """One, two and three groups of cells, and a matrix of zeros."""
+    rng = np.random.default_rng(3)
+    whole = [linalg.spectral_clusters(symmetric(1 + rng.uniform(-1e-3, 1e-3, (100, 100))), kind, how, plain_kmeans=plain)[1] for _ in range(3)]
+    assert whole.count(1) >= 2, whole
+    two = rng.integers(0, 6, (100, 100)).astype(float)
+    two[:50, :50], two[50:, 50:] = rng.integers(100, 201, (2, 50, 50))
+    labels, k, info = linalg.spectral_clusters(symmetric(two), kind, how, plain_kmeans=plain)
+    assert k == 2 and len(set(labels[:50])) == 1 and len(set(labels[50:])) == 1 and labels[0] != labels[-1]
+    assert len(info["eigenvalues"]) == 100 and (kind == "FIEDLER") == ("vectors" not in info) and ("centroids" in info) == (plain and kind != "FIEDLER")
+    if kind != "FIEDLER":
+        three = rng.integers(0, 6, (99, 99)).astype(float) + 20 * (rng.random((99, 99)) < 0.8)
+        for g in range(3):
+            three[33 * g : 33 * g + 33, 33 * g : 33 * g + 33] = rng.integers(100, 201, (33, 33))
+        labels, k, _ = linalg.spectral_clusters(symmetric(three), kind, how, plain_kmeans=plain)
+        assert k in (2, 3) and all(min(abs(np.sum(labels == c) - n) for n in (33, 66)) < 2 for c in range(k))
+    labels, k, _ = linalg.spectral_clusters(np.zeros((99, 99)), kind, how, plain_kmeans=plain)
+    assert len(labels) == 99 and k >= 1
     assert linalg.parameters(2, 5) == 2 * 15 + 10 + 1
 
 
+def test_division_is_depth_first(spark, monkeypatch):
+    """The root in two, its first part in two: parts 3 and 4 are of the first; the share of tumour cells holds for the root."""
+    used, plain = [], significance.significant_loci
+    monkeypatch.setattr(significance, "significant_loci", lambda obs, theta, proportion: used.append(proportion) or plain(obs, theta, 4))
+    monkeypatch.setattr(divide, "matrix_of", lambda obs, cells, s: np.array(cells))
+    split = {16: [0] * 8 + [1] * 8, 8: [0] * 4 + [1] * 4}
+    monkeypatch.setattr(linalg, "spectral_clusters", lambda cells, *a: (np.array(split.get(len(cells), [0] * len(cells))), 2 if len(cells) in split else 1, {}))
+    rows = [(0, p, c * 100 + p, c, (p % 4 + (c + r) % 2) % 4) for p in range(30) for c in range(16) for r in range(2)]
+    obs, seen = spark.createDataFrame(rows, OBS).persist(), []
+    got = {r[0]: r[1] for r in divide.divide(obs, divide.Settings(min_cluster_size=4, proportion=1, least_coverage=0), seen.append).collect()}
+    assert [got[c] for c in range(16)] == [3] * 4 + [4] * 4 + [5] * 4 + [6] * 4
+    assert [x.marker for x in seen][:3] == ["", "A", "AA"] and used[0] == 1 and set(used[1:]) == {4}
+    with pytest.raises(ValueError, match="more than 9 cells"):
+        divide.divide(obs, divide.Settings(max_cells=9))
+
+
+def test_numbers_in_ranges(spark):
+    rows = [(i * 7 % 50, "k%02d" % (i % 23)) for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, b string")
+    got = {(r["a"], r["b"]): r["n"] for r in numbering.dense_numbers(df, ["a", "b"], "n").collect()}
+    assert got == {key: n for n, key in enumerate(sorted(set(rows)))}
+    sums = {r["b"]: r["a"] for r in numbering.running_sums(df.groupBy("b").agg(F.sum("a").alias("a")), ["b"], ["a"]).collect()}
+    assert sums == {b: sum(x for x, c in rows if c <= b) for b in {b for _, b in rows}}
+    assert numbering.dense_numbers(df.limit(0), ["a"], "n").collect() == []
+
+
+def test_command_line_from_reads_to_variants(spark, tmp_path, monkeypatch, capsys):
+    """Alignments, pileup, clusters, variants; then the same from a saved clustering, and text pileups converted."""
+    monkeypatch.setattr(cli, "build_session", lambda *a: spark)
+    rng, genome_ = np.random.default_rng(1), {c: "".join(np.random.default_rng(i).choice(list("ACGT"), 400)) for i, c in enumerate("12")}
+    (tmp_path / "reads").mkdir()
+    for cell in range(24):
+        records = []
+        for i in range(160):
+            c, start = "12"[i % 2], int(rng.integers(0, 340))
+            seq = list(genome_[c][start : start + 60])
+            for at in range(60):
+                if cell % 2 and (start + at) % 4 == 0:
+                    seq[at] = "ACGT"[("ACGT".index(seq[at]) + 1) % 4]
+                elif rng.random() < 0.002:
+                    seq[at] = "ACGT"[rng.integers(4)]
+            records.append((f"c{cell}r{i}", 0, c, start + 1, 60, [(60, "M")], "".join(seq), "J" * 60, 0))
+        (tmp_path / f"reads/cell{cell:02d}_1.bam").write_bytes(bam_bytes(records, block=30_000))
+    (tmp_path / "genome.fa").write_text("".join(f">{c}\n{s}\n" for c, s in genome_.items()))
+    run = lambda *a: cli.main([str(x) for x in a])
+    run("pileup", "-i", tmp_path / "reads", "-o", tmp_path / "bin", "--chromosomes", "1,2", "--max_coverage", 1000)
+    assert sorted(p.name for p in (tmp_path / "bin").iterdir()) == ["cells.map", "chromosome_1.pileup.bin", "chromosome_2.pileup.bin"]
+    assert (tmp_path / "bin/cells.map").read_text().startswith("cell00\t0\ncell01\t1\n")
+    options = ("--max_coverage", 1000, "--min_cluster_size", 13, "--reference_genome", tmp_path / "genome.fa", "--seq_error_rate", 0.01, "--clustering_type", "SPECTRAL2")
+    run("cluster", "-i", tmp_path / "bin", "-o", tmp_path / "out", "--chromosomes", "1,2", "--compute_read_stats", "--all_matrices", *options)
+    assert "'cells': 24" in capsys.readouterr().out
+    labels = (tmp_path / "out/clustering").read_text().split(",")
+    assert len(labels) == 24 and len(set(labels[::2])) == len(set(labels[1::2])) == 1 and labels[0] != labels[1] and "0" not in labels
+    for name in ("sim_mat_eigenvalues.csv", "sim_mat_eigenvectors.csv", "sim_mat_eigenvectors_norm.csv", "spectral_clustering", "significant_positions", "common.vcf", "scores"):
+        assert (tmp_path / "out" / name).exists(), name
+    assert lists.read_matrix(str(tmp_path / "out/sim_mat_eigenvalues.csv")).shape == (1, 20)
+    changed = labels[1]
+    lines_ = [x.split("\t") for x in (tmp_path / f"out/cluster_{changed}.vcf").read_text().splitlines() if x[0] != "#"]
+    good = [x for x in lines_ if int(x[1]) % 4 == 1 and x[3] == genome_[x[0]][int(x[1]) - 1] and x[4][0] == "ACGT"[("ACGT".index(x[3]) + 1) % 4]]
+    assert len(lines_) > 150 and len(good) >= 0.98 * len(lines_)
+    assert [(int(x[0]), int(x[1])) for x in lines_] == sorted((int(x[0]), int(x[1])) for x in lines_)
+    run("cluster", "-i", tmp_path / "bin", "-o", tmp_path / "again", "--chromosomes", "1,2", "--clustering", tmp_path / "out/clustering", *options)
+    plain = lambda f: [x for x in f.read_text().splitlines() if not x.startswith("##")]
+    assert plain(tmp_path / f"again/cluster_{changed}.vcf") == plain(tmp_path / f"out/cluster_{changed}.vcf")
+    (tmp_path / "t_22.pileup.txt").write_text(THREE)
+    run("convert", "-i", tmp_path / "t_22.pileup.txt", "-o", tmp_path / "converted")
+    assert (tmp_path / "converted/chromosome_22.pileup.bin").exists()
+    for bad in (("--tumor_purity", "6"), ("--chromosomes", "1,Z"), ("--termination", "x"), ("--clustering_type", "x"), ("--normalization", "x")):
+        with pytest.raises(SystemExit):
+            run("cluster", "-i", tmp_path / "bin", "-o", tmp_path / "bad", *bad)
+    with pytest.raises(ValueError, match="no pileup of chromosomes 7"):
+        run("cluster", "-i", tmp_path / "bin", "-o", tmp_path / "bad", "--chromosomes", "7")
+
+
+def test_small_files(spark, tmp_path):
+    (tmp_path / "c").write_text("1,2,0,2\n")
+    labels = lists.read_clustering(spark, str(tmp_path / "c"))
+    assert {r[0]: r[1] for r in lists.group_labels(labels, lists.cell_grouping(spark, 2, None, 4)).collect()} == {0: 1, 1: 0}
+    lists.write_clustering(labels, str(tmp_path / "d"))
+    assert (tmp_path / "d").read_text() == "1,2,0,2"
+    (tmp_path / "t.tsv").write_text("#x\nc1\tA\nc2\tB\n")
+    assert [tuple(r) for r in lists.read_truth(spark, str(tmp_path / "t.tsv"), "cell string, clone string").collect()] == [("c1", "A"), ("c2", "B")]
+    names = pileup.read_names(spark.createDataFrame([("b", 1), ("a", 2), ("b", 1)], "n string, o int"), "n", "o")
+    pileup.write_read_names(names, str(tmp_path / "names"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "names")).collect()] == ["b\t0", "a\t1"]
+
+
 def test_settings_are_checked():
     for bad in ({"kind": "x"}, {"normalization": "x"}, {"termination": "x"}, {"proportion": 9}):
         with pytest.raises(ValueError):
@@ -185,10 +298,15 @@ def test_text_and_binary_pileups(spark, tmp_path):
     rows = {(r["position"], r["cell_id"]): (r["base"], r["read_name"]) for r in obs.collect()}
     assert len(rows) == 10 and rows[2, 3] == (1, "R2") and rows[1, 1] == (1, "R1")
     assert pileup.statistics(obs).select("cells", "cell_count").first() == (5, 10)
-    small = obs.drop("read_name").withColumn("read_id", F.pmod("read_id", F.lit(1000)))
-    files = pileup.write_binary(small, str(tmp_path / "bin"))
-    back = pileup.read_pileup(spark, str(tmp_path / "bin"))
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, small.select(back.columns).collect())) and files
+    small = pileup.numbered_reads(obs.drop("read_name"))
+    assert {r[0] for r in small.select("read_id").collect()} == set(range(5))
+    files = pileup.write_binary(obs.drop("read_name"), str(tmp_path / "bin"))
+    back = pileup.read_pileup(spark, str(tmp_path / "bin"), chromosomes=["22", "X"])
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, small.select(back.columns).collect()))
+    assert [f.rsplit("/", 1)[1] for f in files] == ["chromosome_22.pileup.bin"]
+    assert pileup.convert_text(spark, str(path), str(tmp_path / "converted")) and (tmp_path / "converted" / "chromosome_22.pileup.bin").read_bytes() == open(files[0], "rb").read()
+    with pytest.raises(ValueError, match="no pileup of chromosomes 3"):
+        pileup.read_pileup(spark, str(tmp_path / "bin"), chromosomes=["3"])
     listed = spark.createDataFrame([(21, p) for p in (0, 2, 9, 11)], "chromosome_id int, position bigint")
     kept = pileup.read_pileup(spark, str(tmp_path / "bin"), positions=listed)
     assert {r[0] for r in kept.select("position").collect()} == {2}
@@ -221,14 +339,100 @@ def test_cigar(spark):
     assert sorted(got[1]) == [(10, "A"), (11, "C"), (12, "G")] and sorted(got[2]) == [(10, "A"), (11, "C"), (13, "G")]
 
 
-@pytest.mark.parametrize("seq, events, want", [
-    ("ACGT", [(0, 1, "I")], "CGT"), ("ACGT", [(2, 1, "I")], "ACT"), ("ACGT", [(0, 1, "D"), (2, 1, "I")], "NACT"),
+def bam_bytes(records, names=("1", "2"), block=200):
+    """A BAM file of SAM-like records (name, flag, chromosome, start, mapq, [(n, op)], seq, qual, score), in small BGZF blocks."""
+    raw = b"BAM\1" + struct.pack("<i", 3) + b"@x\n" + struct.pack("<i", len(names)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", 1000) for n in names)
+    for name, flag, chromosome, start, mapq, cigar, seq, qual, score in records:
+        ops = b"".join(struct.pack("<I", n << 4 | alignments.CIGAR_LETTERS.index(op)) for n, op in cigar)
+        codes = [alignments.BASE_LETTERS.index(c) for c in seq] + [0] * (len(seq) % 2)
+        body = struct.pack("<iiBBHHHiiii", names.index(chromosome), start - 1, len(name) + 1, mapq, 0, len(cigar), flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + ops
+        body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + bytes(ord(q) - 33 for q in qual) + b"NMC\1" + b"XZZabc\0" + b"ASi" + struct.pack("<i", score)
+        raw += struct.pack("<i", len(body)) + body
+    out = b""
+    for i in range(0, len(raw), block):
+        d = zlib.compressobj(6, zlib.DEFLATED, -15)
+        data = d.compress(raw[i : i + block]) + d.flush()
+        out += struct.pack("<BBBBIBBHBBHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(data) + 25) + data + struct.pack("<II", zlib.crc32(raw[i : i + block]), len(raw[i : i + block]))
+    return out + bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+
+
+READS_ = [("r%d" % i, 99, "12"[i % 2], 1 + i, 30 + i % 9, [(2, "S"), (3, "M"), (1, "I"), (2, "M")], "NNACGTAC"[: 8], "JJJJJJJJ", -i) for i in range(60)]
+
+
+@pytest.mark.parametrize("gz", [False, True])
+def test_bam_is_read_as_its_sam(spark, tmp_path, gz):
+    sam = "".join("\t".join(map(str, (n, f, c, s, m, "".join(f"{k}{o}" for k, o in cigar), "*", 0, 0, q, u, f"AS:i:{a}"))) + "\n" for n, f, c, s, m, cigar, q, u, a in READS_)
+    (tmp_path / "a_1.sam").write_text("@HD\n" + sam)
+    data = bam_bytes(READS_)
+    (tmp_path / "a_1.bam").write_bytes(gzip.compress(b"".join(alignments.inflated(data))) if gz else data)
+    both = [f(spark, str(tmp_path / n)).drop("path") for f, n in ((alignments.read_sam, "a_1.sam"), (alignments.read_bam, "a_1.bam"))]
+    assert sorted(map(tuple, both[0].collect())) == sorted(map(tuple, both[1].collect())) and both[1].count() == 60
+    assert alignments.read_alignments(spark, [str(tmp_path / "a_1.bam")], ["2"]).count() == 30
+    with pytest.raises(ValueError, match="not a BAM"):
+        next(alignments.bam_records(gzip.compress(b"SAM\1...")))
+    with pytest.raises(ValueError, match="ends within"):
+        list(alignments.bam_records(gzip.compress(b"".join(alignments.inflated(data))[:-3])))
+
+
+def test_large_bam_takes_linear_time():
+    import time
+
+    records = [READS_[i % 60] for i in range(8000)]
+    small, large, took = bam_bytes(records[:2000]), bam_bytes(records), []
+    for data in (small, large):
+        began = time.time()
+        n = sum(1 for _ in alignments.bam_records(data))
+        took.append(time.time() - began)
+    assert n == 8000 and took[1] < 12 * took[0]
+
+
+def test_cells_of_files(spark, tmp_path):
+    paths = []
+    for name in ("a/c_1.sam", "b/c_1.sam", "b/sp ace+%41_1.sam"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(SAM)
+        paths.append(str(tmp_path / name))
+    (tmp_path / "b/z_1.bam").write_bytes(bam_bytes(READS_[:2]))
+    paths.append(str(tmp_path / "b/z_1.bam"))
+    reads = alignments.read_alignments(spark, paths)
+    assert {r["cell_id"]: r["count"] for r in reads.groupBy("cell_id").count().collect()} == dict.fromkeys(range(4), 2)
+    with pytest.raises(Exception, match="no cell"):
+        alignments.with_cells(alignments.read_sam(spark, paths[:2]), paths[:1]).collect()
+    assert [alignments.cell_name(p) for p in ("x/c_1.sam", "c.sam", "a_b_2.bam")] == ["c", "c", "a_b"]
+
+
+CASES = [
+    ("ACGT", [(0, 1, "I")], "CGT"), ("ACGT", [(2, 1, "I")], "ACT"), ("ACGT", [(0, 1, "D"), (2, 1, "I")], "NACT"), ("AAAA", [], "AAAA"),
     ("ACGT", [(0, 1, "I"), (2, 1, "D")], "CNGT"), ("AAAA", [(0, 1, "D")], "NAAAA"), ("AAAA", [(2, 1, "D")], "AANAA"),
-])
-def test_indel_map(spark, seq, events, want):
-    contigs = spark.createDataFrame([(0, "1", seq)], "nr bigint, contig string, seq string")
-    ev = spark.createDataFrame([("1", *e) for e in events], "contig string, start_pos bigint, len bigint, tr string")
-    assert genome.apply_map(contigs, ev).first()["seq"] == want
+    ("ACGT", [(1, 2, "I"), (2, 2, "D")], "ANNT"), ("ACGT", [(4, 2, "D")], "ACGTNN"), ("ACGT", [(3, 9, "I")], "ACG"), ("ACGTACGT", [(1, 1, "I"), (1, 2, "D"), (5, 1, "I"), (6, 1, "D")], "ANNGTANGT"),
+]
+
+
+@pytest.mark.parametrize("size", [3, 10_000])
+def test_indel_map(spark, size):
+    contigs = spark.createDataFrame([(str(i), len(seq)) for i, (seq, _, _) in enumerate(CASES)], "contig string, _n bigint")
+    events = spark.createDataFrame([(str(i), k, *e) for i, (_, es, _) in enumerate(CASES) for k, e in enumerate(es)], "contig string, nr bigint, start_pos bigint, len bigint, tr string")
+    assert {r[0]: r[1] for r in genome.mapped_lengths(contigs, events).collect()} == {str(i): len(w) for i, (_, _, w) in enumerate(CASES)}
+    loci = spark.createDataFrame([(str(i), p) for i, (_, _, w) in enumerate(CASES) for p in range(len(w))], "contig string, _at bigint")
+    got = {(r["contig"], r["_at"]): r["_host"] for r in genome.host_places(loci, genome.segments(contigs, events), size).collect()}
+    for i, (seq, _, want) in enumerate(CASES):
+        assert "".join("N" if got[str(i), p] is None else seq[got[str(i), p]] for p in range(len(want))) == want
+
+
+def test_map_file(spark, tmp_path):
+    line = "3\t1_paternal\t{}\t1\t11\t+\t{}\tx\n"
+    (tmp_path / "m").write_text("#c\n\n" + line.format(11, "DEL") + line.format(1, "SEQ") + line.format(21, "INS"))
+    assert [(r["contig"], r["start_pos"], r["len"], r["tr"]) for r in genome.read_map(spark, str(tmp_path / "m")).orderBy("nr").collect()] == [("1_paternal", 10, 3, "D"), ("1_paternal", 20, 3, "I")]
+    (tmp_path / "m").write_text("3\t1_paternal\t11\n")
+    with pytest.raises(Exception, match="8 columns"):
+        genome.read_map(spark, str(tmp_path / "m")).collect()
+    (tmp_path / "d.fa").write_text(">1_maternal\nACGTACGTAC\n>1_paternal\nACGTTTACGTAC\n")
+    (tmp_path / "m").write_text("2\t1_paternal\t5\t1\t5\t+\tINS\tx\n")
+    loci = spark.createDataFrame([(0, p) for p in range(0, 13)], "chromosome_id int, position bigint")
+    got = {r["position"]: r["reference"] for r in genome.reference_genotypes(spark, str(tmp_path / "d.fa"), loci, str(tmp_path / "m")).collect()}
+    assert got == {p + 1: 9 * "ACGT".index(c) for p, c in enumerate("ACGTACGTAC")}
+    with pytest.raises(ValueError, match="different length"):
+        genome.reference_genotypes(spark, str(tmp_path / "d.fa"), loci)
 
 
 def test_reference_genome(spark, tmp_path):
