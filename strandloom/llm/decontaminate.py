@@ -157,19 +157,23 @@ class Matcher:
         self.single: dict[int, list[int]] = {}
         for i in np.flatnonzero(size == 1):
             self.single.setdefault(int(coded[i][0]), []).append(int(i))
-        # buckets of items, by size: (largest size, plan, sorted keys, their items)
-        self.buckets: list[tuple[int, tuple[int, int] | None, np.ndarray, np.ndarray]] = []
+        # buckets of items, by size: (largest size, plan); for each plan the sorted keys and their items
+        self.buckets: list[tuple[int, tuple[int, int] | None]] = []
+        made: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         lo = int((size < 2).sum())
         while lo < len(coded):
             hi = int(np.searchsorted(size, size[lo] * BUCKET, "right"))
             plan = plan_for(coded[lo:hi], rate, recall)
             if plan:
                 flat = keys(padded(coded[lo:hi]), size[lo:hi], plan)
-                order = np.argsort(flat, axis=None, kind="stable")
-                self.buckets.append((int(size[hi - 1]), plan, flat.ravel()[order], lo + order // plan[1]))
-            else:
-                self.buckets.append((int(size[hi - 1]), None, np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+                made.setdefault(plan, []).append((flat.ravel(), lo + np.arange(flat.size) // plan[1]))
+            self.buckets.append((int(size[hi - 1]), plan))
             lo = hi
+        self.index: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for plan, parts in made.items():
+            flat, owner = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(flat, kind="stable")
+            self.index[plan] = (flat[order], owner[order])
         self.repeats: dict[int, int] = {}
         for c in coded:
             twice = len(c) - 1 - len(set(zip(c[:-1].tolist(), c[1:].tolist())))
@@ -254,28 +258,43 @@ class Matcher:
                 for item in self.single[int(codes[at])]:
                     found.setdefault((text, item), (0, at - int(begin[text]) + 1))
         bucket = 0
+        sampled_: dict[tuple[int, int], list[np.ndarray]] = {}
+        candidates: set[tuple[int, int, int]] = set()
         for own, starts, spots, entries in self.windows(codes):
             while self.buckets[bucket][0] < own:
                 bucket += 1
-            _, plan, hashes, owner = self.buckets[bucket]
+            plan = self.buckets[bucket][1]
             text_of = np.searchsorted(begin, spots, "right") - 1
             if plan is None:
                 first, last = self.owner_first[entries], self.owner_first[entries + 1]
-                candidates = {(int(x), int(t), int(s)) for a, b, t, s in zip(first, last, text_of, starts) for x in self.pair_owner[a:b]}
+                candidates.update((int(x), int(t), int(s)) for a, b, t, s in zip(first, last, text_of, starts) for x in self.pair_owner[a:b])
             else:
-                candidates = set()
-                both = np.unique(np.stack([text_of, starts], 1), axis=0)
-                step = max(1, CHUNK_WORDS // own)
-                for lo in range(0, len(both), step):
-                    text, start = both[lo : lo + step].T
-                    k = keys(codes[np.clip(start[:, None] + np.arange(own), 0, len(codes) - 1)], np.full(len(start), own), plan).ravel()
-                    a, b = np.searchsorted(hashes, k, "left"), np.searchsorted(hashes, k, "right")
-                    for i in np.flatnonzero(b > a):
-                        w = i // plan[1]
-                        candidates.update((int(item), int(text[w]), int(start[w])) for item in owner[a[i] : b[i]])
-            self.verify(texts, begin, candidates, found)
+                both = np.unique(text_of * (2 * len(codes)) + starts + len(codes))
+                sampled_.setdefault(plan, []).append(np.stack([both // (2 * len(codes)), both % (2 * len(codes)) - len(codes), np.full(len(both), own)]))
+        for plan, parts in sampled_.items():
+            candidates |= self.sharing(codes, *np.concatenate(parts, 1), plan)
+        self.verify(texts, begin, candidates, found)
         return [(text, item, *v) for (text, item), v in sorted(found.items())]
 
+    def sharing(self, codes: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray, plan: tuple[int, int]) -> set[tuple[int, int, int]]:
+        """(item, text, start) of windows that share a key with an item; windows come by rising size, some at a time."""
+        hashes, owner = self.index[plan]
+        out: set[tuple[int, int, int]] = set()
+        lo = 0
+        while lo < len(size):
+            # what is embedded together is about as wide, and bounded
+            hi = int(np.searchsorted(size, 4 * size[lo], "right"))
+            hi = min(hi, lo + max(1, CHUNK_WORDS // int(size[hi - 1])))
+            some, own = start[lo:hi], size[lo:hi]
+            width = int(own[-1])
+            k = keys(codes[np.clip(some[:, None] + np.arange(width), 0, len(codes) - 1)], own, plan).ravel()
+            a, b = np.searchsorted(hashes, k, "left"), np.searchsorted(hashes, k, "right")
+            for i in np.flatnonzero(b > a):
+                w = lo + i // plan[1]
+                out.update((int(item), int(text[w]), int(start[w])) for item in owner[a[i] : b[i]])
+            lo = hi
+        return out
+
     def verify(self, texts, begin: np.ndarray, candidates: set[tuple[int, int, int]], best: dict[tuple[int, int], tuple[int, int]]) -> None:
         """Adds the best exact match of the candidates (item, text, start) to best."""
         done: tuple[int, int, int] = (-1, -1, -1)
