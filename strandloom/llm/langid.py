@@ -22,6 +22,8 @@ LENGTH = CONTEXT = 64
 WINDOW = 448
 #: Labelled documents in the sample, for each language, about, and stretches of each, from hashed places of the whole text.
 SAMPLE_DOCS, STRETCHES = 600, 16
+#: How often languages are drawn is broadcast up to this many of them, some ten times what the world has.
+BROADCAST_LANGUAGES = 100_000
 
 
 def has_letter(text: str) -> bool:
@@ -206,14 +208,16 @@ def document_probabilities(fast: dict, texts: list[bytes], most: int = 1024) ->
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_rule, most_docs: int) -> tuple[list[str], list[bytes], list[int]]:
     """Languages, and stretches of about most_docs texts of each, which hashes of the ids pick out of all labelled rows.
 
-    The stretches of a text begin anywhere in it. How often a language comes up is joined to the rows, as there is no
-    bound on the languages; what the driver gets is one row for each language and the sample.
+    The stretches of a text begin anywhere in it. The driver gets one row for each language and the sample; no text is
+    shuffled up to BROADCAST_LANGUAGES languages.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & train_rule)
     known = known.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)).alias("h"))  # many rows may share a null id
-    counts = known.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-    langs = sorted(r[0] for r in counts.select("l").collect())
-    rate = counts.select("l", (F.least(F.lit(1.0), most_docs / F.col("n")) * 2**30).cast("bigint").alias("rate"))
+    counts = sorted(tuple(r) for r in known.groupBy("l").agg(F.count(F.lit(1))).collect())
+    langs = [name for name, _ in counts]
+    rate = docs.sparkSession.createDataFrame([(name, int(min(1.0, most_docs / n) * 2**30)) for name, n in counts], "l string, rate bigint")
+    if len(counts) <= BROADCAST_LANGUAGES:
+        rate = F.broadcast(rate)
     drawn = known.join(rate, "l").where(F.pmod("h", F.lit(2**30)) < F.col("rate"))
     room = F.greatest(F.lit(1), F.length("t") - LENGTH + 1)
     places = F.transform(F.sequence(F.lit(1), F.lit(STRETCHES)), lambda i: (1 + F.pmod(F.xxhash64(i, "h"), room)).cast("int"))
