@@ -844,3 +844,59 @@ def test_pipeline_stages(spark):
         assert r["text"] == secrets.redact(texts[r["doc_id"]]["text"], spans) and (spans or r["n_chars"] == texts[r["doc_id"]]["n_chars"])
     assert four.columns == docs.columns and steps["mixed"](spark, docs, SF).count() > 0
     json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+@needs_tables
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
+def test_pipeline_run_against_its_stages_by_hand(spark, tmp_path):
+    """run() on the smallest tables: each stage in plain Python or SQL, on what the one before kept."""
+    import corpus_pipeline
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = {r["doc_id"]: r.asDict() for r in table.collect()}
+    assert len(docs) == table.count()
+    spoken = {r["doc_id"]: r for r in langid.identify(table).collect()}
+    one = {i: d for i, d in docs.items() if spoken[i]["lang_pred"] != "und" and spoken[i]["score"] >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
+    classes = brute_classes({i: d["text"] for i, d in one.items()})
+    two = {i: d for i, d in one.items() if classes[i][0] == i}
+    items = [plain_words((r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leak = lambda t: any(decontaminate.least_distance(x, t)[0] <= decontaminate.edits(len(x)) for x in items if set(x) & set(t))
+    three = {i: d for i, d in two.items() if not leak(plain_words((d["text"] or "").encode()))}
+    four = []
+    for d in three.values():
+        text = d["text"] and secrets.redact(d["text"], secrets.scan(d["text"])[1])
+        four.append(d | {"text": text, "n_chars": d["n_chars"] if text == d["text"] else len(text)})
+    assert len(docs) > len(two) > len(three) > 0
+    spark.createDataFrame(four, table.schema).coalesce(1).write.parquet(str(tmp_path / "four"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/four/*.parquet'")
+    want = db.execute(mixing.oracle())
+    names = [d[0] for d in want.description]
+    got = corpus_pipeline.run(spark, sf)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_odd_tables_of_all_operators(spark, none, tmp_path):
+    """Empty tables: no rows of the same columns from every stage; labels and items may be empty."""
+    items = spark.createDataFrame([], "item_id int, text string")
+    for stage in (lambda d: langid.in_known_language(d, 0.4), secrets.redact_documents, lambda d: decontaminate.decontaminate(d, items)):
+        out = stage(none)
+        assert out.columns == none.columns and out.collect() == []
+    one = spark.createDataFrame([(1, "a few words", "en", "s", 3, "x", 1, 0.5)], DOCS)
+    empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert quality.quality(one, empty).first()["kept"] is False and toxicity.score_toxicity(one, empty).first()["severity"] == 0
+    assert decontaminate.decontaminate(one, items).count() == 1
+
+
+def test_scratch_tables_go(spark):
+    from strandloom.llm import common
+
+    df = common.materialize(spark.range(3), "gone")
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    fs = jvm.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    assert df.count() == 3 and fs.exists(jvm)
+    common.forget(df)
+    assert not fs.exists(jvm)
