@@ -171,12 +171,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             for part in slices(batch, 1):
                 words = [plain_words(t) for t in byte_texts(part.column(1))]
                 tally = [Counter(w) for w in words]
-                columns = [part.column(0), part.column(2), pa.array([copy_group(w) for w in words], pa.binary()), pa.array([list(c) for c in tally], pa.list_(pa.binary())), pa.array([list(c.values()) for c in tally], pa.list_(pa.int64()))]
+                columns = [part.column(0), part.column(2), pa.array([copy_group(w) for w in words], pa.binary()), pa.array([b" ".join(c) for c in tally], pa.binary()), pa.array([np.array(list(c.values()), np.int32).tobytes() for c in tally], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["t", "h", "g", "words", "n"])
 
-    rows = own.mapInArrow(count, "t int, h bigint, g binary, words array<binary>, n array<bigint>").dropDuplicates(["t", "h"])
+    rows = own.mapInArrow(count, "t int, h bigint, g binary, words binary, n binary").dropDuplicates(["t", "h"])
     out = [r for t in (0, 1) for r in rows.where(F.col("t") == t).orderBy("h").limit(most).collect()]
-    return [(bytes(r["g"]), dict(zip(map(bytes, r["words"]), r["n"])), bool(r["t"])) for r in sorted(out, key=lambda r: (r["t"], r["h"]))]
+    known: dict[bytes, bytes] = {}  # a word is held once, however many documents have it
+    words = lambda r: [known.setdefault(w, w) for w in bytes(r["words"]).split()]
+    return [(bytes(r["g"]), dict(zip(words(r), np.frombuffer(bytes(r["n"]), np.int32).tolist())), bool(r["t"])) for r in sorted(out, key=lambda r: (r["t"], r["h"]))]
 
 
 def score_toxicity(
