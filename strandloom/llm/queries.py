@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, mixing, neardup, quality, secrets, token_counts, toxicity, warc
+from . import alignment, decontaminate, langid, lm, mixing, neardup, quality, resampling, secrets, substrings, token_counts, toxicity, warc
 from .common import materialize, scratch
 
 VOCABULARY = os.environ.get("STRANDLOOM_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+BYTE_LEVEL = os.environ.get("STRANDLOOM_BYTE_LEVEL", "/opt/tokenizers/byte_bpe_50k.json")
+PIECES = os.environ.get("STRANDLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,10 +68,24 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages removed; the digest of what is left."""
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_warc, op2_language, op3_secrets, op4_toxicity, op5_jaccard, op6_hmm, op7_decontaminate, op8_quality, op9_tokens, op10_mix)
+    own = (op1_warc, op2_language, op3_secrets, op4_toxicity, op5_jaccard, op6_hmm, op7_decontaminate, op8_quality, op9_tokens, op10_mix, op11_substrings, op12_resampling, op13_alignment)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op5_jaccard": neardup.ORACLE, "op10_mix": mixing.oracle()}
+    return {"op1_warc": warc.ORACLE, "op5_jaccard": neardup.ORACLE, "op10_mix": mixing.oracle(), "op11_substrings": substrings.ORACLE, "op12_resampling": resampling.ORACLE}
