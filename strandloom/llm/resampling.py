@@ -1,10 +1,11 @@
 """Importance resampling towards a target corpus, by postings inverted into buckets.
 
 Features (runs of 1 to N words) are hashed into BUCKETS buckets. Every document gives a posting (bucket, document, count)
-for each of its buckets; a shuffle brings the postings of a bucket together with the counts of both corpora for it. There
-the bucket's gain, the log ratio of its smoothed shares, is computed, each posting contributes count times gain, and the
-contributions are summed by document. Documents are dealt to blocks of bounded size, and a bucket's postings of each block
-are a group of their own, so that a bucket that every document has is no larger than any other.
+for each of its buckets; a task inverts the postings of some documents at a time and packs them by range of buckets. A
+shuffle brings the postings of a range together with both corpora's counts for its buckets. There the buckets' gains, log
+ratios of their smoothed shares, are computed, every posting contributes count times gain, and the contributions are summed
+by document. Documents are dealt to blocks of bounded size, and a range's postings of each block are a group of their own,
+so that buckets that every document has make no group large.
 """
 
 from __future__ import annotations
@@ -13,17 +14,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.numbering import dense_numbers
-from .common import byte_texts, forget, materialize, plain_words
+from .common import byte_texts, forget, materialize, plain_words, slices
 
 BUCKETS, WORDS, SEED = 10_000, 1, 2024
 #: Documents with fewer words are not drawn; of the others this share is.
 LEAST_WORDS, PERCENT = 20, 10
-#: A group of postings has one row for each of so many documents at most, about.
-BLOCK_DOCUMENTS = 100_000
+#: Ranges of buckets, and documents of a block, about: a group has the postings of one range and one block.
+RANGES, BLOCK_DOCUMENTS = 16, 50_000
+#: Documents whose postings are inverted together: so many bytes of texts; a longer text is inverted alone.
+SLICE = 4_000_000
 
 
 class _Buckets(dict):
@@ -51,36 +55,57 @@ def features(words: list[bytes], most: int) -> list[bytes]:
 
 
 def postings(texts: DataFrame, words: int, buckets: int) -> DataFrame:
-    """A row for each row of (_id, _row, _text): _id, _row, n_words, n_features, _buckets, _counts."""
+    """For rows (_id, _row, _text), rows of two sorts.
+
+    (_id, _row, n_words, n_features) of a document; (_range, _base, _bucket, _place, _count) of a range of buckets and some
+    documents: lists of postings in order of their buckets, the document being _row = _base + _place.
+    """
 
     def run(batches):
         known = _known.setdefault(buckets, _Buckets(buckets))
         for batch in batches:
-            n_words, n_features, keys, counts = [], [], [], []
-            for text in byte_texts(batch.column(2)):
-                own = plain_words(text)
-                all_ = features(own, words)
-                n_words.append(len(own))
-                n_features.append(len(all_))
-                k, c = np.unique(np.fromiter(map(known.__getitem__, all_), np.int32, len(all_)), return_counts=True)
-                keys.append(k)
-                counts.append(c)
-            offsets = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t))) for x, t in ((keys, np.int32), (counts, np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_features, pa.int64()), *lists], ["_id", "_row", "n_words", "n_features", "_buckets", "_counts"])
-
-    ddl = f"_id {texts.schema['_id'].dataType.simpleString()}, _row bigint, n_words bigint, n_features bigint, _buckets array<int>, _counts array<bigint>"
-    return texts.select("_id", "_row", "_text").mapInArrow(run, ddl)
-
-
-def inverted(table: DataFrame) -> DataFrame:
-    return table.select("_row", F.inline(F.arrays_zip("_buckets", "_counts"))).toDF("_row", "_bucket", "_count")
-
-
-def gain(own: Column, all_own: int, target: Column, all_target: int, buckets: int) -> Column:
-    """floor(1000 ln) of the bucket's share of the target over its share of the corpus, each with one added to every bucket."""
-    share = (target + 1).cast("double") * F.lit(float(all_own + buckets)) / ((own + 1).cast("double") * F.lit(float(all_target + buckets)))
-    return F.floor(1000 * F.ln(share))
+            for part in slices(batch, 2, SLICE):
+                rows = np.asarray(part.column(1))
+                n_words, n_features, keys, counts = [], [], [], []
+                for text in byte_texts(part.column(2)):
+                    own = plain_words(text)
+                    all_ = features(own, words)
+                    n_words.append(len(own))
+                    n_features.append(len(all_))
+                    k, c = np.unique(np.fromiter(map(known.__getitem__, all_), np.int32, len(all_)), return_counts=True)
+                    keys.append(k)
+                    counts.append(c)
+                n = len(rows)
+                none = [pa.nulls(n, t) for t in LISTS]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(n_features, pa.int64()), *none], NAMES)
+                base = int(rows.min())
+                place = np.repeat(rows - base, [len(k) for k in keys])
+                key, count = np.concatenate(keys), np.concatenate(counts)
+                order = np.argsort(key, kind="stable")
+                key, place, count = key[order], place[order], count[order]
+                own, begin = np.unique(key * RANGES // buckets, return_index=True)
+                offsets = pa.array(np.append(begin, len(key)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (key, place, count)]
+                n = len(own)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, part.column(0).type), *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.array(own.astype(np.int32)), pa.array(np.full(n, base)), *lists], NAMES)
+
+    kind = texts.schema["_id"].dataType.simpleString()
+    return texts.select("_id", "_row", "_text").mapInArrow(run, f"_id {kind}, _row bigint, n_words bigint, n_features bigint, _range int, _base bigint, _bucket array<int>, _place array<int>, _count array<int>")
+
+
+NAMES = ["_id", "_row", "n_words", "n_features", "_range", "_base", "_bucket", "_place", "_count"]
+LISTS = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+
+def bucket_counts(table: DataFrame) -> DataFrame:
+    lists = table.where("_range is not null").select(F.inline(F.arrays_zip("_bucket", "_count"))).toDF("_bucket", "_n")
+    return lists.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
+
+
+def gains(own: np.ndarray, all_own: int, target: np.ndarray, all_target: int, buckets: int) -> np.ndarray:
+    """floor(1000 ln) of a bucket's share of the target over its share of the corpus, each with one added to every bucket."""
+    share = (target + 1).astype(float) * float(all_own + buckets) / ((own + 1).astype(float) * float(all_target + buckets))
+    return np.floor(1000 * np.log(share)).astype(np.int64)
 
 
 def gumbel(id_: Column, seed: int) -> Column:
@@ -94,22 +119,33 @@ def weights(docs: DataFrame, target: DataFrame, id_col: str, text_col: str, targ
     """(_id, _row, n_words, n_features, weight); _row numbers the rows of docs, in no order."""
     rows = docs.select(docs[id_col].alias("_id"), F.monotonically_increasing_id().alias("_row"), docs[text_col].cast("string").alias("_text"))
     table = materialize(postings(rows, words, buckets), "postings")
-    aim = target.select(F.lit(0).alias("_id"), F.lit(0).cast("bigint").alias("_row"), target[target_text].cast("string").alias("_text"))
-    aim = materialize(postings(aim, words, buckets), "target")
+    own_rows, lists = table.where("_row is not null"), table.where("_range is not null")
+    aim = target.select(F.lit(0).alias("_id"), F.monotonically_increasing_id().alias("_row"), target[target_text].cast("string").alias("_text"))
     zero = F.lit(0).cast("bigint")
-    both = inverted(table).select("_bucket", F.col("_count").alias("_own"), zero.alias("_aim")).unionAll(inverted(aim).select("_bucket", zero, "_count"))
+    both = bucket_counts(table).select("_bucket", F.col("_n").alias("_own"), zero.alias("_aim")).unionAll(bucket_counts(postings(aim, words, buckets)).select("_bucket", zero, "_n"))
     counts = materialize(both.groupBy("_bucket").agg(F.sum("_own").alias("_own"), F.sum("_aim").alias("_aim")), "counts")  # a row a bucket
     all_own, all_aim = (int(x or 0) for x in counts.agg(F.sum("_own"), F.sum("_aim")).first())
-    blocks = max(1, -(-table.count() // block))
-    dealt = inverted(table).withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
-    corpora = counts.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    met = dealt.join(corpora.hint("shuffle_hash"), ["_bucket", "_block"])  # postings stream past the counts of their bucket
-    part = met.select("_row", (F.col("_count") * gain(F.col("_own"), all_own, F.col("_aim"), all_aim, buckets)).alias("_part"))
-    total = part.groupBy("_row").agg(F.sum("_part").alias("_total"))
-    out = table.select("_id", "_row", "n_words", "n_features").join(total, "_row", "left")
+    blocks = max(1, -(-own_rows.count() // block))
+    dealt = lists.select("_range", F.pmod(F.xxhash64("_base"), F.lit(blocks)).cast("int").alias("_block"), "_base", "_bucket", "_place", "_count")
+    corpora = counts.select(F.floor(F.col("_bucket").cast("bigint") * RANGES / buckets).cast("int").alias("_range"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), "_bucket", "_own", "_aim")
+
+    def contributions(left: pa.Table, right: pa.Table) -> pa.Table:
+        of = np.zeros(buckets, np.int64)
+        of[np.asarray(right["_bucket"])] = gains(np.asarray(right["_own"]), all_own, np.asarray(right["_aim"]), all_aim, buckets)
+        flat = lambda name: left[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        size = np.asarray(pc.list_value_length(left["_place"])).astype(np.int64)
+        row = np.repeat(np.asarray(left["_base"]), size) + flat("_place")
+        row, at = np.unique(row, return_inverse=True)
+        total = np.zeros(len(row), np.int64)
+        np.add.at(total, at, flat("_count") * of[flat("_bucket")])
+        return pa.table([row, total], ["_row", "_part"])
+
+    met = dealt.groupBy("_range", "_block").cogroup(corpora.groupBy("_range", "_block")).applyInArrow(contributions, "_row bigint, _part bigint")
+    total = met.groupBy("_row").agg(F.sum("_part").alias("_total"))
+    out = own_rows.select("_id", "_row", "n_words", "n_features").join(total, "_row", "left")
     mean = F.when(F.col("n_features") > 0, F.floor(F.col("_total") / F.col("n_features"))).otherwise(zero)
     out = materialize(out.select("_id", "_row", "n_words", "n_features", mean.alias("weight")), "weights")
-    forget(table, aim, counts)
+    forget(table, counts)
     return out
 
 
