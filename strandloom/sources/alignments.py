@@ -3,20 +3,14 @@
 from __future__ import annotations
 
 import re
-import struct
-import zlib
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import chromosome_id, encode_base
 from ..operators.significance import keep_loci, pileup_loci
 from ..session import with_checkpoints
-
-READS = "path string, name string, flag int, chromosome string, start bigint, mapq int, cigar string, seq string, qual string, score int"
-# The letters of BAM's CIGAR operations and bases.
-CIGAR_LETTERS, BASE_LETTERS = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
+from .bam import SPLIT, read_regions
 
 
 def read_sam(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -29,123 +23,16 @@ def read_sam(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     )
 
 
-def inflated(data: bytes):
-    """The decompressed blocks of a BGZF file, by their size fields; other gzip files in pieces."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        size, extra = None, 12 + int.from_bytes(view[at + 10 : at + 12], "little")
-        if view[at + 3] & 4:
-            field = at + 12
-            while field < at + extra:
-                n = int.from_bytes(view[field + 2 : field + 4], "little")
-                if bytes(view[field : field + 2]) == b"BC":
-                    size = int.from_bytes(view[field + 4 : field + 6], "little") + 1
-                field += 4 + n
-        if size is not None:
-            yield zlib.decompress(view[at + extra : at + size - 8], -15)
-            at += size
-            continue
-        d = zlib.decompressobj(31)
-        while not d.eof and at < len(view):
-            piece = view[at : at + (1 << 20)]
-            yield d.decompress(piece)
-            at += len(piece) - len(d.unused_data)
-
-
-class _Blocks:
-    """Reads by number of bytes over a series of blocks; holds one block and what a read needs."""
-
-    def __init__(self, blocks):
-        self.blocks, self.held, self.at = blocks, b"", 0
-
-    def take(self, n: int) -> bytes:
-        while len(self.held) - self.at < n:
-            more = next(self.blocks, None)
-            if more is None:
-                raise ValueError("a BAM file ends within a record")
-            self.held, self.at = self.held[self.at :] + more, 0
-        self.at += n
-        return self.held[self.at - n : self.at]
-
-    def ended(self) -> bool:
-        while self.at == len(self.held):
-            more = next(self.blocks, None)
-            if more is None:
-                return True
-            self.held, self.at = more, 0
-        return False
-
-
-def bam_records(data: bytes, wanted: set[str] | None = None):
-    """(name, flag, chromosome, 1-based start, mapping quality, cigar, bases, qualities, alignment score).
-
-    Records on references other than the wanted ones are stepped over. Time and memory are linear in the file.
-    """
-    raw = _Blocks(inflated(data))
-    number = lambda: struct.unpack("<i", raw.take(4))[0]
-    if raw.take(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    raw.take(number())
-    names = []
-    for _ in range(number()):
-        names.append(raw.take(number())[:-1].decode())
-        raw.take(4)
-    while not raw.ended():
-        record = raw.take(number())
-        ref, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", record)
-        chromosome = names[ref] if ref >= 0 else "*"
-        if wanted is not None and chromosome not in wanted:
-            continue
-        p = 32 + l_name
-        name = record[32 : p - 1].decode()
-        ops = struct.unpack_from(f"<{n_cigar}I", record, p)
-        p += 4 * n_cigar
-        packed = record[p : p + (l_seq + 1) // 2]
-        seq = "".join(BASE_LETTERS[b >> 4] + BASE_LETTERS[b & 15] for b in packed)[:l_seq]
-        p += (l_seq + 1) // 2
-        qual = "".join(chr(min(q, 93) + 33) for q in record[p : p + l_seq])
-        yield name, flag, chromosome, pos + 1, mapq, "".join(f"{o >> 4}{CIGAR_LETTERS[o & 15]}" for o in ops) or "*", seq, qual, _score(record, p + l_seq, len(record))
-
-
-def _score(raw: bytes, at: int, end: int) -> int:
-    sizes = {65: 1, 99: 1, 67: 1, 115: 2, 83: 2, 105: 4, 73: 4, 102: 4}
-    forms = {99: "b", 67: "B", 115: "<h", 83: "<H", 105: "<i", 73: "<I"}
-    while at < end:
-        tag, kind = raw[at : at + 2], raw[at + 2]
-        at += 3
-        if tag == b"AS" and kind in forms:
-            return struct.unpack_from(forms[kind], raw, at)[0]
-        if kind in (90, 72):
-            at = raw.index(b"\0", at) + 1
-        elif kind == 66:
-            at += 5 + sizes[raw[at]] * struct.unpack_from("<i", raw, at + 1)[0]
-        else:
-            at += sizes[kind]
-    return 0
-
-
-def read_bam(spark: SparkSession, paths: list[str] | str, wanted: set[str] | None = None) -> DataFrame:
-    """Reads of BAM files, which Spark opens, on the wanted references only if given.
-
-    A file, of one cell, is decoded by one task; as Spark hands it over as a whole, it may have 2 GB, compressed, at most.
-    """
-    schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("flag", pa.int32()), ("chromosome", pa.string()), ("start", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("qual", pa.string()), ("score", pa.int32())])
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's file systems name it in full."""
+    conf, whole = spark._jsparkSession.sessionState().newHadoopConf(), spark._jvm.org.apache.hadoop.fs.Path(path)
+    return whole.getFileSystem(conf).makeQualified(whole).toString()
 
-    def run(batches):
-        rows = []
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                path = batch.column(0)[i].as_py()
-                for record in bam_records(batch.column(1)[i].as_py(), wanted):
-                    rows.append((path, *record))
-                    if len(rows) == 10_000:
-                        yield pack()
-                        rows = []
-        if rows:
-            yield pack()
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, READS)
+def read_bam(spark: SparkSession, paths: list[str] | str, wanted: set[str] | None = None, split: int = SPLIT) -> DataFrame:
+    """Reads of BAM files, on the wanted references only if given: tasks read ranges of a file's blocks (see sources.bam)."""
+    paths = [qualified(spark, p) for p in ([paths] if isinstance(paths, str) else paths)]
+    return read_regions(spark, paths, None if wanted is None else [(name, -1, 1 << 31) for name in sorted(wanted)], split)
 
 
 def explode_cigar(reads: DataFrame) -> DataFrame:
@@ -180,13 +67,7 @@ def plain_path(path: Column) -> Column:
 def with_cells(reads: DataFrame, paths: list[str]) -> DataFrame:
     """cell_id: the place of the read's file in the sorted list of files, by whole path; a read of no such file is an error."""
     spark = reads.sparkSession
-    conf, path_of = spark._jsparkSession.sessionState().newHadoopConf(), spark._jvm.org.apache.hadoop.fs.Path
-
-    def full(p: str) -> str:
-        path = path_of(p)
-        return path.getFileSystem(conf).makeQualified(path).toString()
-
-    files = spark.createDataFrame([(full(p), i) for i, p in enumerate(sorted(paths))], "_file string, _cell int")
+    files = spark.createDataFrame([(qualified(spark, p), i) for i, p in enumerate(sorted(paths))], "_file string, _cell int")
     files = F.broadcast(files.select(plain_path(F.col("_file")).alias("_file"), "_cell"))  # one row a file
     joined = reads.withColumn("_file", plain_path(F.col("path"))).join(files, "_file", "left")
     missing = F.raise_error(F.concat(F.lit("no cell for file "), F.col("path"))).cast("int")

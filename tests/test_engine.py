@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import codecs
 from strandloom import cli
 from strandloom.operators import divide, em, evaluation, linalg, numbering, significance, similarity, variants
-from strandloom.sources import alignments, genome, lists, pileup, vcf
+from strandloom.sources import alignments, bam, genome, lists, pileup, vcf
 
 OBS = "chromosome_id int, position bigint, read_id bigint, cell_id int, base int"
 
@@ -343,8 +343,8 @@ def bam_bytes(records, names=("1", "2"), block=200):
     """A BAM file of SAM-like records (name, flag, chromosome, start, mapq, [(n, op)], seq, qual, score), in small BGZF blocks."""
     raw = b"BAM\1" + struct.pack("<i", 3) + b"@x\n" + struct.pack("<i", len(names)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", 1000) for n in names)
     for name, flag, chromosome, start, mapq, cigar, seq, qual, score in records:
-        ops = b"".join(struct.pack("<I", n << 4 | alignments.CIGAR_LETTERS.index(op)) for n, op in cigar)
-        codes = [alignments.BASE_LETTERS.index(c) for c in seq] + [0] * (len(seq) % 2)
+        ops = b"".join(struct.pack("<I", n << 4 | bam.CIGAR_LETTERS.index(op)) for n, op in cigar)
+        codes = [bam.BASE_LETTERS.index(c) for c in seq] + [0] * (len(seq) % 2)
         body = struct.pack("<iiBBHHHiiii", names.index(chromosome), start - 1, len(name) + 1, mapq, 0, len(cigar), flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + ops
         body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + bytes(ord(q) - 33 for q in qual) + b"NMC\1" + b"XZZabc\0" + b"ASi" + struct.pack("<i", score)
         raw += struct.pack("<i", len(body)) + body
@@ -356,6 +356,16 @@ def bam_bytes(records, names=("1", "2"), block=200):
     return out + bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
+def inflated(data):
+    """The bytes of a series of gzip members."""
+    out = b""
+    while data:
+        d = zlib.decompressobj(31)
+        out += d.decompress(data)
+        data = d.unused_data
+    return out
+
+
 READS_ = [("r%d" % i, 99, "12"[i % 2], 1 + i, 30 + i % 9, [(2, "S"), (3, "M"), (1, "I"), (2, "M")], "NNACGTAC"[: 8], "JJJJJJJJ", -i) for i in range(60)]
 
 
@@ -364,14 +374,14 @@ def test_bam_is_read_as_its_sam(spark, tmp_path, gz):
     sam = "".join("\t".join(map(str, (n, f, c, s, m, "".join(f"{k}{o}" for k, o in cigar), "*", 0, 0, q, u, f"AS:i:{a}"))) + "\n" for n, f, c, s, m, cigar, q, u, a in READS_)
     (tmp_path / "a_1.sam").write_text("@HD\n" + sam)
     data = bam_bytes(READS_)
-    (tmp_path / "a_1.bam").write_bytes(gzip.compress(b"".join(alignments.inflated(data))) if gz else data)
+    (tmp_path / "a_1.bam").write_bytes(gzip.compress(inflated(data)) if gz else data)
     both = [f(spark, str(tmp_path / n)).drop("path") for f, n in ((alignments.read_sam, "a_1.sam"), (alignments.read_bam, "a_1.bam"))]
     assert sorted(map(tuple, both[0].collect())) == sorted(map(tuple, both[1].collect())) and both[1].count() == 60
     assert alignments.read_alignments(spark, [str(tmp_path / "a_1.bam")], ["2"]).count() == 30
     with pytest.raises(ValueError, match="not a BAM"):
-        next(alignments.bam_records(gzip.compress(b"SAM\1...")))
+        next(bam.bam_records(gzip.compress(b"SAM\1...")))
     with pytest.raises(ValueError, match="ends within"):
-        list(alignments.bam_records(gzip.compress(b"".join(alignments.inflated(data))[:-3])))
+        list(bam.bam_records(gzip.compress(inflated(data)[:-3])))
 
 
 def test_large_bam_takes_linear_time():
@@ -381,7 +391,7 @@ def test_large_bam_takes_linear_time():
     small, large, took = bam_bytes(records[:2000]), bam_bytes(records), []
     for data in (small, large):
         began = time.time()
-        n = sum(1 for _ in alignments.bam_records(data))
+        n = sum(1 for _ in bam.bam_records(data))
         took.append(time.time() - began)
     assert n == 8000 and took[1] < 12 * took[0]
 
