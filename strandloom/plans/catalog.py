@@ -228,6 +228,19 @@ def genome_segments(obs):
     return genome.segments(*workload.indels(obs)).toDF("contig", "first_place", "end_place", "host_place")
 
 
+def reference_bases(spark, sf_dir):
+    """The genome is written in FASTA and read back; its letters at the loci of the observations."""
+    from ..session import scratch
+    from ..sources import genome
+
+    path = scratch(spark, "genome")
+    workload.genome_files(spark, sf_dir, path)
+    return genome.reference_genotypes(spark, path, workload.observations(spark, sf_dir))
+
+
+_queries["reference_bases"], _sql["reference_bases"] = reference_bases, f"WITH {workload.sql(False)} {workload.GENOME_SQL}"
+
+
 def cigar_observations(spark, sf_dir):
     from ..sources import alignments
 

@@ -91,3 +91,19 @@ SEGMENTS_SQL = """, events AS (SELECT chromosome_id::VARCHAR AS contig, position
   marks AS (SELECT contig, s, c + sd AS b, c + si AS host, c + sd - del AS o FROM copied UNION ALL SELECT DISTINCT chromosome_id::VARCHAR, -1, 0, 0, 0 FROM obs),
   lengths AS (SELECT chromosome_id::VARCHAR AS contig, max(position) + 10 AS n FROM obs GROUP BY ALL),
   segments AS (SELECT contig, b, coalesce(lead(o) OVER (PARTITION BY contig ORDER BY s), b + greatest(0, n - host)) AS e, host FROM marks JOIN lengths USING (contig))"""
+
+
+def genome_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """A genome in FASTA: a contig for each chromosome, a letter for each row of lineitem, a line for each order.
+
+    The folder's files, in order of their names, are one genome: contigs go on from one file to the next.
+    """
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("cast(l_partkey % 24 AS int) AS c", "l_orderkey AS o", "struct(l_linenumber, l_partkey, substr('ACGT', cast(l_suppkey % 4 + 1 AS int), 1) AS letter) AS x")
+    lines = items.groupBy("c", "o").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["letter"]), "").alias("value"))
+    heads = lines.select("c", F.lit(-1).cast("bigint").alias("o"), F.expr("concat('>chr', CASE c WHEN 22 THEN 'X' WHEN 23 THEN 'Y' ELSE cast(c + 1 AS string) END, ' made of lineitem')")).distinct()
+    lines.unionAll(heads).repartitionByRange("c", "o").sortWithinPartitions("c", "o").select("value").write.text(path)
+
+
+#: The letters of that genome as the loci's genotypes, in SQL.
+GENOME_SQL = """, genome AS (SELECT (l_partkey % 24)::INTEGER AS chromosome_id, row_number() OVER (PARTITION BY l_partkey % 24 ORDER BY l_orderkey, l_linenumber, l_partkey) AS position, (l_suppkey % 4)::INTEGER AS g FROM lineitem)
+  SELECT chromosome_id, position, (g * 9)::INTEGER AS reference FROM genome SEMI JOIN obs USING (chromosome_id, position)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +31,8 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or "/tmp/checkpoints/strandloom")
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder of checkpoints, which all executors share."""
+    return f"{with_checkpoints(spark).sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

@@ -450,7 +450,7 @@ def test_reference_genome(spark, tmp_path):
     loci = spark.createDataFrame([(0, 1), (0, 6), (0, 11), (22, 2), (23, 1)], "chromosome_id int, position bigint")
     got = {(r[0], r[1]): r[2] for r in genome.reference_genotypes(spark, str(tmp_path / "d.fa"), loci).collect()}
     assert got == {(0, 1): 1, (0, 6): 18, (22, 2): 27, (23, 1): 9}
-    assert genome.is_diploid(genome.read_contigs(spark, str(tmp_path / "d.fa")))
+    assert genome.is_diploid(genome.read_genome(spark, str(tmp_path / "d.fa"))[0])
 
 
 def test_lists_and_evaluation(spark, tmp_path):
