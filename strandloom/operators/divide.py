@@ -54,7 +54,7 @@ def matrix_of(obs: DataFrame, cells: list[int], s: Settings) -> np.ndarray:
     """The normalised similarity of the cells; what reaches the driver is one row for each two cells that overlap."""
     if len(cells) > s.max_cells:
         raise ValueError(f"{len(cells)} cells; a dense matrix takes {s.max_cells} at most")
-    scores = similarity.pair_scores(similarity.read_pairs(similarity.drop_mate_conflicts(obs)), s.mutation, s.homozygous, s.theta)
+    scores = similarity.pair_scores(similarity.cell_pairs(obs), s.mutation, s.homozygous, s.theta)
     rows = scores.select("cell_i", "cell_j", "m").toArrow()
     order = np.array(cells)  # sorted
     i, j = (np.searchsorted(order, np.asarray(rows[c])) for c in ("cell_i", "cell_j"))

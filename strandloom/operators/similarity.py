@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from ..session import with_checkpoints
 from .significance import LOCUS
 
 PAIR = ["chromosome_id", "read_a", "read_b"]
+#: Positions of a window at least; coverage is capped, so that this bounds its rows. Pairs that are counted at once.
+WIDTH, MOST_PAIRS = 100_000, 2_000_000
 
 
 def drop_mate_conflicts(obs: DataFrame) -> DataFrame:
@@ -17,19 +23,137 @@ def drop_mate_conflicts(obs: DataFrame) -> DataFrame:
     return grouped.where("base = _other").drop("_other")
 
 
-def read_pairs(obs: DataFrame) -> DataFrame:
-    """(x_s, x_d): loci where two reads of different cells have the same base, and a different one.
+def longest_fragment(obs: DataFrame) -> int:
+    """Positions between the first and the last observation of a read, at most."""
+    spans = obs.groupBy("chromosome_id", "read_id").agg((F.max("position") - F.min("position")).alias("n"))
+    return int(spans.agg(F.max("n")).first()[0] or 0)
+
+
+def _windows(obs: DataFrame, longest: int | None) -> tuple[DataFrame, int]:
+    """obs with _window, and the windows' width.
+
+    A window has the observations from its longest fragment before its start to as far behind its end, so that all loci two
+    reads share are in the window of the first one of them, which owns the pair. Chromosomes that are no wider than a window
+    are one each, whatever the fragments are.
+    """
+    if longest is None:
+        edges = obs.groupBy("chromosome_id").agg(F.min("position").alias("a"), F.max("position").alias("b")).agg(F.min("a"), F.max("b")).first()
+        if edges[0] is None or edges[1] // WIDTH == edges[0] // WIDTH:
+            return obs.withColumn("_window", F.floor(F.col("position") / WIDTH)), WIDTH
+        longest = longest_fragment(obs)
+    width = max(WIDTH, 4 * longest)
+    at = F.sequence(F.floor((F.col("position") - longest) / width), F.floor((F.col("position") + longest) / width))
+    return obs.withColumn("_window", F.explode(at)), width
+
+
+def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, number = np.unique(values, return_inverse=True)
+    return distinct, number.astype(np.int64)
+
+
+def pairs_of_window(position: np.ndarray, read: np.ndarray, cell: np.ndarray, base: np.ndarray, first: int, end: int) -> tuple[np.ndarray, ...]:
+    """(read_a < read_b, cell_a, cell_b, x_s, x_d) of the pairs of reads whose first common locus is from first to before end.
+
+    Loci at which a read's mates disagree don't count for it. Pairs are counted in slices of loci, MOST_PAIRS at a time.
+    """
+    order = np.lexsort((cell, read, position))
+    position, read, cell, base = position[order], read[order], cell[order], base[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(read)), bool), (np.diff(position) != 0) | (np.diff(read) != 0) | (np.diff(cell) != 0)]))
+    if len(new):
+        agree = np.minimum.reduceat(base, new) == np.maximum.reduceat(base, new)
+        new = new[agree]
+    position, read, cell, base = position[new], read[new], cell[new], base[new]
+    reads, r = _ranks(read)
+    cells, c = _ranks(cell)
+    who, own = _ranks(r * max(1, len(cells)) + c)  # a read of a cell
+    n = len(who)
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(position)), bool), np.diff(position) != 0]))
+    sizes = np.diff(np.append(starts, len(position)))
+    load = np.cumsum(sizes * (sizes - 1) // 2)
+    kept: list[np.ndarray] = []
+    for lo, hi in _slices(load):
+        a, b = starts[lo], starts[hi - 1] + sizes[hi - 1]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at, step = np.arange(a, b), 1
+        while len(at):
+            at = at[at + step < b]
+            at = at[position[at + step] == position[at]]
+            left.append(at)
+            right.append(at + step)
+            step += 1
+        i, j = np.concatenate(left), np.concatenate(right)
+        ok = (r[i] != r[j]) & (c[i] != c[j])
+        i, j = i[ok], j[ok]  # in order of reads, as the rows of a locus are
+        same = base[i] == base[j]
+        kept.append(_summed(own[i] * n + own[j], same.astype(np.int64), (~same).astype(np.int64), position[i]))
+    pair, x_s, x_d, where = _summed(*(np.concatenate(x) for x in zip(*kept))) if kept else (np.zeros(0, np.int64),) * 4
+    mine = (where >= first) & (where < end)
+    a, b = who[pair[mine] // max(1, n)], who[pair[mine] % max(1, n)]
+    m = max(1, len(cells))
+    return reads[a // m], reads[b // m], cells[a % m], cells[b % m], x_s[mine], x_d[mine]
+
+
+def _slices(load: np.ndarray):
+    """Ranges of loci with about MOST_PAIRS pairs together, by the running sum of their pairs; a locus is in one of them."""
+    lo = 0
+    while lo < len(load):
+        before = load[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(load, before + MOST_PAIRS, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _summed(pair: np.ndarray, x_s: np.ndarray, x_d: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums by pair, and the first place of each."""
+    order = np.argsort(pair, kind="stable")
+    pair, x_s, x_d, where = pair[order], x_s[order], x_d[order], where[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(pair)), bool), np.diff(pair) != 0]))
+    if not len(new):
+        return pair, x_s, x_d, where
+    return pair[new], np.add.reduceat(x_s, new), np.add.reduceat(x_d, new), np.minimum.reduceat(where, new)
+
+
+def _in_windows(obs: DataFrame, longest: int | None, make, ddl: str) -> DataFrame:
+    """make(pairs of a window) by window, as rows: obs is shuffled once, and no pair is."""
+    dealt, width = _windows(obs.select(*LOCUS, "read_id", "cell_id", "base"), longest)
 
-    An equi-join on the locus, so that only reads that overlap meet; counts are summed up before they are shuffled.
+    def run(key, table):
+        chromosome, window = (k.as_py() for k in key)
+        column = lambda n: np.asarray(table[n].combine_chunks()).astype(np.int64)
+        return make(chromosome, pairs_of_window(*(column(n) for n in ("position", "read_id", "cell_id", "base")), window * width, (window + 1) * width))
+
+    return dealt.groupBy("chromosome_id", "_window").applyInArrow(run, ddl)
+
+
+def read_pairs(obs: DataFrame, longest: int | None = None) -> DataFrame:
+    """(x_s, x_d): loci where two reads of different cells have the same base, and a different one; mates that disagree don't count.
+
+    longest: positions that a fragment spans at most, which saves a pass over obs.
     """
-    a = obs.select(*LOCUS, F.col("read_id").alias("read_a"), F.col("cell_id").alias("cell_a"), F.col("base").alias("base_a"))
-    b = obs.select(*LOCUS, F.col("read_id").alias("read_b"), F.col("cell_id").alias("cell_b"), F.col("base").alias("base_b"))
-    pairs = a.join(b, LOCUS).where("read_a < read_b AND cell_a <> cell_b")
-    return pairs.groupBy(*PAIR, "cell_a", "cell_b").agg(F.count_if(F.col("base_a") == F.col("base_b")).alias("x_s"), F.count_if(F.col("base_a") != F.col("base_b")).alias("x_d"))
+
+    def make(chromosome, pairs):
+        a, b, cell_a, cell_b, x_s, x_d = pairs
+        own = pa.array(np.full(len(a), -1 if chromosome is None else chromosome, np.int32), mask=np.full(len(a), chromosome is None))
+        return pa.table([own, pa.array(a), pa.array(b), pa.array(cell_a.astype(np.int32)), pa.array(cell_b.astype(np.int32)), pa.array(x_s), pa.array(x_d)], [*PAIR, "cell_a", "cell_b", "x_s", "x_d"])
+
+    return _in_windows(obs, longest, make, "chromosome_id int, read_a bigint, read_b bigint, cell_a int, cell_b int, x_s bigint, x_d bigint")
+
+
+def cell_pairs(obs: DataFrame, longest: int | None = None) -> DataFrame:
+    """(cell_i < cell_j, x_s, x_d, n): how many pairs of reads of two cells have these counts, summed within each window."""
+
+    def make(_, pairs):
+        *_, cell_a, cell_b, x_s, x_d = pairs
+        rows, n = np.unique(np.stack([np.minimum(cell_a, cell_b), np.maximum(cell_a, cell_b), x_s, x_d], 1), axis=0, return_counts=True)
+        columns = [pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(n)]
+        return pa.table(columns, ["cell_i", "cell_j", "x_s", "x_d", "n"])
+
+    return _in_windows(obs, longest, make, "cell_i int, cell_j int, x_s bigint, x_d bigint, n bigint")
 
 
 def match_histogram(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("x_s", "x_d").agg(F.count(F.lit(1)).alias("n_pairs"))
+    """Of cell_pairs(): pairs of reads by their counts."""
+    return pairs.groupBy("x_s", "x_d").agg(F.sum("n").alias("n_pairs"))
 
 
 def probabilities(theta: float) -> tuple[float, float]:
@@ -54,13 +178,9 @@ def likelihoods(s: Column, d: Column, mutation: float, homozygous: float, theta:
 
 
 def pair_scores(pairs: DataFrame, mutation: float = 0.01, homozygous: float = 0.5, theta: float = 0.01) -> DataFrame:
-    """(cell_i < cell_j, m): sum over read pairs of ln P(different) - ln P(same).
-
-    Pairs are counted by (cells, x_s, x_d) first: few distinct counts leave few logarithms.
-    """
-    cells = pairs.groupBy(F.least("cell_a", "cell_b").alias("cell_i"), F.greatest("cell_a", "cell_b").alias("cell_j"), "x_s", "x_d").agg(F.count(F.lit(1)).alias("n"))
+    """(cell_i < cell_j, m) of cell_pairs(): sum over read pairs of ln P(different) - ln P(same)."""
     same, different = likelihoods(F.col("x_s"), F.col("x_d"), mutation, homozygous, theta)
-    return cells.groupBy("cell_i", "cell_j").agg(F.sum(F.col("n") * (F.ln(different) - F.ln(same))).alias("m"))
+    return pairs.groupBy("cell_i", "cell_j").agg(F.sum(F.col("n") * (F.ln(different) - F.ln(same))).alias("m"))
 
 
 def dense(scores: DataFrame, cells: DataFrame) -> DataFrame:
@@ -91,8 +211,7 @@ def normalize(matrix: DataFrame, how: str = "ADD_MIN") -> DataFrame:
 
 
 def similarity(obs: DataFrame, cells: DataFrame, how: str = "ADD_MIN", mutation: float = 0.01, homozygous: float = 0.5, theta: float = 0.01) -> DataFrame:
-    pairs = read_pairs(drop_mate_conflicts(obs))
-    return normalize(dense(pair_scores(pairs, mutation, homozygous, theta), cells), how)
+    return normalize(dense(pair_scores(cell_pairs(obs), mutation, homozygous, theta), cells), how)
 
 
 def degrees(matrix: DataFrame) -> DataFrame:
@@ -101,7 +220,55 @@ def degrees(matrix: DataFrame) -> DataFrame:
 
 def laplacian(matrix: DataFrame) -> DataFrame:
     """I - D^-1/2 A D^-1/2; a cell of degree 0 has 1 on the diagonal and 0 elsewhere."""
-    d = degrees(matrix).withColumn("scale", F.when(F.col("degree") > 0, 1 / F.sqrt("degree")).otherwise(0.0))
+    return scaled(matrix, degrees(matrix))
+
+
+def scaled(matrix: DataFrame, degree: DataFrame) -> DataFrame:
+    """The Laplacian of a matrix with degrees (i, degree), a row a cell."""
+    d = degree.withColumn("scale", F.when(F.col("degree") > 0, 1 / F.sqrt("degree")).otherwise(0.0))
     left, right = d.select("i", F.col("scale").alias("_l")), d.select(F.col("i").alias("j"), F.col("scale").alias("_r"))
     value = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0) - F.col("_l") * F.col("value") * F.col("_r")
     return matrix.join(left, "i").join(right, "j").select("i", "j", value.alias("value"))
+
+
+@dataclass(frozen=True)
+class Affinity:
+    """A normalised matrix without its zeros: entries (i, j, value) of both halves for cells that overlap, `rest` for all other
+    pairs of different cells, and degrees (i, degree). What is normal is told by scores, of which there are half as many.
+    """
+
+    entries: DataFrame
+    degrees: DataFrame
+    rest: float
+    cells: int
+
+
+def affinity(scores: DataFrame, cells: DataFrame, how: str = "ADD_MIN") -> Affinity:
+    """scores: (cell_i, cell_j, m), checkpointed here; cells: (cell_id). As normalize(), degrees and all, in one pass over scores."""
+    with_checkpoints(scores.sparkSession)
+    scores = scores.checkpoint()
+    top = max(0.0, scores.agg(F.max("m")).first()[0] or 0.0)  # the diagonal is 0
+    n = cells.count()
+    if how == "ADD_MIN":
+        value, rest = F.lit(top) - F.col("m"), top
+    elif how == "EXPONENTIATE":
+        value, rest = 1 / (1 + F.exp("m")), 0.5
+    elif how == "SCALE_MAX_1":
+        value, rest = (F.col("m") / F.lit(top) if top else F.lit(0.0)), 0.0
+    else:
+        raise ValueError(f"no such normalization: {how}")
+    half = scores.select(F.col("cell_i").alias("i"), F.col("cell_j").alias("j"), value.alias("value"))
+    both = half.unionAll(half.select(F.col("j"), F.col("i"), "value"))
+    own = both.groupBy("i").agg(F.sum("value").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    all_ = cells.select(F.col("cell_id").alias("i")).join(own, "i", "left")
+    degree = F.coalesce("_sum", F.lit(0.0)) + F.lit(float(rest)) * (F.lit(n - 1) - F.coalesce("_n", F.lit(0)))
+    return Affinity(both, all_.select("i", degree.alias("degree")), float(rest), n)
+
+
+def full_laplacian(scores: DataFrame, cells: DataFrame, how: str = "ADD_MIN") -> DataFrame:
+    """All cells x cells entries of the Laplacian. Degrees come from the scores, so that the matrix is made once."""
+    own = affinity(scores, cells, how)
+    i, j = cells.select(F.col("cell_id").alias("i")), cells.select(F.col("cell_id").alias("j"))
+    value = F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.coalesce("value", F.lit(own.rest)))
+    matrix = i.crossJoin(j).join(own.entries, ["i", "j"], "left").select("i", "j", value.alias("value"))
+    return scaled(matrix, own.degrees)

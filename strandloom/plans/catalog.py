@@ -283,12 +283,12 @@ def mate_dedup(obs):
 
 
 def pairs(obs: DataFrame) -> DataFrame:
-    return similarity.read_pairs(mate_dedup(obs))
+    return similarity.cell_pairs(kept(obs))
 
 
 @query(PAIRS_SQL + " SELECT * FROM pairs")
 def read_pair_overlap(obs):
-    return pairs(obs)
+    return similarity.read_pairs(kept(obs))
 
 
 @query(PAIRS_SQL + " SELECT x_s, x_d, count(*) AS n_pairs FROM pairs GROUP BY ALL")
@@ -298,11 +298,15 @@ def match_histogram(obs):
 
 @query(SCORES_SQL + " SELECT cell_i, cell_j, round(m, 6) + 0.0 AS m FROM scores")
 def pair_log_ratio_sum(obs):
-    return rounded(similarity.pair_scores(pairs(obs), MUTATION, HOMOZYGOUS, THETA), "m")
+    return rounded(scores(obs), "m")
+
+
+def scores(obs: DataFrame) -> DataFrame:
+    return similarity.pair_scores(pairs(obs), MUTATION, HOMOZYGOUS, THETA)
 
 
 def matrix(obs: DataFrame) -> DataFrame:
-    return similarity.dense(similarity.pair_scores(pairs(obs), MUTATION, HOMOZYGOUS, THETA), workload.cells(obs))
+    return similarity.dense(scores(obs), workload.cells(obs))
 
 
 @query(NORMAL_SQL + " SELECT i, j, round(value, 6) + 0.0 AS value FROM normal")
@@ -322,13 +326,13 @@ def similarity_scale_max(obs):
 
 @query(NORMAL_SQL + " SELECT i, round(sum(value), 4) + 0.0 AS degree FROM normal GROUP BY ALL")
 def degrees(obs):
-    return rounded(similarity.degrees(similarity.normalize(matrix(obs))), "degree", digits=4)
+    return rounded(similarity.affinity(scores(obs), workload.cells(obs)).degrees, "degree", digits=4)
 
 
 @query(NORMAL_SQL + """, d AS (SELECT i, CASE WHEN sum(value) > 0 THEN 1 / sqrt(sum(value)) ELSE 0 END AS s FROM normal GROUP BY ALL)
   SELECT n.i, n.j, round(CASE WHEN n.i = n.j THEN 1 ELSE 0 END - a.s * value * b.s, 6) + 0.0 AS value FROM normal n JOIN d a ON n.i = a.i JOIN d b ON n.j = b.i""")
 def laplacian(obs):
-    return rounded(similarity.laplacian(similarity.normalize(matrix(obs))), "value")
+    return rounded(similarity.full_laplacian(scores(obs), workload.cells(obs)), "value")
 
 
 @query(MATRIX_SQL + """, s AS (SELECT avg(m) AS a, stddev_pop(m) AS d FROM matrix WHERE i <> j) SELECT i, j, round(exp((m - a) / d), 6) + 0.0 AS value FROM matrix, s WHERE i <> j""")
