@@ -164,7 +164,7 @@ def ranks(ids: pa.Array, keys: np.ndarray) -> np.ndarray:
 
 
 def find_repeats(rows: DataFrame, window: int, most_filter_keys: int) -> DataFrame:
-    """(_id, _k, _gone): starts of the windows that have occurred before, for each document that has any.
+    """(_id, _k, _at, _gone): starts of the windows that have occurred before, one (_at) or several (_gone) a row.
 
     rows: _id, _k (a hash of the text), _text. Documents come in the order of _id and _k.
     """
@@ -185,6 +185,7 @@ def find_repeats(rows: DataFrame, window: int, most_filter_keys: int) -> DataFra
     if twice.count() <= most_filter_keys:
         sent = spark.sparkContext.broadcast(filter_of(twice, "_anchor"))  # 32 MB at most
         marked = rows.withColumn("_marks", F.lit(None).cast("array<bigint>"))
+        forget(twice)
     else:
         marked = _marks(rows, twice, window)
     ddl = f"_w bigint, _c smallint, _id {rows.schema['_id'].dataType.simpleString()}, _k bigint, _at int, _gone array<int>"
@@ -196,11 +197,7 @@ def find_repeats(rows: DataFrame, window: int, most_filter_keys: int) -> DataFra
 
     route = F.coalesce("_w", F.xxhash64("_id", "_k"))
     dealt = marked.select("_id", "_k", "_text", "_marks").mapInArrow(spread, ddl).repartition(route).sortWithinPartitions("_w", "_c", F.asc_nulls_last("_id"), "_k", "_at")
-    found = dealt.mapInArrow(later, ddl.split(", ", 2)[2])
-    found = found.groupBy("_id", "_k").agg(F.concat(F.collect_list("_at"), F.flatten(F.collect_list("_gone"))).alias("_gone"))  # one text's windows
-    out = materialize(found, "repeats")
-    forget(twice)
-    return out
+    return dealt.mapInArrow(later, ddl.split(", ", 2)[2])
 
 
 def _marks(rows: DataFrame, twice: DataFrame, window: int) -> DataFrame:
@@ -309,29 +306,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(docs[id_col].alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_k"), text.alias("_text"))
     gone = find_repeats(rows, window, most_filter_keys)
     kind = rows.schema["_id"].dataType.simpleString()
-
-    def clean(batches):
-        for batch in batches:
-            for part in slices(batch, 1, SLICE):
-                words = Words(byte_texts(part.column(1)))
-                lists = part.column(2)
-                cut = np.zeros(len(words.starts) + 1, np.int64)
-                n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-                at = np.asarray(lists.flatten()).astype(np.int64) + np.repeat(words.first[:-1], n)
-                np.add.at(cut, at, 1)
-                np.add.at(cut, at + window, -1)
-                keep = np.cumsum(cut[:-1]) == 0
-                total = np.concatenate([np.zeros(1, np.int64), np.cumsum(~keep)])
-                removed = np.diff(total[words.first])
-                texts = pa.array(words.joined(keep), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.counts), pa.array(removed), texts], ["_id", "n_words", "n_removed", "kept_text"])
-
-    there = gone.select(F.col("_id").alias("_i"), F.col("_k").alias("_j"), "_gone")
-    out = rows.join(there, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_j")), "left").select("_id", "_text", "_gone")
-    out = out.mapInArrow(clean, f"_id {kind}, n_words bigint, n_removed bigint, kept_text string")
+    null = lambda t: F.lit(None).cast(t)
+    both = gone.select("_id", "_k", F.lit(0).alias("_doc"), "_at", "_gone", null("string").alias("_text"))
+    both = both.unionAll(rows.select("_id", "_k", F.lit(1), null("int"), null("array<int>"), "_text"))
+    dealt = both.repartition("_id", "_k").sortWithinPartitions(F.asc_nulls_last("_id"), "_k", "_doc")  # a document behind its repeats
+    out = dealt.mapInArrow(lambda batches: _clean(batches, window), f"_id {kind}, n_words bigint, n_removed bigint, kept_text string")
     return out.withColumnRenamed("_id", id_col)
 
 
+def _clean(batches, window: int):
+    """Rows _id, n_words, n_removed, kept_text of sorted rows _id, _k, _doc, _at, _gone, _text; equal documents share the starts."""
+    key, held = None, np.zeros(0, np.int64)  # the document that the last row was of, and its starts so far
+    for batch in batches:
+        for part in slices(batch, 5, SLICE):
+            n = part.num_rows
+            k, doc = np.asarray(part.column(1)), np.asarray(part.column(2)) == 1
+            ids = np.asarray(pc.fill_null(part.column(0).dictionary_encode().indices, -1))
+            new = np.concatenate([np.zeros(1, bool), (np.diff(ids) != 0) | (np.diff(k) != 0)])
+            new[0] = key != (part.column(0)[0].as_py(), int(k[0]))
+            group = np.cumsum(new)
+            lists = part.column(4)
+            several = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            single = np.asarray(pc.is_valid(part.column(3)))
+            start = np.concatenate([held, np.asarray(part.column(3).drop_null()).astype(np.int64), np.asarray(lists.flatten()).astype(np.int64)])
+            owner = np.concatenate([np.zeros(len(held), np.int64), group[single], np.repeat(group, several)])
+            order = np.argsort(owner, kind="stable")
+            start, owner = start[order], owner[order]
+            key, held = (part.column(0)[n - 1].as_py(), int(k[n - 1])), start[owner == group[-1]]
+            if not doc.any():
+                continue
+            texts = part.filter(pa.array(doc))
+            words = Words(byte_texts(texts.column(5)))
+            low, high = np.searchsorted(owner, group[doc]), np.searchsorted(owner, group[doc], "right")
+            size = high - low
+            at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            at = start[at] + np.repeat(words.first[:-1], size)
+            cut = np.zeros(len(words.starts) + 1, np.int64)
+            np.add.at(cut, at, 1)
+            np.add.at(cut, at + window, -1)
+            keep = np.cumsum(cut[:-1]) == 0
+            total = np.concatenate([np.zeros(1, np.int64), np.cumsum(~keep)])
+            kept = pa.array(words.joined(keep), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([texts.column(0), pa.array(words.counts), pa.array(np.diff(total[words.first])), kept], ["_id", "n_words", "n_removed", "kept_text"])
+
+
 #: The digest columns of the query in DuckDB's SQL, by grouping all windows.
 ORACLE = r"""
 WITH w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
