@@ -71,15 +71,15 @@ def pre_checks() -> Column:
     return (F.col("coverage") >= 2) & (b[2] > 0) & (b[0] + b[1] + b[2] >= 5) & (b[3] >= 1.5 * b[2])
 
 
-def significant_loci(obs: DataFrame, theta: float = 0.01, proportion: int = 4, null_prior: str = "reference") -> DataFrame:
-    """Loci with counts that pass the checks and the likelihood test."""
-    loci = with_sorted(base_counts(obs)).where(pre_checks())
+def significant_loci(obs: DataFrame, theta: float = 0.01, proportion: int = 4, null_prior: str = "reference", by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Loci with counts that pass the checks and the likelihood test; by: columns whose values are tested each for itself."""
+    loci = with_sorted(base_counts(obs, [*by, *LOCUS])).where(pre_checks())
     test = log_ratio(theta, null_prior) < threshold(F.col("coverage"), proportion)
-    return loci.where(test).select(*LOCUS, *COUNTS, "coverage")
+    return loci.where(test).select(*by, *LOCUS, *COUNTS, "coverage")
 
 
-def keep_loci(obs: DataFrame, loci: DataFrame) -> DataFrame:
-    return obs.join(loci.select(*LOCUS), LOCUS, "left_semi")
+def keep_loci(obs: DataFrame, loci: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    return obs.join(loci.select(*by, *LOCUS), [*by, *LOCUS], "left_semi")
 
 
 def average_coverage(loci: DataFrame) -> DataFrame:

@@ -113,16 +113,16 @@ def _summed(pair: np.ndarray, x_s: np.ndarray, x_d: np.ndarray, where: np.ndarra
     return pair[new], np.add.reduceat(x_s, new), np.add.reduceat(x_d, new), np.minimum.reduceat(where, new)
 
 
-def _in_windows(obs: DataFrame, longest: int | None, make, ddl: str) -> DataFrame:
-    """make(pairs of a window) by window, as rows: obs is shuffled once, and no pair is."""
-    dealt, width = _windows(obs.select(*LOCUS, "read_id", "cell_id", "base"), longest)
+def _in_windows(obs: DataFrame, longest: int | None, make, ddl: str, by: str | None = None) -> DataFrame:
+    """make(chromosome or value of `by`, pairs of a window) by window, as rows: obs is shuffled once, and no pair is."""
+    dealt, width = _windows(obs.select(*LOCUS, "read_id", "cell_id", "base", *([by] if by else [])), longest)
 
     def run(key, table):
-        chromosome, window = (k.as_py() for k in key)
+        first, *_, window = (k.as_py() for k in key)
         column = lambda n: np.asarray(table[n].combine_chunks()).astype(np.int64)
-        return make(chromosome, pairs_of_window(*(column(n) for n in ("position", "read_id", "cell_id", "base")), window * width, (window + 1) * width))
+        return make(first, pairs_of_window(*(column(n) for n in ("position", "read_id", "cell_id", "base")), window * width, (window + 1) * width))
 
-    return dealt.groupBy("chromosome_id", "_window").applyInArrow(run, ddl)
+    return dealt.groupBy(*([by] if by else []), "chromosome_id", "_window").applyInArrow(run, ddl)
 
 
 def read_pairs(obs: DataFrame, longest: int | None = None) -> DataFrame:
@@ -139,16 +139,20 @@ def read_pairs(obs: DataFrame, longest: int | None = None) -> DataFrame:
     return _in_windows(obs, longest, make, "chromosome_id int, read_a bigint, read_b bigint, cell_a int, cell_b int, x_s bigint, x_d bigint")
 
 
-def cell_pairs(obs: DataFrame, longest: int | None = None) -> DataFrame:
-    """(cell_i < cell_j, x_s, x_d, n): how many pairs of reads of two cells have these counts, summed within each window."""
+def cell_pairs(obs: DataFrame, longest: int | None = None, by: str | None = None) -> DataFrame:
+    """(cell_i < cell_j, x_s, x_d, n): how many pairs of reads of two cells have these counts, summed within each window.
 
-    def make(_, pairs):
+    by: a column of numbers; only observations of equal value are paired, and it comes first in the result.
+    """
+
+    def make(value, pairs):
         *_, cell_a, cell_b, x_s, x_d = pairs
         rows, n = np.unique(np.stack([np.minimum(cell_a, cell_b), np.maximum(cell_a, cell_b), x_s, x_d], 1), axis=0, return_counts=True)
         columns = [pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(n)]
-        return pa.table(columns, ["cell_i", "cell_j", "x_s", "x_d", "n"])
+        names = ["cell_i", "cell_j", "x_s", "x_d", "n"]
+        return pa.table([pa.array([value] * len(n), pa.int32()), *columns], [by, *names]) if by else pa.table(columns, names)
 
-    return _in_windows(obs, longest, make, "cell_i int, cell_j int, x_s bigint, x_d bigint, n bigint")
+    return _in_windows(obs, longest, make, (f"{by} int, " if by else "") + "cell_i int, cell_j int, x_s bigint, x_d bigint, n bigint", by)
 
 
 def match_histogram(pairs: DataFrame) -> DataFrame:
@@ -178,9 +182,9 @@ def likelihoods(s: Column, d: Column, mutation: float, homozygous: float, theta:
 
 
 def pair_scores(pairs: DataFrame, mutation: float = 0.01, homozygous: float = 0.5, theta: float = 0.01) -> DataFrame:
-    """(cell_i < cell_j, m) of cell_pairs(): sum over read pairs of ln P(different) - ln P(same)."""
+    """(cell_i < cell_j, m) of cell_pairs(): sum over read pairs of ln P(different) - ln P(same); a column before them stays."""
     same, different = likelihoods(F.col("x_s"), F.col("x_d"), mutation, homozygous, theta)
-    return pairs.groupBy("cell_i", "cell_j").agg(F.sum(F.col("n") * (F.ln(different) - F.ln(same))).alias("m"))
+    return pairs.groupBy(*(c for c in pairs.columns if c not in ("x_s", "x_d", "n"))).agg(F.sum(F.col("n") * (F.ln(different) - F.ln(same))).alias("m"))
 
 
 def dense(scores: DataFrame, cells: DataFrame) -> DataFrame:

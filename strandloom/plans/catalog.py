@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
-from ..operators import divide, em, evaluation, linalg, significance, similarity, variants
+from ..operators import divide, em, evaluation, significance, similarity, spectral, variants
 from ..operators.significance import COUNTS, LOCUS
+from ..session import with_checkpoints
 from . import workload
 
 THETA, MUTATION, HOMOZYGOUS, PRIOR = 0.01, 0.01, 0.5, 1e-3
@@ -25,7 +26,7 @@ def query(sql: str | None = None, deep: bool = False):
     def add(f):
         _queries[f.__name__] = lambda spark, sf_dir: f(workload.observations(spark, sf_dir, deep))
         if sql is not None:
-            _sql[f.__name__] = f"WITH {workload.sql(deep)} {sql}"
+            _sql[f.__name__] = f"WITH {'RECURSIVE ' if 'power AS (' in sql else ''}{workload.sql(deep)} {sql}"
         return f
 
     return add
@@ -408,32 +409,56 @@ def em_one_step(obs):
     return rounded(rounded(out, "p"), "ll_a", "ll_b", digits=4)
 
 
-def _small(obs: DataFrame, kind: str = "SPECTRAL6") -> divide.Settings:
-    return divide.Settings(theta=THETA, mutation=MUTATION, homozygous=HOMOZYGOUS, kind=kind, min_cluster_size=10)
+def _nodes(obs: DataFrame) -> tuple[DataFrame, dict[int, list[int]]]:
+    """Scores and cells of all observations as a single node to divide."""
+    own = scores(obs).select(F.lit(0).alias("node"), "cell_i", "cell_j", "m")
+    return with_checkpoints(obs.sparkSession) and own.checkpoint(), {0: sorted(r[0] for r in workload.cells(obs).collect())}
 
 
-@query()
+# The second vector of the Laplacian in SQL: power iteration of I + D^-1/2 A D^-1/2 without its first vector, root degrees.
+_FIEDLER_SQL = NORMAL_SQL + """, d AS MATERIALIZED (SELECT i, sum(value) AS d FROM normal GROUP BY i), t AS MATERIALIZED (SELECT sum(d) AS t FROM d),
+  m AS MATERIALIZED (SELECT n.i, list(value / sqrt(a.d * b.d) - sqrt(a.d * b.d) / (SELECT t FROM t) + CASE WHEN n.i = n.j THEN 1 ELSE 0 END ORDER BY n.j) AS r FROM normal n JOIN d a ON n.i = a.i JOIN d b ON n.j = b.i GROUP BY n.i),
+  rows AS MATERIALIZED (SELECT list(r ORDER BY i) AS r, list(i ORDER BY i) AS cells FROM m),
+  power AS (SELECT 0 AS n, list_transform(range(1, len(cells) + 1), lambda x: sin(x::DOUBLE * x::DOUBLE)) AS v FROM rows
+    UNION ALL SELECT n + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (SELECT n, list_transform(r, lambda q: list_inner_product(q, v)) AS w FROM power, rows WHERE n < 1500)),
+  last AS (SELECT v, list_transform(r, lambda q: list_inner_product(q, v)) AS w, cells FROM power, rows WHERE n = 1500),
+  fiedler AS (SELECT unnest(cells) AS cell_id, unnest(list_transform(v, lambda x: x * sign(v[1]))) AS component, 2 - list_inner_product(v, w) AS eigenvalue FROM last)"""
+
+
+@query(_FIEDLER_SQL + " SELECT cell_id, round(component, 5) + 0.0 AS component, round(eigenvalue, 6) + 0.0 AS eigenvalue FROM fiedler")
+def fiedler_vector(obs):
+    """The second eigenpair of the Laplacian, the sign being that of the first cell."""
+    matrices = spectral.Matrices(*_nodes(obs))
+    values, vectors = spectral.smallest_eigenpairs(matrices)[0]
+    rows = [(c, float(v), float(values[1])) for c, v in zip(matrices.members[0], vectors[:, 1])]
+    return rounded(rounded(obs.sparkSession.createDataFrame(rows, "cell_id int, component double, eigenvalue double"), "eigenvalue"), "component", digits=5)
+
+
+@query(_FIEDLER_SQL + " SELECT cell_id, CASE WHEN component < 0 THEN 1 ELSE 0 END AS label FROM fiedler")
 def spectral_labels(obs):
-    cells = sorted(r[0] for r in workload.cells(obs).collect())
-    labels, _, _ = linalg.spectral_clusters(divide.matrix_of(kept(obs), cells, _small(obs)), "FIEDLER")
-    return obs.sparkSession.createDataFrame([(c, int(x)) for c, x in zip(cells, labels)], "cell_id int, label int")
+    """Two clusters by the sign of the second vector; the first cell is in cluster 0."""
+    own, members = _nodes(obs)
+    labels, _, _ = spectral.cluster_nodes(own, members, kind="FIEDLER")[0]
+    return obs.sparkSession.createDataFrame([(c, int(x)) for c, x in zip(members[0], labels)], "cell_id int, label int")
 
 
-@query()
+@query("SELECT DISTINCT cell_id, CASE WHEN cell_id % 10 < 3 THEN 1 ELSE 2 END AS cluster_id FROM obs")
 def divide_labels(obs):
-    return divide.divide(obs, _small(obs))
+    """The clusters are the planted clones, numbered by their first cell."""
+    return divide.divide(obs, divide.Settings(theta=THETA, mutation=MUTATION, homozygous=HOMOZYGOUS, min_cluster_size=20))
 
 
-@query()
+@query("SELECT DISTINCT cell_id, CASE WHEN cell_id % 10 < 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p FROM obs")
 def em_refined(obs):
+    """From an unsure start expectation maximization comes to the planted clones."""
     p = workload.cells(obs).selectExpr("cell_id", "CASE WHEN cell_id % 10 < 3 THEN 0.6D ELSE 0.4D END AS p")
-    return rounded(em.refine(kept(obs), p), "p")
+    return rounded(em.refine(kept(obs), p), "p", digits=4)
 
 
 @query()
 def gmm_bic(obs):
-    cells = sorted(r[0] for r in workload.cells(obs).collect())
-    _, _, info = linalg.spectral_clusters(divide.matrix_of(kept(obs), cells, _small(obs)))
+    own, members = _nodes(obs)
+    _, _, info = spectral.cluster_nodes(own, members)[0]
     rows = [(k, None if f is None else float(f), None if s is None else float(s)) for k, (f, s) in enumerate(zip(info["log_likelihoods"], info["scores"]), 1)]
     return obs.sparkSession.createDataFrame(rows, "k int, log_likelihood double, bic double")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import codecs
 from strandloom import cli
-from strandloom.operators import divide, em, evaluation, linalg, numbering, significance, similarity, variants
+from strandloom.operators import divide, em, evaluation, numbering, significance, similarity, spectral, variants
 from strandloom.sources import alignments, bam, genome, lists, pileup, vcf
 
 OBS = "chromosome_id int, position bigint, read_id bigint, cell_id int, base int"
@@ -63,28 +63,10 @@ def test_read_pairs_and_mates(spark):
 def test_laplacian(spark):
     a = [[0, 0.5, 0.2], [0.5, 0, 0.5], [0.2, 0.5, 0]]
     want = [[1, -0.5976143, -0.28571429], [-0.5976143, 1, -0.5976143], [-0.28571429, -0.5976143, 1]]
-    assert np.allclose(linalg.laplacian(np.array(a)), want, atol=1e-6)
     rows = spark.createDataFrame([(i, j, float(a[i][j])) for i in range(3) for j in range(3)], "i int, j int, value double")
     assert {(r["i"], r["j"]): round(r["value"], 6) for r in similarity.laplacian(rows).collect()} == {(i, j): round(want[i][j], 6) for i in range(3) for j in range(3)}
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.integers(2, 8), st.integers(0, 1000))
-def test_laplacian_keeps_root_degrees(n, seed):
-    a = np.random.default_rng(seed).random((n, n))
-    a = a + a.T
-    np.fill_diagonal(a, 0)
-    assert np.allclose(linalg.laplacian(a) @ np.sqrt(a.sum(1)), 0, atol=1e-9)
-
-
-def test_kmeans():
-    x = np.array([(1.0, 2, 3), (4, 5, 6)])
-    assert linalg.weighted_kmeans(x, 2)[0].tolist() == [0, 1]
-    assert linalg.weighted_kmeans(np.vstack([x, [(1.1, 2, 3)]]), 2)[0].tolist() == [0, 1, 0]
-    assert linalg.weighted_kmeans(x, 5)[0].tolist() == [0, 1]
-    assert len(linalg.weighted_kmeans(np.zeros((0, 3)), 2)[0]) == 0
-
-
 def simulated(clones, loci=400, seed=1):
     rng = np.random.default_rng(seed)
     rows = []
@@ -105,61 +87,25 @@ def test_divide_finds_planted_clones(spark):
     assert evaluation.adjusted_rand_index(truth, "cluster_id", "truth").first()[0] >= 0.9
 
 
-@pytest.mark.parametrize("how", ["ADD_MIN", "EXPONENTIATE", "SCALE_MAX_1"])
-def test_driver_matrix_is_the_distributed_one(spark, how):
-    rows = [(0, p, r, r % 7 * 3, (p * r) % 3 % 2) for p in range(12) for r in range(p, p + 9)]
-    obs = spark.createDataFrame(rows, OBS)
-    cells = sorted(r[0] for r in obs.select("cell_id").distinct().collect())
-    got = divide.matrix_of(obs, cells, divide.Settings(normalization=how))
-    frame = spark.createDataFrame([(c,) for c in cells], "cell_id int")
-    for r in similarity.similarity(obs, frame, how).collect():
-        assert got[cells.index(r["i"]), cells.index(r["j"])] == pytest.approx(r["value"])
-
-
-def symmetric(a):
-    a = np.tril(a, -1)
-    return a + a.T
-
-
-KINDS = [(kind, how, plain) for kind in ("FIEDLER", "SPECTRAL2", "SPECTRAL6") for how in ("AIC", "BIC") for plain in (False, True)]
-
-
-@pytest.mark.parametrize("kind, how, plain", KINDS)
-def test_clusters_of_matrices(kind, how, plain):
-    """One, two and three groups of cells, and a matrix of zeros."""
-    rng = np.random.default_rng(3)
-    whole = [linalg.spectral_clusters(symmetric(1 + rng.uniform(-1e-3, 1e-3, (100, 100))), kind, how, plain_kmeans=plain)[1] for _ in range(3)]
-    assert whole.count(1) >= 2, whole
-    two = rng.integers(0, 6, (100, 100)).astype(float)
-    two[:50, :50], two[50:, 50:] = rng.integers(100, 201, (2, 50, 50))
-    labels, k, info = linalg.spectral_clusters(symmetric(two), kind, how, plain_kmeans=plain)
-    assert k == 2 and len(set(labels[:50])) == 1 and len(set(labels[50:])) == 1 and labels[0] != labels[-1]
-    assert len(info["eigenvalues"]) == 100 and (kind == "FIEDLER") == ("vectors" not in info) and ("centroids" in info) == (plain and kind != "FIEDLER")
-    if kind != "FIEDLER":
-        three = rng.integers(0, 6, (99, 99)).astype(float) + 20 * (rng.random((99, 99)) < 0.8)
-        for g in range(3):
-            three[33 * g : 33 * g + 33, 33 * g : 33 * g + 33] = rng.integers(100, 201, (33, 33))
-        labels, k, _ = linalg.spectral_clusters(symmetric(three), kind, how, plain_kmeans=plain)
-        assert k in (2, 3) and all(min(abs(np.sum(labels == c) - n) for n in (33, 66)) < 2 for c in range(k))
-    labels, k, _ = linalg.spectral_clusters(np.zeros((99, 99)), kind, how, plain_kmeans=plain)
-    assert len(labels) == 99 and k >= 1
-    assert linalg.parameters(2, 5) == 2 * 15 + 10 + 1
-
-
-def test_division_is_depth_first(spark, monkeypatch):
+def test_division_is_numbered_depth_first(spark, monkeypatch):
     """The root in two, its first part in two: parts 3 and 4 are of the first; the share of tumour cells holds for the root."""
-    used, plain = [], significance.significant_loci
-    monkeypatch.setattr(significance, "significant_loci", lambda obs, theta, proportion: used.append(proportion) or plain(obs, theta, 4))
-    monkeypatch.setattr(divide, "matrix_of", lambda obs, cells, s: np.array(cells))
-    split = {16: [0] * 8 + [1] * 8, 8: [0] * 4 + [1] * 4}
-    monkeypatch.setattr(linalg, "spectral_clusters", lambda cells, *a: (np.array(split.get(len(cells), [0] * len(cells))), 2 if len(cells) in split else 1, {}))
+    used, plain, asked = [], significance.significant_loci, []
+    monkeypatch.setattr(significance, "significant_loci", lambda obs, theta, proportion, by: used.append(proportion) or plain(obs, theta, 4, by=by))
+
+    def clusters(scores, members, *_):
+        asked.append(sorted(map(len, members.values())))
+        return {k: ((np.arange(len(m)) >= len(m) // 2).astype(int), 2, {}) if len(m) > 4 else (np.zeros(len(m), int), 1, {}) for k, m in members.items()}
+
+    monkeypatch.setattr(spectral, "cluster_nodes", clusters)
     rows = [(0, p, c * 100 + p, c, (p % 4 + (c + r) % 2) % 4) for p in range(30) for c in range(16) for r in range(2)]
     obs, seen = spark.createDataFrame(rows, OBS).persist(), []
     got = {r[0]: r[1] for r in divide.divide(obs, divide.Settings(min_cluster_size=4, proportion=1, least_coverage=0), seen.append).collect()}
     assert [got[c] for c in range(16)] == [3] * 4 + [4] * 4 + [5] * 4 + [6] * 4
-    assert [x.marker for x in seen][:3] == ["", "A", "AA"] and used[0] == 1 and set(used[1:]) == {4}
+    assert [x.marker for x in seen] == ["", "A", "B", "AA", "AB", "BA", "BB"] and used == [1, 4, 4] and asked == [[16], [8, 8], [4, 4, 4, 4]]
+    assert {c for x in seen if x.marker == "AB" for c in x.cells} == {4, 5, 6, 7} and seen[1].loci.columns[:2] == ["chromosome_id", "position"]
     with pytest.raises(ValueError, match="more than 9 cells"):
         divide.divide(obs, divide.Settings(max_cells=9))
+    assert divide.divide(obs.limit(0)).collect() == []
 
 
 def test_numbers_in_ranges(spark):

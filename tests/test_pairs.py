@@ -6,7 +6,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from strandloom.operators import divide, linalg, similarity
+from strandloom.operators import similarity
+from test_spectral import dense_laplacian, normalized
 
 OBS = "chromosome_id int, position bigint, read_id bigint, cell_id int, base int"
 
@@ -81,12 +82,12 @@ def test_affinity_is_the_dense_one(spark, how, top):
         m[i, j] = m[j, i] = x
     scores = spark.createDataFrame(rows, "cell_i int, cell_j int, m double")
     cells = spark.range(n).selectExpr("cast(id AS int) AS cell_id")
-    want = divide.normalized(m.copy(), how)
+    want = normalized(m.copy(), how)
     own = similarity.affinity(scores, cells, how)
     assert [r["degree"] for r in own.degrees.orderBy("i").collect()] == pytest.approx(list(want.sum(1)))
     got = np.zeros((n, n))
     for r in similarity.full_laplacian(scores, cells, how).collect():
         got[r["i"], r["j"]] = r["value"]
-    assert np.allclose(got, linalg.laplacian(want))
+    assert np.allclose(got, dense_laplacian(want))
     with pytest.raises(ValueError, match="no such"):
         similarity.affinity(scores, cells, "x")
