@@ -14,18 +14,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, forget, materialize, slices
+from .common import byte_texts, forget, materialize, mixed, slices
 
 SPACE = "▁"
 # Fixed value: how the byte-level vocabulary's tokenizer cuts a text before it merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Labels of a byte: no end, an end of A, of B, of both; and what reaches up to the next end of both.
 LABELS, SPAN = np.frombuffer(b".abc", np.uint8), re.compile(rb"[^c]*c")
-#: A group of pair counts that meet has one row for each of so many documents at most, about.
-BLOCK_DOCUMENTS = 100_000
+#: Ranges of pairs, and documents of a block, about: a group has the links of one range and one block.
+RANGES, BLOCK_DOCUMENTS = 16, 50_000
+#: Bytes of texts that are encoded at once, and whose links are packed together; a longer text is done alone.
 SLICE = 2_000_000
 
 
@@ -168,10 +170,16 @@ class Aligned:
 
 
 def token_table(docs: DataFrame, byte_level: str, pieces: str, id_col: str, text_col: str, detail: bool) -> DataFrame:
-    """_id, _row, n_a, n_b, n_groups, n_links, groups (text, with detail) or groups_sha256, _pairs, _counts; _pair is A's id times 2^32 plus B's."""
+    """Rows of two sorts.
+
+    (_id, _row, n_a, n_b, n_groups, n_links, groups (with detail) or groups_sha256) of a document; (_range, _base, _pair,
+    _place, _n) of a range of pairs and some documents: lists of pairs in order, of the document _row = _base + _place, and
+    how many of its links hold each. A pair is A's id times 2^32 plus B's.
+    """
     rows = docs.select(docs[id_col].alias("_id"), F.monotonically_increasing_id().alias("_row"), docs[text_col].cast("string").alias("_text"))
     last = "groups" if detail else "groups_sha256"
-    names = ["_id", "_row", "n_a", "n_b", "n_groups", "n_links", last, "_pairs", "_counts"]
+    names = ["_id", "_row", "n_a", "n_b", "n_groups", "n_links", last, "_range", "_base", "_pair", "_place", "_n"]
+    lists = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches):
         a, b = load(ByteLevel, byte_level), load(PieceModel, pieces)
@@ -183,28 +191,51 @@ def token_table(docs: DataFrame, byte_level: str, pieces: str, id_col: str, text
                 text = [b""] * part.num_rows
                 for i, g in zip(own.valid, own.groups()):
                     text[i] = g if detail else hashlib.sha256(g).hexdigest().encode()
+                head = [part.column(0), part.column(1), *(pa.array(x) for x in n), pa.array(text, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*head, *(pa.nulls(part.num_rows, t) for t in lists)], names)
                 begin, pair, count = own.pairs(1 << 32)
-                sizes = np.zeros(part.num_rows, np.int64)
-                sizes[own.valid] = np.diff(begin)
-                offsets = pa.array(np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pair, count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x) for x in n), pa.array(text, pa.binary()).cast(pa.string()), *lists], names)
-
-    ddl = f"_id {rows.schema['_id'].dataType.simpleString()}, _row bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, {last} string, _pairs array<bigint>, _counts array<int>"
+                rows_ = np.asarray(part.column(1))
+                base = int(rows_.min())
+                place = np.repeat(rows_[own.valid] - base, np.diff(begin))
+                group = (mixed(pair.view(np.uint64)) % np.uint64(RANGES)).astype(np.int64)
+                order = np.lexsort((pair, group))
+                pair, place, count, group = pair[order], place[order], count[order], group[order]
+                ranges, first = np.unique(group, return_index=True)
+                offsets, k = pa.array(np.append(first, len(pair)).astype(np.int32)), len(ranges)
+                packed = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pair, place.astype(np.int32), count.astype(np.int32))]
+                none = [pa.nulls(k, c.type) for c in head]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(ranges.astype(np.int32)), pa.array(np.full(k, base)), *packed], names)
+
+    ddl = f"_id {rows.schema['_id'].dataType.simpleString()}, _row bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, {last} string, _range int, _base bigint, _pair array<bigint>, _place array<int>, _n array<int>"
     return rows.mapInArrow(run, ddl)
 
 
 def pair_counts(table: DataFrame) -> DataFrame:
-    """(_pair, n_pair, is_best): links of each pair of ids in all documents, and whether no pair of its B id has more."""
-    links = table.select(F.inline(F.arrays_zip("_pairs", "_counts"))).toDF("_pair", "_n")
-    counts = links.groupBy("_pair").agg(F.sum("_n").alias("n_pair"))
+    """(_range, _pair, n_pair, is_best): links of each pair of ids in all documents, and whether no pair of its B id has more."""
+    links = table.where("_range is not null").select("_range", F.inline(F.arrays_zip("_pair", "_n"))).toDF("_range", "_pair", "_n")
+    counts = links.groupBy("_range", "_pair").agg(F.sum("_n").alias("n_pair"))
     counts = materialize(counts.withColumn("_b", F.col("_pair").bitwiseAND(F.lit((1 << 32) - 1))), "pairs")
     best = counts.groupBy("_b").agg(F.max("n_pair").alias("_most"))
-    out = materialize(counts.join(best, "_b").select("_pair", "n_pair", (F.col("n_pair") == F.col("_most")).alias("is_best")), "best")
+    out = materialize(counts.join(best, "_b").select("_range", "_pair", "n_pair", (F.col("n_pair") == F.col("_most")).alias("is_best")), "best")
     forget(counts)
     return out
 
 
+def _held(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(_row, _best, _sum) of packed links and the counts of their range."""
+    known = np.asarray(right["_pair"].combine_chunks())
+    order = np.argsort(known)
+    known, total, best = known[order], np.asarray(right["n_pair"].combine_chunks())[order], np.asarray(right["is_best"].combine_chunks())[order]
+    flat = lambda name: left[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.asarray(pc.list_value_length(left["_place"])).astype(np.int64)
+    row, at = np.unique(np.repeat(np.asarray(left["_base"]), size) + flat("_place"), return_inverse=True)
+    n, of = flat("_n"), np.searchsorted(known, flat("_pair"))
+    sums = np.zeros((2, len(row)), np.int64)
+    np.add.at(sums[0], at, n * best[of])
+    np.add.at(sums[1], at, n * total[of])
+    return pa.table([row, *sums], ["_row", "_best", "_sum"])
+
+
 def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text", detail: bool = False, block: int = BLOCK_DOCUMENTS) -> DataFrame:
     """A row for each document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 (with detail: groups).
 
@@ -218,12 +249,12 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
     byte_level, pieces: files that every executor can read under these names.
     """
     table = materialize(token_table(docs, byte_level, pieces, id_col, text_col, detail), "tokens")
-    counts = pair_counts(table)
-    blocks = max(1, -(-table.count() // block))
-    dealt = table.select("_row", F.inline(F.arrays_zip("_pairs", "_counts"))).toDF("_row", "_pair", "_n").withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
-    spread = counts.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    met = dealt.join(spread.hint("shuffle_hash"), ["_pair", "_block"])  # a document's links stream past the counts of their pair
-    sums = met.groupBy("_row").agg(F.sum(F.when(F.col("is_best"), F.col("_n")).otherwise(0)).alias("_best"), F.sum(F.col("_n") * F.col("n_pair")).alias("_sum"))
-    out = table.drop("_pairs", "_counts").join(sums, "_row", "left")
+    own, counts = table.where("_row is not null").drop("_range", "_base", "_pair", "_place", "_n"), pair_counts(table)
+    blocks = max(1, -(-own.count() // block))
+    links = table.where("_range is not null").select("_range", F.pmod(F.xxhash64("_base"), F.lit(blocks)).cast("int").alias("_block"), "_base", "_pair", "_place", "_n")
+    spread = counts.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = links.groupBy("_range", "_block").cogroup(spread.groupBy("_range", "_block")).applyInArrow(_held, "_row bigint, _best bigint, _sum bigint")
+    sums = met.groupBy("_row").agg(F.sum("_best").alias("_best"), F.sum("_sum").alias("_sum"))
+    out = own.join(sums, "_row", "left")
     zero = F.lit(0).cast("bigint")
-    return out.select(F.col("_id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", F.coalesce("_best", zero).alias("n_best"), F.coalesce("_sum", zero).alias("count_sum"), out.columns[6])
+    return out.select(F.col("_id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", F.coalesce("_best", zero).alias("n_best"), F.coalesce("_sum", zero).alias("count_sum"), own.columns[6])
