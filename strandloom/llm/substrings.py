@@ -184,11 +184,11 @@ def find_repeats(rows: DataFrame, window: int, most_filter_keys: int) -> DataFra
     sent = None
     if twice.count() <= most_filter_keys:
         sent = spark.sparkContext.broadcast(filter_of(twice, "_anchor"))  # 32 MB at most
-        marked = rows.withColumn("_marks", F.lit(None).cast("array<bigint>"))
+        marked = rows
         forget(twice)
     else:
         marked = _marks(rows, twice, window)
-    ddl = f"_w bigint, _c smallint, _id {rows.schema['_id'].dataType.simpleString()}, _k bigint, _at int, _gone array<int>"
+    ddl = f"_w bigint, _c smallint, _id {rows.schema['_id'].dataType.simpleString()}, _k bigint, _at int, _gone binary"  # packed: lists that are null are slow to write
 
     def spread(batches):
         for batch in batches:
@@ -196,7 +196,7 @@ def find_repeats(rows: DataFrame, window: int, most_filter_keys: int) -> DataFra
                 yield from _windows(part, window, period, None if sent is None else sent.value)
 
     route = F.coalesce("_w", F.xxhash64("_id", "_k"))
-    dealt = marked.select("_id", "_k", "_text", "_marks").mapInArrow(spread, ddl).repartition(route).sortWithinPartitions("_w", "_c", F.asc_nulls_last("_id"), "_k", "_at")
+    dealt = marked.mapInArrow(spread, ddl).repartition(route).sortWithinPartitions("_w", "_c", F.asc_nulls_last("_id"), "_k", "_at")
     return dealt.mapInArrow(later, ddl.split(", ", 2)[2])
 
 
@@ -216,7 +216,8 @@ def _marks(rows: DataFrame, twice: DataFrame, window: int) -> DataFrame:
 
     own = rows.select("_id", "_k", "_text").mapInArrow(run, ddl).join(twice, "_anchor", "left_semi")
     lists = own.groupBy("_id", "_k").agg(F.collect_set("_anchor").alias("_marks")).select(F.col("_id").alias("_i"), F.col("_k").alias("_j"), "_marks")
-    return rows.join(lists, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_j")), "left").drop("_i", "_j")
+    joined = rows.join(lists, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_j")), "left")
+    return joined.select(*rows.columns, F.coalesce("_marks", F.array().cast("array<bigint>")).alias("_marks"))
 
 
 def _windows(part: pa.RecordBatch, window: int, period: int, bits: np.ndarray | None):
@@ -240,7 +241,7 @@ def _windows(part: pa.RecordBatch, window: int, period: int, bits: np.ndarray |
         marks = part.column(3)
         known = np.zeros(len(at), bool)
         for d in np.unique(doc).tolist():
-            known[doc == d] = np.isin(own[doc == d].view(np.int64), np.asarray(marks[d].values) if marks[d].is_valid else np.zeros(0, np.int64))
+            known[doc == d] = np.isin(own[doc == d].view(np.int64), np.asarray(marks[d].values))
     near = np.zeros(len(h) + 1, np.int64)
     near[at[known] + 1] = 1
     near = np.cumsum(near)
@@ -257,12 +258,12 @@ def _windows(part: pa.RecordBatch, window: int, period: int, bits: np.ndarray |
     columns = [part.column(0), part.column(1)]
     lead = pa.array(doc[first])
     yield pa.RecordBatch.from_arrays(
-        [pa.array(w[first].view(np.int64)), pa.array(c[first]), *(x.take(lead) for x in columns), pa.array(place[first].astype(np.int32)), pa.nulls(len(first), pa.list_(pa.int32()))],
+        [pa.array(w[first].view(np.int64)), pa.array(c[first]), *(x.take(lead) for x in columns), pa.array(place[first].astype(np.int32)), pa.nulls(len(first), pa.binary())],
         ["_w", "_c", "_id", "_k", "_at", "_gone"],
     )
     if len(gone):
         own, begin = np.unique(doc[gone], return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(gone)).astype(np.int32)), pa.array(place[gone].astype(np.int32)))
+        lists = pa.array([x.tobytes() for x in np.split(place[gone].astype("<i4"), begin[1:])], pa.binary())
         lead, n = pa.array(own), len(own)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int16()), *(x.take(lead) for x in columns), pa.nulls(n, pa.int32()), lists], ["_w", "_c", "_id", "_k", "_at", "_gone"])
 
@@ -308,7 +309,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = rows.schema["_id"].dataType.simpleString()
     null = lambda t: F.lit(None).cast(t)
     both = gone.select("_id", "_k", F.lit(0).alias("_doc"), "_at", "_gone", null("string").alias("_text"))
-    both = both.unionAll(rows.select("_id", "_k", F.lit(1), null("int"), null("array<int>"), "_text"))
+    both = both.unionAll(rows.select("_id", "_k", F.lit(1), null("int"), null("binary"), "_text"))
     dealt = both.repartition("_id", "_k").sortWithinPartitions(F.asc_nulls_last("_id"), "_k", "_doc")  # a document behind its repeats
     out = dealt.mapInArrow(lambda batches: _clean(batches, window), f"_id {kind}, n_words bigint, n_removed bigint, kept_text string")
     return out.withColumnRenamed("_id", id_col)
@@ -325,10 +326,10 @@ def _clean(batches, window: int):
             new = np.concatenate([np.zeros(1, bool), (np.diff(ids) != 0) | (np.diff(k) != 0)])
             new[0] = key != (part.column(0)[0].as_py(), int(k[0]))
             group = np.cumsum(new)
-            lists = part.column(4)
-            several = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            several = np.asarray(pc.fill_null(pc.binary_length(part.column(4)), 0)).astype(np.int64) // 4
+            packed = np.frombuffer(b"".join(part.column(4).drop_null().to_pylist()), "<i4").astype(np.int64)
             single = np.asarray(pc.is_valid(part.column(3)))
-            start = np.concatenate([held, np.asarray(part.column(3).drop_null()).astype(np.int64), np.asarray(lists.flatten()).astype(np.int64)])
+            start = np.concatenate([held, np.asarray(part.column(3).drop_null()).astype(np.int64), packed])
             owner = np.concatenate([np.zeros(len(held), np.int64), group[single], np.repeat(group, several)])
             order = np.argsort(owner, kind="stable")
             start, owner = start[order], owner[order]
