@@ -31,6 +31,7 @@ BLOCK_SHINGLES, BLOCK_NODES = 1_000_000, 1024
 STEPS, BAND = 100, 5
 
 _hashes = WordHashes()
+_hashes.LIMIT = 100_000  # workers are used again by other stages, which need memory too
 
 
 def shingles(words: list[bytes], n: int = WORDS) -> np.ndarray:
@@ -120,6 +121,7 @@ def nodes_of(docs: DataFrame, text_col: str, words: int) -> DataFrame:
                 own = [s.tobytes() if len(s) else None for s in sets]
                 columns = [pa.array([digest(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.binary()), pa.array(own, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + columns, [*names, "_node", "_size", "_sig", "_set"])
+        _hashes.clear()
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text"), "_node string, _size int, _sig binary, _set binary"])
     return docs.mapInArrow(run, ddl)
