@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     for name, value in (("min_base_quality", 30), ("min_map_quality", 30), ("min_map_score", 0), ("min_different", 3)):
         p.add_argument(f"--{name}", type=int, default=value)
     p.add_argument("--format", choices=("bin", "txt", "parquet"), default="bin")
+    p.add_argument("--read_names", action="store_true", help="write the names of reads with their ids")
     for name, value in (("seq_error_rate", 0.01), ("mutation_rate", 0.01), ("homozygous_filtered_rate", 0.5), ("heterozygous_prob", 1e-3)):
         c.add_argument(f"--{name}", type=float, default=value)
     for name, value in (("merge_count", 1), ("min_cluster_size", 100), ("max_cell_count", 10_000)):
@@ -56,19 +57,22 @@ def run_pileup(spark, a) -> None:
     if not files:
         raise SystemExit(f"no alignments in {a.i}")
     os.makedirs(a.o, exist_ok=True)
-    obs = alignments.build_pileup(alignments.read_alignments(spark, files, a.chromosomes), a.min_different, a.max_coverage, a.min_base_quality, a.min_map_quality, a.min_map_score)
+    reads = alignments.read_alignments(spark, files, a.chromosomes)
+    obs = alignments.build_pileup(reads, a.min_different, a.max_coverage, a.min_base_quality, a.min_map_quality, a.min_map_score)
     if a.format == "parquet":
-        obs.write.partitionBy("chromosome_id").parquet(os.path.join(a.o, "pileup.parquet"))
+        pileup.write_parquet(obs, os.path.join(a.o, "pileup.parquet"))
     elif a.format == "txt":
         pileup.write_text(obs, os.path.join(a.o, "pileup.txt"))
     else:
         pileup.write_binary(obs, a.o)
+    if a.read_names:
+        pileup.write_read_names(pileup.read_dictionary(reads, obs, a.format == "bin"), os.path.join(a.o, "read_names.map"))
     with open(os.path.join(a.o, "cells.map"), "w") as f:
         f.writelines(f"{alignments.cell_name(p)}\t{i}\n" for i, p in enumerate(files))
 
 
 def run_convert(spark, a) -> None:
-    pileup.convert_text(spark, pileup.discover(a.i), a.o)
+    pileup.convert_text(spark, pileup.discover(spark, a.i)[1], a.o)
 
 
 def run_cluster(spark, a) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import struct
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,31 +22,54 @@ OBS = "chromosome_id int, position bigint, read_id bigint, cell_id int, base int
 TEXT = "chromosome string, position bigint, coverage int, bases string, cell_ids string, read_ids string"
 
 
-def discover(path: str) -> list[str]:
-    """Pileup files of a local folder: binary ones if there are any, else text ones; a file is taken as it is."""
-    if not os.path.isdir(path):
-        return [path]
-    found = sorted(os.path.join(d, f) for d, _, names in os.walk(path) for f in names)
-    for ends in ((".bin",), (".pileup", ".pileup.txt", ".txt")):
-        if some := [f for f in found if f.endswith(ends)]:
-            return some
-    return []
+def file_names(spark: SparkSession, path: str) -> tuple[str, list[str]]:
+    """The path in full, and all files below it (or itself) in any of Spark's file systems; hidden ones (_x, .x) and maps (x.map) are left out."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found, names, root = system.listFiles(where, True), [], system.makeQualified(where).toString()
+    while found.hasNext():
+        names.append(found.next().getPath().toString())
+    return root, sorted(n for n in names if not any(part[0] in "_." or part.endswith(".map") for part in n[len(root) :].split("/") if part))
 
 
-def chromosome_of_file(column=None):
-    """From a name like prefix_7.pileup.bin: what stands between the only '_' and the first '.'; null otherwise."""
-    name = F.element_at(F.split(column if column is not None else F.col("_metadata.file_path"), "/"), -1)
-    return chromosome_id(F.nullif(F.regexp_extract(name, r"^[^_.]+_([^_.]+)\.", 1), F.lit("")))
+def discover(spark: SparkSession, path: str) -> tuple[str, list[str]]:
+    """What pileups there are below a path: ('bin', files), ('txt', files) or ('parquet', folders); the first kind that is."""
+    root, names = file_names(spark, path)
+    for kind, ends in (("bin", (".bin",)), ("txt", (".pileup", ".txt")), ("parquet", (".parquet",))):
+        if some := [n for n in names if n.endswith(ends)]:
+            return kind, some if kind != "parquet" else sorted({re.split(r"/(?:[^/=]+=[^/]*/)*[^/]+$", n)[0] for n in some})
+    return "txt", names if names == [root] else []
+
+
+def chromosome_of_path(column=None):
+    """From a folder chromosome_id=6, or a name like prefix_7.pileup.bin: what stands between the only '_' and the first '.'."""
+    path = column if column is not None else F.col("_metadata.file_path")
+    folder = F.nullif(F.regexp_extract(path, r"/chromosome_id=(\d+)/[^/]*$", 1), F.lit("")).cast("int")
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.coalesce(folder, chromosome_id(F.nullif(F.regexp_extract(name, r"^[^_.]+_([^_.]+)\.", 1), F.lit(""))))
+
+
+def chromosome_in_path(path: str) -> int | None:
+    """As chromosome_of_path(), of a path at hand."""
+    if m := re.search(r"/chromosome_id=(\d+)/[^/]*$", path):
+        return int(m[1])
+    m = re.match(r"[^_.]+_([^_.]+)\.", path.rsplit("/", 1)[-1])
+    return CHROMOSOMES.index(m[1].upper()) if m and m[1].upper() in CHROMOSOMES else None
+
+
+def _or_error(chromosome, path):
+    return F.coalesce(chromosome, F.raise_error(F.concat(F.lit("nothing tells the chromosome of "), path)).cast("int"))
 
 
 def read_text(spark: SparkSession, paths: list[str] | str, chromosome_from: str = "column") -> DataFrame:
     """Observations of text pileups. The read's key is its name and cell, so read_id is a hash of both.
 
-    chromosome_from: 'column', where a name that is none counts as 0-based id of nothing (null), or 'file'.
-    Bases other than A, C, G, T are dropped.
+    chromosome_from: 'column', 'file' (folder or name), or 'auto': the file, or else the column. It is an error if that names
+    no chromosome. Bases other than A, C, G, T are dropped.
     """
     rows = spark.read.schema(TEXT).option("sep", "\t").option("quote", "").csv(paths)
-    own = chromosome_of_file() if chromosome_from == "file" else chromosome_id(F.col("chromosome"))
+    file, column = chromosome_of_path(), chromosome_id(F.regexp_replace(F.trim("chromosome"), "^chr", ""))
+    own = _or_error({"file": file, "column": column, "auto": F.coalesce(file, column)}[chromosome_from], F.col("_metadata.file_path"))
     split = lambda c: F.transform(F.split(F.col(c), ","), lambda x: F.trim(x))
     bases = F.split(F.col("bases"), "")
     rows = rows.select(own.alias("chromosome_id"), "position", F.filter(bases, lambda b: b != "").alias("b"), split("cell_ids").alias("c"), split("read_ids").alias("r"))
@@ -80,45 +105,80 @@ def encode(loci) -> bytes:
 
 
 def read_binary(spark: SparkSession, paths: list[str] | str, chromosome: int | None = None) -> DataFrame:
-    """Observations of binary pileups, a task for each few files; the chromosome comes from the file's name or is given."""
+    """Observations of binary pileups, a task for each few files; the chromosome is given, or the file tells it, or it is an error."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 position, read, packed = decode(batch.column(1)[i].as_py())
-                own = np.full(len(position), batch.column(0)[i].as_py() or 0, np.int32)
+                own = np.full(len(position), batch.column(0)[i].as_py(), np.int32)
                 for lo in range(0, len(position), 100_000):
                     s = slice(lo, lo + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own[s], position[s], read[s], (packed[s] >> 2).astype(np.int32), (packed[s] & 3).astype(np.int32))], ["chromosome_id", "position", "read_id", "cell_id", "base"])
 
     files = spark.read.format("binaryFile").load(paths)
-    own = F.lit(chromosome) if chromosome is not None else chromosome_of_file(F.col("path"))
+    own = F.lit(chromosome) if chromosome is not None else _or_error(chromosome_of_path(F.col("path")), F.col("path"))
     return files.select(own.cast("int").alias("chromosome_id"), "content").mapInArrow(run, OBS)
 
 
-def chromosome_in_name(path: str) -> str | None:
-    m = re.match(r"[^_.]+_([^_.]+)\.", path.rsplit("/", 1)[-1])
-    return m[1].upper() if m and m[1].upper() in CHROMOSOMES else None
+#: Buckets of a Parquet pileup, where nothing else is asked for: the session's shuffle partitions.
+LAYOUT = "_layout"
+
+
+def write_parquet(obs: DataFrame, path: str, buckets: int | None = None) -> None:
+    """A pileup in Parquet: a folder for each chromosome, loci dealt to sorted buckets, so that what is grouped or joined by
+    locus later needs no shuffle. The number of buckets is noted in the folder, as Parquet files don't tell it.
+    """
+    spark = obs.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"strandloom_pileup_{uuid.uuid4().hex}"
+    rows = obs.select("chromosome_id", "position", "read_id", "cell_id", "base", F.col("chromosome_id").alias("chromosome"))
+    dealt = rows.repartition(buckets, *LOCUS).write.partitionBy("chromosome").bucketBy(buckets, *LOCUS).sortBy(*LOCUS)
+    dealt.format("parquet").option("path", path).saveAsTable(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/{LAYOUT}")
+
+
+def read_parquet(spark: SparkSession, path: str, chromosomes: list[int] | None = None) -> DataFrame:
+    """Observations of a Parquet pileup, of which only the chromosomes' folders are read; of other Parquet files by their columns."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{LAYOUT}")
+    own = [tuple(c.split()) for c in OBS.split(", ")]
+    if where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        buckets = spark.read.schema("buckets int").json(f"{path}/{LAYOUT}").first()[0]
+        table, keys, place = f"strandloom_pileup_{uuid.uuid4().hex}", ", ".join(LOCUS), path.replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {table} ({OBS}, chromosome int) USING parquet PARTITIONED BY (chromosome) CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{place}'")
+        spark.catalog.recoverPartitions(table)
+        rows = spark.table(table)
+        return (rows if chromosomes is None else rows.where(F.col("chromosome").isin(chromosomes))).select(*(name for name, _ in own))
+    rows = spark.read.parquet(path).select(*(F.col(name).cast(kind) for name, kind in own))
+    return rows if chromosomes is None else rows.where(F.col("chromosome_id").isin(chromosomes))
 
 
 def read_pileup(
-    spark: SparkSession, path: str, max_coverage: int = 100, positions: DataFrame | None = None, groups: DataFrame | None = None, chromosome_from: str = "file", chromosomes: list[str] | None = None
+    spark: SparkSession, path: str, max_coverage: int = 100, positions: DataFrame | None = None, groups: DataFrame | None = None, chromosome_from: str = "auto", chromosomes: list[str] | None = None
 ) -> DataFrame:
-    """Observations of a file or folder in either format: capped, at listed positions, of grouped cells.
+    """Observations of a file or folder in any of the formats: capped, at listed positions, of grouped cells.
 
-    Files of other chromosomes than those asked for are not opened; it is an error if there is no file of any of those.
+    Files and folders of other chromosomes than those asked for are not opened; it is an error if there is nothing of any of
+    those, and if nothing tells the chromosome of a file.
     """
     from ..operators.significance import keep_positions
 
-    files = discover(path)
-    if chromosomes is not None and chromosome_from == "file":
-        there = {chromosome_in_name(f) for f in files}
-        if not there & set(chromosomes):
+    kind, files = discover(spark, path)
+    wanted = None if chromosomes is None else [CHROMOSOMES.index(c) for c in chromosomes]
+    if wanted is not None and kind != "parquet" and chromosome_from != "column":
+        there = {f: chromosome_in_path(f) for f in files}
+        files = [f for f, c in there.items() if c is None or c in wanted]
+        if there and not files:
             raise ValueError(f"no pileup of chromosomes {', '.join(chromosomes)} in {path}")
-        files = [f for f in files if chromosome_in_name(f) in chromosomes]
     if not files:
         return spark.createDataFrame([], OBS)
-    obs = read_binary(spark, files) if files[0].endswith(".bin") else read_text(spark, files, chromosome_from).drop("read_name")
+    if kind == "parquet":
+        obs = reduce(DataFrame.unionAll, [read_parquet(spark, f, wanted) for f in files])
+    else:
+        obs = read_binary(spark, files) if kind == "bin" else read_text(spark, files, chromosome_from).drop("read_name")
+        if wanted is not None:
+            obs = obs.where(F.col("chromosome_id").isin(wanted))
     obs = cap_coverage(obs, max_coverage)
     if positions is not None:
         obs = keep_positions(obs, positions)
@@ -149,21 +209,35 @@ def text_rows(obs: DataFrame) -> DataFrame:
 
 
 def write_text(obs: DataFrame, path: str) -> None:
-    """Text pileups, a folder for each chromosome, loci in order."""
+    """Text pileups, a folder for each chromosome, loci in order, written range by range."""
     from ..functions.codecs import chromosome_name
 
     rows = text_rows(obs).withColumn("name", chromosome_name(F.col("chromosome_id")))
-    rows = rows.repartition("chromosome_id").sortWithinPartitions("chromosome_id", "position")
+    rows = rows.repartitionByRange("chromosome_id", "position").sortWithinPartitions("chromosome_id", "position")
     line = F.concat_ws("\t", "name", "position", "coverage", "bases", "cell_ids", "read_ids")
     rows.select("chromosome_id", line.alias("value")).write.partitionBy("chromosome_id").text(path)
 
 
+def read_numbers(obs: DataFrame) -> DataFrame:
+    """(chromosome_id, cell_id, read_id, number): reads numbered from 0 within each chromosome; equal ids of one cell are one read."""
+    numbers = dense_numbers(obs, ["chromosome_id", "cell_id", "read_id"], "number")
+    first = numbers.groupBy("chromosome_id").agg(F.min("number").alias("_first"))  # 24 rows
+    return numbers.join(F.broadcast(first), "chromosome_id").withColumn("number", F.col("number") - F.col("_first")).drop("_first")
+
+
 def numbered_reads(obs: DataFrame) -> DataFrame:
-    """obs with reads numbered from 0 within each chromosome: equal ids of one cell are one read."""
-    numbers = dense_numbers(obs, ["chromosome_id", "cell_id", "read_id"], "_number")
-    first = numbers.groupBy("chromosome_id").agg(F.min("_number").alias("_first"))  # 24 rows
-    numbers = numbers.join(F.broadcast(first), "chromosome_id").withColumn("_number", F.col("_number") - F.col("_first")).drop("_first")
-    return obs.join(numbers, ["chromosome_id", "cell_id", "read_id"]).select("chromosome_id", "position", F.col("_number").alias("read_id"), "cell_id", "base")
+    """obs with the reads' numbers as their ids."""
+    numbered = obs.join(read_numbers(obs), ["chromosome_id", "cell_id", "read_id"])
+    return numbered.select("chromosome_id", "position", F.col("number").alias("read_id"), "cell_id", "base")
+
+
+def read_dictionary(reads: DataFrame, obs: DataFrame, numbered: bool) -> DataFrame:
+    """(name, read_id) of reads (cell_id, name) that have observations: their keys in obs, or with `numbered` those of a
+    binary pileup, which count from 0 within each chromosome (chromosome_id comes third)."""
+    names = reads.select("cell_id", "name", F.xxhash64("cell_id", "name").alias("read_id")).distinct()
+    if not numbered:
+        return names.join(obs.select("cell_id", "read_id").distinct(), ["cell_id", "read_id"], "left_semi").select("name", "read_id")
+    return names.join(read_numbers(obs), ["cell_id", "read_id"]).select("name", F.col("number").alias("read_id"), "chromosome_id")
 
 
 def write_binary(obs: DataFrame, path: str) -> list[str]:
@@ -203,8 +277,8 @@ def write_binary(obs: DataFrame, path: str) -> list[str]:
 
 
 def convert_text(spark: SparkSession, paths: list[str] | str, path: str) -> list[str]:
-    """Text pileups, whose chromosomes their names tell, as binary ones in a folder; cells keep their ids."""
-    return write_binary(read_text(spark, paths, "file").drop("read_name"), path)
+    """Text pileups as binary ones in a folder; cells keep their ids."""
+    return write_binary(read_text(spark, paths, "auto").drop("read_name"), path)
 
 
 def read_names(reads: DataFrame, name: str, order: str) -> DataFrame:
@@ -214,5 +288,6 @@ def read_names(reads: DataFrame, name: str, order: str) -> DataFrame:
 
 
 def write_read_names(names: DataFrame, path: str) -> None:
-    """name and number, tab-separated, by number."""
-    names.repartitionByRange("read_id").sortWithinPartitions("read_id").select(F.concat_ws("\t", "name", "read_id").alias("value")).write.text(path)
+    """name and number (and what other columns there are), tab-separated, by number."""
+    rest = [F.col(c).cast("string") for c in names.columns if c not in ("name", "read_id")]
+    names.repartitionByRange("read_id").sortWithinPartitions("read_id").select(F.concat_ws("\t", "name", F.col("read_id").cast("string"), *rest).alias("value")).write.text(path)

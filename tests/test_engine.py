@@ -154,6 +154,11 @@ def test_command_line_from_reads_to_variants(spark, tmp_path, monkeypatch, capsy
     assert len(lines_) > 150 and len(good) >= 0.98 * len(lines_)
     assert [(int(x[0]), int(x[1])) for x in lines_] == sorted((int(x[0]), int(x[1])) for x in lines_)
     run("cluster", "-i", tmp_path / "bin", "-o", tmp_path / "again", "--chromosomes", "1,2", "--clustering", tmp_path / "out/clustering", *options)
+    for kind in ("txt", "parquet"):  # the same clusters of pileups in any format
+        run("pileup", "-i", tmp_path / "reads", "-o", tmp_path / kind, "--chromosomes", "1,2", "--max_coverage", 1000, "--format", kind, "--read_names")
+        run("cluster", "-i", tmp_path / kind, "-o", tmp_path / f"{kind}_out", "--chromosomes", "1,2", *options[:4], *options[6:])
+        assert (tmp_path / f"{kind}_out/clustering").read_text().split(",") == labels
+        assert len({x.split("\t")[1] for f in (tmp_path / kind / "read_names.map").glob("part-*") for x in f.read_text().splitlines()}) > 2000
     plain = lambda f: [x for x in f.read_text().splitlines() if not x.startswith("##")]
     assert plain(tmp_path / f"again/cluster_{changed}.vcf") == plain(tmp_path / f"out/cluster_{changed}.vcf")
     (tmp_path / "t_22.pileup.txt").write_text(THREE)
