@@ -13,6 +13,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -35,15 +36,18 @@ WORDS = ("password", "passwd", "secret", "token", "api")
 
 #: Runs that may be base64; access keys and hex strings lie within such runs as well.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Within such a run: what may be base64 in a path or behind a dash.
-PART = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
-FOLDED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}\r?\n)+[A-Za-z0-9+/_-]{2,}={0,2}")
+#: Lines of base64: runs of 12 and more, the last of any length, one below the other or with escaped line ends between,
+#: indented or not.
+FOLDED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]{2,})+={0,2}")
+LINE_END = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 #: What a layer of bytes must have so that it can hold secrets or further layers: all patterns above start with one of these.
 ACTIVE = re.compile(rb"[A-Za-z0-9+/_-]{16}|%[0-9a-f]{2}|\\[ux]|&#[x0-9]|password|passwd|secret|token|api", re.I)
-#: Compressed streams behind other bytes (in an archive, or a later member); zlib's two bytes tell too little for that.
+#: Compressed streams behind other bytes (in an archive, or a later member).
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: The first byte of zlib's header, for any window; the second is checked. Behind other bytes a stream must end as it should.
+ZLIB = re.compile(rb"[\x08\x18\x28\x38\x48\x58\x68\x78]")
 PADDING = re.compile(rb"\x00*")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
 #: Decompressed data come in chunks of so many bytes, or more where a run of characters or a stream within goes on; each
@@ -106,9 +110,14 @@ def find(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _zlib_header(head: bytes) -> bool:
+    """Whether these are zlib's two bytes: deflate, a window of 32K at most, no dictionary, and a multiple of 31."""
+    return len(head) > 1 and head[0] & 15 == 8 and head[0] >> 4 < 8 and not head[1] & 32 and (head[0] << 8 | head[1]) % 31 == 0
+
+
 def _decompressor(head: bytes):
     """A decompressor for a stream with these first bytes, and how many bytes it takes at a time; None if it is none."""
-    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and head[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
+    if head[:2] == b"\x1f\x8b" or _zlib_header(head):
         return zlib.decompressobj(47), 1 << 16
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor(), 1 << 16
@@ -192,6 +201,19 @@ def readable(data: bytes) -> str | None:
     return text if text and len(CONTROL.findall(text)) * 20 <= len(text) else None
 
 
+def byte_places(text: str, code: str, every: int = 2048) -> Callable[[int], int]:
+    """From a place in the text to that in its bytes: the bytes up to every 2048th character are noted, when first asked."""
+    noted: list[int] = []
+
+    def place(i: int) -> int:
+        if not noted:
+            noted.extend(itertools.accumulate((len(text[k : k + every].encode(code)) for k in range(0, len(text), every)), initial=0))
+        k = i // every
+        return noted[k] + len(text[k * every : i].encode(code))
+
+    return place
+
+
 def readings(data: bytes) -> Iterator[tuple[str, Callable[[int], int] | None]]:
     """data as texts that may hold something, and from a place in the text to the byte (None: the same).
 
@@ -201,7 +223,7 @@ def readings(data: bytes) -> Iterator[tuple[str, Callable[[int], int] | None]]:
         half = data[first::2]
         if len(half) >= 8 and half.count(0) * 2 > len(half):
             wide = data[: len(data) // 2 * 2].decode(code, "replace")
-            yield wide, lambda i: len(wide[:i].encode(code))  # noqa: B023
+            yield wide, byte_places(wide, code)
             break
     text = readable(data)
     if text is None and ACTIVE.search(data):
@@ -210,7 +232,17 @@ def readings(data: bytes) -> Iterator[tuple[str, Callable[[int], int] | None]]:
         except UnicodeDecodeError:
             yield data.decode("latin-1"), None
     if text is not None:
-        yield text, None if text.isascii() else lambda i: len(text[:i].encode())
+        yield text, None if text.isascii() else byte_places(text, "utf-8")
+
+
+def _whole(data: bytes, at: int, window: int) -> bytes | None:
+    """The output of a deflate stream from a place on if it ends as it should: with its checksum, or, without a header, with the data."""
+    d = zlib.decompressobj(window)
+    try:
+        out = d.decompress(data[at:] if at else data)
+    except zlib.error:
+        return None
+    return out if d.eof and out and (window > 0 or not d.unused_data) else None
 
 
 def _packed(layer: Layer, data: bytes, a: int, b: int) -> list[Layer]:
@@ -219,12 +251,13 @@ def _packed(layer: Layer, data: bytes, a: int, b: int) -> list[Layer]:
     work, seen = [data], set()
     while work:
         data = work.pop()
-        for at in (0, *(m.start() for m in MAGIC.finditer(data, 1))):
-            for got in inflate(data, at):
-                if (key := hashlib.sha256(got).digest()) not in seen:
-                    seen.add(key)
-                    work.append(got)
-                    out += [Layer(text, layer, lambda *_: (a, b)) for text, _ in readings(got)]
+        some = itertools.chain.from_iterable(inflate(data, at) for at in (0, *(m.start() for m in MAGIC.finditer(data, 1))))
+        hidden = (_whole(data, m.start(), 15) for m in ZLIB.finditer(data, 1) if _zlib_header(data[m.start() : m.start() + 2]))
+        for got in itertools.chain(some, hidden, [_whole(data, 0, -15)] if len(data) >= 12 else []):
+            if got and (key := hashlib.sha256(got).digest()) not in seen:
+                seen.add(key)
+                work.append(got)
+                out += [Layer(text, layer, lambda *_: (a, b)) for text, _ in readings(got)]
     return out
 
 
@@ -293,43 +326,65 @@ def _wide(layer: Layer, data: bytes, place: Callable[[int, int], tuple[int, int]
 
 
 def _base64(layer: Layer) -> list[Layer]:
+    """What base64 in the layer gives: runs, decoded from each of their first four characters, as other characters may stand
+    right before the encoded ones (a path, a prefix), and lines of it put together."""
     text, out = layer.text, []
 
-    def decode(lo: int, hi: int, folded: bool = False) -> bool:
-        digits = text[lo:hi].translate(_DIGITS)
+    def decode(lines: list[tuple[int, int]], skip: int) -> None:
+        digits = "".join([text[a:b] for a, b in lines]).translate(_DIGITS)[skip:]
         if len(digits) % 4 == 1:
-            return False
+            digits = digits[:-1]
+        if len(digits) < 8:
+            return
         try:
             data = base64.b64decode(digits + "=" * (-len(digits) % 4))
         except (binascii.Error, ValueError):
-            return False
-        body: list[int] = []
+            return
+        before = [0, *itertools.accumulate(b - a for a, b in lines)]
+
+        def digit(i: int) -> int:
+            k = bisect_right(before, i + skip) - 1
+            return lines[k][0] + i + skip - before[k]
 
         def place(i: int, j: int) -> tuple[int, int]:
             """Byte i is in digits 8i // 6 to (8i + 7) // 6."""
-            i, j = 8 * i // 6, (8 * j - 1) // 6
-            if folded:
-                if not body:
-                    body.extend(k for k in range(lo, hi) if text[k] not in "=\r\n")
-                return body[i], body[j] + 1
-            return lo + i, lo + j + 1
-
-        got = _packed(layer, data, lo, hi)
-        out.extend(got)
-        found = list(readings(data))
-        out.extend(Layer(t, layer, (lambda a, b, to=to: place(to(a), to(b))) if to else place) for t, to in found)
-        return bool(got) or readable(data) is not None or any(to for _, to in found)
+            return digit(8 * i // 6), digit((8 * j - 1) // 6) + 1
+
+        out.extend(_packed(layer, data, digit(0), digit(len(digits) - 1) + 1))
+        out.extend(Layer(t, layer, (lambda a, b, to=to: place(to(a), to(b))) if to else place) for t, to in readings(data))
 
     for run in RUN.finditer(text):
-        if not decode(*run.span()):
-            for part in PART.finditer(text, *run.span()):
-                if part.span() != run.span():
-                    decode(*part.span())
-    for run in FOLDED.finditer(text) if "\n" in text else ():
-        decode(*run.span(), True)
+        for skip in range(4):
+            decode([run.span()], skip)
+    for run in FOLDED.finditer(text) if "\n" in text or "\\n" in text else ():
+        lines, at = [], run.start()
+        for end in LINE_END.finditer(text, *run.span()):
+            lines.append((at, end.start()))
+            at = end.end()
+        lines.append((at, run.end()))
+        for block in _blocks(lines):
+            for skip in range(4):
+                decode(block, skip)
     return out
 
 
+def _blocks(lines: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Lines that may be one encoding: of equal width but for a shorter last one, and those with the line before them, which
+    a name or a prefix may have made shorter or longer."""
+    size = [b - a for a, b in lines]
+    start = 0
+    while start < len(lines) - 1:
+        end = start + 1
+        while end < len(lines) and size[end] == size[start]:
+            end += 1
+        stop = end + 1 if end < len(lines) and size[end] < size[start] else end
+        if stop - start > 1:
+            yield lines[start:stop]
+        if start:
+            yield lines[start - 1 : stop]
+        start = end
+
+
 #: The URL-safe digits as the others, without padding and line ends.
 _DIGITS = str.maketrans("-_", "+/", "=\r\n")
 
