@@ -5,8 +5,6 @@ from __future__ import annotations
 import argparse
 import os
 
-from pyspark.sql import functions as F
-
 from .functions.codecs import CHROMOSOMES
 from .operators import variants
 from .operators.divide import Settings, divide
@@ -94,9 +92,8 @@ def run_cluster(spark, a) -> None:
     if a.reference_genome:
         reference = genome.reference_genotypes(spark, a.reference_genome, obs, a.map_file or None)
         own, common, calls = variants.variant_table(obs, labels, reference, a.seq_error_rate, a.heterozygous_prob)
-        for cluster in sorted(r[0] for r in labels.select("cluster_id").distinct().collect()):
-            vcf.write_file(own.where(F.col("cluster_id") == cluster), os.path.join(a.o, f"cluster_{cluster}.vcf"), a.reference_genome, cluster)
-        vcf.write_file(common, os.path.join(a.o, "common.vcf"), a.reference_genome, None)
+        clusters = sorted(r[0] for r in labels.select("cluster_id").distinct().collect())
+        vcf.write_clusters(own, common, a.o, a.reference_genome, clusters)
         variants.cell_scores(obs, labels, calls).orderBy("cell_id").write.mode("overwrite").csv(os.path.join(a.o, "scores"))
 
 

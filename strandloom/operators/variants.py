@@ -109,18 +109,29 @@ def lines(df: DataFrame, call: str, counts: list[str] = COUNTS) -> DataFrame:
     return rows.withColumn("_line", F.explode(F.when(is_homozygous(r), F.array(flat)).otherwise(het))).select("*", "_line.ref", "_line.alt", "_line.gt").drop("_line")
 
 
-def variant_table(obs: DataFrame, labels: DataFrame, reference: DataFrame, theta: float = 0.01, prior: float = 1e-3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines of the clusters, common lines, calls with agreement): reference has the loci's genotypes.
+def judged_calls(obs: DataFrame, labels: DataFrame, reference: DataFrame, theta: float = 0.01, prior: float = 1e-3) -> DataFrame:
+    """genotypes() with agreement, at loci of the reference (their genotypes)."""
+    return with_agreement(genotypes(obs, labels, theta, prior)).join(reference, LOCUS)
 
-    The calls, a row for each locus and cluster, are checkpointed: all three results are made of them.
-    """
-    with_checkpoints(obs.sparkSession)
-    calls = with_agreement(genotypes(obs, labels, theta, prior)).join(reference, LOCUS).checkpoint()
-    common_pool = calls.select(*LOCUS, "reference", "pooled", *(F.col(f"all_{c}").alias(c) for c in COUNTS)).dropDuplicates(LOCUS).where("pooled is not null AND pooled <> reference")
-    zero = calls.where("agree AND cluster_id = 0")
-    common = lines(common_pool, "pooled").select(*LOCUS, "ref", "alt", "gt", *COUNTS).unionAll(lines(zero, "genotype").select(*LOCUS, "ref", "alt", "gt", *COUNTS))
+
+def cluster_lines(calls: DataFrame) -> DataFrame:
+    """Lines of the clusters, at loci where they don't agree and other than the pooled call."""
     own = calls.where(~F.col("agree") & F.col("genotype").isNotNull() & ~same_genotype(F.col("genotype"), F.col("pooled")))
-    return lines(own, "genotype").select(*LOCUS, "cluster_id", "ref", "alt", "gt", *COUNTS), common, calls
+    return lines(own, "genotype").select(*LOCUS, "cluster_id", "ref", "alt", "gt", *COUNTS)
+
+
+def common_lines(calls: DataFrame) -> DataFrame:
+    """Lines of the loci as a whole, and of cells without cluster where the clusters agree."""
+    pool = calls.select(*LOCUS, "reference", "pooled", *(F.col(f"all_{c}").alias(c) for c in COUNTS)).dropDuplicates(LOCUS).where("pooled is not null AND pooled <> reference")
+    zero = calls.where("agree AND cluster_id = 0")
+    return lines(pool, "pooled").select(*LOCUS, "ref", "alt", "gt", *COUNTS).unionAll(lines(zero, "genotype").select(*LOCUS, "ref", "alt", "gt", *COUNTS))
+
+
+def variant_table(obs: DataFrame, labels: DataFrame, reference: DataFrame, theta: float = 0.01, prior: float = 1e-3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines of the clusters, common lines, calls with agreement) of calls that are checkpointed, as all three are made of them."""
+    with_checkpoints(obs.sparkSession)
+    calls = judged_calls(obs, labels, reference, theta, prior).checkpoint()
+    return cluster_lines(calls), common_lines(calls), calls
 
 
 def cell_scores(obs: DataFrame, labels: DataFrame, calls: DataFrame) -> DataFrame:

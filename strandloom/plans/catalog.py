@@ -358,38 +358,38 @@ def cluster_genotypes(obs):
     return variants.genotypes(obs, workload.clones(obs), THETA, PRIOR).select(*LOCUS, "cluster_id", "genotype")
 
 
-def tables(obs: DataFrame):
-    return variants.variant_table(obs, workload.clones(obs), workload.reference(obs), THETA, PRIOR)
+def calls(obs: DataFrame) -> DataFrame:
+    return variants.judged_calls(obs, workload.clones(obs), workload.reference(obs), THETA, PRIOR)
 
 
 @query(CLUSTER_SQL + " " + _own_sql)
 def variant_lines(obs):
-    return tables(obs)[0]
+    return variants.cluster_lines(calls(obs))
 
 
 @query(CLUSTER_SQL + " " + _common_sql)
 def common_variants(obs):
-    return tables(obs)[1]
+    return variants.common_lines(calls(obs))
 
 
 @query(CLUSTER_SQL + """ SELECT cell_id, round(count(*) FILTER (genotype IS NOT NULL AND base <> (genotype >> 3) AND base <> (genotype & 7)) / count(*), 6) + 0.0 AS score
   FROM tagged LEFT JOIN (SELECT chromosome_id, position, cluster_id, genotype FROM judged WHERE NOT agree AND genotype IS NOT NULL AND coverage > 9) USING (chromosome_id, position, cluster_id) GROUP BY ALL""")
 def cell_scores(obs):
     clones = workload.clones(obs)
-    return rounded(variants.cell_scores(obs, clones, tables(obs)[2]), "score")
+    return rounded(variants.cell_scores(obs, clones, calls(obs)), "score")
 
 
 @query(CLUSTER_SQL + f""" SELECT chromosome_id, position, ref, alt, row_number() OVER (ORDER BY chromosome_id, position, ref, alt, cluster_id) AS line FROM ({_own_sql})""")
 def vcf_order(obs):
     from ..sources.vcf import ordered
 
-    own = tables(obs)[0].select(*LOCUS, "ref", "alt", "cluster_id")
+    own = variants.cluster_lines(calls(obs)).select(*LOCUS, "ref", "alt", "cluster_id")
     return ordered(own, ["ref", "alt", "cluster_id"]).select(*LOCUS, "ref", "alt", "line")
 
 
 @query(CLUSTER_SQL + f""" SELECT chromosome_id, position, ref, alt, ((row_number() OVER (PARTITION BY chromosome_id ORDER BY position, ref, alt, cluster_id) - 1) % 7)::INTEGER AS part FROM ({_own_sql})""")
 def round_robin_split(obs):
-    own = tables(obs)[0]
+    own = variants.cluster_lines(calls(obs))
     return evaluation.round_robin(own, 7, ["chromosome_id"], ["position", "ref", "alt", "cluster_id"]).select(*LOCUS, "ref", "alt", "part")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 import uuid
@@ -10,13 +9,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import CHROMOSOMES, chromosome_id, decode_base, encode_base
 from ..operators.numbering import dense_numbers
 from ..operators.significance import LOCUS, cap_coverage
+from .files import write_files
 
 OBS = "chromosome_id int, position bigint, read_id bigint, cell_id int, base int"
 TEXT = "chromosome string, position bigint, coverage int, bases string, cell_ids string, read_ids string"
@@ -241,39 +240,28 @@ def read_dictionary(reads: DataFrame, obs: DataFrame, numbered: bool) -> DataFra
 
 
 def write_binary(obs: DataFrame, path: str) -> list[str]:
-    """Binary pileups chromosome_<name>.pileup.bin, each written by one task, loci in order; returns the files.
+    """Binary pileups chromosome_<name>.pileup.bin, loci in order; returns the files.
 
-    The format is one file a chromosome, so the folder must be mounted by all executors; Parquet is the sink for any other
-    store. Reads are numbered anew, as the format has 32 bits for them; more reads, 65,536 observations at a locus or cell
-    ids from 16,384 are errors.
+    Loci are encoded and written range by range, and the parts of a chromosome put together at the end (see sources.files).
+    Reads are numbered anew, as the format has 32 bits for them; more reads, 65,536 observations at a locus or cell ids from
+    16,384 are errors.
     """
-    os.makedirs(path, exist_ok=True)
     rows = F.array_sort(F.collect_list(F.struct("cell_id", "read_id", "base"))).alias("o")
     loci = numbered_reads(obs).groupBy(*LOCUS).agg(rows).select(F.coalesce("chromosome_id", F.lit(0)).alias("chromosome_id"), "position", F.col("o.read_id").alias("r"), F.col("o.cell_id").alias("c"), F.col("o.base").alias("b"))
 
-    def write(batches):
-        out, now, target, done = None, None, "", []
-
-        def close() -> None:
-            if out:
-                out.close()
-                os.replace(out.name, target)  # a task that is run again leaves no half file
-                done.append(target)
-
+    def run(batches):
         for batch in batches:
+            files, data = [], []
             for chromosome, position, reads, cells, bases in zip(*(c.to_pylist() for c in batch.columns)):
-                if chromosome != now:
-                    close()
-                    now, target = chromosome, os.path.join(path, f"chromosome_{CHROMOSOMES[chromosome]}.pileup.bin")
-                    out = open(f"{target}.{TaskContext.get().taskAttemptId()}", "wb")
                 if max(cells) >= 1 << 14 or max(reads) >= 1 << 32 or len(cells) >= 1 << 16:
                     raise ValueError("too many cells, reads or observations for a binary pileup")
-                out.write(encode([(position, list(zip(reads, cells, bases)))]))
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["file"])
+                files.append(f"chromosome_{CHROMOSOMES[chromosome]}.pileup.bin")
+                data.append(encode([(position, list(zip(reads, cells, bases)))]))
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(data, pa.binary())], ["file", "data"])
 
-    dealt = loci.repartition("chromosome_id").sortWithinPartitions(*LOCUS)
-    return sorted(r[0] for r in dealt.mapInArrow(write, "file string").collect())
+    dealt = loci.repartitionByRange(*LOCUS).sortWithinPartitions(*LOCUS)
+    write_files(dealt.mapInArrow(run, "file string, data binary"), path)
+    return [n for n in file_names(obs.sparkSession, path)[1] if n.endswith(".pileup.bin")]
 
 
 def convert_text(spark: SparkSession, paths: list[str] | str, path: str) -> list[str]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import chromosome_name
 from ..operators.significance import COUNTS, LOCUS
+from .files import write_files
 
 
 def preamble(reference: str, cluster: int) -> list[str]:
@@ -23,22 +24,17 @@ def format_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("value", text)
 
 
-def write_vcf(lines: DataFrame, path: str, partition: str | None = "cluster_id") -> None:
-    """Lines in order, in a folder for each cluster. Headers are in preamble()."""
-    rows = format_lines(lines)
-    if partition:
-        rows.repartition(partition).sortWithinPartitions(partition, *LOCUS).select(partition, "value").write.partitionBy(partition).text(path)
-    else:
-        rows.repartitionByRange(*LOCUS).sortWithinPartitions(*LOCUS).select("value").write.text(path)
+def write_clusters(lines: DataFrame, common: DataFrame, folder: str, reference: str, clusters: list[int]) -> None:
+    """cluster_<id>.vcf for each cluster, and common.vcf, which has no preamble: one job, lines in order.
 
-
-def write_file(lines: DataFrame, path: str, reference: str, cluster: int | None) -> None:
-    """One VCF file as other tools want it, lines streaming through the driver in order; common.vcf has no preamble."""
-    with open(path, "w") as f:
-        if cluster is not None:
-            f.writelines(x + "\n" for x in preamble(reference, cluster))
-        for r in format_lines(lines).orderBy(*LOCUS, "ref", "alt").select("value").toLocalIterator():
-            f.write(r[0] + "\n")
+    The files of clusters without lines have the preamble alone.
+    """
+    own = format_lines(lines).select(F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string"), F.lit(".vcf")).alias("file"), *LOCUS, "ref", "alt", "value")
+    rows = own.unionAll(format_lines(common).select(F.lit("common.vcf"), *LOCUS, "ref", "alt", "value"))
+    keys = ["file", *LOCUS, "ref", "alt", "value"]
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("file", F.encode(F.concat("value", F.lit("\n")), "UTF-8").alias("data"))
+    heads = {f"cluster_{c}.vcf": "".join(x + "\n" for x in preamble(reference, c)) for c in clusters}
+    write_files(dealt, folder, heads | {"common.vcf": ""})
 
 
 def ordered(lines: DataFrame, ties: list[str]) -> DataFrame:

@@ -255,7 +255,7 @@ def test_text_and_binary_pileups(spark, tmp_path):
     back = pileup.read_pileup(spark, str(tmp_path / "bin"), chromosomes=["22", "X"])
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, small.select(back.columns).collect()))
     assert [f.rsplit("/", 1)[1] for f in files] == ["chromosome_22.pileup.bin"]
-    assert pileup.convert_text(spark, str(path), str(tmp_path / "converted")) and (tmp_path / "converted" / "chromosome_22.pileup.bin").read_bytes() == open(files[0], "rb").read()
+    assert pileup.convert_text(spark, str(path), str(tmp_path / "converted")) and (tmp_path / "converted" / "chromosome_22.pileup.bin").read_bytes() == (tmp_path / "bin/chromosome_22.pileup.bin").read_bytes()
     with pytest.raises(ValueError, match="no pileup of chromosomes 3"):
         pileup.read_pileup(spark, str(tmp_path / "bin"), chromosomes=["3"])
     listed = spark.createDataFrame([(21, p) for p in (0, 2, 9, 11)], "chromosome_id int, position bigint")
