@@ -10,6 +10,7 @@ from .operators import variants
 from .operators.divide import Settings, divide
 from .session import build_session
 from .sources import alignments, genome, lists, pileup, vcf
+from .sources.files import put
 
 
 def chromosomes(text: str) -> list[str]:
@@ -51,10 +52,9 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run_pileup(spark, a) -> None:
-    files = sorted(os.path.join(d, f) for d, _, names in os.walk(a.i) for f in names if f.endswith((".bam", ".sam"))) if os.path.isdir(a.i) else sorted(a.i.split(","))
+    files = sorted(f for part in a.i.split(",") for f in pileup.file_names(spark, part)[1] if f.endswith((".bam", ".sam")))
     if not files:
         raise SystemExit(f"no alignments in {a.i}")
-    os.makedirs(a.o, exist_ok=True)
     reads = alignments.read_alignments(spark, files, a.chromosomes)
     obs = alignments.build_pileup(reads, a.min_different, a.max_coverage, a.min_base_quality, a.min_map_quality, a.min_map_score)
     if a.format == "parquet":
@@ -65,8 +65,7 @@ def run_pileup(spark, a) -> None:
         pileup.write_binary(obs, a.o)
     if a.read_names:
         pileup.write_read_names(pileup.read_dictionary(reads, obs, a.format == "bin"), os.path.join(a.o, "read_names.map"))
-    with open(os.path.join(a.o, "cells.map"), "w") as f:
-        f.writelines(f"{alignments.cell_name(p)}\t{i}\n" for i, p in enumerate(files))
+    put(os.path.join(a.o, "cells.map"), "".join(f"{alignments.cell_name(p)}\t{i}\n" for i, p in enumerate(files)))
 
 
 def run_convert(spark, a) -> None:
@@ -74,7 +73,6 @@ def run_convert(spark, a) -> None:
 
 
 def run_cluster(spark, a) -> None:
-    os.makedirs(a.o, exist_ok=True)
     groups = lists.cell_grouping(spark, a.merge_count, a.merge_file or None, a.max_cell_count)
     listed = lists.read_positions(spark, a.pos_file) if a.pos_file else None
     obs = pileup.read_pileup(spark, a.i, a.max_coverage, listed, groups, chromosomes=a.chromosomes).persist()

@@ -19,6 +19,7 @@ def build_session(cores: int | str = "*", memory: str = "8g", partitions: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # those that no table refers to any more go
         .getOrCreate()
     )
 

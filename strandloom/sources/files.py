@@ -108,3 +108,12 @@ def write_files(rows: DataFrame, folder: str, heads: dict[str, str] | None = Non
     rows.sparkSession.dataSource.register(FilesSource)
     out = rows.select(F.col("file").cast("string"), F.col("data").cast("binary"))
     out.write.format("ordered_files").mode("append").option("path", folder).option("heads", json.dumps(heads or {})).save()
+
+
+def put(path: str, text: str) -> None:
+    """A small text as a file in any of pyarrow's file systems."""
+    system, inner = file_system(path)
+    if "/" in inner.strip("/"):
+        system.create_dir(inner.rsplit("/", 1)[0])
+    with system.open_output_stream(inner) as out:
+        out.write(text.encode())

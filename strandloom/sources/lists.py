@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import chromosome_id
+from .files import put
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
@@ -39,8 +40,7 @@ def read_clustering(spark: SparkSession, path: str) -> DataFrame:
 def write_clustering(labels: DataFrame, path: str) -> None:
     """Comma-separated cluster ids by cell; cells without label are 0."""
     rows = {r["cell_id"]: r["cluster_id"] for r in labels.collect()}  # a few thousand cells
-    with open(path, "w") as f:
-        f.write(",".join(str(rows.get(c, 0)) for c in range(max(rows, default=-1) + 1)))
+    put(path, ",".join(str(rows.get(c, 0)) for c in range(max(rows, default=-1) + 1)))
 
 
 def spread_groups(labels: DataFrame, groups: DataFrame) -> DataFrame:
@@ -57,8 +57,7 @@ def read_matrix(path: str, sep: str | None = ",") -> np.ndarray:
 
 
 def write_matrix(matrix: np.ndarray, path: str) -> None:
-    with open(path, "w") as f:
-        f.writelines(",".join(repr(float(x)) for x in row) + "\n" for row in np.atleast_2d(matrix))
+    put(path, "".join(",".join(repr(float(x)) for x in row) + "\n" for row in np.atleast_2d(matrix)))
 
 
 def write_positions(loci: DataFrame, path: str) -> None:
@@ -95,8 +94,7 @@ def write_level(level, folder: str, all_matrices: bool = False) -> None:
     for what, values in (("spectral_clustering", level.labels), ("expectation_maximization", level.refined)):
         if values is not None:
             own = dict(zip(level.cells, values))
-            with open(name(what), "w") as f:
-                f.write(",".join(str(own.get(c, OUTSIDE)) for c in range(max(level.cells) + 1)))
+            put(name(what), ",".join(str(own.get(c, OUTSIDE)) for c in range(max(level.cells) + 1)))
 
 
 def group_labels(labels: DataFrame, groups: DataFrame) -> DataFrame:
