@@ -27,6 +27,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 TREES, LEVELS = 16, 8
 #: Nodes of equal prefix are cut into blocks of at most about so many shingles and nodes.
 BLOCK_SHINGLES, BLOCK_NODES = 1_000_000, 1024
+#: Rows that are compared at once, about: two blocks.
+RUN_ROWS = 2 * BLOCK_NODES
 #: Links are counted by similarity in steps of 0.01; recall is looked at in bands of so many steps.
 STEPS, BAND = 100, 5
 
@@ -130,7 +132,8 @@ def nodes_of(docs: DataFrame, text_col: str, words: int) -> DataFrame:
 def grouped(batches: Iterator[pa.RecordBatch], largest: int) -> Iterator[pa.RecordBatch]:
     """Batches that never end inside a run of rows of equal first column. The runs are bounded by the blocks' size.
 
-    largest: the number of the column that takes most bytes.
+    A batch has RUN_ROWS rows, or the rows of a single run: what is compared at once takes memory by its pairs. largest: the
+    number of the column that takes most bytes.
     """
     rest: list[pa.RecordBatch] = []
     for batch in batches:
@@ -141,11 +144,23 @@ def grouped(batches: Iterator[pa.RecordBatch], largest: int) -> Iterator[pa.Reco
             if cut or (rest and not rest[-1].column(0)[rest[-1].num_rows - 1].equals(key[0])):
                 ready = pa.Table.from_batches([*rest, part.slice(0, cut)]).combine_chunks()
                 if ready.num_rows:
-                    yield ready.to_batches()[0]
+                    yield from _runs(ready.to_batches()[0])
                 rest = []
             rest.append(part.slice(cut))
     if rest:
-        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+        yield from _runs(pa.Table.from_batches(rest).combine_chunks().to_batches()[0])
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about RUN_ROWS rows, cut where the first column changes."""
+    key, n = batch.column(0), batch.num_rows
+    starts = np.append(np.flatnonzero(np.asarray(pc.not_equal(key.slice(1), key.slice(0, n - 1)))) + 1, n) if n > 1 else np.array([n])
+    low = 0
+    while low < n:
+        k = int(np.searchsorted(starts, low + RUN_ROWS, "right")) - 1
+        high = int(starts[k]) if k >= 0 and starts[k] > low else int(starts[np.searchsorted(starts, low, "right")])
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -290,11 +305,12 @@ def link_round(table: DataFrame, nodes: DataFrame, threshold: float, depth: int,
                 return a
 
             ties = []
-            for a, b in zip(i.tolist(), j.tolist()):
-                ra, rb = root(a), root(b)
-                if ra != rb:
-                    parent[ra] = rb
-                    ties.append((a, b))
+            for at in range(0, len(i), 50_000):
+                for a, b in zip(i[at : at + 50_000].tolist(), j[at : at + 50_000].tolist()):
+                    ra, rb = root(a), root(b)
+                    if ra != rb:
+                        parent[ra] = rb
+                        ties.append((a, b))
             copies = np.asarray(batch.column(7)).astype(np.int64)
             links = np.bincount(i, copies[j], len(sets)) + np.bincount(j, copies[i], len(sets))
             found = np.bincount((similar * STEPS + 1e-9).astype(int), minlength=STEPS + 1)
