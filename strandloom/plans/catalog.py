@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -455,6 +456,32 @@ def em_refined(obs):
     return rounded(em.refine(kept(obs), p), "p", digits=4)
 
 
+# Mixtures of one and two Gaussians over the second vector in SQL, from its least and its largest component, five rounds.
+_list = lambda f: f"list_sum(list_transform(range(1, len(x) + 1), lambda i: {f}))"
+_moments = ", ".join(f"{_list(f'{r} * x[i] ** {k}')} AS {name}{k}" for name, r in (("a", "r[i]"), ("b", "(1 - r[i])")) for k in range(3))
+_models = "a0 / n AS w1, a1 / a0 AS m1, a2 / a0 - (a1 / a0) ** 2 + 1e-10 AS v1, b0 / n AS w2, b1 / b0 AS m2, b2 / b0 - (b1 / b0) ** 2 + 1e-10 AS v2"
+_density = lambda k: f"w{k} * exp(-0.5 * (x[i] - m{k}) ** 2 / v{k}) / sqrt(2 * pi() * v{k})"
+_MIXTURE_SQL = _FIEDLER_SQL + f""", pts AS (SELECT list(component ORDER BY cell_id) AS x, count(*)::DOUBLE AS n, min(component) AS lo, max(component) AS hi FROM fiedler),
+  em AS (SELECT 0 AS t, x, n, list_transform(x, lambda v: CASE WHEN abs(v - lo) <= abs(v - hi) THEN 1::DOUBLE ELSE 0::DOUBLE END) AS r FROM pts
+    UNION ALL SELECT t + 1, x, n, list_transform(range(1, len(x) + 1), lambda i: {_density(1)} / ({_density(1)} + {_density(2)})) FROM (SELECT t, x, n, {_models} FROM (SELECT t, x, n, {_moments} FROM em WHERE t < 5))),
+  two AS (SELECT n, {_list(f"ln({_density(1)} + {_density(2)})")} AS ll FROM (SELECT x, n, {_models} FROM (SELECT x, n, {_moments} FROM em WHERE t = 5))),
+  one AS (SELECT n, {_list("-0.5 * (ln(2 * pi() * v) + (x[i] - m) ** 2 / v)")} AS ll FROM (SELECT x, n, list_avg(x) AS m, list_var_pop(x) + 1e-10 AS v FROM pts))
+  SELECT 1 AS k, round(ll, 3) + 0.0 AS log_likelihood, round(2 * ln(n) - 2 * ll, 3) + 0.0 AS bic FROM one UNION ALL SELECT 2, round(ll, 3) + 0.0, round(5 * ln(n) - 2 * ll, 3) + 0.0 FROM two"""
+
+
+@query(_MIXTURE_SQL)
+def gmm_second_vector(obs):
+    """Likelihood and BIC of mixtures of one and of two Gaussians over the second vector, started at its extremes."""
+    matrices = spectral.Matrices(*_nodes(obs))
+    vectors = spectral.smallest_eigenpairs(matrices)[0][1]
+    x = vectors[:, 1:2]
+    own = spectral.Points.of(obs.sparkSession, {0: (matrices.members[0], x)})
+    fits = spectral.lockstep({0: spectral.mixtures(lambda v: v, len(x), {1: x[:1], 2: np.array([x.min(0), x.max(0)])})}, own.answers)[0]
+    rows = [(k, f, float(spectral.information(f, k, len(x), 1))) for k, f in fits.items()]
+    out = obs.sparkSession.createDataFrame(rows, "k int, log_likelihood double, bic double")
+    return rounded(out, "log_likelihood", "bic", digits=3)
+
+
 @query()
 def gmm_bic(obs):
     own, members = _nodes(obs)
