@@ -147,8 +147,12 @@ def cell_pairs(obs: DataFrame, longest: int | None = None, by: str | None = None
 
     def make(value, pairs):
         *_, cell_a, cell_b, x_s, x_d = pairs
-        rows, n = np.unique(np.stack([np.minimum(cell_a, cell_b), np.maximum(cell_a, cell_b), x_s, x_d], 1), axis=0, return_counts=True)
-        columns = [pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(n)]
+        keys = (np.minimum(cell_a, cell_b), np.maximum(cell_a, cell_b), x_s, x_d)
+        order = np.lexsort(keys)
+        rows = [k[order] for k in keys]
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), np.any([np.diff(k) != 0 for k in rows], axis=0)]))
+        n = np.diff(np.append(new, len(order)))
+        columns = [pa.array(rows[0][new].astype(np.int32)), pa.array(rows[1][new].astype(np.int32)), pa.array(rows[2][new]), pa.array(rows[3][new]), pa.array(n)]
         names = ["cell_i", "cell_j", "x_s", "x_d", "n"]
         return pa.table([pa.array([value] * len(n), pa.int32()), *columns], [by, *names]) if by else pa.table(columns, names)
 
