@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,8 @@ from .significance import LOCUS
 PAIR = ["chromosome_id", "read_a", "read_b"]
 #: Positions of a window at least; coverage is capped, so that this bounds its rows. Pairs that are counted at once.
 WIDTH, MOST_PAIRS = 100_000, 2_000_000
+#: Where fragments are long, positions that a task goes through; observations that it counts at once; pairs that it holds.
+STRETCH, MOST_ROWS, MOST_HELD = 4_000_000, 50_000, 1_000_000
 
 
 def drop_mate_conflicts(obs: DataFrame) -> DataFrame:
@@ -51,8 +54,8 @@ def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, number.astype(np.int64)
 
 
-def pairs_of_window(position: np.ndarray, read: np.ndarray, cell: np.ndarray, base: np.ndarray, first: int, end: int) -> tuple[np.ndarray, ...]:
-    """(read_a < read_b, cell_a, cell_b, x_s, x_d) of the pairs of reads whose first common locus is from first to before end.
+def pairs_of_loci(position: np.ndarray, read: np.ndarray, cell: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(reads, their cells), and (a, b, x_s, x_d, first common locus) of the pairs of these by number; the read of a is the lesser.
 
     Loci at which a read's mates disagree don't count for it. Pairs are counted in slices of loci, MOST_PAIRS at a time.
     """
@@ -65,12 +68,13 @@ def pairs_of_window(position: np.ndarray, read: np.ndarray, cell: np.ndarray, ba
     position, read, cell, base = position[new], read[new], cell[new], base[new]
     reads, r = _ranks(read)
     cells, c = _ranks(cell)
-    who, own = _ranks(r * max(1, len(cells)) + c)  # a read of a cell
+    m = max(1, len(cells))
+    who, own = _ranks(r * m + c)  # a read of a cell
     n = len(who)
     starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(position)), bool), np.diff(position) != 0]))
     sizes = np.diff(np.append(starts, len(position)))
     load = np.cumsum(sizes * (sizes - 1) // 2)
-    kept: list[np.ndarray] = []
+    kept: list[tuple[np.ndarray, ...]] = []
     for lo, hi in _slices(load):
         a, b = starts[lo], starts[hi - 1] + sizes[hi - 1]
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -86,11 +90,51 @@ def pairs_of_window(position: np.ndarray, read: np.ndarray, cell: np.ndarray, ba
         i, j = i[ok], j[ok]  # in order of reads, as the rows of a locus are
         same = base[i] == base[j]
         kept.append(_summed(own[i] * n + own[j], same.astype(np.int64), (~same).astype(np.int64), position[i]))
-    pair, x_s, x_d, where = _summed(*(np.concatenate(x) for x in zip(*kept))) if kept else (np.zeros(0, np.int64),) * 4
-    mine = (where >= first) & (where < end)
-    a, b = who[pair[mine] // max(1, n)], who[pair[mine] % max(1, n)]
-    m = max(1, len(cells))
-    return reads[a // m], reads[b // m], cells[a % m], cells[b % m], x_s[mine], x_d[mine]
+        if sum(len(k[0]) for k in kept[1:]) > MOST_PAIRS:
+            kept = [_merged(kept)]
+    pair, *sums = _merged(kept) if kept else (np.zeros(0, np.int64),) * 4
+    return reads[who // m], cells[who % m], pair // max(1, n), pair % max(1, n), *sums
+
+
+def pairs_of_window(position: np.ndarray, read: np.ndarray, cell: np.ndarray, base: np.ndarray, first: int, end: int) -> tuple[np.ndarray, ...]:
+    """(read_a < read_b, cell_a, cell_b, x_s, x_d) of the pairs of reads whose first common locus is from first to before end."""
+    counts = PairCounts()
+    counts.add(position, read, cell, base)
+    return counts.pairs(first, end)
+
+
+class PairCounts:
+    """Counts of pairs of reads, of observations that come in pieces of whole loci. What is held is a row a pair."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[int, int], int] = {}  # of a read of a cell
+        self.parts = [(np.zeros(0, np.int64),) * 4]
+
+    def add(self, position: np.ndarray, read: np.ndarray, cell: np.ndarray, base: np.ndarray) -> None:
+        reads, cells, a, b, x_s, x_d, where = pairs_of_loci(position, read, cell, base)
+        number = np.array([self.numbers.setdefault(k, len(self.numbers)) for k in zip(reads.tolist(), cells.tolist())], np.int64)
+        if len(a):
+            self.parts.append((number[a] << 31 | number[b], x_s, x_d, where))
+        if sum(len(p[0]) for p in self.parts[1:]) > max(MOST_HELD // 2, len(self.parts[0][0])):
+            self.parts = [_merged(self.parts)]
+
+    def held(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
+    def pairs(self, first: int | None = None, end: int | None = None) -> tuple[np.ndarray, ...]:
+        """As pairs_of_window(); without first and end of all pairs. Nothing is held any more."""
+        pair, x_s, x_d, where = _merged(self.parts)
+        if first is not None:
+            mine = (where >= first) & (where < end)
+            pair, x_s, x_d = pair[mine], x_s[mine], x_d[mine]
+        who = np.array(list(self.numbers), np.int64).reshape(-1, 2)
+        a, b = pair >> 31, pair & (1 << 31) - 1
+        self.__init__()
+        return who[a, 0], who[b, 0], who[a, 1], who[b, 1], x_s, x_d
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return _summed(*(np.concatenate(x) for x in zip(*parts)))
 
 
 def _slices(load: np.ndarray):
@@ -113,16 +157,86 @@ def _summed(pair: np.ndarray, x_s: np.ndarray, x_d: np.ndarray, where: np.ndarra
     return pair[new], np.add.reduceat(x_s, new), np.add.reduceat(x_d, new), np.minimum.reduceat(where, new)
 
 
-def _in_windows(obs: DataFrame, longest: int | None, make, ddl: str, by: str | None = None) -> DataFrame:
-    """make(chromosome or value of `by`, pairs of a window) by window, as rows: obs is shuffled once, and no pair is."""
-    dealt, width = _windows(obs.select(*LOCUS, "read_id", "cell_id", "base", *([by] if by else [])), longest)
-
-    def run(key, table):
-        first, *_, window = (k.as_py() for k in key)
-        column = lambda n: np.asarray(table[n].combine_chunks()).astype(np.int64)
-        return make(first, pairs_of_window(*(column(n) for n in ("position", "read_id", "cell_id", "base")), window * width, (window + 1) * width))
+def _dealt(obs: DataFrame, longest: int | None) -> tuple[DataFrame, int, bool]:
+    """obs with _window, the windows' width, and whether a pair's loci may lie in several windows.
 
-    return dealt.groupBy(*([by] if by else []), "chromosome_id", "_window").applyInArrow(run, ddl)
+    Windows with overhang are as wide as fragments ask for, so that fragments beyond a quarter of WIDTH would make them grow
+    with the chromosomes. Those are dealt to stretches instead, without overhang, and a pair's counts are summed over them.
+    """
+    if longest is None:
+        ends = obs.groupBy("chromosome_id", "read_id").agg(F.min("position").alias("a"), F.max("position").alias("b"))
+        first, last, longest = ends.agg(F.min("a"), F.max("b"), F.max(F.col("b") - F.col("a"))).first()
+        if first is None or last // WIDTH == first // WIDTH:
+            return obs.withColumn("_window", F.floor(F.col("position") / WIDTH)), WIDTH, False
+    if 4 * longest > WIDTH:
+        return obs.withColumn("_window", F.floor(F.col("position") / STRETCH)), STRETCH, True
+    return *_windows(obs, longest), False
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], list[np.ndarray]]]:
+    """(keys, columns) of stretches of rows with equal keys, the first columns."""
+    for batch in batches:
+        columns = [np.asarray(c).astype(np.int64) for c in batch.columns]
+        new = np.any([np.diff(c) != 0 for c in columns[:keys]], axis=0)
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                yield tuple(int(c[a]) for c in columns[:keys]), [c[a:b] for c in columns[keys:]]
+
+
+def _in_windows(obs: DataFrame, longest: int | None, make: Callable, whole: str, by: str | None = None) -> tuple[DataFrame, bool]:
+    """Pairs by window, as rows: make(keys, pairs) with the columns `whole`, where each pair lies in one window; rows of pairs
+    that are to be summed where not. And whether they are.
+
+    Tasks read a window's observations in order of position and hold a row a pair, but never the window. obs is shuffled once.
+    """
+    keys = [*([by] if by else []), "chromosome_id", "_window"]
+    placed = obs.where("chromosome_id IS NOT NULL AND position IS NOT NULL")
+    dealt, width, split = _dealt(placed.select(*keys[:-1], "position", "read_id", "cell_id", "base"), longest)
+
+    def run(batches):
+        key, counts, held = None, PairCounts(), []
+
+        def count(end):
+            """All loci but the last, which may go on, unless the window ends."""
+            nonlocal held
+            columns = [np.concatenate(c) for c in zip(*held)]
+            at = len(columns[0]) if end else int(np.searchsorted(columns[0], columns[0][-1]))
+            if at:
+                counts.add(*(c[:at] for c in columns))
+            held = [] if end else [[c[at:] for c in columns]]
+
+        def rows():
+            pairs = counts.pairs(*(() if split else (key[-1] * width, (key[-1] + 1) * width)))
+            table = (pair_rows if split else make)(key, pairs)
+            yield from table.to_batches(max_chunksize=100_000)
+
+        for now, columns in _runs(batches, len(keys)):
+            if key is not None and now != key:
+                count(True)
+                yield from rows()
+            key = now
+            held.append(columns)
+            if sum(len(c[0]) for c in held) >= MOST_ROWS:
+                count(False)
+                if split and counts.held() > MOST_HELD:
+                    yield from rows()
+        if key is not None:
+            count(True)
+            yield from rows()
+
+    def pair_rows(key, pairs):
+        names = [*keys[:-1], *PAIR[1:], "cell_a", "cell_b", "x_s", "x_d"]
+        own = [pa.array(np.full(len(pairs[0]), k, np.int32)) for k in key[:-1]]
+        return pa.table([*own, *(pa.array(c.astype(np.int32) if k in (2, 3) else c) for k, c in enumerate(pairs))], names)
+
+    ddl = "".join(f"{k} int, " for k in keys[:-1]) + "read_a bigint, read_b bigint, cell_a int, cell_b int, x_s bigint, x_d bigint" if split else whole
+    # A fixed number of partitions: as rows are few beside the pairs made of them, they would be united into few tasks.
+    parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = dealt.select(*keys, "position", "read_id", "cell_id", "base").repartition(parts, *keys).sortWithinPartitions(*keys, "position").mapInArrow(run, ddl)
+    if split:
+        found = found.groupBy(*keys[:-1], *PAIR[1:], "cell_a", "cell_b").agg(F.sum("x_s").alias("x_s"), F.sum("x_d").alias("x_d"))
+    return found, split
 
 
 def read_pairs(obs: DataFrame, longest: int | None = None) -> DataFrame:
@@ -131,21 +245,21 @@ def read_pairs(obs: DataFrame, longest: int | None = None) -> DataFrame:
     longest: positions that a fragment spans at most, which saves a pass over obs.
     """
 
-    def make(chromosome, pairs):
+    def make(key, pairs):
         a, b, cell_a, cell_b, x_s, x_d = pairs
-        own = pa.array(np.full(len(a), -1 if chromosome is None else chromosome, np.int32), mask=np.full(len(a), chromosome is None))
-        return pa.table([own, pa.array(a), pa.array(b), pa.array(cell_a.astype(np.int32)), pa.array(cell_b.astype(np.int32)), pa.array(x_s), pa.array(x_d)], [*PAIR, "cell_a", "cell_b", "x_s", "x_d"])
+        columns = [np.full(len(a), key[0], np.int32), a, b, cell_a.astype(np.int32), cell_b.astype(np.int32), x_s, x_d]
+        return pa.table([pa.array(c) for c in columns], [*PAIR, "cell_a", "cell_b", "x_s", "x_d"])
 
-    return _in_windows(obs, longest, make, "chromosome_id int, read_a bigint, read_b bigint, cell_a int, cell_b int, x_s bigint, x_d bigint")
+    return _in_windows(obs, longest, make, "chromosome_id int, read_a bigint, read_b bigint, cell_a int, cell_b int, x_s bigint, x_d bigint")[0]
 
 
 def cell_pairs(obs: DataFrame, longest: int | None = None, by: str | None = None) -> DataFrame:
-    """(cell_i < cell_j, x_s, x_d, n): how many pairs of reads of two cells have these counts, summed within each window.
+    """(cell_i < cell_j, x_s, x_d, n): how many pairs of reads of two cells have these counts, summed within each window at least.
 
     by: a column of numbers; only observations of equal value are paired, and it comes first in the result.
     """
 
-    def make(value, pairs):
+    def make(key, pairs):
         *_, cell_a, cell_b, x_s, x_d = pairs
         keys = (np.minimum(cell_a, cell_b), np.maximum(cell_a, cell_b), x_s, x_d)
         order = np.lexsort(keys)
@@ -154,9 +268,14 @@ def cell_pairs(obs: DataFrame, longest: int | None = None, by: str | None = None
         n = np.diff(np.append(new, len(order)))
         columns = [pa.array(rows[0][new].astype(np.int32)), pa.array(rows[1][new].astype(np.int32)), pa.array(rows[2][new]), pa.array(rows[3][new]), pa.array(n)]
         names = ["cell_i", "cell_j", "x_s", "x_d", "n"]
-        return pa.table([pa.array([value] * len(n), pa.int32()), *columns], [by, *names]) if by else pa.table(columns, names)
-
-    return _in_windows(obs, longest, make, (f"{by} int, " if by else "") + "cell_i int, cell_j int, x_s bigint, x_d bigint, n bigint", by)
+        return pa.table([pa.array([key[0]] * len(n), pa.int32()), *columns], [by, *names]) if by else pa.table(columns, names)
+
+    own = [by] if by else []
+    found, split = _in_windows(obs, longest, make, (f"{by} int, " if by else "") + "cell_i int, cell_j int, x_s bigint, x_d bigint, n bigint", by)
+    if not split:
+        return found
+    cells = found.select(*own, F.least("cell_a", "cell_b").alias("cell_i"), F.greatest("cell_a", "cell_b").alias("cell_j"), "x_s", "x_d")
+    return cells.groupBy(*own, "cell_i", "cell_j", "x_s", "x_d").agg(F.count(F.lit(1)).alias("n"))
 
 
 def match_histogram(pairs: DataFrame) -> DataFrame:

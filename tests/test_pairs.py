@@ -91,3 +91,33 @@ def test_affinity_is_the_dense_one(spark, how, top):
     assert np.allclose(got, dense_laplacian(want))
     with pytest.raises(ValueError, match="no such"):
         similarity.affinity(scores, cells, "x")
+
+
+@pytest.mark.parametrize("width, longest, fragments, split", [(40, None, 200, True), (40, 200, 200, True), (120, 30, 30, False)])
+@pytest.mark.parametrize("most", [5, 10**6])
+def test_no_window_is_held_whole(spark, monkeypatch, capsys, width, longest, fragments, split, most):
+    """Long fragments don't widen windows: tasks go through them in order, and counts of stretches are summed."""
+    for name, value in (("WIDTH", width), ("STRETCH", 50), ("MOST_ROWS", most), ("MOST_HELD", most)):
+        monkeypatch.setattr(similarity, name, value)
+    rows = made_reads(7, longest=fragments)
+    obs, want = spark.createDataFrame(rows, OBS).repartition(5), brute_pairs(rows)
+    pairs = similarity.read_pairs(obs, longest)
+    pairs.explain()
+    assert "InArrow" in (plan := capsys.readouterr().out) and "FlatMapGroups" not in plan  # a group would be held whole
+    assert ("sum(x_s" in plan) == split
+    got = pairs.collect()
+    assert len(got) == len(want) and {tuple(r)[:5]: tuple(r)[5:] for r in got} == want
+    cells = defaultdict(int)
+    for (_, _, _, a, b), (s, d) in want.items():
+        cells[min(a, b), max(a, b), s, d] += 1
+    noted = similarity.cell_pairs(obs.selectExpr("*", "7 AS node"), longest, "node").groupBy("node", "cell_i", "cell_j", "x_s", "x_d").sum("n").collect()
+    assert {tuple(r)[1:5]: r[5] for r in noted} == dict(cells) and {r[0] for r in noted} == {7}
+
+
+def test_counts_hold_a_row_a_pair():
+    counts = similarity.PairCounts()
+    for p in range(300):
+        counts.add(np.full(4, p), np.array([3, 1, 2, 2]), np.array([0, 1, 2, 2]), np.array([p % 2, 0, 1, 1]))
+        assert counts.held() <= 3 * 300
+    assert {tuple(int(x) for x in r) for r in zip(*counts.pairs())} == {(1, 2, 1, 2, 0, 300), (1, 3, 1, 0, 150, 150), (2, 3, 2, 0, 150, 150)}
+    assert counts.held() == 0 and [len(x) for x in counts.pairs(0, 9)] == [0] * 6
