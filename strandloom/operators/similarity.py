@@ -17,7 +17,7 @@ PAIR = ["chromosome_id", "read_a", "read_b"]
 #: Positions of a window at least; coverage is capped, so that this bounds its rows. Pairs that are counted at once.
 WIDTH, MOST_PAIRS = 100_000, 2_000_000
 #: Where fragments are long, positions that a task goes through; observations that it counts at once; pairs that it holds.
-STRETCH, MOST_ROWS, MOST_HELD = 4_000_000, 50_000, 1_000_000
+STRETCH, MOST_ROWS, MOST_HELD = 4_000_000, 20_000, 1_000_000
 
 
 def drop_mate_conflicts(obs: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ class PairCounts:
         number = np.array([self.numbers.setdefault(k, len(self.numbers)) for k in zip(reads.tolist(), cells.tolist())], np.int64)
         if len(a):
             self.parts.append((number[a] << 31 | number[b], x_s, x_d, where))
-        if sum(len(p[0]) for p in self.parts[1:]) > max(MOST_HELD // 2, len(self.parts[0][0])):
+        if sum(len(p[0]) for p in self.parts[1:]) > max(MOST_HELD // 4, len(self.parts[0][0])):
             self.parts = [_merged(self.parts)]
 
     def held(self) -> int:
