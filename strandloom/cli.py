@@ -81,9 +81,10 @@ def run_cluster(spark, a) -> None:
     if a.clustering:
         labels = lists.group_labels(lists.read_clustering(spark, a.clustering), groups)
     else:
+        measured = a.compute_read_stats or pileup.discover(spark, a.i)[0] == "txt"  # fragments are then as long as they are
         settings = Settings(
             a.seq_error_rate, a.mutation_rate, a.homozygous_filtered_rate, a.tumor_purity - 1, a.normalization, a.clustering_type, a.termination, a.min_cluster_size, a.expectation_maximization,
-            max_cells=a.max_cell_count, plain_kmeans=a.arma_kmeans,
+            max_cells=a.max_cell_count, plain_kmeans=a.arma_kmeans, max_fragment=0 if measured else Settings.max_fragment,
         )
         labels = divide(obs, settings, lambda level: lists.write_level(level, a.o, a.all_matrices))
         lists.write_clustering(lists.spread_groups(labels, groups), os.path.join(a.o, "clustering"))

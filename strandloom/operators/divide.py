@@ -29,6 +29,8 @@ class Settings:
     seed: int = 0
     #: Plain k-means with spread starts in the place of the weighted one.
     plain_kmeans: bool = False
+    #: Positions of a fragment; what a read has beyond them is another one's. 0: reads are fragments, however long.
+    max_fragment: int = 1000
 
     def __post_init__(self) -> None:
         for name, allowed in (("normalization", ("ADD_MIN", "EXPONENTIATE", "SCALE_MAX_1")), ("kind", ("FIEDLER", "SPECTRAL2", "SPECTRAL6")), ("termination", ("AIC", "BIC"))):
@@ -36,6 +38,8 @@ class Settings:
                 raise ValueError(f"{name} must be one of {', '.join(allowed)}")
         if not 0 <= self.proportion <= 4:
             raise ValueError("proportion must be 0 to 4")
+        if self.max_fragment < 0:
+            raise ValueError("max_fragment must be 0 or more")
 
 
 @dataclass(frozen=True)
@@ -64,6 +68,7 @@ def divide(obs: DataFrame, settings: Settings = Settings(), watch: Callable[[Lev
     if len(all_cells) > s.max_cells:
         raise ValueError(f"more than {s.max_cells} cells")
     longest = similarity.longest_fragment(obs)
+    cut = 0 < s.max_fragment <= longest
     tree: dict[str, tuple[list[int], list[int], int, list[str]]] = {}  # marker: cells, their parts, how many, parts to divide
     level = {"": all_cells} if all_cells else {}
     while level:
@@ -76,7 +81,8 @@ def divide(obs: DataFrame, settings: Settings = Settings(), watch: Callable[[Lev
         kept = significance.keep_loci(own.where(F.col("node").isin(list(members))), loci, ["node"]).checkpoint() if members else None
         found = {}
         if members:
-            scores = similarity.pair_scores(similarity.cell_pairs(kept, longest, "node"), s.mutation, s.homozygous, s.theta).checkpoint()
+            fragments, span = (similarity.cut_fragments(kept, s.max_fragment, "node"), s.max_fragment - 1) if cut else (kept, longest)
+            scores = similarity.pair_scores(similarity.cell_pairs(fragments, span, "node"), s.mutation, s.homozygous, s.theta).checkpoint()
             found = spectral.cluster_nodes(scores, members, s.normalization, s.kind, s.termination, s.seed, s.plain_kmeans)
         soft = _refined(kept, members, found, s) if s.expectation_maximization else {}
         below: dict[str, list[int]] = {}

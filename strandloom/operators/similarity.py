@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import with_checkpoints
@@ -32,6 +32,17 @@ def longest_fragment(obs: DataFrame) -> int:
     return int(spans.agg(F.max("n")).first()[0] or 0)
 
 
+def cut_fragments(obs: DataFrame, most: int, by: str | None = None) -> DataFrame:
+    """obs with a new read every `most` positions from a read's first one on; what is shorter keeps its id.
+
+    Scores take the loci that two reads share to be of one molecule each, in phase: that holds for fragments as they are
+    sequenced, and not for what bears one id along a chromosome. by: a column whose values are looked at apart.
+    """
+    read = Window.partitionBy(*([by] if by else []), "chromosome_id", "read_id", "cell_id")
+    part = F.floor((F.col("position") - F.min("position").over(read)) / most)
+    return obs.withColumn("read_id", F.when(part > 0, F.xxhash64("read_id", part)).otherwise(F.col("read_id")))
+
+
 def _windows(obs: DataFrame, longest: int | None) -> tuple[DataFrame, int]:
     """obs with _window, and the windows' width.
 

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,6 +88,20 @@ def test_divide_finds_planted_clones(spark):
     assert evaluation.adjusted_rand_index(truth, "cluster_id", "truth").first()[0] >= 0.9
 
 
+def test_divide_finds_clones_where_reads_span_the_chromosome(spark):
+    """Ids of reads come back along the chromosome, and heterozygous loci aren't in phase: only near loci tell of one fragment."""
+    rng, n, reads = np.random.default_rng(8), 60_000, 200
+    locus, read = rng.integers(0, 2000, n), rng.integers(0, reads, n)
+    cell, g, kind, draw = read % 40, locus % 4, locus // 4 % 5, rng.random(n)
+    other = np.where(kind == 0, draw < 0.5, np.isin(kind, (1, 2)) & (cell % 10 < 3))
+    base = np.where(rng.random(n) < 0.02, (g + 2) % 4, (g + other) % 4)
+    columns = (np.zeros(n), locus * 24, read, cell, base)
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    obs = spark.createDataFrame(pa.table([pa.array(c.astype(np.int64)).cast(t) for c, t in zip(columns, types)], ["chromosome_id", "position", "read_id", "cell_id", "base"])).persist()
+    labels = {r[0]: r[1] for r in divide.divide(obs, divide.Settings(min_cluster_size=20)).collect()}
+    assert labels == {c: 1 if c % 10 < 3 else 2 for c in range(40)}
+
+
 def test_division_is_numbered_depth_first(spark, monkeypatch):
     """The root in two, its first part in two: parts 3 and 4 are of the first; the share of tumour cells holds for the root."""
     used, plain, asked = [], significance.significant_loci, []

@@ -114,6 +114,25 @@ def test_no_window_is_held_whole(spark, monkeypatch, capsys, width, longest, fra
     assert {tuple(r)[1:5]: r[5] for r in noted} == dict(cells) and {r[0] for r in noted} == {7}
 
 
+@pytest.mark.parametrize("most", [7, 40, 10**6])
+def test_long_reads_are_cut_to_fragments(spark, most):
+    """From a read's first position on; nodes apart; what is short stays as it is."""
+    rows = made_reads(9, longest=90)
+    first = defaultdict(lambda: 10**9)
+    for c, p, r, cell, _ in rows:
+        first[c, r, cell] = min(first[c, r, cell], p)
+    part = lambda c, p, r, cell: (p - first[c, r, cell]) // most
+    cut = similarity.cut_fragments(spark.createDataFrame([(*r, 3) for r in rows], OBS + ", node int").repartition(5), most, "node").persist()
+    reads = {(c, r, cell, part(c, p, r, cell)) for c, p, r, cell, _ in rows}
+    ids = {tuple(r) for r in cut.select("chromosome_id", "read_id", "cell_id").distinct().collect()}
+    assert cut.count() == len(rows) and len(ids) == len(reads) and {r[:3] for r in reads} <= ids
+    want = defaultdict(int)
+    for (_, _, _, a, b), (s, d) in brute_pairs([(c, p, r * 1000 + part(c, p, r, cell), cell, b) for c, p, r, cell, b in rows]).items():
+        want[min(a, b), max(a, b), s, d] += 1
+    got = similarity.cell_pairs(cut, min(most - 1, 90), "node").groupBy("cell_i", "cell_j", "x_s", "x_d").sum("n").collect()
+    assert {tuple(r)[:4]: r[4] for r in got} == dict(want)
+
+
 def test_counts_hold_a_row_a_pair():
     counts = similarity.PairCounts()
     for p in range(300):
