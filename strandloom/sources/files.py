@@ -2,12 +2,14 @@
 
 Every task writes the bytes of its rows to parts of its own, in a hidden folder beside the files. When all tasks are done the
 driver puts the parts of the attempts that succeeded together, in order of the tasks, copying bytes and no rows, and only then
-the files have their names; a task that is killed or run again leaves nothing. Folders may lie in any of pyarrow's file systems.
+the files have their names; a task that is killed or run again leaves nothing. Tasks that still write when the driver is done or
+gives up see by a mark in that folder that it is closed. Folders may lie in any of pyarrow's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -40,6 +42,16 @@ class FilesWriter(DataSourceArrowWriter):
         system, inner = file_system(self.folder)
         return system, f"{inner.rstrip('/')}/{name}"
 
+    def begin(self) -> None:
+        """The folder of the parts, open. Tasks don't make it, so that none makes it again after its end."""
+        system, mark = self._place(f"{self.hidden}/open")
+        system.create_dir(mark.rsplit("/", 1)[0])
+        system.open_output_stream(mark).close()
+
+    def _is_open(self) -> bool:
+        system, mark = self._place(f"{self.hidden}/open")
+        return system.get_file_info(mark).type == fs.FileType.File
+
     def write(self, iterator) -> Written:
         """Rows (file, data): consecutive rows of a file are one part."""
         context = TaskContext.get()
@@ -52,13 +64,16 @@ class FilesWriter(DataSourceArrowWriter):
                             out.close()
                         name = f"{self.hidden}/{context.partitionId():06d}-{context.taskAttemptId()}-{len(parts)}"
                         system, inner = self._place(name)
-                        system.create_dir(inner.rsplit("/", 1)[0])
+                        if not self._is_open():
+                            raise OSError(f"{self.hidden} is closed")
                         now, out = file, system.open_output_stream(inner)
                         parts.append((file, name))
                     out.write(data)
         finally:
             if out is not None:
                 out.close()
+            if not self._is_open():  # since the last part was opened, which may have made the folder again
+                self._clear()
         return Written(context.partitionId(), parts)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -88,8 +103,17 @@ class FilesWriter(DataSourceArrowWriter):
 
     def _clear(self) -> None:
         system, hidden = self._place(self.hidden)
-        if system.get_file_info(hidden).type == fs.FileType.Directory:
-            system.delete_dir(hidden)
+        for tries in range(10):
+            if system.get_file_info(hidden).type != fs.FileType.Directory:
+                break
+            try:
+                if self._is_open():
+                    system.delete_file(f"{hidden}/open")
+                system.delete_dir(hidden)
+            except OSError:  # a part came or went meanwhile
+                if tries == 9:
+                    raise
+                time.sleep(0.1)
 
 
 class FilesSource(DataSource):
@@ -100,7 +124,9 @@ class FilesSource(DataSource):
         return "ordered_files"
 
     def writer(self, schema, overwrite: bool) -> FilesWriter:
-        return FilesWriter(self.options)
+        out = FilesWriter(self.options)
+        out.begin()
+        return out
 
 
 def write_files(rows: DataFrame, folder: str, heads: dict[str, str] | None = None) -> None:

@@ -1,7 +1,9 @@
 """The sink of ordered files: whole files or none, in order, whatever tasks do."""
 
 import os
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +31,23 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     assert os.listdir(tmp_path) == ["f"] and (tmp_path / "f").read_text() == "old"
 
 
+def test_a_task_that_goes_on_after_the_end_leaves_nothing(tmp_path, monkeypatch):
+    """The driver gives up before a task's first part, and between two of them."""
+    monkeypatch.setattr(files.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 5))
+    for before in (0, 1):
+        writer = files.FilesSource({"path": str(tmp_path)}).writer(None, False)
+
+        def batches(writer=writer, before=before):
+            for k, name in enumerate("ab"):
+                if k == before:
+                    writer.abort([])
+                yield pa.RecordBatch.from_pydict({"file": [name], "data": [b"x"]})
+
+        with pytest.raises(OSError, match="closed"):
+            writer.write(batches())
+        assert os.listdir(tmp_path) == []
+
+
 def test_only_the_parts_of_tasks_that_succeeded_count(tmp_path):
     writer = files.FilesWriter({"path": str(tmp_path)})
     hidden = tmp_path / writer.hidden
